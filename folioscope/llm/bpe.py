@@ -7,6 +7,7 @@ normalisation is the identity, so sentencepiece's "highest score first" merges a
 from __future__ import annotations
 
 import base64
+import gc
 import hashlib
 import struct
 from collections.abc import Iterable, Iterator
@@ -14,8 +15,11 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Pre-tokens whose ids are remembered by a Python worker at most.
+#: Pre-tokens, and stretches between single spaces, that a Python worker remembers at most, and their longest.
 REMEMBERED = 400_000
+LONGEST = 64
+#: Characters of texts whose new stretches are encoded in one call.
+GROUP = 1_000_000
 
 
 def byte_characters() -> list[str]:
@@ -80,49 +84,101 @@ class Codec:
 
         self._split = regex.compile(pattern).findall
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self._chars = {b: c for b, c in enumerate(byte_characters())}
+        self._chars = dict(enumerate(byte_characters()))
         self._whole = {token: rank for rank, token in enumerate(tokens)}
-        self._bytes = {ord(c): b for b, c in self._chars.items()}
-        self._pieces = [self._model.id_to_piece(k + 1) for k in range(len(tokens))]
-        self._ids: dict[str, bytes] = {}
-        self._decoded: dict[str, bytes] = {}
-
-    def _learn(self, new: Iterable[str]) -> None:
-        spelled, rest = [], []
-        for pre in new:
+        inverse = {ord(c): b for b, c in self._chars.items()}
+        self._raw = [self._model.id_to_piece(k + 1).translate(inverse).encode("latin-1") for k in range(len(tokens))]
+        self._shown = [b"%d" % k for k in range(len(tokens))]
+        self._pre: dict[str, tuple[bytes, bytes]] = {}
+        self._stretches: dict[str, tuple[bytes, bytes]] = {}
+
+    def _learn(self, texts: list[str]) -> list[list[tuple[bytes, bytes]]]:
+        """Ids and decoded bytes of each text's pre-tokens; the model gets all new pre-tokens in one call."""
+        split = [self._split(text) for text in texts]
+        if len(self._pre) > REMEMBERED:
+            self._pre.clear()
+        known, fresh = self._pre, {}
+        rest, spelled = [], []
+        for pre in {p for pieces in split for p in pieces if p not in known}:
             raw = pre.encode()
             # a pre-token that is itself a token gets its id even where merges would not reach it
             if (rank := self._whole.get(raw)) is not None:
-                self._remember(pre, [rank])
+                fresh[pre] = self._shown[rank], self._raw[rank]
             else:
                 rest.append(pre)
-                spelled.append(raw.decode("latin-1").translate(self._chars))
+                plain = pre.isascii() and pre.isprintable()
+                spelled.append(pre.replace(" ", self._chars[32]) if plain else raw.decode("latin-1").translate(self._chars))
         if rest:
             for pre, ids in zip(rest, self._model.encode(spelled, out_type=int, num_threads=1), strict=True):
-                self._remember(pre, [k - 1 for k in ids])
-
-    def _remember(self, pre: str, ids: list[int]) -> None:
-        self._ids[pre] = b" ".join(b"%d" % k for k in ids)
-        self._decoded[pre] = self.decode(ids)
+                ids = [k - 1 for k in ids]
+                fresh[pre] = b" ".join([self._shown[k] for k in ids]), self.decode(ids)
+        out = [[known[p] if p in known else fresh[p] for p in pieces] for pieces in split]
+        known.update(fresh if max(map(len, rest), default=0) <= LONGEST else {p: x for p, x in fresh.items() if len(p) <= LONGEST})
+        return out
 
     def decode(self, ids: Iterable[int]) -> bytes:
-        return "".join(self._pieces[k] for k in ids).translate(self._bytes).encode("latin-1")
-
-    def run(self, text: str) -> tuple[bytes, bytes]:
-        """The ids as decimal text with single spaces, and the bytes decoded from them."""
-        pre = self._split(text)
-        kinds = set(pre)
-        new = [p for p in kinds if p not in self._ids]
-        if new:
-            if len(self._ids) + len(new) > REMEMBERED:
-                self._ids.clear()
-                self._decoded.clear()
-                new = list(kinds)
-            self._learn(new)
-        return b" ".join(map(self._ids.__getitem__, pre)), b"".join(map(self._decoded.__getitem__, pre))
+        return b"".join([self._raw[k] for k in ids])
+
+    def run(self, texts: list[str]) -> Iterator[tuple[bytes, bytes]]:
+        """For each text, the ids as decimal text with single spaces, and the bytes decoded from them.
+
+        No pre-token spans a single space between two characters that are no white space, other than as its
+        first character: so the stretches between such spaces are looked up, and new ones of all texts encoded at once.
+        """
+        seen = self._stretches
+        if len(seen) > REMEMBERED:
+            seen.clear()
+        split = [text.split(" ") for text in texts]
+        firsts = self._learn([parts[0] for parts in split])
+        known = [list(map(seen.get, parts)) for parts in split]
+        new = {p for parts, rows in zip(split, known, strict=True) if None in rows for p, row in zip(parts, rows, strict=True) if row is None}
+        apart = [p for p in new if p and len(p) <= LONGEST and not p[0].isspace() and not p[-1].isspace()]
+        seen.update((p, _joined(x)) for p, x in zip(apart, self._learn([" " + p for p in apart]), strict=True))
+        for parts, rows, first in zip(split, known, firsts, strict=True):
+            rows = list(map(seen.get, parts)) if None in rows else rows
+            rows[0] = _joined(first)
+            if None in rows or not parts[0] or parts[0][-1].isspace():
+                rows = self._run_apart(parts)
+            yield _joined(rows)
+
+    def run_all(self, texts: Iterable[str | None]) -> Iterator[tuple[bytes, bytes]]:
+        """run() over stretches of about GROUP characters of texts; null counts as empty."""
+        group, chars = [], 0
+        for text in texts:
+            group.append(text or "")
+            chars += len(group[-1])
+            if chars > GROUP:
+                yield from self.run(group)
+                group, chars = [], 0
+        yield from self.run(group)
+
+    def _run_apart(self, parts: list[str]) -> list[tuple[bytes, bytes]]:
+        """As run() does, where some stretches touch other white space or are long."""
+        stretches, now = [], [parts[0]]
+        for part in parts[1:]:
+            before = now[-1]
+            if part and not part[0].isspace() and before and not before[-1].isspace():
+                stretches.append(" ".join(now))
+                now = ["", part]
+            else:
+                now.append(part)
+        stretches.append(" ".join(now))
+        seen = self._stretches
+        known = [seen.get(s[1:]) if s[:1] == " " else None for s in stretches]
+        rest = self._learn([s for s, row in zip(stretches, known, strict=True) if row is None])
+        learned = iter([_joined(x) for x in rest])
+        return [row or next(learned) for row in known]
 
     def encode(self, text: str) -> list[int]:
-        return [int(k) for k in self.run(text)[0].split()]
+        return [int(k) for k in next(self.run([text]))[0].split()]
+
+
+def _joined(rows: list[tuple[bytes, bytes]]) -> tuple[bytes, bytes]:
+    """Of consecutive stretches, of which only one that is alone may be empty."""
+    if len(rows) < 2:
+        return rows[0] if rows else (b"", b"")
+    ids, raw = zip(*rows, strict=True)
+    return b" ".join(ids), b"".join(raw)
 
 
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
@@ -142,10 +198,11 @@ def encode_documents(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model, tokens, pattern)
+        gc.freeze()  # what is remembered holds no cycles; else each collection would walk all of it
+        gc.disable()
         for batch in batches:
             counts, ids_hash, decoded_hash = [], [], []
-            for text in batch.column(1):
-                ids, decoded = codec.run(text.as_py() or "")
+            for ids, decoded in codec.run_all(batch.column(1).to_pylist()):
                 counts.append(ids.count(b" ") + 1 if ids else 0)
                 ids_hash.append(hashlib.sha256(ids).hexdigest())
                 decoded_hash.append(hashlib.sha256(decoded).hexdigest())
