@@ -4,13 +4,44 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe
+from . import bpe, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_positional_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return positional_index.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op2_perplexity_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return perplexity.quality(table(spark, sf_dir, "documents"))
+
+
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return training_order.materialise(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN, key=2024)
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_spread.line_dedup(table(spark, sf_dir, "documents"))
+
+
+def op9_license_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -20,7 +51,75 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_positional_index": op1_positional_index,
+    "op2_perplexity_rules": op2_perplexity_rules,
+    "op3_training_order": op3_training_order,
+    "op4_quality_classifier": op4_quality_classifier,
+    "op6_toxicity": op6_toxicity,
+    "op8_site_spread": op8_site_spread,
+    "op9_license_join": op9_license_join,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of ops 1 and 9, as a DuckDB expression over the column text.
+_ALNUM = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+_OP1 = f"""
+with dw as (select doc_id, {_ALNUM} w from documents),
+iw as (select item_id, {_ALNUM} w from benchmark),
+wins as (
+  select distinct item_id, least(13, len(w)) n, array_to_string(w[j:j + least(13, len(w)) - 1], ' ') g
+  from (select item_id, w, unnest(range(1, greatest(len(w) - 13, 0) + 2)) j from iw where len(w) > 0)),
+sizes as (select distinct n from wins),
+places as (
+  select doc_id, n, p, array_to_string(w[p:p + n - 1], ' ') g
+  from (select doc_id, w, n, unnest(range(1, len(w) - n + 2)) p from dw, sizes where len(w) >= n)),
+hits as (select doc_id, item_id, p, places.n from places join wins on places.g = wins.g and places.n = wins.n),
+per_word as (select doc_id, count(distinct q) n_hit from (select doc_id, unnest(range(p, p + n)) q from hits) group by 1),
+per_item as (select doc_id, count(distinct item_id) n_items, string_agg(distinct item_id::varchar, ',' order by item_id::varchar) items from hits group by 1)
+select dw.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coalesce(n_items, 0)::bigint n_items,
+  sha256(coalesce(items, '')) items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) contaminated
+from dw left join per_word using (doc_id) left join per_item using (doc_id)
+"""
+
+_OP8 = f"""
+with split as (select doc_id, source, text, string_split(text, chr(10)) ls from documents),
+lines as (select doc_id, source, unnest(ls) l, unnest(range(len(ls))) i from split where text is not null),
+common as (select trim(l) c from lines where trim(l) <> '' and source is not null group by 1 having count(distinct source) >= {line_spread.MIN_SITES}),
+marked as (select doc_id, l, i, c is not null gone from lines left join common on trim(l) = c),
+done as (
+  select doc_id, count(*) n_lines, count(*) filter (gone) n_removed,
+    sha256(coalesce(string_agg(l, chr(10) order by i) filter (not gone), '')) text_sha256
+  from marked group by 1)
+select doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::bigint n_removed, text_sha256
+from documents left join done using (doc_id)
+"""
+
+_TEMPLATES = ", ".join(f"('{label}', {license_scan._template_words(text)})" for label, text in license_scan.TEMPLATES.items())
+_PHRASES = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES.items())
+_OP9 = f"""
+with dw as (select doc_id, {_ALNUM} w from documents),
+phrases(label, ph) as (values {_PHRASES}),
+places as (
+  select doc_id, label, p - 1 p
+  from (select doc_id, w, label, ph, unnest(range(1, len(w) - len(ph) + 2)) p from dw, phrases where len(w) >= len(ph))
+  where w[p:p + len(ph) - 1] = ph),
+base as (select doc_id, count(*) n_base, min(p) first_word, max(p) last_word, list_sort(list(distinct label)) bl from places group by 1),
+templates(label, t) as (values {_TEMPLATES}),
+lines as (select doc_id, list_distinct({_ALNUM}) w from (select doc_id, unnest(string_split(text, chr(10))) as text from documents)),
+matched as (
+  select doc_id, label, len(list_intersect(w, t))::double / len(t) c from lines, templates
+  where len(list_intersect(w, t)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
+best as (select doc_id, max(c) c, list(distinct label) ml from matched group by 1)
+select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word,
+  coalesce(array_to_string(bl, ','), '') base_labels,
+  coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(bl, []), coalesce(ml, [])))), ','), '') labels,
+  case when n_base > 0 then 1.0::double else coalesce(round(c, 6), 0.0)::double end score
+from dw left join base using (doc_id) left join best using (doc_id)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_positional_index": _OP1,
+    "op8_site_spread": _OP8,
+    "op9_license_join": _OP9,
+}
