@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order
+from . import bpe, group_matrix, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,6 +30,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_group_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_matrix.jaccard_components(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op2_perplexity_rules": op2_perplexity_rules,
     "op3_training_order": op3_training_order,
     "op4_quality_classifier": op4_quality_classifier,
+    "op5_group_matrix": op5_group_matrix,
     "op6_toxicity": op6_toxicity,
     "op8_site_spread": op8_site_spread,
     "op9_license_join": op9_license_join,
@@ -82,6 +87,20 @@ select dw.doc_id, len(w)::bigint n_words, coalesce(n_hit, 0)::bigint n_hit, coal
 from dw left join per_word using (doc_id) left join per_item using (doc_id)
 """
 
+_OP5 = r"""
+with recursive dw as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') w from documents),
+sh as (
+  select distinct doc_id, len(w) >= 5 whole, array_to_string(w[p:p + 4], ' ') s
+  from (select doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) p from dw where len(w) > 0)),
+sizes as (select doc_id, count(*) n from sh group by 1),
+pairs as (select a.doc_id x, b.doc_id y, count(*) c from sh a join sh b on a.s = b.s and a.whole = b.whole and a.doc_id <> b.doc_id group by 1, 2),
+links as (select x, y from pairs join sizes sx on x = sx.doc_id join sizes sy on y = sy.doc_id where 100 * c >= 75 * (sx.n + sy.n - c)),
+reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.y from reach r join links l on r.y = l.x),
+least as (select x doc_id, min(y) component_id from reach group by 1)
+select doc_id, coalesce(n, 0)::bigint n_shingles, component_id from least left join sizes using (doc_id)
+"""
+
 _OP8 = f"""
 with split as (select doc_id, source, text, string_split(text, chr(10)) ls from documents),
 lines as (select doc_id, source, unnest(ls) l, unnest(range(len(ls))) i from split where text is not null),
@@ -120,6 +139,7 @@ from dw left join base using (doc_id) left join best using (doc_id)
 
 ORACLES: dict[str, str] = {
     "op1_positional_index": _OP1,
+    "op5_group_matrix": _OP5,
     "op8_site_spread": _OP8,
     "op9_license_join": _OP9,
 }

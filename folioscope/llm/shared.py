@@ -11,6 +11,10 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of ids or hashes up to which a side of a join is sent to all executors (some 16 MB).
+BROADCAST_ROWS = 1_000_000
 
 #: Rows an operator has written to shared storage, by session, so that release() can drop them.
 _written: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
@@ -51,6 +55,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """df, marked for broadcast where it has at most ``most`` rows; else as it is, for Spark to shuffle."""
+    return F.broadcast(df) if df.limit(most + 1).count() <= most else df
+
+
 def release(spark: SparkSession) -> None:
     """Delete what stored() has written so far. Call it only when no DataFrame that reads it is still to be run."""
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()

@@ -36,7 +36,7 @@ IDENTITY_TERMS = (
 #: Labelled rows learned from at most, least documents a feature must stand in, and swapped copies of a document.
 SAMPLE, LEAST, COPIES = 8000, 3, 2
 #: Passes, learning rate, L1 pull to zero, and the weight of the squared score differences.
-EPOCHS, RATE, L1, SWAP = 40, 0.5, 3e-4, 1.0
+EPOCHS, RATE, L1, SWAP = 60, 0.5, 1.2e-3, 1.0
 #: Lengths of the word beginnings that are features beside the word itself.
 BEGINNINGS = (4, 5, 6)
 FOLDS, HELD_OUT, CUT = 5, 0, 0.5
