@@ -15,6 +15,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -296,7 +297,33 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
 
 def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents whose id is the smallest of their component; rows without id stay where no other row is linked with them."""
-    groups = jaccard_components(docs, id_col, text_col)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, docs[id_col].cast("bigint").eqNullSafe(kept["_kept"]), "left_semi")
+    """One row of each component: that of the smallest id (null ids last). Rows without words all stay.
+
+    Of rows that repeat both id and text one stays; the rows and columns that stay are as given.
+    """
+    text = docs[text_col].cast("string")
+    words = docs.select(docs[id_col].alias("doc_id"), text.alias("text"))
+    rows = stored(classes_and_components(words).where("comp is not null"), "members")
+    first = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "sk")).alias("m"))
+    gone = rows.join(first, "comp").where("not (doc_id <=> m.doc_id and sk = m.sk)").select("doc_id", "sk").distinct()
+    twice = rows.groupBy("doc_id", "sk").count().where("count > 1").select("doc_id", "sk")
+
+    # rows are told apart by id and class; a class is made from the text once more, for rows whose id is concerned
+    concerned = gone.select("doc_id").unionByName(twice.select("doc_id")).distinct()
+    concerned = small_or_shuffled(stored(concerned, "concerned").select(F.col("doc_id").alias("_id")))
+    same_id = docs[id_col].cast("bigint").eqNullSafe(concerned["_id"])
+    untouched = docs.join(concerned, same_id, "left_anti").select(*[docs[c] for c in docs.columns])
+    touched = docs.join(concerned, same_id, "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+
+    @F.pandas_udf("bigint")
+    def key(texts: pd.Series) -> pd.Series:
+        hashes = WordHashes()
+        sets = (shingles(space_words(x.encode() if isinstance(x, str) else None, lower=True), hashes) for x in texts)
+        return pd.Series([set_key(t) if len(t) else None for t in sets], dtype="Int64")
+
+    touched = touched.withColumn("sk", key(F.col("row").getField(text_col).cast("string")))
+    touched = touched.withColumn("doc_id", F.col("row").getField(id_col).cast("bigint"))
+    out_of = small_or_shuffled(gone.select(F.col("doc_id").alias("_id"), F.col("sk").alias("_sk")))
+    left = touched.join(out_of, touched["doc_id"].eqNullSafe(out_of["_id"]) & (touched["sk"] == out_of["_sk"]), "left_anti")
+    again = left.where("sk is not null").dropDuplicates(["doc_id", "sk"]).unionByName(left.where("sk is null"))
+    return untouched.unionByName(again.select("row.*"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, group_matrix, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order
+from . import bpe, group_matrix, language_crf, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,6 +38,10 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_language_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_crf.identify(table(spark, sf_dir, "documents"))
+
+
 def op8_site_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.line_dedup(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ QUERIES = {
     "op4_quality_classifier": op4_quality_classifier,
     "op5_group_matrix": op5_group_matrix,
     "op6_toxicity": op6_toxicity,
+    "op7_language_crf": op7_language_crf,
     "op8_site_spread": op8_site_spread,
     "op9_license_join": op9_license_join,
     "op10_byte_bpe": op10_byte_bpe,
