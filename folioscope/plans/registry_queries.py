@@ -213,10 +213,10 @@ select quality, guess, n, round(sum(n * (quality = guess)::int) over (partition
     "tail_edges": "with recursive " + _RET + """,
 lim as (select cell, quantile_cont(retention, 0.95) p95 from ret group by 1), ed as (select a, b from ret join lim using (cell) where retention >= p95), bo as (select a, b from ed union select b, a from ed),
 reach(x, y) as (select a, a from bo union select r.x, bo.b from reach r join bo on r.y = bo.a) select x member, min(y) component_id from reach group by 1""",
-    "quarter_activity": "select o_custkey, year(o_orderdate)::varchar || '-Q' || quarter(o_orderdate)::varchar as "quarter", count(*) orders from orders where o_custkey % 10 = 0 group by all",
+    "quarter_activity": "select o_custkey, year(o_orderdate)::varchar || '-Q' || quarter(o_orderdate)::varchar as quarter, count(*) orders from orders where o_custkey % 10 = 0 group by all",
     "temporal_handoff": """with n as (select c_mktsegment a, year(o_orderdate)::varchar || '-Q' || quarter(o_orderdate)::varchar q, count(*) filter (o_orderstatus = 'F') na, count(*) filter (o_orderstatus = 'O') nb from orders join customer on o_custkey = c_custkey group by all),
 c as (select a, q, round(sum(na) over (partition by a order by q) / sum(na) over (partition by a) - sum(nb) over (partition by a order by q) / sum(nb) over (partition by a), 6) f from n)
-select a, 'O' b, q as "quarter", round(abs(f), 4) score, case when f >= 0 then 'a_to_b' else 'b_to_a' end direction from c qualify row_number() over (partition by a order by abs(f) desc, q) = 1""",
+select a, 'O' b, q as quarter, round(abs(f), 4) score, case when f >= 0 then 'a_to_b' else 'b_to_a' end direction from c qualify row_number() over (partition by a order by abs(f) desc, q) = 1""",
     "typed_edges": _W(_RET, f"select cell, {_LC} link_class, count(*) pairs, round(median(retention) + 1e-9::double, 4) median_retention from ret group by all"),
     "event_windows": "select strftime(ts::date, '%Y-%m-%d') \"day\", event_type, count(*) events, round(sum(value::decimal(18,2))::double, 2) total from events group by all",
     "register_agreement": """with c as (select c_nationkey nation, count(*) customers from customer group by 1), s as (select s_nationkey nation, count(*) suppliers from supplier group by 1)
