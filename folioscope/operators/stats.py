@@ -30,8 +30,8 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, control: str | None
     rows = rows.dropna(subset=used)
     ranked = rows.withColumns({f"_r{k}": average_rank(by, c) for k, c in enumerate(used)})
     pairs = [("xy", 0, 1)] + ([("xz", 0, 2), ("yz", 1, 2)] if control else [])
-    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), *[F.corr(f"_r{a}", f"_r{b}").alias(name) for name, a, b in pairs])
-    out = out.where((F.col("n") >= least) & F.col("xy").isNotNull() & ~F.isnan("xy"))
+    out = ranked.groupBy(*by).agg(F.count("*").alias("n"), *[_correlation(f"_r{a}", f"_r{b}").alias(name) for name, a, b in pairs])
+    out = out.where((F.col("n") >= least) & F.col("xy").isNotNull())
     columns = [*by, "n", F.round("xy", 4).alias("spearman"), direction(F.col("xy")).alias("direction")]
     if control:
         free = (F.abs("xz") < 1 - 1e-12) & (F.abs("yz") < 1 - 1e-12) & (F.col("n") >= 4)
@@ -40,6 +40,11 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, control: str | None
     return out.select(*columns)
 
 
+def _correlation(x: str, y: str) -> Column:
+    """corr(), but null where a side doesn't vary, which corr() divides by."""
+    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+
+
 def direction(value: Column) -> Column:
     rounded = F.round(value, 4)
     return F.when(rounded > 0, "positive").when(rounded < 0, "negative").when(rounded == 0, "none")
