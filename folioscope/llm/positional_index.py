@@ -265,7 +265,7 @@ def proximity_matches(index: DataFrame, words: list[str], slop: int) -> DataFram
         found: dict[int, list[int]] = {}
         for d, p in zip((np.searchsorted(starts, at, "right") - 1).tolist(), at.tolist(), strict=True):
             found.setdefault(d, []).append(p - int(starts[d]))
-        return pd.DataFrame({"doc_id": pd.array([head["ids"][d] for d in found], dtype="Int64"), "positions": list(found.values())})
+        return pd.DataFrame({"doc_id": pd.array([head["ids"][d] for d in found], dtype="Int64"), "positions": pd.Series(list(found.values()), dtype=object)})
 
     return rows.groupBy("segment").applyInPandas(match, "doc_id bigint, positions array<int>")
 
