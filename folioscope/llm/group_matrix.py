@@ -245,12 +245,23 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
         placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "across"
     )
     rows = stored(placed.join(small_or_shuffled(across), "token", "left_semi").distinct(), "rows")
-    sizes = rows.select("comp", "sk").distinct().groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(sizes, "comp").withColumn("block", F.expr("cast(pmod(xxhash64(sk), blocks) as int)"))
+    # blocks hold classes of about the same size, so that the bounds below are close
+    rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / np.log(1.12)).cast("int"))
+    sizes = rows.select("comp", "band", "sk").distinct().groupBy("comp", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    rows = rows.join(sizes, ["comp", "band"]).withColumn("block", F.expr("band * 1000000 + cast(pmod(xxhash64(sk), blocks) as int)"))
     matrix = rows.groupBy("token", F.col("comp").alias("g"), "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    sizes = matrix.groupBy("g", "block").agg(F.min("least").alias("least"), F.max("most").alias("most"))
+    matrix = matrix.select("token", "g", "block").join(sizes, ["g", "block"])
     fits = (F.col("comp") < F.col("g")) & (100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least"))
-    meets = rows.select("token", "sk", "comp", "n").join(matrix, "token").where(fits)
-    meets = stored(meets.select("g", "block", "sk").distinct(), "meets")
+    met = rows.select("token", "sk", "comp", "n").join(matrix, "token").where(fits)
+    met = met.groupBy("g", "block", "sk").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "least", "most")])
+    # Linked sets of n and m tokens share PERCENT * (n + m) / (100 + PERCENT) at least. Up to where the first of the two
+    # prefixes ends, what they share is in both prefixes, so among the c tokens met; the rest is no longer than what
+    # that set has after its prefix.
+    smallest, largest = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100)), F.least("most", F.floor(F.col("n") * 100 / PERCENT))
+    shared = F.ceil(PERCENT * (F.col("n") + smallest) / (100 + PERCENT))
+    after = F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.ceil(largest * PERCENT / 100)) - 1
+    meets = stored(met.where(F.col("c") >= shared - after).select("g", "block", "sk"), "meets")
 
     salts = meets.groupBy("g", "block").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
     members = rows.select(F.col("comp").alias("g"), "block", "sk").distinct().join(salts, ["g", "block"])
