@@ -11,12 +11,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscope.llm import bpe, group_matrix, line_spread, perplexity, positional_index
-from folioscope.llm.shared import new_path, small_or_shuffled
+from folioscope.llm.shared import new_path, small_or_shuffled, stored
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """The rows of docs whose id and text are not among those of ``gone`` (doc_id, text_hash); a null id equals a null id."""
-    gone = small_or_shuffled(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
+    gone = small_or_shuffled(stored(gone.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "gone"))
     same = docs["doc_id"].cast("bigint").eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"].cast("string")) == gone["_hash"])
     return docs.join(gone, same, "left_anti").select(*[docs[c] for c in docs.columns])
 
@@ -44,6 +44,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     keyed = docs.select(key.alias("doc_id"), docs["text"])
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     found = positional_index.contamination(keyed, benchmark).where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    found = stored(found, "contaminated")
     return docs.join(small_or_shuffled(found), key == F.col("_key"), "left_anti").select(*[docs[c] for c in docs.columns])
 
 
