@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WordHashes, mix, small_or_shuffled, space_words, stored, text_bytes
+from .shared import WordHashes, mix, small_or_shuffled, space_words, stored
 
 WORDS = 5
 #: Sets link from 100 * intersection >= PERCENT * union.
@@ -31,6 +31,8 @@ PERCENT = 75
 KEYS, LEADERS = 3, 8
 #: log2 of the bits that mark hashes of two or more classes; frequent tokens that are told apart; classes of a block.
 MARK_BITS, FREQUENT, BLOCK = 26, 1 << 18, 256
+#: Bytes of text whose sets a worker holds at a time, and tokens whose frequencies it counts together.
+GROUP, COUNTED = 4 << 20, 4_000_000
 #: Classes with one least hash, and queries of one block, that go to one task together.
 SPREAD = 2048
 
@@ -81,39 +83,50 @@ def least_overlap(n: int, percent: int = PERCENT) -> int:
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
-    """The set of each row's text, with its class key: (doc_id, key, tokens)."""
-    hashes = WordHashes()
+    """Row by row the set of the text, with its class key: (doc_id, key, tokens); in groups of some GROUP bytes of text."""
+    hashes = WordHashes(most=300_000)
+    group, size = [], 0
     for batch in batches:
-        yield [
-            (doc_id, set_key(tokens) if len(tokens) else None, tokens)
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(1)), strict=True)
-            for tokens in (shingles(space_words(text, lower=True), hashes),)
-        ]
+        for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+            tokens = shingles(space_words(raw, lower=True), hashes)
+            group.append((doc_id, set_key(tokens) if len(tokens) else None, tokens))
+            size += len(raw)
+            if size > GROUP:
+                yield group
+                group, size = [], 0
+    yield group
 
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row of each document, and one of each token (doc_id and n null) that is frequent among the classes of a batch."""
+    """A row of each document, and one of each token (doc_id and n null) that is frequent among some COUNTED tokens of classes."""
+    names = ["doc_id", "n", "sk", "keys", "token", "df"]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.int64(), pa.int64()]
+
+    def made(*columns) -> pa.RecordBatch:
+        n = max(len(c) for c in columns if c is not None)
+        return pa.RecordBatch.from_arrays([pa.nulls(n, k) if c is None else pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+
+    def frequent(parts: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, df = np.unique(np.concatenate(parts), return_counts=True)
+        often = np.flatnonzero(df > 3)
+        often = often[np.argsort(-df[often], kind="stable")[:20_000]]
+        return made(None, None, None, None, tokens[often].view(np.int64), df[often])
+
     seen: set[int] = set()
+    held, count = [], 0
     for rows in _sets(batches):
-        if len(seen) > 2_000_000:
+        if len(seen) > 500_000:
             seen.clear()
-        keys = [least_hashes(t) if len(t) else None for _, _, t in rows]
+        yield made([d for d, _, _ in rows], [len(t) for _, _, t in rows], [k for _, k, _ in rows], [least_hashes(t) if len(t) else None for _, _, t in rows], None, None)
         new = [t for _, key, t in rows if len(t) and key not in seen and not seen.add(key)]
-        tokens, df = np.unique(np.concatenate(new), return_counts=True) if new else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        often = np.flatnonzero(df > 3)
-        often = often[np.argsort(-df[often], kind="stable")[:20_000]]
-        none = [None] * len(often)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([d for d, _, _ in rows] + none, pa.int64()),
-                pa.array([len(t) for _, _, t in rows] + none, pa.int64()),
-                pa.array([k for _, k, _ in rows] + none, pa.int64()),
-                pa.array(keys + none, pa.list_(pa.int64())),
-                pa.array([None] * len(rows) + tokens[often].view(np.int64).tolist(), pa.int64()),
-                pa.array([None] * len(rows) + df[often].tolist(), pa.int64()),
-            ],
-            names=["doc_id", "n", "sk", "keys", "token", "df"],
-        )
+        held += new
+        count += sum(map(len, new))
+        if count > COUNTED:
+            yield frequent(held)
+            held, count = [], 0
+    if held:
+        yield frequent(held)
 
 
 def _marked(keys: DataFrame) -> np.ndarray:
@@ -209,7 +222,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
         often, weight, marks, spread = given.value
         seen: set[int] = set()
         for rows in _sets(batches):
-            if len(seen) > 2_000_000:
+            if len(seen) > 500_000:
                 seen.clear()
             out = []
             for _, sk, t in rows:
