@@ -101,8 +101,8 @@ def idf_pair_similarity(entities: DataFrame, frequency: DataFrame) -> DataFrame:
         "left_doc",
         "right_doc",
         "section",
-        F.round(score, 4).alias("idf_similarity"),
-        F.when(F.round(score, 4) == 0, "measured_no_overlap").otherwise("measured").alias("idf_status"),
+        F.round(score + 1e-9, 4).alias("idf_similarity"),  # a mean of rounded values may lie on a tie
+        F.when(F.round(score + 1e-9, 4) == 0, "measured_no_overlap").otherwise("measured").alias("idf_status"),
         F.round(weight, 4).alias("applicable_weight"),
         *[F.coalesce(F.col(f"{k}_{v}"), F.lit(0.0)).alias(f"{k}_{v}") for k in used for v in ("idf", "raw")],
         "shared_unique",

@@ -226,12 +226,12 @@ ORACLES = {
     "same_section_pairs": _W(_CANON, "select a.section || '__' || a.doc_id || '__' || b.doc_id pair_id, a.section, a.doc_id left_doc, b.doc_id right_doc from canon a join canon b on a.section = b.section and a.object_id < b.object_id"),
     "multiset_jaccard": _W(I.OVER, "select left_doc, right_doc, section, entity_kind, raw_value \"value\", 'measured' status from jac where entity_kind = 'text_segment'"),
     "idf_jaccard": _W(I.OVER, "select left_doc, right_doc, section, entity_kind, idf_value, raw_value, shared_unique from jac"),
-    "idf_pair_similarity": _W(I.SIMS, """select left_doc, right_doc, section, round(score, 4) idf_similarity, case when round(score, 4) = 0 then 'measured_no_overlap' else 'measured' end idf_status,
+    "idf_pair_similarity": _W(I.SIMS, """select left_doc, right_doc, section, round(score + 1e-9::double, 4) idf_similarity, case when round(score + 1e-9::double, 4) = 0 then 'measured_no_overlap' else 'measured' end idf_status,
   round(weight, 4) applicable_weight, text_segment_idf, text_segment_raw, text_word_shingle_idf, text_word_shingle_raw, shared_unique from sims"""),
     "top_shared": _W(I.SIMS, """select left_doc, right_doc, place, entity_kind, entity_hash, section_idf, left_n, right_n from (
   select left_doc, right_doc, row_number() over (partition by left_doc, right_doc order by section_idf desc, a.entity_kind, a.entity_hash) place, a.entity_kind, a.entity_hash, section_idf, a.n left_n, b.n right_n
   from sims join ent a on a.doc_id = left_doc join ent b on b.doc_id = right_doc and a.section = b.section and a.entity_kind = b.entity_kind and a.entity_hash = b.entity_hash
-  join freq on freq.section = a.section and freq.entity_kind = a.entity_kind and freq.entity_hash = a.entity_hash where round(score, 4) >= 0.5) where place <= 3"""),
+  join freq on freq.section = a.section and freq.entity_kind = a.entity_kind and freq.entity_hash = a.entity_hash where round(score + 1e-9::double, 4) >= 0.5) where place <= 3"""),
     "set_jaccard": _W(_CANON + """, ln as (select section, object_id, list(distinct sha1(n)) s from (select section, object_id, """ + I._NORM.format("t") + """ n from (select *, unnest(string_split(text, chr(10))) t from canon)) where n <> '' group by all)""",
         """select section, left_object, right_object, round(i / (len(ls) + len(rs) - i), 4) jaccard, round(i / len(ls), 4) left_coverage, round(i / len(rs), 4) right_coverage from (
   select a.section, a.object_id left_object, b.object_id right_object, a.s ls, b.s rs, len(list_intersect(a.s, b.s)) i from ln a join ln b on a.section = b.section and a.object_id < b.object_id)"""),

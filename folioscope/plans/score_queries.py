@@ -55,7 +55,7 @@ def detailed_score(spark, d):
     """On Jaccards rounded to 4 already, which is part of the score."""
     rows = _axes(spark, d)
     values = {"cosine": F.round("cosine", 4), **{k: F.round(f"j_{k}", 4) for k in KINDS}, "text": F.round("j_content", 4)}
-    return rows.select("region", "left", "right", F.round(W.fixed(W.DETAILED, values), 4).alias("score"))
+    return rows.select("region", "left", "right", F.round(W.fixed(W.DETAILED, values) + 1e-9, 4).alias("score"))
 
 
 def text_score(spark, d):
@@ -220,7 +220,7 @@ def _reach(kind: str, name: str) -> str:
 ORACLES = {
     "pair_score_fast": _W(_AX, "select region, \"left\", \"right\", round(cosine * 0.55::double + " + _SUMW({k: W.FAST[k] for k in KINDS}, "coalesce(j_{}, 0)") + ", 4) score from ax"),
     "signature_score": _W(_AX, "select region, \"left\", \"right\", round(coalesce((" + _SUMW(W.SIGNATURE, "coalesce(j_{}, 0)") + ") / nullif(" + _SUMW(W.SIGNATURE, "(j_{} is not null)::int") + ", 0), 0), 4) score, round(" + _SUMW(W.SIGNATURE, "(j_{} is not null)::int") + ", 4) applicable_weight from ax"),
-    "detailed_score": _W(_AX, "select region, \"left\", \"right\", round(round(cosine, 4) * 0.35::double + round(coalesce(j_page, 0), 4) * 0.20::double + round(coalesce(j_layout, 0), 4) * 0.15::double + round(coalesce(j_content, 0), 4) * 0.15::double + round(coalesce(j_content, 0), 4) * 0.15::double, 4) score from ax"),
+    "detailed_score": _W(_AX, "select region, \"left\", \"right\", round(round(cosine, 4) * 0.35::double + round(coalesce(j_page, 0), 4) * 0.20::double + round(coalesce(j_layout, 0), 4) * 0.15::double + round(coalesce(j_content, 0), 4) * 0.15::double + round(coalesce(j_content, 0), 4) * 0.15::double + 1e-9::double, 4) score from ax"),
     "text_score": _W(I.OVER, """select left_doc, right_doc, round((coalesce(s, 0) * 0.35::double + coalesce(w, 0) * 0.65::double) / ((s is not null)::int * 0.35::double + (w is not null)::int * 0.65::double) + 1e-9::double, 4) score, round((s is not null)::int * 0.35::double + (w is not null)::int * 0.65::double, 4) applicable_weight
 from (select left_doc, right_doc, max(raw_value) filter (entity_kind = 'text_segment') s, max(raw_value) filter (entity_kind = 'text_word_shingle') w from jac group by all)"""),
     "title_score": _W(P._PP, "select \"query\", neighbor, round(0.6::double * count_ratio + 0.3::double * count_composition + 0.1::double * exact::int + 1e-9::double, 4) title, round((0.6::double * count_ratio + 0.3::double * count_composition) / 0.9::double + 1e-9::double, 4) title_no_size from ps where \"query\" < neighbor"),
