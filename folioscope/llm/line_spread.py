@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import small_or_shuffled, stored
+
 #: Distinct sites from which a line counts as boilerplate.
 MIN_SITES = 8
 #: log2 of a sketch's registers, and the relative distance from the threshold (over 10 standard errors) counted exactly.
@@ -36,18 +38,19 @@ def spread(docs: DataFrame, site_col: str = "source", text_col: str = "text", mi
     n_sites is exact for lines near the threshold, else the sketch's estimate, rounded.
     """
     pairs = line_sites(docs, site_col, text_col)
-    sketched = (
+    sketched = stored(
         pairs.groupBy("line_hash")
         .agg(F.min("site").alias("least"), F.max("site").alias("most"), F.hll_sketch_agg("site", F.lit(LG_K)).alias("sketch"))
         .where("least <> most")  # on one site only: no need to estimate
-        .select("line_hash", F.hll_sketch_estimate("sketch").alias("estimate"))
+        .select("line_hash", F.hll_sketch_estimate("sketch").alias("estimate")),
+        "spread",
     )
     low, high = min_sites * (1 - NEAR), min_sites * (1 + NEAR)
     sure = sketched.where(F.col("estimate") > high).select("line_hash", F.col("estimate").cast("bigint").alias("n_sites"))
     near = sketched.where(F.col("estimate").between(low, high)).select("line_hash")
     exact = (
-        pairs.join(near, "line_hash", "left_semi")
-        .distinct()
+        pairs.distinct()  # a line that is everywhere is down to a row for each site and task before it is dealt out
+        .join(small_or_shuffled(near), "line_hash", "left_semi")
         .groupBy("line_hash")
         .agg(F.count("*").alias("n_sites"))
         .where(F.col("n_sites") >= min_sites)
@@ -64,7 +67,7 @@ def remove_boilerplate(
     lose its places too. Null texts stay null. Repeated rows are kept and treated alike; ``_removed`` and ``_lines``
     (the numbers of lines taken out and before) are added; an empty table gives an empty result.
     """
-    common = spread(docs, site_col, text_col, min_sites)
+    common = small_or_shuffled(stored(spread(docs, site_col, text_col, min_sites), "boilerplate"))
     lines = F.split(F.col("text"), "\n")
     keyed = docs.select(
         F.struct(*[docs[c] for c in docs.columns]).alias("doc"),
