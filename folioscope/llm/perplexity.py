@@ -23,9 +23,10 @@ from .shared import WordHashes, mix, space_words, stored, text_bytes
 ORDER = 4
 #: A character's code has 12 bits: code points below 0xE00 stand for themselves, others share the rest.
 BITS, BOUND, OWN = 12, 1, 0xE00
-#: Rejected from so many scaled median absolute deviations below and above the language's median log perplexity, and
-#: at least so many nats: a text that switches between languages lies up to 2 above, repetitive text lies below.
-LOWER, UPPER, LEAST_LOWER, LEAST_UPPER = 8.0, 8.0, 0.35, 2.2
+#: Rejected from so many scaled median absolute deviations below and above the language's median log perplexity.
+LOWER, UPPER = 8.0, 8.0
+#: Where fewer texts than MEASURED (or only equal scores) give no spread, the band reaches so many nats down and up.
+MEASURED, LEAST_LOWER, LEAST_UPPER = 30, 0.35, 2.2
 #: Distinct words gathered before their n-grams are counted; n-grams sent to the workers in one pass (12 bytes each).
 WORDS, PASS_GRAMS = 300_000, 4_000_000
 #: Characters that count as symbols.
@@ -263,18 +264,24 @@ def judge(scores: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Data
     """base_failed, log_perplexity and kept: inside the language's band around the median of documents that pass the rules."""
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
     rows = scores.withColumns({"base_failed": failed, "log_perplexity": -F.col("logp") / F.greatest("n_predicted", F.lit(1))})
-    passed = rows.where("not base_failed").select("lang", "log_perplexity")
+    # copies count once: else a large group of them would make the spread 0
+    passed = rows.where("not base_failed").groupBy("lang", "text_hash").agg(F.avg("log_perplexity").alias("log_perplexity"))
     medians = passed.groupBy("lang").agg(F.percentile_approx("log_perplexity", 0.5, 10000).alias("middle"))
     spreads = (
-        passed.join(medians, "lang")
+        passed.join(F.broadcast(medians), "lang")  # a row for each language
         .groupBy("lang")
-        .agg(F.first("middle").alias("middle"), (1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000)).alias("spread"))
-        .select(
-            "lang",
-            (F.col("middle") - F.greatest(lower * F.col("spread"), F.lit(LEAST_LOWER))).alias("low_band"),
-            (F.col("middle") + F.greatest(upper * F.col("spread"), F.lit(LEAST_UPPER))).alias("high_band"),
+        .agg(
+            F.first("middle").alias("middle"),
+            F.count("*").alias("texts"),
+            (1.4826 * F.percentile_approx(F.abs(F.col("log_perplexity") - F.col("middle")), 0.5, 10000)).alias("spread"),
         )
     )
+    measured = (F.col("texts") >= MEASURED) & (F.col("spread") > 0)
+    spreads = spreads.select(
+        "lang",
+        (F.col("middle") - F.when(measured, lower * F.col("spread")).otherwise(LEAST_LOWER)).alias("low_band"),
+        (F.col("middle") + F.when(measured, upper * F.col("spread")).otherwise(LEAST_UPPER)).alias("high_band"),
+    )
     inside = F.col("log_perplexity").between(F.col("low_band"), F.col("high_band"))
     return rows.join(spreads, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 

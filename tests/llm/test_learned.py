@@ -94,6 +94,19 @@ def test_probabilities_sum_to_one():
     assert sum(p("th" + c) for c in known) + (4096 - len(known)) * p("thΩ") == pytest.approx(1)
 
 
+def test_perplexity_alone_rejects(spark):
+    rng = np.random.default_rng(8)
+    words = ["harbour", "window", "morning", "garden", "letter", "station", "winter", "people", "silver", "market", "river", "candle"] * 3
+    prose = [(k, " ".join(rng.permutation(words + [str(rng.choice(words)) for _ in range(24)])), "en") for k in range(200)]
+    noise = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(60))
+    out = {r["doc_id"]: r for r in perplexity.quality(spark.createDataFrame([*prose, (900, noise, "en")], "doc_id bigint, text string, lang string")).collect()}
+    assert not out[900]["base_failed"] and not out[900]["kept"] and out[900]["log_perplexity"] > out[900]["high_band"]
+    assert sum(r["kept"] for r in out.values()) >= 195
+    mild = " ".join(rng.permutation(words + ["harbxur", "windqw", "mornzng", "gardxn"] * 8))  # within 2 nats, outside the measured spread
+    row = {r["doc_id"]: r for r in perplexity.quality(spark.createDataFrame([*prose, (901, mild, "en")], "doc_id bigint, text string, lang string")).collect()}[901]
+    assert not row["base_failed"] and not row["kept"] and row["log_perplexity"] < (row["low_band"] + row["high_band"]) / 2 + perplexity.LEAST_UPPER
+
+
 def test_spelled_keys():
     keys, starts = perplexity.spelled([b"ab", b"c"])
     assert list(starts) == [0, 3] and len(keys) == 5
