@@ -18,11 +18,14 @@ KINDS = ("page", "layout", "content")
 
 
 def _supplied(spark, d):
-    """Suppliers of a region as documents: their parts' brands, types and sizes as three kinds of entities."""
+    """Suppliers of a region as documents: their parts' brands, types and sizes as three kinds of entities.
+
+    Of all lines; the SQL of the scores has only those with l_linenumber = 1.
+    """
     nation = I.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
     supplier = I.table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("region", F.col("s_suppkey").alias("l_suppkey"))
     part = I.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
-    rows = I.table(spark, d, "lineitem").where("l_linenumber = 1").select("l_suppkey", "l_partkey").join(part, "l_partkey").join(supplier, "l_suppkey")
+    rows = I.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(part, "l_partkey").join(supplier, "l_suppkey")
     items = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("item")) for k, c in zip(KINDS, ("p_brand", "p_type", "p_size"), strict=True)])
     return rows.select("region", "l_suppkey", F.explode(items).alias("e")).groupBy("region", "l_suppkey", "e.kind", "e.item").agg(F.count("*").alias("n"))
 
