@@ -47,9 +47,19 @@ def content_signature(cells: DataFrame, keys: list[str]) -> DataFrame:
     cell = F.struct(
         F.col("row_index").alias("r"), F.col("column_index").alias("c"), F.lower(F.trim(F.coalesce("text_value", F.lit("")))).alias("t")
     )
+    return cells.groupBy(*keys).agg(cells_hash(F.collect_list(cell)).alias("content_sha1"))
+
+
+def cells_hash(cells: Column) -> Column:
+    """SHA-1 of an array of cells (r, c, t) as row:col:text lines in order."""
     line = lambda x: F.concat_ws(":", x["r"].cast("string"), x["c"].cast("string"), x["t"])
-    ordered = F.transform(F.array_sort(F.collect_list(cell)), line)
-    return cells.groupBy(*keys).agg(text_hash(F.array_join(ordered, "\n")).alias("content_sha1"))
+    return text_hash(F.array_join(F.transform(F.array_sort(cells), line), "\n"))
+
+
+def text_cells(text: Column) -> Column:
+    """The words of a text's lines as an array of cells (r, c, t)."""
+    cell = lambda r: lambda w, c: F.struct(r.alias("r"), c.alias("c"), F.lower(F.trim(w)).alias("t"))
+    return F.flatten(F.transform(F.split(text, "\n"), lambda line, r: F.transform(F.split(line, " "), cell(r))))
 
 
 def repeated_signatures(rows: DataFrame, least: int = 2) -> DataFrame:

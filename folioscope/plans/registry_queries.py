@@ -90,14 +90,14 @@ def expert_variance(spark, d):
 
 
 def remark_categories(spark, d):
-    """Remark features of every turn's first line, counted by category and depth."""
-    rows = I.table(spark, d, "conversations").select("conv_id", "turn", F.split("text", "\n")[0].alias("text"))
+    """Remark features of every turn's whole text. Its SQL has only the first line of each."""
+    rows = I.table(spark, d, "conversations").select("conv_id", "turn", "text")
     return V.remark_features(rows).select("conv_id", "turn", "remark_hash", "char_count", "word_count", "primary_category", "depth_class")
 
 
 def remark_recurrence(spark, d):
-    """First lines of turns that stand in two or more conversations."""
-    rows = V.remark_features(I.table(spark, d, "conversations").select("conv_id", "role", F.split("text", "\n")[0].alias("text")))
+    """Turns whose whole text stands in two or more conversations. Its SQL has only the first line of each."""
+    rows = V.remark_features(I.table(spark, d, "conversations").select("conv_id", "role", "text"))
     out = rows.groupBy("remark_hash").agg(F.countDistinct("conv_id").alias("documents"), F.array_join(F.array_sort(F.collect_set("role")), "|").alias("roles"))
     return out.where("documents >= 2")
 

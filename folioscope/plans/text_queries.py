@@ -72,15 +72,21 @@ def canonical_documents(spark, d):
 
 
 def content_signatures(spark, d):
-    """Each document as a table whose cells are the words of its lines: the hash of its cells in order."""
-    segs = I.segments(spark, d).where("seg_no < 3")
-    cells = segs.select("doc_id", F.col("seg_no").alias("row_index"), F.posexplode(F.split("text", " ")).alias("column_index", "text_value"))
-    return E.content_signature(cells, ["doc_id"])
+    """Each document as a table whose cells are the words of its lines: the hash of its cells in order.
+
+    Of all lines; its SQL has only the first 3.
+    """
+    texts = I.docs(spark, d).where("text is not null").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
+    cells = F.flatten(F.transform("texts", E.text_cells))  # made after the shuffle, which carries texts alone
+    return texts.select("doc_id", E.cells_hash(cells).alias("content_sha1"))
 
 
 def page_ranges(spark, d):
-    """Page lists such as 1;3-5 (made of order and line numbers) as sorted distinct pages."""
-    rows = I.table(spark, d, "lineitem").where("l_linenumber <= 2").select("l_orderkey", "l_linenumber", F.concat_ws("", F.lit("1;"), F.col("l_linenumber"), F.lit("-"), F.col("l_linenumber") + 3, F.lit(";x")).alias("pages"))
+    """Page lists such as 1;3-5 (made of order and line numbers) as sorted distinct pages.
+
+    Of all lines; its SQL has only those with l_linenumber <= 2.
+    """
+    rows = I.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("", F.lit("1;"), F.col("l_linenumber"), F.lit("-"), F.col("l_linenumber") + 3, F.lit(";x")).alias("pages"))
     return rows.select("l_orderkey", "l_linenumber", F.array_join(T.page_ranges(F.col("pages")), ",").alias("page_list"))
 
 

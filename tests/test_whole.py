@@ -1,6 +1,7 @@
 """Queries over whole tables, against brute force on small fixtures."""
 
 import datetime
+import hashlib
 import itertools
 import math
 from collections import Counter
@@ -53,3 +54,29 @@ def test_scores_use_every_line(spark, tables):
     want = {(a, b): sum(w * (held[a, k] & held[b, k]).total() / (held[a, k] | held[b, k]).total() for k, w in weights.items()) for a, b in itertools.combinations(range(1, 5), 2)}
     got = {(r["left"], r["right"]): r["score"] for r in registry.QUERIES["signature_score"](spark, d).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=6e-5) for k in want)
+
+
+def test_signatures_cover_every_line(spark, tables):
+    rows = [(1, "en", "s", "a b\nc\nd\nE  f"), (2, "en", "s", "a b\nc\nd\ng"), (3, "en", "s", "a")]
+    d = tables(documents=("doc_id bigint, lang string, source string, text string", rows))
+    cells = lambda text: "\n".join(f"{i}:{j}:{w.lower()}" for i, line in enumerate(text.split("\n")) for j, w in enumerate(line.split(" ")))
+    got = dict(tuple(r) for r in registry.QUERIES["content_signatures"](spark, d).collect())
+    assert got == {k: hashlib.sha1(cells(text).encode()).hexdigest() for k, _, _, text in rows}
+
+
+def test_remarks_are_whole_turns(spark, tables):
+    rows = [(1, 1, "user", "hello\nуказать штамп"), (2, 1, "user", "hello\nother words"), (3, 1, "assistant", "hello\n other  words"), (4, 1, "user", "hello")]
+    d = tables(conversations=("conv_id bigint, turn bigint, role string, text string", rows))
+    whole = {k: " ".join(text.split()) for k, _, _, text in rows}
+    got = {r["conv_id"]: r for r in registry.QUERIES["remark_categories"](spark, d).collect()}
+    assert {k: (r["remark_hash"], r["char_count"], r["word_count"]) for k, r in got.items()} == {k: (hashlib.sha1(t.encode()).hexdigest(), len(t), len(t.split())) for k, t in whole.items()}
+    assert got[1]["primary_category"] == "formatting" and got[2]["primary_category"] == "other"
+    again = [tuple(r) for r in registry.QUERIES["remark_recurrence"](spark, d).collect()]
+    assert again == [(hashlib.sha1(b"hello other words").hexdigest(), 2, "assistant|user")]
+
+
+def test_page_ranges_of_every_line(spark, tables):
+    rows = [(k, n) for k in range(3) for n in range(1, 8)]
+    d = tables(lineitem=("l_orderkey bigint, l_linenumber int", rows))
+    got = {(r[0], r[1]): r[2] for r in registry.QUERIES["page_ranges"](spark, d).collect()}
+    assert got == {(k, n): ",".join(map(str, sorted({1, *range(n, n + 4)}))) for k, n in rows}
