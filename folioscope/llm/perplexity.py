@@ -1,56 +1,60 @@
 """Quality rules: fixed text rules, and perplexity bands of a modified Kneser-Ney n-gram model for each language.
 
-The model's units are characters: a word is spelled between two word bounds, and each of its characters (and the
-closing bound) is predicted from up to ORDER - 1 preceding ones, back to the opening bound. Spark counts the n-grams of
-all documents. A document is scored by the model of the *other* half of the documents (halves by a hash of doc_id), so
-that it doesn't vouch for itself. All n-grams that will be looked up are known beforehand, since every document is
-counted: their interpolated log probabilities are joined together once, and reach the workers as sorted arrays of
-64-bit keys, in as many passes as the size of the arrays asks for.
+The model's units are characters, with one bound between two words: each character (and each bound after a word) is
+predicted from the ORDER - 1 units before it, across the bounds, so the order of the words counts as well as their
+spelling. Spark counts the n-grams of all documents. A document is scored by the model of the *other* half of the
+documents (halves by a hash of doc_id), so that it doesn't vouch for itself. All n-grams that will be looked up are
+known beforehand, since every document is counted: their interpolated log probabilities are joined together once, and
+reach the workers as sorted arrays of 64-bit keys, in as many passes as the size of the arrays asks for.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, mix, space_words, stored, text_bytes
+from .shared import WordHashes, drop_stored, lean, mix, space_words, stored, text_bytes
 
 ORDER = 4
-#: A character's code has 12 bits: code points below 0xE00 stand for themselves, others share the rest.
-BITS, BOUND, OWN = 12, 1, 0xE00
+#: A unit has 16 bits: code points of the basic plane stand for themselves; all others share its private-use area.
+BITS, BOUND, PRIVATE, PRIVATE_SIZE = 16, 0x20, 0xE000, 0x1900
 #: Rejected from so many scaled median absolute deviations below and above the language's median log perplexity.
-LOWER, UPPER = 8.0, 8.0
+LOWER, UPPER = 5.0, 6.0
 #: Where fewer texts than MEASURED (or only equal scores) give no spread, the band reaches so many nats down and up.
 MEASURED, LEAST_LOWER, LEAST_UPPER = 30, 0.35, 2.2
-#: Distinct words gathered before their n-grams are counted; n-grams sent to the workers in one pass (12 bytes each).
-WORDS, PASS_GRAMS = 300_000, 4_000_000
+#: Bytes of text worked on at once, n-grams a worker gathers before it passes them on, and n-grams of one scoring pass.
+GROUP, HELD, PASS_GRAMS = 1 << 20, 3_000_000, 4_000_000
 #: Characters that count as symbols.
 SYMBOLS = b"#*$%&|<>"
 
 _NOT_IN_WORDS = b" \t\n\v\f\r" + bytes(range(0x80, 0xC0))
+_MASK = {k: (1 << (BITS * k)) - 1 for k in range(ORDER)}
 
 
-def spelled(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of the longest n-gram of each predicted character of the words, and where each word's keys start."""
-    text = b" " + b" ".join(words) + b" "
-    points = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), np.uint32).astype(np.int64)
-    space = points == 0x20
-    codes = np.where(points < OWN, np.maximum(points, 0x20), OWN + points % (4096 - OWN))
-    codes[space] = BOUND
-    at = np.arange(len(codes))
-    opened = np.maximum.accumulate(np.where(space, at, 0))
-    since = at - np.concatenate([[0], opened[:-1]])  # symbols available before each, back to the bound that opens the word
+def spelled(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of the n-gram that ends at each predicted unit of the texts (lists of words), and how many each text has.
+
+    Before a text stand ORDER - 1 bounds; its words follow, each with a bound after it.
+    """
+    plain = [b" ".join(words).decode("utf-8", "replace") + " " for words in texts if words]
+    lengths = np.zeros(len(texts), np.int64)
+    lengths[[k for k, words in enumerate(texts) if words]] = list(map(len, plain))
+    lead = " " * (ORDER - 1)
+    points = np.frombuffer((lead + lead.join(plain)).encode("utf-32-le"), np.uint32)
+    codes = points.astype(np.uint64)
+    beyond = points > 0xFFFF
+    codes[beyond] = PRIVATE + points[beyond] % PRIVATE_SIZE
     keys = codes.copy()
     for j in range(1, ORDER):
-        back = np.zeros_like(codes)
-        back[j:] = codes[:-j]
-        keys |= np.where(since >= j, back << (BITS * j), 0)
-    return keys[1:], np.flatnonzero(space)[:-1]
+        keys[j:] |= codes[:-j] << np.uint64(BITS * j)
+    some = lengths[lengths > 0]
+    predicted = np.repeat(np.tile([False, True], len(some)), np.stack([np.full(len(some), ORDER - 1), some], 1).ravel())
+    return keys[: len(predicted)][predicted].view(np.int64), lengths
 
 
 def rules(text: bytes | None, words: list[bytes], hashes: WordHashes) -> tuple[int, int, int, int]:
@@ -89,39 +93,68 @@ def _slim(docs: DataFrame, id_col: str, text_col: str, lang_col: str) -> DataFra
     )
 
 
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches with some GROUP bytes of text each (a longer text alone)."""
+    for batch in batches:
+        sizes = np.cumsum([len(x) if x is not None else 0 for x in text_bytes(batch.column(batch.schema.names.index("text")))])
+        start = 0
+        while start < batch.num_rows:
+            before = sizes[start - 1] if start else 0
+            stop = max(int(np.searchsorted(sizes, before + GROUP, "right")), start + 1)
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
+def _by_model(langs: list[str], halves: list[int]) -> dict[tuple[str, int], list[int]]:
+    out: dict[tuple[str, int], list[int]] = {}
+    for k, model in enumerate(zip(langs, halves, strict=True)):
+        out.setdefault(model, []).append(k)
+    return out
+
+
+def _counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys and their counts, summed."""
+    if counts is None:
+        return np.unique(keys, return_counts=True)
+    order = np.argsort(keys, kind="stable")
+    keys, counts = keys[order], counts[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first)
+
+
 def count_grams(slim: DataFrame) -> DataFrame:
-    """lang, half, key, c: how often each longest n-gram stands in the documents of a language and half."""
+    """lang, half, key, c: how often each n-gram of full length stands in the documents of a language and half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[tuple[str, int], Counter] = {}
-
-        def counted(lang: str, half: int, words: Counter) -> pa.RecordBatch:
-            keys, starts = spelled(list(words))
-            weights = np.repeat(np.fromiter(words.values(), np.int64, len(words)), np.diff(np.append(starts, len(keys))))
-            order = np.argsort(keys, kind="stable")
-            keys, weights = keys[order], weights[order]
-            first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
-            n = len(first)
-            columns = [pa.array([lang] * n, pa.string()), pa.array([half] * n, pa.int32()), pa.array(keys[first]), pa.array(np.add.reduceat(weights, first))]
-            return pa.RecordBatch.from_arrays(columns, names=["lang", "half", "key", "c"])
-
-        for batch in batches:
-            texts, langs, halves = text_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
-            for text, lang, half in zip(texts, langs, halves, strict=True):
-                if words := space_words(text):
-                    counts = held.setdefault((lang, half), Counter())
-                    counts.update(words)
-                    if len(counts) > WORDS:
-                        yield counted(lang, half, held.pop((lang, half)))
-        for (lang, half), counts in held.items():
-            yield counted(lang, half, counts)
-
-    rows = slim.select("text", "lang", "half").mapInArrow(run, "lang string, half int, key bigint, c bigint")
-    return rows.groupBy("lang", "half", "key").agg(F.sum("c").alias("c"))
+        held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
+
+        def folded(model: tuple[str, int]) -> tuple[np.ndarray, np.ndarray]:
+            parts = held.pop(model)
+            return parts[0] if len(parts) == 1 else _counted(np.concatenate([k for k, _ in parts]), np.concatenate([c for _, c in parts]))
 
+        def rows(model: tuple[str, int], keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+            for k in range(0, len(keys), 500_000):
+                some, n = keys[k : k + 500_000], len(keys[k : k + 500_000])
+                columns = [pa.array([model[0]] * n, pa.string()), pa.array(np.full(n, model[1], np.int32)), pa.array(some), pa.array(counts[k : k + n])]
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "half", "key", "c"])
 
-def _order(key: Column) -> Column:
-    return 1 + sum([F.when(key >= 1 << (BITS * k), 1).otherwise(0) for k in range(1, ORDER)])
+        for batch in _groups(batches):
+            texts, langs, halves = text_bytes(batch.column(0)), batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            for model, which in _by_model(langs, halves).items():
+                keys, _ = spelled([space_words(texts[k]) for k in which])
+                if len(keys):
+                    held.setdefault(model, []).append(_counted(keys))
+            if sum(len(k) for parts in held.values() for k, _ in parts) > HELD:
+                for model in list(held):
+                    held[model] = [folded(model)]
+                if sum(len(k) for parts in held.values() for k, _ in parts) > HELD // 2:
+                    for model in list(held):
+                        yield from rows(model, *folded(model))
+        for model in list(held):
+            yield from rows(model, *folded(model))
+
+    rows = slim.select("text", "lang", "half").mapInArrow(lean(run), "lang string, half int, key bigint, c bigint")
+    return rows.groupBy("lang", "half", "key").agg(F.sum("c").alias("c"))
 
 
 def log_probabilities(grams: DataFrame) -> DataFrame:
@@ -130,20 +163,16 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
     ``grams`` is what count_grams() gives, and is read many times: store it first.
     """
     by = ["lang", "half"]
-    model = grams.select("lang", (1 - F.col("half")).alias("half"), "key", "c", _order(F.col("key")).alias("k"))
-    wanted = grams.select(*by, "key", _order(F.col("key")).alias("k"))
-
-    adjusted = {ORDER: model.where(f"k = {ORDER}").select(*by, "key", F.col("c").alias("a"))}
-    targets = {ORDER: wanted.where(f"k = {ORDER}").select(*by, "key")}
+    adjusted = {ORDER: grams.select("lang", (1 - F.col("half")).alias("half"), "key", F.col("c").alias("a"))}
+    targets = {ORDER: grams.select(*by, "key")}
     for k in range(ORDER - 1, 0, -1):
-        shorter = F.col("key").bitwiseAND(F.lit((1 << (BITS * k)) - 1)).alias("key")
-        # an n-gram's lower-order count is the number of different characters before it; there are none before a bound
-        continued = adjusted[k + 1].groupBy(*by, shorter).agg(F.count("*").alias("a"))
+        shorter = F.col("key").bitwiseAND(F.lit(_MASK[k])).alias("key")
+        # an n-gram's lower-order count is the number of different units before it
         # each order is written once, which keeps the plans of the next ones small
-        adjusted[k] = stored(continued.unionByName(model.where(f"k = {k}").select(*by, "key", F.col("c").alias("a"))), "counts")
-        targets[k] = stored(targets[k + 1].select(*by, shorter).unionByName(wanted.where(f"k = {k}").select(*by, "key")).distinct(), "targets")
+        adjusted[k] = stored(adjusted[k + 1].groupBy(*by, shorter).agg(F.count("*").alias("a")), "counts")
+        targets[k] = stored(targets[k + 1].select(*by, shorter).distinct(), "targets")
 
-    lower, results = None, []
+    lower = None
     for k in range(1, ORDER + 1):
         counts = adjusted[k]
         n = {j: F.sum(F.when(F.col("a") == j, 1).otherwise(0)).cast("double").alias(f"n{j}") for j in (1, 2, 3, 4)}
@@ -156,7 +185,7 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
             ],
         )
         contexts = (
-            counts.groupBy(*by, F.shiftright("key", BITS).alias("context"))
+            counts.groupBy(*by, F.shiftrightunsigned("key", BITS).alias("context"))
             .agg(
                 F.sum("a").cast("double").alias("total"),
                 F.count_if(F.col("a") == 1).alias("t1"),
@@ -166,100 +195,96 @@ def log_probabilities(grams: DataFrame) -> DataFrame:
             .join(F.broadcast(discount), by)  # a row for each language and half
             .select(*by, "context", "total", "d1", "d2", "d3", F.expr("(d1 * t1 + d2 * t2 + d3 * t3) / total").alias("left_over"))
         )
-        now = targets[k].join(counts, [*by, "key"], "left").withColumn("context", F.shiftright("key", BITS))
+        now = targets[k].join(counts, [*by, "key"], "left").withColumn("context", F.shiftrightunsigned("key", BITS))
         now = now.join(contexts, [*by, "context"], "left")
         if lower is None:
             now = now.withColumn("low", F.lit(1.0 / (1 << BITS)))
         else:
-            shorter = F.col("key").bitwiseAND(F.lit((1 << (BITS * (k - 1))) - 1))
+            shorter = F.col("key").bitwiseAND(F.lit(_MASK[k - 1]))
             now = now.withColumn("shorter", shorter).join(lower.select(*by, F.col("key").alias("shorter"), F.col("p").alias("low")), [*by, "shorter"])
         own = "case when a is null then 0 when a = 1 then a - d1 when a = 2 then a - d2 else a - d3 end / total"
-        lower = stored(now.select(*by, "key", F.expr(f"case when total is null then low else {own} + left_over * low end").alias("p")), "p")
-        # n-grams that start at a bound are looked up themselves, others only as the end of a longer one
-        kept = lower if k == ORDER else lower.join(wanted.where(f"k = {k}").select(*by, "key"), [*by, "key"], "left_semi")
-        results.append(kept.select(*by, "key", F.log("p").alias("logp")))
-    out = results[0]
-    for part in results[1:]:
-        out = out.unionByName(part)
-    return out
+        above = stored(now.select(*by, "key", F.expr(f"case when total is null then low else {own} + left_over * low end").alias("p")), "p")
+        drop_stored(*[x for x in (lower, counts, targets[k]) if x is not None and k < ORDER])
+        lower = above
+    return lower.select(*by, "key", F.log("p").cast("float").alias("logp"))
 
 
 SCORE_SCHEMA = (
-    "doc_id bigint, text string, text_hash bigint, lang string, half int, n_words bigint, word_chars bigint, n_symbols bigint,"
+    "doc_id bigint, text_hash bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint,"
     " n_dup_lines bigint, n_repeat_words bigint, logp double, n_predicted bigint"
 )
 
 
+def _arrays(part: DataFrame) -> dict[tuple[str, int], tuple[np.ndarray, np.ndarray]]:
+    """The sorted hash arrays of each language and half: keys, and their log probabilities."""
+    table = part.select("lang", "half", "key", "logp").toArrow().combine_chunks()
+    if not table.num_rows:
+        return {}
+    coded = table.column("lang").combine_chunks().dictionary_encode()
+    names, halves = coded.dictionary.to_pylist(), table.column("half").to_numpy()
+    keys, values = table.column("key").to_numpy(), table.column("logp").to_numpy()
+    model = coded.indices.to_numpy() * 2 + halves
+    out = {}
+    for m in np.unique(model):
+        own = np.flatnonzero(model == m)
+        own = own[np.argsort(keys[own])]
+        out[names[m // 2], int(m % 2)] = keys[own], values[own]
+    return out
+
+
 def score(slim: DataFrame, table: DataFrame) -> DataFrame:
-    """Rule counts, summed log probabilities and numbers of predicted characters of each document."""
+    """Rule counts, summed log probabilities and numbers of predicted units of each document, stored.
+
+    The arrays go to the workers PASS_GRAMS entries at a time. One pass is a map; further ones read the texts again
+    and add up their partial sums by document (rows that repeat id, text and language have equal sums).
+    """
     spark = slim.sparkSession
     passes = max(1, -(-table.count() // PASS_GRAMS))
-    out = slim
+    parts = []
     for k in range(passes):
         part = table if passes == 1 else table.where(F.pmod(F.xxhash64("key"), F.lit(passes)) == k)
-        arrow = part.toArrow()
-        models: dict[tuple[str, int], tuple[np.ndarray, np.ndarray]] = {}
-        frame = arrow.to_pandas()
-        for (lang, half), rows in frame.groupby(["lang", "half"], sort=False):
-            keys, values = rows["key"].to_numpy(), rows["logp"].to_numpy(np.float32)
-            order = np.argsort(keys)
-            models[lang, half] = keys[order], values[order]
-        out = out.mapInArrow(_scorer(spark.sparkContext.broadcast(models), k == 0, k == passes - 1), SCORE_SCHEMA)
-        if k % 4 == 3 and k < passes - 1:
-            out = stored(out, "scores")
-    return out
-
-
-def _scorer(models, first: bool, last: bool):
+        arrays = spark.sparkContext.broadcast(_arrays(part))
+        parts.append(stored(slim.mapInArrow(lean(_scorer(arrays, k == 0)), SCORE_SCHEMA), "scores"))
+        arrays.destroy()
+    if passes == 1:
+        return parts[0]
+    same = ["doc_id", "text_hash", "lang"]
+    sums = None
+    for part in parts[1:]:
+        sums = part.select(*same, "logp") if sums is None else sums.unionByName(part.select(*same, "logp"))
+    sums = sums.groupBy(*same).agg((F.avg("logp") * (passes - 1)).alias("more"))
+    first = parts[0].alias("first")
+    rest = sums.select(*[F.col(c).alias(f"{c}_") for c in same], "more")
+    joined = first.join(rest, F.col("doc_id").eqNullSafe(F.col("doc_id_")) & F.col("text_hash").eqNullSafe(F.col("text_hash_")) & (F.col("lang") == F.col("lang_")))
+    return joined.withColumn("logp", F.col("logp") + F.col("more")).select(*parts[0].columns)
+
+
+def _scorer(models: Broadcast, first: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes()
-        arrays = models.value
-        remembered: dict[tuple[str, int], dict[bytes, float]] = {}
-        for batch in batches:
+        hashes, arrays = WordHashes(most=200_000), models.value
+        for batch in _groups(batches):
             names = batch.schema.names
+            doc_ids, text_hashes, langs, halves = (batch.column(names.index(c)) for c in ("doc_id", "text_hash", "lang", "half"))
             texts = text_bytes(batch.column(names.index("text")))
-            langs = batch.column(names.index("lang")).to_pylist()
-            halves = batch.column(names.index("half")).to_pylist()
             split = [space_words(x) for x in texts]
-            fresh: dict[tuple[str, int], set[bytes]] = {}
-            for words, lang, half in zip(split, langs, halves, strict=True):
-                known = remembered.setdefault((lang, half), {})
-                fresh.setdefault((lang, half), set()).update(w for w in set(words) if w not in known)
-            for model, words in fresh.items():
-                if words:
-                    if len(remembered[model]) > 500_000:
-                        remembered[model].clear()
-                        words = {w for ws, lang, half in zip(split, langs, halves, strict=True) if (lang, half) == model for w in ws}
-                    remembered[model].update(_word_scores(list(words), arrays.get(model)))
-            logp = [sum(map(remembered[lang, half].__getitem__, ws)) for ws, lang, half in zip(split, langs, halves, strict=True)]
-            if first:
-                counts = [rules(x, ws, hashes) for x, ws in zip(texts, split, strict=True)]
-                numbers = [pa.array([len(ws) for ws in split], pa.int64())]
-                numbers += [pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]
-                predicted = pa.array([c[0] + len(ws) for c, ws in zip(counts, split, strict=True)], pa.int64())
-            else:
-                numbers = [batch.column(names.index(c)) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-                predicted = batch.column(names.index("n_predicted"))
-                logp = [a + b for a, b in zip(batch.column(names.index("logp")).to_pylist(), logp, strict=True)]
-            text = pa.nulls(batch.num_rows, pa.string()) if last else batch.column(names.index("text"))
-            columns = [batch.column(names.index("doc_id")), text, batch.column(names.index("text_hash")), batch.column(names.index("lang")), batch.column(names.index("half"))]
-            columns += [*numbers, pa.array(logp, pa.float64()), predicted]
+            logp, predicted = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            for model, which in _by_model(langs.to_pylist(), halves.to_pylist()).items():
+                keys, lengths = spelled([split[k] for k in which])
+                predicted[which] = lengths
+                if len(keys) and model in arrays:
+                    known, values = arrays[model]
+                    at = np.searchsorted(known, keys)
+                    at[at == len(known)] = 0
+                    found = np.where(known[at] == keys, values[at], np.float32(0)).astype(np.float64)
+                    logp[which] = np.bincount(np.repeat(np.arange(len(which)), lengths), found, len(which))
+            counts = [rules(x, ws, hashes) for x, ws in zip(texts, split, strict=True)] if first else [(0, 0, 0, 0)] * len(texts)
+            numbers = [pa.array([len(ws) for ws in split], pa.int64()), *[pa.array([c[i] for c in counts], pa.int64()) for i in range(4)]]
+            columns = [doc_ids, text_hashes, langs, *numbers, pa.array(logp), pa.array(predicted)]
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in SCORE_SCHEMA.split(",")])
 
     return run
 
 
-def _word_scores(words: list[bytes], model: tuple[np.ndarray, np.ndarray] | None) -> dict[bytes, float]:
-    """The summed log probabilities of each word's characters, as far as this pass holds their n-grams."""
-    if model is None or not len(model[0]):
-        return dict.fromkeys(words, 0.0)
-    keys, starts = spelled(words)
-    at = np.searchsorted(model[0], keys)
-    at[at == len(model[0])] = 0
-    values = np.where(model[0][at] == keys, model[1][at], 0.0).astype(np.float64)
-    return dict(zip(words, np.add.reduceat(values, starts).tolist(), strict=True))
-
-
 def judge(scores: DataFrame, lower: float = LOWER, upper: float = UPPER) -> DataFrame:
     """base_failed, log_perplexity and kept: inside the language's band around the median of documents that pass the rules."""
     failed = (F.col("n_words") < 50) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 50)
@@ -295,8 +320,9 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     """
     slim = _slim(docs, id_col, text_col, lang_col)
     grams = stored(count_grams(slim), "grams")
-    table = stored(log_probabilities(grams), "logp")
-    scores = stored(score(slim, table).drop("text"), "scores")
+    table = log_probabilities(grams)
+    scores = score(slim, table)
+    drop_stored(grams, table)
     return judge(scores).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
         "log_perplexity", "low_band", "high_band", *["text_hash"] * with_hash,

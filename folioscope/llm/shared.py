@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import functools
+import gc
 import tempfile
 import uuid
 import weakref
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -55,6 +59,22 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_stored(*frames: DataFrame) -> None:
+    """Delete the files of frames that stored() gave, once nothing that is still to run reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            own = [p for p in _written.get(spark, ()) if path.endswith(p.partition(":")[2].lstrip("/") or p)]
+            if own:
+                _delete(spark, own[0])
+                _written[spark].remove(own[0])
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
     """df, marked for broadcast where it has at most ``most`` rows; else as it is, for Spark to shuffle."""
     return F.broadcast(df) if df.limit(most + 1).count() <= most else df
@@ -62,10 +82,8 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 
 def release(spark: SparkSession) -> None:
     """Delete what stored() has written so far. Call it only when no DataFrame that reads it is still to be run."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     for path in _written.pop(spark, []):
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(conf).delete(p, True)
+        _delete(spark, path)
 
 
 def _quiet_release(ref) -> None:
@@ -77,6 +95,24 @@ def _quiet_release(ref) -> None:
         pass
 
 
+def lean(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow: a worker that has ended a task gives its memory back before it waits for the next one."""
+
+    @functools.wraps(run)
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            except (OSError, AttributeError):  # another C library
+                pass
+
+    return wrapped
+
+
 def alnum_words(text: bytes | None) -> list[bytes]:
     """Words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ of the text with A-Z lower-cased; none for null."""
     return text.translate(ALNUM_TABLE).split() if text else []

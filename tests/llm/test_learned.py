@@ -37,18 +37,18 @@ def test_rules(spark, odd_docs, no_docs):
     assert perplexity.quality(no_docs).count() == 0
 
 
+def brute_keys(text):
+    """The n-grams of a text: each character of its words and the bound after each, after three units before."""
+    words = SPACE.findall(text or "")
+    s = "   " + " ".join(words) + " "
+    return [s[t - 3 : t + 1] for t in range(3, len(s))] if words else []
+
+
 def brute_model(texts, order=4):
-    """Interpolated modified Kneser-Ney over spelled words, straight from the definition."""
-    grams = Counter()
-    for text in texts:
-        for w in SPACE.findall(text or ""):
-            s = " " + w + " "
-            for t in range(1, len(s)):
-                grams[s[max(0, t - order + 1) : t + 1]] += 1
-    a = {order: Counter({g: c for g, c in grams.items() if len(g) == order})}
+    """Interpolated modified Kneser-Ney, straight from the definition."""
+    a = {order: Counter(g for text in texts for g in brute_keys(text))}
     for k in range(order - 1, 0, -1):
         a[k] = Counter(g[1:] for g in a[k + 1])
-        a[k].update({g: c for g, c in grams.items() if len(g) == k})
     d, stats = {}, {}
     for k in range(1, order + 1):
         n = Counter(a[k].values())
@@ -62,7 +62,7 @@ def brute_model(texts, order=4):
 
     def p(g):
         k = len(g)
-        low = 1 / 4096 if k == 1 else p(g[1:])
+        low = 1 / 65536 if k == 1 else p(g[1:])
         if g[:-1] not in stats[k]:
             return low
         total, *t = stats[k][g[:-1]]
@@ -74,42 +74,62 @@ def brute_model(texts, order=4):
 
 def test_perplexity_is_the_models(spark, monkeypatch):
     rng = np.random.default_rng(2)
-    rows = [(k, " ".join(rng.choice(["the", "then", "three", "hat", "that", "äther", "rat", "at"], 40)), "en" if k % 4 else None) for k in range(30)]
+    rows = [(k, " ".join(rng.choice(["the", "then", "three", "hat", "that", "äther", "日本語", "한국말", "at"], 40)), "en" if k % 4 else None) for k in range(30)]
+    rows += [(3, rows[3][1], "en"), (40, None, "en"), (41, "", None), (None, "the hat", "en"), (None, None, None)]
     df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
-    halves = {r["doc_id"]: (r["lang"], r["half"], r["text"]) for r in perplexity._slim(df, "doc_id", "text", "lang").collect()}
-    models = {(lang, half): brute_model([t for g, h, t in halves.values() if g == lang and h != half]) for lang in ("", "en") for half in (0, 1)}
+    texts = [(r["lang"], r["half"], r["text"]) for r in perplexity._slim(df, "doc_id", "text", "lang").collect()]
+    models = {(lang, half): brute_model([t for g, h, t in texts if g == lang and h != half]) for lang in ("", "en") for half in (0, 1)}
+    halves = {r["doc_id"]: (r["lang"], r["half"], r["text"]) for r in perplexity._slim(df, "doc_id", "text", "lang").collect() if r["doc_id"] is not None}
     out = {r["doc_id"]: r["log_perplexity"] for r in perplexity.quality(df).collect()}
     monkeypatch.setattr(perplexity, "PASS_GRAMS", 60)
-    passes = {r["doc_id"]: r["log_perplexity"] for r in perplexity.quality(df).collect()}
+    monkeypatch.setattr(perplexity, "GROUP", 300)
+    monkeypatch.setattr(perplexity, "HELD", 100)
+    again = perplexity.quality(df).collect()
+    passes = {r["doc_id"]: r["log_perplexity"] for r in again}
+    assert len(again) == len(rows)
     for k, (lang, half, text) in halves.items():
-        logp = [math.log(models[lang, half](s[max(0, t - 3) : t + 1])) for w in text.split() for s in (f" {w} ",) for t in range(1, len(s))]
-        assert out[k] == pytest.approx(-sum(logp) / len(logp), abs=1e-4)
+        logp = [math.log(models[lang, half](g)) for g in brute_keys(text)]
+        assert out[k] == pytest.approx(-sum(logp) / max(len(logp), 1), abs=1e-4)
         assert passes[k] == pytest.approx(out[k], abs=1e-6)
 
 
 def test_probabilities_sum_to_one():
     p = brute_model(["the cat sat", "the hat", "a bat at that"])
     known = "abcdefghijklmnopqrstuvwxyz "
-    # the model's alphabet has 4096 codes, of which those never seen are equally likely
-    assert sum(p("th" + c) for c in known) + (4096 - len(known)) * p("thΩ") == pytest.approx(1)
+    # the model's alphabet has 65536 units, of which those never seen are equally likely
+    assert sum(p(" th" + c) for c in known) + (65536 - len(known)) * p(" thΩ") == pytest.approx(1)
 
 
-def test_perplexity_alone_rejects(spark):
+def test_each_band_rejects(spark):
+    """Of texts that pass the rules, the bands alone reject noise, words run together at random, and over-regular text."""
     rng = np.random.default_rng(8)
-    words = ["harbour", "window", "morning", "garden", "letter", "station", "winter", "people", "silver", "market", "river", "candle"] * 3
-    prose = [(k, " ".join(rng.permutation(words + [str(rng.choice(words)) for _ in range(24)])), "en") for k in range(200)]
+    nouns = [a + b for a in ("harbour", "window", "morning", "garden", "letter") for b in ("side", "light", "keeper", "house", "walk")]
+    sentence = lambda: " ".join(rng.permutation([str(rng.choice(nouns)) for _ in range(4)] + ["the", "of", "opens"]))
+    name = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 7))
+    prose = [(k, " ".join(f"{sentence()} {name()}" for _ in range(12)), "en") for k in range(300)]
+    shuffled = " ".join("".join(rng.permutation(list(w))) for w in prose[0][1].split())
     noise = " ".join("".join(rng.choice(list("bcdfghjklmnpqrstvwxz"), 6)) for _ in range(60))
-    out = {r["doc_id"]: r for r in perplexity.quality(spark.createDataFrame([*prose, (900, noise, "en")], "doc_id bigint, text string, lang string")).collect()}
-    assert not out[900]["base_failed"] and not out[900]["kept"] and out[900]["log_perplexity"] > out[900]["high_band"]
-    assert sum(r["kept"] for r in out.values()) >= 195
-    mild = " ".join(rng.permutation(words + ["harbxur", "windqw", "mornzng", "gardxn"] * 8))  # within 2 nats, outside the measured spread
-    row = {r["doc_id"]: r for r in perplexity.quality(spark.createDataFrame([*prose, (901, mild, "en")], "doc_id bigint, text string, lang string")).collect()}[901]
-    assert not row["base_failed"] and not row["kept"] and row["log_perplexity"] < (row["low_band"] + row["high_band"]) / 2 + perplexity.LEAST_UPPER
+    regular = " ".join(sentence() for _ in range(12))  # not one unexpected word
+    odd = [(900, noise, "en"), (901, shuffled, "en"), (902, regular, "en")]
+    out = {r["doc_id"]: r for r in perplexity.quality(spark.createDataFrame([*prose, *odd], "doc_id bigint, text string, lang string")).collect()}
+    assert all(not out[k]["base_failed"] and not out[k]["kept"] for k in (900, 901, 902))
+    assert out[900]["log_perplexity"] > out[900]["high_band"] and out[901]["log_perplexity"] > out[901]["high_band"]
+    assert out[902]["log_perplexity"] < out[902]["low_band"]
+    assert sum(out[k]["kept"] for k, _, _ in prose if not out[k]["base_failed"]) >= 0.97 * sum(not out[k]["base_failed"] for k, _, _ in prose) > 100
+
+
+def test_word_order_counts():
+    forward, _ = perplexity.spelled([b"one two three".split()])
+    backward, _ = perplexity.spelled([b"three two one".split()])
+    assert sorted(forward) != sorted(backward)
 
 
 def test_spelled_keys():
-    keys, starts = perplexity.spelled([b"ab", b"c"])
-    assert list(starts) == [0, 3] and len(keys) == 5
+    keys, lengths = perplexity.spelled([[b"ab", b"c"], [], ["𝒳日".encode()]])
+    assert list(lengths) == [5, 0, 3] and len(keys) == 8
+    shown = ["".join(chr(int(k) >> s & 0xFFFF) for s in (48, 32, 16, 0)) for k in keys.view(np.uint64)[:5]]
+    assert shown == ["   a", "  ab", " ab ", "ab c", "b c "]
+    assert 0xE000 <= int(keys[5]) & 0xFFFF < 0xF900 and int(keys[6]) & 0xFFFF == ord("日")
     assert perplexity.rules(b"a b c a b c", [b"a", b"b", b"c"] * 2, WordHashes())[3] == 6
 
 
