@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import stored
+from .shared import drop_stored, stored
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -21,6 +21,8 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
         nearer = labels.join(seen, "node").select("node", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         above = labels.select(F.col("node").alias("comp"), F.col("comp").alias("up"))
         new = stored(nearer.join(above, "comp").select("node", F.least("comp", "up").alias("comp"), "old"), name)
+        drop_stored(labels)
         if new.where("comp <> old").isEmpty():
+            drop_stored(both)
             return new.select("node", "comp")
         labels = new.select("node", "comp")

@@ -1,13 +1,16 @@
 """Exact Jaccard join of documents by word shingles, with a token-group matrix.
 
 1. Documents with equal shingle sets form a class; everything below is about classes.
-2. Classes that share a least hash are compared with a few leaders: verified links merge most near copies into groups.
-3. The token-group matrix holds, for each group (cut into blocks), the union of its members' prefix tokens: the rarest
-   tokens, of which two linked sets share at least one. A query class meets only the groups of other components whose
-   row has one of its own prefix tokens and whose sizes fit; in the group, its overlap with the group's token union
-   bounds its overlap with every member, and only if that bound suffices the group is opened and members compared.
-4. Links found there merge components. Pairs inside a component need no comparison, so no link between components is
-   lost and a large group of copies is never expanded into pairs.
+2. Classes that share a least hash are compared with a few leaders: verified links merge most near copies.
+3. Classes are partitioned into groups: linked ones by component; the others by the token that most classes share among
+   their prefix tokens (the rarest tokens of a set, of which two linked sets share at least one), so that classes with a
+   common passage stand together. Groups are cut into blocks of bounded size and of sets of about one size.
+4. The token-group matrix holds, for each block, the union of its members' prefix tokens. A query class meets only the
+   blocks whose row has one of its own prefix tokens and whose sizes fit, and the number of tokens met bounds its overlap
+   with every member. Blocks that qualify are opened: the overlap with the union of their whole sets is bounded once
+   more, then the overlaps with all members are counted at once over the block's tokens.
+5. Links found there merge components. Pairs inside a component need no comparison, so no link between components is
+   lost and a large group of copies is never expanded into pairs; a token that many classes share has a row a block.
 """
 
 from __future__ import annotations
@@ -22,15 +25,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WordHashes, mix, small_or_shuffled, space_words, stored
+from .shared import WordHashes, drop_stored, lean, mix, small_or_shuffled, space_words, stored
 
 WORDS = 5
 #: Sets link from 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Least hashes of a set by as many orders; leaders a class is compared with at most in step 2.
 KEYS, LEADERS = 3, 8
-#: log2 of the bits that mark hashes of two or more classes; frequent tokens that are told apart; classes of a block.
-MARK_BITS, FREQUENT, BLOCK = 26, 1 << 18, 256
+#: log2 of the bits that mark hashes of two or more classes; frequent tokens that are told apart.
+MARK_BITS, FREQUENT = 26, 1 << 18
+#: Classes with a prefix token that at least FAMILY classes share are grouped by it; classes and tokens of a block at most.
+FAMILY, BLOCK, BLOCK_TOKENS = 16, 4096, 1 << 20
+#: Sizes of the sets of a block differ by less than this factor.
+BAND = 1.12
 #: Bytes of text whose sets a worker holds at a time, and tokens whose frequencies it counts together.
 GROUP, COUNTED = 4 << 20, 4_000_000
 #: Classes with one least hash, and queries of one block, that go to one task together.
@@ -167,35 +174,60 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
+class _Block:
+    """The members of a block, with an index of their tokens."""
+
+    def __init__(self, members: list[tuple[int, np.ndarray]], linked: bool):
+        self.keys = np.array([sk for sk, _ in members], np.int64)
+        self.sizes = np.array([len(t) for _, t in members], np.int64)
+        tokens, owners = np.concatenate([t for _, t in members]), np.repeat(np.arange(len(members)), self.sizes)
+        order = np.argsort(tokens, kind="stable")
+        self.tokens, self.owners = tokens[order], owners[order]
+        #: Members with one label are known to be connected.
+        self.labels = np.zeros(len(members), np.int64) if linked else np.arange(len(members))
+
+    def partners(self, sk: int, tokens: np.ndarray) -> list[int]:
+        """One member of each label that the set links with; these labels become one."""
+        first, last = np.searchsorted(self.tokens, tokens, "left"), np.searchsorted(self.tokens, tokens, "right")
+        held = last - first
+        if int((held > 0).sum()) < least_overlap(len(tokens)):  # the union holds too few of its tokens
+            return []
+        first, held = first[held > 0], held[held > 0]
+        at = np.repeat(first - np.cumsum(held) + held, held) + np.arange(held.sum())
+        common = np.bincount(self.owners[at], minlength=len(self.keys))
+        hit = np.flatnonzero((100 * common >= PERCENT * (len(tokens) + self.sizes - common)) & (self.keys != sk))
+        if not len(hit):
+            return []
+        labels, one = np.unique(self.labels[hit], return_index=True)
+        self.labels[np.isin(self.labels, labels)] = labels[0]
+        return self.keys[hit[one]].tolist()
+
+
+#: Kinds of rows that go to a block.
+LINKED, MEMBER, QUERY = 0, 1, 2
+
+
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block (rows sorted: members, then queries), the links of queries with members."""
-    run, members, union, last = None, [], None, None
+    """Of each block (rows sorted: members, then queries), links of queries with members that connect all they link with."""
+    run, members, block, last = None, [], None, None
     for batch in batches:
         a, b = [], []
         columns = (batch.column(k).to_pylist() for k in range(6))
-        for comp, block, salt, query, sk, blob in zip(*columns, strict=True):
-            if (comp, block, salt) != run:
-                run, members, union, last = (comp, block, salt), [], None, None
-            if (query, sk) == last:
+        for g, number, salt, kind, sk, blob in zip(*columns, strict=True):
+            if (g, number, salt) != run:
+                run, members, block, last = (g, number, salt), [], None, None
+            if (kind, sk) == last:
                 continue
-            last, tokens = (query, sk), np.frombuffer(blob, np.uint64)
-            if not query:
+            last, tokens = (kind, sk), np.frombuffer(blob, np.uint64)
+            if kind != QUERY:
                 members.append((sk, tokens))
-                continue
-            if not members:
-                continue
-            if union is None:
-                union = np.unique(np.concatenate([t for _, t in members]))
-            at = np.searchsorted(union, tokens)
-            at[at == len(union)] = 0
-            if int((union[at] == tokens).sum()) < least_overlap(len(tokens)):
-                continue
-            for own, held in members:
-                if linked(held, tokens):  # one link joins the components
-                    a.append(comp)
-                    b.append(sk)
-                    break
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["comp", "sk"])
+                linked_group = kind == LINKED
+            elif members:
+                block = block or _Block(members, linked_group)
+                found = block.partners(sk, tokens)
+                a += found
+                b += [sk] * len(found)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
 def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -204,7 +236,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     sc = spark.sparkContext
     slim = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     profile_schema = "doc_id bigint, n bigint, sk bigint, keys array<bigint>, token bigint, df bigint"
-    profiles = stored(slim.mapInArrow(_profiles, profile_schema), "profiles")
+    profiles = stored(slim.mapInArrow(lean(_profiles), profile_schema), "profiles")
     documents = profiles.where("n is not null").select("doc_id", "n", "sk", "keys")
     classes = documents.where("sk is not null").groupBy("sk").agg(F.min("n").alias("n"), F.min("keys").alias("keys"), F.min("doc_id").alias("rep"))
 
@@ -214,12 +246,12 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     shared_by = stored(
         classes.select("sk", F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("c"), F.min("sk").alias("leader")).where("c > 1"), "keys"
     )
-    hot = shared_by.where(f"c > {2 * SPREAD}").orderBy(F.desc("c"), "key").limit(1 << 16).collect()
-    given = sc.broadcast((tokens[by_token], df[by_token], _marked(shared_by), {r["key"]: (-(-r["c"] // SPREAD), r["leader"]) for r in hot}))
+    hot = shared_by.where(f"c > {2 * SPREAD}").select("key", F.ceil(F.col("c") / SPREAD).cast("int").alias("salts"), "leader")
+    given = sc.broadcast((tokens[by_token], df[by_token], _marked(shared_by)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each class: its prefix (rarest tokens first) and, where it shares a least hash, its runs and its set."""
-        often, weight, marks, spread = given.value
+        """Of each class: its prefix (rarest tokens first) and, where it shares least hashes, these and its set."""
+        often, weight, marks = given.value
         seen: set[int] = set()
         for rows in _sets(batches):
             if len(seen) > 500_000:
@@ -229,58 +261,76 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 if not len(t) or sk in seen:
                     continue
                 seen.add(sk)
-                runs = []
-                for key in set(least_hashes(t)):
-                    if _is_marked(marks, key):
-                        salts, leader = spread.get(key, (1, None))
-                        runs += [(key, s) for s in (range(salts) if sk == leader else (sk % salts,))]
+                runs = [key for key in set(least_hashes(t)) if _is_marked(marks, key)]
                 at = np.searchsorted(often, t)
                 at[at == len(often)] = 0
                 common = np.where(often[at] == t, weight[at], 0) if len(often) else np.zeros(len(t), np.int64)
                 first = len(t) - least_overlap(len(t)) + 1
                 prefix = t[np.argsort(common, kind="stable")[:first]]
-                out.append((sk, len(t), prefix.view(np.int64), [{"key": k, "salt": s} for k, s in runs], t.tobytes() if runs else None))
+                out.append((sk, len(t), prefix.view(np.int64), runs, t.tobytes() if runs else None))
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([("key", pa.int64()), ("salt", pa.int32())])), pa.binary()]
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["sk", "n", "prefix", "runs", "tokens"])
 
-    emit_schema = "sk bigint, n bigint, prefix array<bigint>, runs array<struct<key:bigint,salt:int>>, tokens binary"
-    emitted = stored(slim.mapInArrow(emit, emit_schema), "prefixes")
+    emit_schema = "sk bigint, n bigint, prefix array<bigint>, runs array<bigint>, tokens binary"
+    emitted = stored(slim.mapInArrow(lean(emit), emit_schema), "prefixes")
+    given.destroy()
 
-    in_runs = emitted.where("size(runs) > 0").select(F.explode("runs").alias("r"), "sk", "tokens").select("r.key", "r.salt", "sk", "tokens")
-    first_links = stored(in_runs.repartition("key", "salt").sortWithinPartitions("key", "salt", "sk").mapInArrow(_run_links, "a bigint, b bigint"), "links")
+    # a hash that many classes share is dealt out to several runs, each with the same leader
+    in_runs = emitted.where("size(runs) > 0").select(F.explode("runs").alias("key"), "sk", "tokens").join(small_or_shuffled(hot), "key", "left")
+    everywhere = F.when(F.col("sk") == F.col("leader"), F.sequence(F.lit(0), F.col("salts") - 1))
+    one = F.array(F.coalesce(F.pmod("sk", "salts"), F.lit(0)).cast("int"))
+    in_runs = in_runs.select("key", F.explode(F.coalesce(everywhere, one)).alias("salt"), "sk", "tokens")
+    first_links = stored(in_runs.repartition("key", "salt").sortWithinPartitions("key", "salt", "sk").mapInArrow(lean(_run_links), "a bigint, b bigint"), "links")
     groups = components(first_links, "groups")
 
-    # the token-group matrix: prefix tokens that stand in two or more components
+    # prefix tokens that stand in two or more components, and how many classes share each
     placed = emitted.select("sk", "n", "prefix").join(groups, F.col("sk") == F.col("node"), "left")
-    placed = placed.select("sk", "n", F.coalesce("comp", "sk").alias("comp"), F.explode("prefix").alias("token"))
-    across = stored(
-        placed.groupBy("token").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("token"), "across"
+    placed = placed.select("sk", "n", "comp", F.explode("prefix").alias("token"))
+    own = F.coalesce("comp", "sk")
+    across = placed.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("df")).where("lo < hi")
+    across = stored(across.select("token", "df"), "across")
+    tokens_across = rows = stored(placed.join(small_or_shuffled(across), "token").distinct(), "rows")
+    drop_stored(emitted, across, first_links, shared_by)
+    # groups and blocks
+    family = rows.where("comp is null").groupBy("sk").agg(F.max(F.struct("df", "token")).alias("m")).where(F.col("m.df") >= FAMILY)
+    rows = rows.join(family.select("sk", F.xxhash64("m.token").alias("family")), "sk", "left")
+    rows = rows.select(
+        "token", "sk", "n", F.coalesce("comp", "family", "sk").alias("g"), F.col("comp").isNotNull().alias("linked"),
+        F.floor(F.log(F.col("n")) / np.log(BAND)).cast("int").alias("band"),
     )
-    rows = stored(placed.join(small_or_shuffled(across), "token", "left_semi").distinct(), "rows")
-    # blocks hold classes of about the same size, so that the bounds below are close
-    rows = rows.withColumn("band", F.floor(F.log(F.col("n")) / np.log(1.12)).cast("int"))
-    sizes = rows.select("comp", "band", "sk").distinct().groupBy("comp", "band").agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
-    rows = rows.join(sizes, ["comp", "band"]).withColumn("block", F.expr("band * 1000000 + cast(pmod(xxhash64(sk), blocks) as int)"))
-    matrix = rows.groupBy("token", F.col("comp").alias("g"), "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    rows = stored(rows, "grouped")
+    drop_stored(tokens_across)
+    holds = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_TOKENS) / F.pow(F.lit(BAND), F.col("band") + 1))))
+    cut = rows.select("g", "band", "sk").distinct().groupBy("g", "band").agg(F.ceil(F.count("*") / holds).cast("int").alias("blocks")).where("blocks > 1")
+    rows = rows.join(small_or_shuffled(stored(cut, "cut")), ["g", "band"], "left")
+    rows = rows.withColumn("block", F.expr("shiftleft(cast(band as bigint), 32) + coalesce(pmod(xxhash64(sk), blocks), 0)")).drop("band", "blocks")
+    # the token-group matrix
+    matrix = rows.groupBy("token", "g", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
     sizes = matrix.groupBy("g", "block").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    matrix = matrix.select("token", "g", "block").join(sizes, ["g", "block"])
-    fits = (F.col("comp") < F.col("g")) & (100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least"))
-    met = rows.select("token", "sk", "comp", "n").join(matrix, "token").where(fits)
-    met = met.groupBy("g", "block", "sk").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "least", "most")])
+    matrix = matrix.select("token", "members", F.col("g").alias("to"), F.col("block").alias("to_block")).join(
+        sizes.select(F.col("g").alias("to"), F.col("block").alias("to_block"), "least", "most"), ["to", "to_block"]
+    )
+    # each pair of blocks is met from one side; inside a block, a token must be that of another member
+    before = (F.col("g") < F.col("to")) | ((F.col("g") == F.col("to")) & ~F.col("linked") & (F.col("block") < F.col("to_block")))
+    inside = (F.col("g") == F.col("to")) & ~F.col("linked") & (F.col("block") == F.col("to_block")) & (F.col("members") > 1)
+    fits = (100 * F.col("most") >= PERCENT * F.col("n")) & (100 * F.col("n") >= PERCENT * F.col("least"))
+    met = rows.join(matrix, "token").where((before | inside) & fits)
+    met = met.groupBy("to", "to_block", "sk").agg(F.count("*").alias("c"), *[F.first(x).alias(x) for x in ("n", "least", "most")])
     # Linked sets of n and m tokens share PERCENT * (n + m) / (100 + PERCENT) at least. Up to where the first of the two
     # prefixes ends, what they share is in both prefixes, so among the c tokens met; the rest is no longer than what
     # that set has after its prefix.
     smallest, largest = F.greatest("least", F.ceil(F.col("n") * PERCENT / 100)), F.least("most", F.floor(F.col("n") * 100 / PERCENT))
     shared = F.ceil(PERCENT * (F.col("n") + smallest) / (100 + PERCENT))
     after = F.greatest(F.ceil(F.col("n") * PERCENT / 100), F.ceil(largest * PERCENT / 100)) - 1
-    meets = stored(met.where(F.col("c") >= shared - after).select("g", "block", "sk"), "meets")
+    meets = stored(met.where(F.col("c") >= shared - after).select(F.col("to").alias("g"), F.col("to_block").alias("block"), "sk"), "meets")
 
     salts = meets.groupBy("g", "block").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
-    members = rows.select(F.col("comp").alias("g"), "block", "sk").distinct().join(salts, ["g", "block"])
-    members = members.select("g", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(False).alias("query"), "sk")
-    queries = meets.join(salts, ["g", "block"]).select("g", "block", F.expr("cast(pmod(xxhash64(sk, 7), salts) as int)").alias("salt"), F.lit(True).alias("query"), "sk")
+    members = rows.select("g", "block", "sk", F.when(F.col("linked"), LINKED).otherwise(MEMBER).alias("kind")).distinct().join(salts, ["g", "block"])
+    members = members.select("g", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "kind", "sk")
+    queries = meets.join(salts, ["g", "block"]).select("g", "block", F.expr("cast(pmod(xxhash64(sk, 7), salts) as int)").alias("salt"), F.lit(QUERY).alias("kind"), "sk")
     open_rows = stored(members.unionByName(queries), "open")
+    drop_stored(rows, meets)
     needed = stored(classes.join(open_rows.select("sk").distinct(), "sk", "left_semi").select("rep", "sk"), "needed")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,12 +341,14 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     wanted = needed.select(F.col("rep").alias("doc_id")).distinct()
     known = slim.join(small_or_shuffled(wanted), "doc_id", "left_semi")
     nameless = slim.where("doc_id is null")  # classes of nothing but rows without id
-    sets = known.unionByName(nameless).mapInArrow(gather, "sk bigint, tokens binary")
+    sets = known.unionByName(nameless).mapInArrow(lean(gather), "sk bigint, tokens binary")
     sets = sets.join(small_or_shuffled(needed.select("sk").distinct()), "sk", "left_semi").groupBy("sk").agg(F.first("tokens").alias("tokens"))
-    opened = open_rows.join(sets, "sk").select("g", "block", "salt", "query", "sk", "tokens")
-    opened = opened.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "query", "sk")
-    found = stored(opened.mapInArrow(_opened, "comp bigint, sk bigint"), "opened")
-    found = found.join(groups, F.col("sk") == F.col("node"), "left").select(found["comp"].alias("a"), F.coalesce(groups["comp"], "sk").alias("b"))
+    opened = open_rows.join(sets, "sk").select("g", "block", "salt", "kind", "sk", "tokens")
+    opened = opened.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "kind", "sk")
+    found = stored(opened.mapInArrow(lean(_opened), "a bigint, b bigint"), "opened")
+    drop_stored(open_rows, needed)
+    comp_of = {side: groups.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")) for side in ("a", "b")}
+    found = found.join(comp_of["a"], "a", "left").join(comp_of["b"], "b", "left").select(F.coalesce("a_comp", "a").alias("a"), F.coalesce("b_comp", "b").alias("b"))
     merged = components(found, "merged").select(F.col("node").alias("comp"), F.col("comp").alias("final"))
 
     labels = groups.join(merged, "comp", "left").select("node", F.coalesce("final", "comp").alias("comp"))

@@ -17,8 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of ids or hashes up to which a side of a join is sent to all executors (some 16 MB).
-BROADCAST_ROWS = 1_000_000
+#: Rows of ids or hashes up to which a side of a join is sent to all executors (some 4 MB, 16 MB as a hash table).
+BROADCAST_ROWS = 250_000
 
 #: Rows an operator has written to shared storage, by session, so that release() can drop them.
 _written: "weakref.WeakKeyDictionary[SparkSession, list[str]]" = weakref.WeakKeyDictionary()
