@@ -9,7 +9,6 @@ from __future__ import annotations
 
 import json
 import os
-import zlib
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -20,10 +19,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import read_ranks
-from .shared import mix, new_path, stored
+from .shared import drop_stored, lean, mix, new_path, stored
 
 #: Tokens of a sequence, sequences of a shard, rounds of the permutation.
 LENGTH, PER_SHARD, ROUNDS = 1024, 8192, 6
+#: Bytes of shards that one writing task makes, and its shards at least: so writing tasks grow with the data, not with the shards.
+TASK_BYTES = 256 << 20
+#: Documents whose tokens are counted to pack payloads tightly (how well they are packed changes no result), and the level.
+PACKING_SAMPLE, LEVEL = 400, 6
+
+
+class Packing:
+    """Payloads for the way through the shuffle: ids by how common they are, high and low bytes apart, compressed."""
+
+    def __init__(self, common: list[int]):
+        rest = np.ones(1 << 16, bool)
+        rest[common] = False
+        self.id_of = np.concatenate([np.array(common, np.int64), np.flatnonzero(rest)]).astype(np.uint16)
+        self.place = np.empty(1 << 16, np.uint16)
+        self.place[self.id_of] = np.arange(1 << 16, dtype=np.uint16)
+        self._in = self._out = None
+
+    def __getstate__(self):
+        return {"id_of": self.id_of, "place": self.place, "_in": None, "_out": None}
+
+    def pack(self, ids: np.ndarray) -> bytes:
+        import zstandard
+
+        self._in = self._in or zstandard.ZstdCompressor(level=LEVEL, write_checksum=False)
+        return self._in.compress(self.place[ids].view(np.uint8).reshape(-1, 2)[:, ::-1].T.tobytes())
+
+    def unpack(self, blob: bytes) -> np.ndarray:
+        import zstandard
+
+        self._out = self._out or zstandard.ZstdDecompressor()
+        planes = np.frombuffer(self._out.decompress(blob), np.uint8).reshape(2, -1)
+        return self.id_of[planes[0].astype(np.uint16) << 8 | planes[1]]
 
 
 def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarray:
@@ -48,8 +79,24 @@ def permute(x: np.ndarray, n: int, key: int, inverse: bool = False) -> np.ndarra
     return out.astype(np.int64)
 
 
-def sequences(docs: DataFrame, vocabulary: str, pattern: str, length: int = LENGTH) -> DataFrame:
-    """part, seq, n_tokens, doc_ids, payload (compressed 16-bit ids, filled up with the end token): one map, no shuffle."""
+def common_tokens(docs: DataFrame, vocabulary: str, pattern: str, most: int = PACKING_SAMPLE) -> list[int]:
+    """The ids that stand in the first ``most`` documents, the most common first."""
+    import tiktoken
+
+    codec = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks={token: rank for rank, token in enumerate(read_ranks(vocabulary))}, special_tokens={})
+    counts = np.zeros(1 << 16, np.int64)
+    for row in docs.select(docs["text"].cast("string").alias("text")).limit(most).collect():
+        counts += np.bincount(codec.encode_ordinary(row["text"] or ""), minlength=1 << 16)
+    order = np.argsort(-counts, kind="stable")
+    return order[counts[order] > 0].tolist()
+
+
+def sequences(docs: DataFrame, vocabulary: str, pattern: str, length: int = LENGTH, packing: Packing | None = None) -> DataFrame:
+    """part, seq, n_tokens, doc_ids, payload (packed 16-bit ids, filled up with the end token): one map, no shuffle.
+
+    Sequences follow the documents as the table's scan gives them; ``part`` is the scan's partition.
+    """
+    packing = packing or Packing([])
     tokens = read_ranks(vocabulary)
     end = len(tokens)
     if end >= 1 << 16:
@@ -75,7 +122,7 @@ def sequences(docs: DataFrame, vocabulary: str, pattern: str, length: int = LENG
                 lo = max(int(np.searchsorted(starts, k * length, "right")) - 1, 0)
                 hi = int(np.searchsorted(starts, k * length + len(piece), "left"))
                 full = np.concatenate([piece, np.full(length - len(piece), end, np.uint16)])
-                rows.append((part, seq + k, len(piece), names[lo:hi], zlib.compress(full.tobytes(), 1)))
+                rows.append((part, seq + k, len(piece), names[lo:hi], packing.pack(full)))
             seq += whole
             rest = stream[whole * length :]
             open_at = max(int(np.searchsorted(starts, whole * length, "right")) - 1, 0)
@@ -98,7 +145,7 @@ def sequences(docs: DataFrame, vocabulary: str, pattern: str, length: int = LENG
         yield packed(True)
 
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return slim.mapInArrow(run, "part int, seq bigint, n_tokens int, doc_ids array<bigint>, payload binary")
+    return slim.mapInArrow(lean(run), "part int, seq bigint, n_tokens int, doc_ids array<bigint>, payload binary")
 
 
 def _filesystem(path: str):
@@ -107,18 +154,30 @@ def _filesystem(path: str):
     return fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
 
 
+def _drop_unfinished(system, root: str) -> None:
+    """Remove what attempts have left that ended with their executor."""
+    from pyarrow import fs
+
+    for found in system.get_file_info(fs.FileSelector(root)):
+        if found.base_name.startswith("_"):
+            system.delete_file(found.path)
+
+
 def materialise(
     docs: DataFrame, vocabulary: str, pattern: str, key: int, path: str | None = None, length: int = LENGTH, per_shard: int = PER_SHARD
 ) -> DataFrame:
     """Write the shards and return their manifest: slot, shard, byte_offset, ordinal, n_tokens, doc_ids, sha256.
 
-    One row for each sequence. A shard is written by one task to a name of its own and then renamed, so a repeated
-    task leaves the same file. Null texts count as empty (an end token alone); null ids stay null among doc_ids;
-    repeated rows are packed each; other columns are not read; an empty table gives no shard and no row.
+    One row for each sequence. A task writes a range of consecutive shards, each to a name of its own that is then
+    renamed, so a repeated task leaves the same files; what a failed one leaves is removed. The ordinal of a sequence
+    follows the order of the table's scan: the same files read with the same splits give the same shards, other splits
+    another packing of the same tokens. Null texts count as empty (an end token alone); null ids stay null among
+    doc_ids; repeated rows are packed each; other columns are not read; an empty table gives no shard and no row.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "shards")
-    rows = stored(sequences(docs, vocabulary, pattern, length), "sequences")
+    packing = Packing(common_tokens(docs, vocabulary, pattern))
+    rows = stored(sequences(docs, vocabulary, pattern, length, packing), "sequences")
     sizes = sorted((r["part"], r["n"]) for r in rows.groupBy("part").agg((F.max("seq") + 1).alias("n")).collect())  # a row a task
     offsets, total = [], 0
     for part, n in sizes:
@@ -130,16 +189,17 @@ def materialise(
         return pd.Series(permute(ordinal.to_numpy(), total, key))
 
     starts = spark.createDataFrame(offsets, "part int, start bigint")
+    shards, stride = -(-total // per_shard), 2 * length
+    tasks = max(1, min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total * stride // TASK_BYTES)))
     ordered = (
         rows.join(F.broadcast(starts), "part")
         .withColumn("ordinal", F.col("start") + F.col("seq"))
         .withColumn("slot", slot("ordinal"))
         .withColumn("shard", F.expr(f"cast(slot div {per_shard} as int)"))
         .select("shard", "slot", "ordinal", "n_tokens", "doc_ids", "payload")
-        .repartition(max(1, -(-total // per_shard)), "shard")
+        .repartitionByRange(tasks, "shard")
         .sortWithinPartitions("slot")
     )
-    stride = 2 * length
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -150,32 +210,41 @@ def materialise(
         out, now = None, None
 
         def close() -> None:
+            nonlocal out
             if out is not None:
                 out.close()
                 system.move(f"{root}/_{now}-{mark}", f"{root}/shard-{now:06d}.bin")
-
-        for batch in batches:
-            names = batch.schema.names
-            hashes = []
-            for shard, blob in zip(batch.column(0).to_pylist(), batch.column(names.index("payload")).to_pylist(), strict=True):
-                if shard != now:
-                    close()
-                    now = shard
-                    out = system.open_output_stream(f"{root}/_{now}-{mark}")
-                raw = zlib.decompress(blob)
-                out.write(raw)
-                hashes.append(sha256(raw).hexdigest())
-            offset = [(s % per_shard) * stride for s in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(1), batch.column(0), pa.array(offset, pa.int64()), *[batch.column(k) for k in (2, 3, 4)], pa.array(hashes, pa.string())],
-                names=["slot", "shard", "byte_offset", "ordinal", "n_tokens", "doc_ids", "sha256"],
-            )
-        close()
+                out = None
+
+        try:
+            for batch in batches:
+                names = batch.schema.names
+                hashes = []
+                for shard, blob in zip(batch.column(0).to_pylist(), batch.column(names.index("payload")).to_pylist(), strict=True):
+                    if shard != now:
+                        close()
+                        now = shard
+                        out = system.open_output_stream(f"{root}/_{now}-{mark}")
+                    raw = packing.unpack(blob).tobytes()
+                    out.write(raw)
+                    hashes.append(sha256(raw).hexdigest())
+                offset = [(s % per_shard) * stride for s in batch.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(1), batch.column(0), pa.array(offset, pa.int64()), *[batch.column(k) for k in (2, 3, 4)], pa.array(hashes, pa.string())],
+                    names=["slot", "shard", "byte_offset", "ordinal", "n_tokens", "doc_ids", "sha256"],
+                )
+            close()
+        finally:
+            if out is not None:
+                out.close()
+                system.delete_file(f"{root}/_{now}-{mark}")
 
     schema = "slot bigint, shard int, byte_offset bigint, ordinal bigint, n_tokens int, doc_ids array<bigint>, sha256 string"
-    manifest = stored(ordered.mapInArrow(write, schema), "manifest")
+    manifest = stored(ordered.mapInArrow(lean(write), schema), "manifest")
+    drop_stored(rows)
     system, root = _filesystem(path)
     system.create_dir(root, recursive=True)
+    _drop_unfinished(system, root)
     with system.open_output_stream(f"{root}/layout.json") as out:
         out.write(json.dumps({"sequences": total, "length": length, "per_shard": per_shard, "stride": stride, "key": key}).encode())
     return manifest
