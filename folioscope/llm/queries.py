@@ -119,7 +119,7 @@ select doc_id, coalesce(n_lines, 0)::bigint n_lines, coalesce(n_removed, 0)::big
 from documents left join done using (doc_id)
 """
 
-_TEMPLATES = ", ".join(f"('{label}', {license_scan._template_words(text)})" for label, text in license_scan.TEMPLATES.items())
+_TEMPLATES = ", ".join(f"('{label}', {tokens}, {need}, {size})" for label, tokens, need, size in license_scan.template_rows(license_scan.TEMPLATES))
 _PHRASES = ", ".join(f"('{label}', {phrase.split()})" for phrase, label in license_scan.PHRASES.items())
 _OP9 = f"""
 with dw as (select doc_id, {_ALNUM} w from documents),
@@ -129,11 +129,12 @@ places as (
   from (select doc_id, w, label, ph, unnest(range(1, len(w) - len(ph) + 2)) p from dw, phrases where len(w) >= len(ph))
   where w[p:p + len(ph) - 1] = ph),
 base as (select doc_id, count(*) n_base, min(p) first_word, max(p) last_word, list_sort(list(distinct label)) bl from places group by 1),
-templates(label, t) as (values {_TEMPLATES}),
-lines as (select doc_id, list_distinct({_ALNUM}) w from (select doc_id, unnest(string_split(text, chr(10))) as text from documents)),
-matched as (
-  select doc_id, label, len(list_intersect(w, t))::double / len(t) c from lines, templates
-  where len(list_intersect(w, t)) >= ceil({license_scan.THRESHOLD} * len(t) - 1e-9)),
+templates(label, t, need, size) as (values {_TEMPLATES}),
+near as (select doc_id, w, label, t, need, size from dw, templates where len(list_intersect(w, t)) >= need),
+blocks as (
+  select doc_id, label, t, need, len(list_intersect(w[p:p + size - 1], t)) held
+  from (select *, unnest(range(1, greatest(len(w) - size + 1, 1) + 1)) p from near)),
+matched as (select doc_id, label, held::double / len(t) c from blocks where held >= need),
 best as (select doc_id, max(c) c, list(distinct label) ml from matched group by 1)
 select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first_word::bigint first_word, last_word::bigint last_word,
   coalesce(array_to_string(bl, ','), '') base_labels,
