@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import alnum_words, stored, text_bytes
+from .shared import alnum_words, lean, stored, text_bytes
 
 #: A segment is closed at so many words; only a single longer text makes it longer.
 SEGMENT_WORDS = 1 << 20
@@ -93,7 +93,7 @@ def build(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text
     """
     spark = docs.sparkSession
     slim = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    rows = slim.mapInArrow(_segments, INDEX_SCHEMA)
+    rows = slim.mapInArrow(lean(_segments), INDEX_SCHEMA)
     if path is None:
         return stored(rows, "postings")
     rows.write.mode("overwrite").option("compression", "zstd").parquet(path)
@@ -236,21 +236,30 @@ def phrase_matches(index: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     segment, number (the document's place there), doc_id, n_words, items (ids as strings, sorted) and runs (the
     ranges of words inside any occurrence of a window, as start, end, start, end, ...).
     """
-    parts = [_pass(index, items, window) for items in _queries(benchmark, id_col, text_col)]
+    parts = []
+    for items in _queries(benchmark, id_col, text_col):  # a pass is run and stored before the next one's items are read
+        parts.append(stored(_pass(index, items, window), "matches"))
     if len(parts) == 1:
         return parts[0]
-    union = parts[0]
-    for part in parts[1:]:
-        union = union.unionByName(part)
+    found = parts[0].where("false")
+    for part in parts:
+        found = found.unionByName(part.where("size(items) > 0"))
 
     def merge(rows: pd.DataFrame) -> pd.DataFrame:
-        first = rows.iloc[:1].copy()
-        pairs = [(int(r[k]), int(r[k + 1])) for r in rows["runs"] for k in range(0, len(r), 2)]
-        first["items"] = [sorted({i for r in rows["items"] for i in r})]
-        first["runs"] = [_merged(pairs)]
-        return first
+        """One row for each document of a segment that any pass has found something in."""
+        out = []
+        for _, same in rows.groupby("number", sort=False):
+            first = same.iloc[0].copy()
+            first["items"] = sorted({i for r in same["items"] for i in r})
+            first["runs"] = _merged([(int(r[k]), int(r[k + 1])) for r in same["runs"] for k in range(0, len(r), 2)])
+            out.append(first)
+        frame = pd.DataFrame(out, columns=rows.columns)
+        frame["doc_id"] = pd.array([None if pd.isna(x) else int(x) for x in frame["doc_id"]], dtype="Int64")
+        return frame
 
-    return union.groupBy("segment", "number").applyInPandas(merge, MATCH_SCHEMA)
+    merged = found.groupBy("segment").applyInPandas(merge, MATCH_SCHEMA)
+    rest = parts[0].join(merged.select("segment", "number"), ["segment", "number"], "left_anti")
+    return rest.withColumns({"items": F.array().cast("array<string>"), "runs": F.array().cast("array<int>")}).select(*parts[0].columns).unionByName(merged)
 
 
 def proximity_matches(index: DataFrame, words: list[str], slop: int) -> DataFrame:
