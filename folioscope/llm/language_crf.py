@@ -1,9 +1,9 @@
 """Language of each word by a linear-chain conditional random field, and of each text by its words.
 
-A word's features are its affixes, its character n-grams and its entry in a lexicon of words known from the training
-texts; transitions between the labels of neighbouring words are learned with them. Chains are trained and labelled by
-forward-backward. Training chains are runs of words of a text; to learn what a switch looks like, some are made of two
-texts of different languages, switched at a random word.
+A word's features are its affixes, its character n-grams and the languages that a lexicon lists it under (words that
+two or more training texts of a language hold); transitions between the labels of neighbouring words are learned with
+them. Chains are trained and labelled by forward-backward. All words of the training texts are trained on, in chains;
+to learn what a switch looks like, some chains go on with words of another language from a random word on.
 """
 
 from __future__ import annotations
@@ -16,12 +16,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import remainder
-from .shared import mix, space_words, text_bytes
+from .shared import lean, mix, small_or_shuffled, space_words, text_bytes
 
-#: log2 of the rows of the feature table; words of a chain (longer texts are cut into several); training chains.
-BITS, CHAIN, SAMPLE = 16, 48, 1600
+#: log2 of the rows of the feature table; words of a chain (longer texts are cut into several); training texts a language.
+BITS, CHAIN, SAMPLE = 16, 48, 300
 #: Share of training chains that switch, passes, learning rate, chains of a step, L2 penalty.
-SWITCHED, EPOCHS, RATE, STEP, L2 = 0.3, 6, 0.25, 64, 1e-6
+SWITCHED, EPOCHS, RATE, STEP, L2 = 0.3, 3, 0.25, 64, 1e-6
+#: Training texts of a language that must hold a word for the lexicon to list it.
+LISTED = 2
 FOLDS, HELD_OUT = 4, 2
 #: Words that a worker remembers the scores of.
 REMEMBERED = 400_000
@@ -30,12 +32,37 @@ _ROLL = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667
 _TRIM = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~0123456789"
 
 
-def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of the feature table of each word: pairs of (the word's place, row).
+class Lexicon:
+    """Sorted hashes of known words, each with the number of a language (a word may stand under several)."""
+
+    def __init__(self, keys: np.ndarray, languages: np.ndarray):
+        order = np.lexsort((languages, keys))
+        self.keys, self.languages = keys[order], languages[order]
+
+    @classmethod
+    def of(cls, rows: list[tuple[list[bytes], str]], place: dict[str, int]) -> Lexicon:
+        keys, languages = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+        for lang, number in place.items():
+            texts = [np.unique(word_features(sorted(set(words)))[2]) for words, x in rows if x == lang and words]
+            found, held = np.unique(np.concatenate(texts or [np.zeros(0, np.uint64)]), return_counts=True)
+            keys.append(found[held >= LISTED])
+            languages.append(np.full(int((held >= LISTED).sum()), number))
+        return cls(np.concatenate(keys), np.concatenate(languages))
+
+    def rows(self, owners: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The feature rows of words (those behind the hashed ones, one a language), with their owners."""
+        first, last = np.searchsorted(self.keys, keys, "left"), np.searchsorted(self.keys, keys, "right")
+        held = last - first
+        at = np.repeat(first - np.cumsum(held) + held, held) + np.arange(held.sum())
+        return np.repeat(owners, held), (1 << BITS) + self.languages[at]
+
+
+def word_features(words: list[bytes], lexicon: Lexicon | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of the feature table of each word, as pairs of (the word's place, row), and the words' hashes.
 
     A word is spelled between two bounds without the punctuation and digits around it. Its features are all 2- and
-    3-grams, affixes of up to 4 characters (2- to 5-grams at a bound) and the whole word (the lexicon's entry); a word
-    of nothing but punctuation and digits has none.
+    3-grams, affixes of up to 4 characters (2- to 5-grams at a bound) and the lexicon's rows; a word of nothing but
+    punctuation and digits has none (and no hash).
     """
     text = (b" " + b" ".join([w.strip(_TRIM) for w in words]) + b" ").decode("utf-8", "replace").lower()
     c = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
@@ -62,9 +89,12 @@ def word_features(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     whole = np.zeros(len(words), np.uint64)
     np.add.at(whole, word[letters], spelled)
     some = np.unique(word[letters])
-    owners.append(some)
-    rows.append(mix(whole[some]))
-    return np.concatenate(owners), (np.concatenate(rows) >> np.uint64(64 - BITS)).astype(np.int64)
+    keys = mix(whole[some])
+    hashed = (np.concatenate(rows) >> np.uint64(64 - BITS)).astype(np.int64)
+    if lexicon is None:
+        return np.concatenate(owners), hashed, keys
+    listed = lexicon.rows(some, keys)
+    return np.concatenate([*owners, listed[0]]), np.concatenate([hashed, listed[1]]), keys
 
 
 def has_letter(text: str | None) -> bool:
@@ -72,10 +102,10 @@ def has_letter(text: str | None) -> bool:
 
 
 class Model:
-    """Emission weights by feature row, transitions from one label to the next, and first-word weights."""
+    """Emission weights by feature row, transitions from one label to the next, first-word weights, and the lexicon."""
 
-    def __init__(self, labels: list[str], emit: np.ndarray, move: np.ndarray, start: np.ndarray):
-        self.labels, self.emit, self.move, self.start = labels, emit, move, start
+    def __init__(self, labels: list[str], emit: np.ndarray, move: np.ndarray, start: np.ndarray, lexicon: Lexicon | None = None):
+        self.labels, self.emit, self.move, self.start, self.lexicon = labels, emit, move, start, lexicon
         self._seen: dict[bytes, int] = {}
         self._table = np.zeros((0, len(labels)), np.float32)
 
@@ -87,7 +117,7 @@ class Model:
             self._table = self._table[:0]
         new = [w for w in set(words) if w not in seen]
         if new:
-            owner, rows = word_features(new)
+            owner, rows, _ = word_features(new, self.lexicon)
             made = np.stack([np.bincount(owner, self.emit[rows, j], len(new)) for j in range(len(self.labels))], 1)
             seen.update(zip(new, range(len(self._table), len(self._table) + len(new)), strict=True))
             self._table = np.concatenate([self._table, made.astype(np.float32)])
@@ -153,25 +183,21 @@ def train(rows: list[tuple[list[bytes], str]], seed: int = 7) -> Model | None:
     place, rng = {x: k for k, x in enumerate(labels)}, np.random.default_rng(seed)
     chains: list[tuple[list[bytes], np.ndarray]] = []
     by_lang = {x: [w for w, lang in rows if lang == x and w] for x in labels}
-    for words, lang in rows:
-        if not words:
-            continue
-        at = int(rng.integers(0, max(len(words) - CHAIN, 0) + 1))
-        part = words[at : at + CHAIN]
+    for part, lang in [(words[at : at + CHAIN], lang) for words, lang in rows for at in range(0, len(words), CHAIN)]:
         truth = np.full(len(part), place[lang])
         if len(labels) > 1 and rng.random() < SWITCHED and len(part) > 3:
             other = labels[(place[lang] + int(rng.integers(1, len(labels)))) % len(labels)]
             if by_lang[other]:
                 donor = by_lang[other][int(rng.integers(len(by_lang[other])))]
-                cut = int(rng.integers(1, len(part)))
-                tail = donor[: len(part) - cut]
+                cut, at = int(rng.integers(1, len(part))), int(rng.integers(len(donor)))
+                tail = donor[at : at + len(part) - cut]
                 part, truth = part[:cut] + tail, np.concatenate([truth[:cut], np.full(len(tail), place[other])])
         chains.append((part, truth))
     k = len(labels)
-    model = Model(labels, np.zeros((1 << BITS, k), np.float32), np.zeros((k, k)), np.zeros(k))
-    emit_sq, move_sq, start_sq = np.full((1 << BITS, k), 1e-4, np.float32), np.full((k, k), 1.0), np.full(k, 1.0)
+    model = Model(labels, np.zeros(((1 << BITS) + k, k), np.float32), np.zeros((k, k)), np.zeros(k), Lexicon.of(rows, place))
+    emit_sq, move_sq, start_sq = np.full(model.emit.shape, 1e-4, np.float32), np.full((k, k), 1.0), np.full(k, 1.0)
     kinds = list({w for words, _ in chains for w in words})
-    owner, rows_of = word_features(kinds)
+    owner, rows_of, _ = word_features(kinds, model.lexicon)
     order = np.argsort(owner, kind="stable")
     flat_rows, first = rows_of[order], np.searchsorted(owner[order], np.arange(len(kinds) + 1))
     number = {w: i for i, w in enumerate(kinds)}
@@ -211,7 +237,8 @@ def train(rows: list[tuple[list[bytes], str]], seed: int = 7) -> Model | None:
 def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     """A model from at most ``sample`` documents of each language outside the held-out fold (least id hash first), in one task.
 
-    The choice reads ids and languages only and keeps, at each step, a bounded number of ids a language.
+    The choice reads ids and languages only and keeps, at each step, a bounded number of ids a language. The chosen
+    texts are learned from whole.
     """
     ids = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["lang"].cast("string").alias("lang")).where(
         "doc_id is not null and lang is not null"
@@ -219,33 +246,23 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
     ids = ids.where(remainder(F.col("doc_id"), FOLDS) != HELD_OUT).withColumn("h", F.xxhash64("doc_id"))
     # a threshold on the hash leaves about twice the sample of each language, whatever the table's size
     counts = ids.groupBy("lang").agg(F.count("*").alias("n"))
-    near = ids.join(F.broadcast(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.greatest(F.lit(2.0 * sample) / F.col("n"), F.lit(0.0)) * (1 << 30))
+    near = ids.join(small_or_shuffled(counts), "lang").where(F.pmod("h", F.lit(1 << 30)) < F.greatest(F.lit(2.0 * sample) / F.col("n"), F.lit(0.0)) * (1 << 30))
     ranked = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.pmod("h", F.lit(1 << 30)).alias("h"), "doc_id"))), 1, sample).alias("s"))
     chosen = ranked.select("lang", F.explode("s").alias("s")).select("lang", "s.doc_id")
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"), docs["lang"].cast("string").alias("lang"))
     texts = slim.join(F.broadcast(chosen), ["doc_id", "lang"]).where("text is not null").groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """A run of words of each text, long enough for a chain from any place in it."""
-        for batch in batches:
-            parts = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), text_bytes(batch.column(2)), strict=True):
-                words = space_words(text)
-                at = doc_id % max(len(words) - 4 * CHAIN, 1)
-                parts.append(b" ".join(words[at : at + 4 * CHAIN]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(parts, pa.binary())], names=["doc_id", "lang", "words"])
-
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(w.split(), lang) for batch in batches for lang, w in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)]
+        rows = [(space_words(x), lang) for batch in batches for lang, x in zip(batch.column(1).to_pylist(), text_bytes(batch.column(2)), strict=True)]
         model = train(rows)
         if model is not None:
-            parts = [model.emit.astype(np.float32).tobytes(), model.move.tobytes(), model.start.tobytes()]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([model.labels], pa.list_(pa.string())), *[pa.array([p], pa.binary()) for p in parts]], names=["labels", "emit", "move", "start"]
-            )
+            own = model.lexicon
+            parts = [x.tobytes() for x in (model.emit.astype(np.float32), model.move, model.start, own.keys, own.languages.astype(np.int64))]
+            names = ["labels", "emit", "move", "start", "known", "under"]
+            yield pa.RecordBatch.from_arrays([pa.array([model.labels], pa.list_(pa.string())), *[pa.array([p], pa.binary()) for p in parts]], names=names)
 
-    words = texts.mapInArrow(cut, "doc_id bigint, lang string, words binary")
-    out = words.repartition(1).sortWithinPartitions("doc_id", "lang").mapInArrow(learn, "labels array<string>, emit binary, move binary, start binary").collect()
+    schema = "labels array<string>, emit binary, move binary, start binary, known binary, under binary"
+    out = texts.repartition(1).sortWithinPartitions("doc_id", "lang").mapInArrow(lean(learn), schema).collect()
     if not out:
         return None
     k = len(out[0]["labels"])
@@ -254,12 +271,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model | None:
         np.frombuffer(out[0]["emit"], np.float32).reshape(-1, k),
         np.frombuffer(out[0]["move"]).reshape(k, k),
         np.frombuffer(out[0]["start"]),
+        Lexicon(np.frombuffer(out[0]["known"], np.uint64), np.frombuffer(out[0]["under"], np.int64)),
     )
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
-    """doc_id, held_out, lang_pred, score, switches of every document; the model's size is fixed but for the languages."""
-    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.labels, model.emit, model.move, model.start))
+    """doc_id, held_out, lang_pred, score, switches of every document; the model's size is bounded by the training sample."""
+    shared = docs.sparkSession.sparkContext.broadcast(None if model is None else (model.labels, model.emit, model.move, model.start, model.lexicon))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = None if shared.value is None else Model(*shared.value)
@@ -285,7 +303,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             )
 
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    out = slim.mapInArrow(run, "doc_id bigint, lang_pred string, score double, switches bigint")
+    out = slim.mapInArrow(lean(run), "doc_id bigint, lang_pred string, score double, switches bigint")
     return out.select("doc_id", F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "lang_pred", "score", "switches")
 
 
