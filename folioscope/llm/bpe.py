@@ -15,8 +15,10 @@ from collections.abc import Iterable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .shared import lean
+
 #: Pre-tokens, and stretches between single spaces, that a Python worker remembers at most, and their longest.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 LONGEST = 64
 #: Characters of texts whose new stretches are encoded in one call.
 GROUP = 1_000_000
@@ -75,6 +77,17 @@ def serialise_model(tokens: list[bytes]) -> bytes:
     return b"".join(out)
 
 
+#: Characters of every kind that a pattern may tell apart, around single spaces.
+_PROBES = [f"{a}{b} {c}{d}" for a in "aÉ9².'_日" for b in "aÉ9².'_日" for c in "aÉ9².'_日" for d in "sÉ9².'_日"]
+
+
+def _cut_at_spaces(split, text: str) -> bool:
+    """Whether the pattern's pre-tokens make up the text, and a single space inside it opens one of them."""
+    pieces = split(text)
+    left, right = text.split(" ")
+    return "".join(pieces) == text and pieces == split(left) + split(" " + right)
+
+
 class Codec:
     """Encodes pre-tokens with the serialised model and decodes ids by the inverse byte mapping."""
 
@@ -83,6 +96,8 @@ class Codec:
         import sentencepiece
 
         self._split = regex.compile(pattern).findall
+        #: Whether a single space between two words always opens a pre-token, so that stretches can be looked up apart.
+        self._apart = all(_cut_at_spaces(self._split, text) for text in _PROBES)
         self._model = sentencepiece.SentencePieceProcessor(model_proto=model)
         self._chars = dict(enumerate(byte_characters()))
         self._whole = {token: rank for rank, token in enumerate(tokens)}
@@ -125,6 +140,9 @@ class Codec:
         No pre-token spans a single space between two characters that are no white space, other than as its
         first character: so the stretches between such spaces are looked up, and new ones of all texts encoded at once.
         """
+        if not self._apart:
+            yield from map(_joined, self._learn(texts))
+            return
         seen = self._stretches
         if len(seen) > REMEMBERED:
             seen.clear()
@@ -200,16 +218,20 @@ def encode_documents(
         codec = Codec(model, tokens, pattern)
         gc.freeze()  # what is remembered holds no cycles; else each collection would walk all of it
         gc.disable()
-        for batch in batches:
-            counts, ids_hash, decoded_hash = [], [], []
-            for ids, decoded in codec.run_all(batch.column(1).to_pylist()):
-                counts.append(ids.count(b" ") + 1 if ids else 0)
-                ids_hash.append(hashlib.sha256(ids).hexdigest())
-                decoded_hash.append(hashlib.sha256(decoded).hexdigest())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        try:
+            for batch in batches:
+                counts, ids_hash, decoded_hash = [], [], []
+                for ids, decoded in codec.run_all(batch.column(1).to_pylist()):
+                    counts.append(ids.count(b" ") + 1 if ids else 0)
+                    ids_hash.append(hashlib.sha256(ids).hexdigest())
+                    decoded_hash.append(hashlib.sha256(decoded).hexdigest())
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(decoded_hash, pa.string())],
+                    names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
+        finally:  # the worker serves other tasks after this one
+            gc.enable()
+            gc.unfreeze()
 
     slim = docs.select(docs[id_col].cast("bigint").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    return slim.mapInArrow(run, SCHEMA)
+    return slim.mapInArrow(lean(run), SCHEMA)
