@@ -58,15 +58,10 @@ def spread(docs: DataFrame, site_col: str = "source", text_col: str = "text", mi
     return sure.unionByName(exact)
 
 
-def remove_boilerplate(
+def cleaned(
     docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES
 ) -> DataFrame:
-    """The same rows and columns, with every line that stands on ``min_sites`` or more distinct sites taken out of the text.
-
-    Lines are compared after trimming spaces; blank lines stay. Texts without a site don't add to a line's sites but
-    lose its places too. Null texts stay null. Repeated rows are kept and treated alike; ``_removed`` and ``_lines``
-    (the numbers of lines taken out and before) are added; an empty table gives an empty result.
-    """
+    """doc (all columns of a row), text (without common lines), n_lines (before) and n_removed, one row for each row."""
     common = small_or_shuffled(stored(spread(docs, site_col, text_col, min_sites), "boilerplate"))
     lines = F.split(F.col("text"), "\n")
     keyed = docs.select(
@@ -89,17 +84,31 @@ def remove_boilerplate(
     out = out.withColumn("kept", F.when(F.col("gone").isNull(), lines).otherwise(kept))
     new_text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join("kept", "\n"))
     return out.select(
-        *[(new_text if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns],
-        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("_lines"),
-        F.coalesce(F.size(lines) - F.size("kept"), F.lit(0)).cast("bigint").alias("_removed"),
+        "doc",
+        new_text.alias("text"),
+        F.coalesce(F.size(lines), F.lit(0)).cast("bigint").alias("n_lines"),
+        F.coalesce(F.size(lines) - F.size("kept"), F.lit(0)).cast("bigint").alias("n_removed"),
     )
 
 
+def remove_boilerplate(
+    docs: DataFrame, id_col: str = "doc_id", site_col: str = "source", text_col: str = "text", min_sites: int = MIN_SITES
+) -> DataFrame:
+    """The same rows and columns, with every line that stands on ``min_sites`` or more distinct sites taken out of the text.
+
+    Lines are compared after trimming spaces; blank lines stay. Texts without a site don't add to a line's sites but
+    lose its places too. Null texts and null ids stay null; repeated rows are kept and treated alike; other columns,
+    whatever their names, stay as they are; an empty table gives an empty result.
+    """
+    out = cleaned(docs, id_col, site_col, text_col, min_sites)
+    return out.select(*[(F.col("text") if c == text_col else F.col("doc").getField(c)).alias(c) for c in docs.columns])
+
+
 def line_dedup(docs: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
     """Per document row: doc_id, n_lines, n_removed, and the SHA-256 of the text that stays (null for a null text)."""
-    return remove_boilerplate(docs.select("doc_id", "source", "text"), min_sites=min_sites).select(
-        F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.col("_lines").alias("n_lines"),
-        F.col("_removed").alias("n_removed"),
+    return cleaned(docs.select("doc_id", "source", "text"), min_sites=min_sites).select(
+        F.col("doc.doc_id").cast("bigint").alias("doc_id"),
+        "n_lines",
+        "n_removed",
         F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"),
     )

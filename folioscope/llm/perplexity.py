@@ -18,7 +18,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import WordHashes, drop_stored, lean, mix, space_words, stored, text_bytes
+from .shared import WordHashes, drop_stored, lean, mix, small_or_shuffled, space_words, stored, text_bytes
 
 ORDER = 4
 #: A unit has 16 bits: code points of the basic plane stand for themselves; all others share its private-use area.
@@ -308,11 +308,12 @@ def judge(scores: DataFrame, lower: float = LOWER, upper: float = UPPER) -> Data
         (F.col("middle") + F.when(measured, upper * F.col("spread")).otherwise(LEAST_UPPER)).alias("high_band"),
     )
     inside = F.col("log_perplexity").between(F.col("low_band"), F.col("high_band"))
-    return rows.join(spreads, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
+    bands = small_or_shuffled(stored(spreads, "bands"))  # a row for each language
+    return rows.join(bands, "lang", "left").withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False)))
 
 
 def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", with_hash: bool = False) -> DataFrame:
-    """Per document row: n_words, the rule counts, base_failed, kept, log_perplexity, low_band, high_band (and text_hash).
+    """Per document row: n_words, the rule counts, base_failed, kept, log_perplexity, low_band, high_band (and text_hash, lang).
 
     Null and empty texts have no words and fail the rules. A null language is a language of its own. Null ids stay
     null (and fall into one half), repeated rows each get a row, other columns are not read, and an empty table gives
@@ -325,5 +326,5 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     drop_stored(grams, table)
     return judge(scores).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "log_perplexity", "low_band", "high_band", *["text_hash"] * with_hash,
+        "log_perplexity", "low_band", "high_band", *["text_hash", "lang"] * with_hash,
     )

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled, remainder
-from .shared import mix, space_words, text_bytes
+from .shared import lean, mix, space_words, text_bytes
 
 #: log2 of the number of weights (1 MB of them); labelled rows that are learned from at most; passes over them.
 BITS, SAMPLE, EPOCHS = 18, 6000, 4
@@ -35,7 +35,7 @@ class _Hashed(dict):
     """Word to the hashes of itself (lower-cased) and of its shape, remembered."""
 
     def __missing__(self, word: bytes) -> tuple[int, int]:
-        shape = _RUNS.sub(rb"\1", word.translate(_KINDS))[:12]
+        shape = _RUNS.sub(rb"\1", word.translate(_KINDS))
         out = self[word] = xxhash.xxh64_intdigest(word.lower()), xxhash.xxh64_intdigest(shape, 7)
         return out
 
@@ -107,7 +107,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
         yield pa.RecordBatch.from_arrays([pa.array([train(rows).tobytes()])], names=["weights"])
 
     made = labelled(docs, labels, label, FOLDS, HELD_OUT, sample).select("doc_id", "y", "text")
-    made = made.mapInArrow(vectors, "doc_id bigint, y int, at binary, x binary")
+    made = made.mapInArrow(lean(vectors), "doc_id bigint, y int, at binary, x binary")
     out = made.repartition(1).sortWithinPartitions(F.xxhash64("doc_id", F.lit(1)), "doc_id").mapInArrow(learn, "weights binary").collect()
     return np.frombuffer(out[0]["weights"], np.float32) if out else np.zeros(1 << BITS, np.float32)
 
@@ -128,7 +128,7 @@ def score(docs: DataFrame, weights: np.ndarray) -> DataFrame:
             )
 
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, score double").select(
+    return slim.mapInArrow(lean(run), "doc_id bigint, score double").select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",

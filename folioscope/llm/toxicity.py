@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .sampling import labelled, remainder
-from .shared import alnum_words, text_bytes
+from .shared import alnum_words, lean, text_bytes
 
 #: Terms that may stand for each other, by kind; words as alnum_words() gives them. Fixed values, and a parameter.
 IDENTITY_TERMS = (
@@ -181,7 +181,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             )
 
     slim = docs.select(docs["doc_id"].cast("bigint").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    return slim.mapInArrow(run, "doc_id bigint, score double").select(
+    return slim.mapInArrow(lean(run), "doc_id bigint, score double").select(
         "doc_id",
         F.coalesce(remainder(F.col("doc_id"), FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"),
         "score",

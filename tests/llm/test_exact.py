@@ -98,10 +98,34 @@ def test_links_missed_by_leaders_are_found_by_the_matrix(spark, monkeypatch):
     df = spark.createDataFrame(docs, "doc_id bigint, text string")
     rows = df.collect()
     monkeypatch.setattr(group_matrix, "BLOCK", 3)
+    monkeypatch.setattr(group_matrix, "FAMILY", 2)
     monkeypatch.setattr(group_matrix, "_is_marked", lambda marks, key: False)
     assert Counter(map(tuple, group_matrix.jaccard_components(df.repartition(1)).collect())) == brute_components(rows)
 
 
+def test_unlinked_documents_that_share_a_hot_passage(spark, monkeypatch):
+    """Many documents share one passage and are not linked by it; some are, by more than the passage."""
+    import random
+
+    rng = random.Random(5)
+    passage = [f"p{k}" for k in range(40)]
+    docs = []
+    for k in range(120):
+        own = [f"d{k}w{j}" for j in range(rng.choice([4, 9, 14, 30]))]
+        docs.append((k, " ".join(passage + own)))
+        if k % 10 == 0:
+            docs.append((1000 + k, " ".join([*passage, *own[:-1], "changed"])))
+    rows = spark.createDataFrame(docs, "doc_id bigint, text string").collect()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
+    want = brute_components(rows)
+    assert 30 < len({c for _, _, c in want}) < 130
+    for block, marked in ((4096, True), (5, True), (5, False)):
+        monkeypatch.setattr(group_matrix, "BLOCK", block)
+        if not marked:
+            monkeypatch.setattr(group_matrix, "_is_marked", lambda marks, key: False)
+        assert Counter(map(tuple, group_matrix.jaccard_components(df).collect())) == want
+
+
 def test_one_of_each_group_stays(odd_docs):
     rows = odd_docs.collect()
     kept = group_matrix.first_of_each(odd_docs)
@@ -121,8 +145,9 @@ def test_boilerplate(spark, odd_docs, no_docs):
     common = [(100 + k, f"own line {k}\nshared by many \nall of us", "en", f"site{k % 5}", 0) for k in range(10)] + [(200, "shared by many", "en", None, 0), (201, "on one site\non one site", "en", "s", 0)]
     df = spark.createDataFrame(common, "doc_id bigint, text string, lang string, source string, n_chars bigint")
     out = {r["doc_id"]: r for r in line_spread.remove_boilerplate(df, min_sites=5).collect()}
-    assert out[103]["text"] == "own line 3" and out[103]["_removed"] == 2 and out[200]["text"] == "" and out[201]["text"] == "on one site\non one site"
-    assert line_spread.remove_boilerplate(df, min_sites=6).where("_removed > 0").count() == 0
+    counts = {r["doc_id"]: r for r in line_spread.line_dedup(df, min_sites=5).collect()}
+    assert out[103]["text"] == "own line 3" and counts[103]["n_removed"] == 2 and out[200]["text"] == "" and out[201]["text"] == "on one site\non one site"
+    assert line_spread.line_dedup(df, min_sites=6).where("n_removed > 0").count() == 0
     odd = line_spread.line_dedup(odd_docs)
     assert odd.count() == odd_docs.count() and line_spread.line_dedup(no_docs).count() == 0
     assert odd.where("doc_id = 6 and n_lines = 0 and text_sha256 is null").count() == 1
@@ -131,21 +156,53 @@ def test_boilerplate(spark, odd_docs, no_docs):
 def test_license_scan(spark, odd_docs, no_docs):
     texts = {
         1: "x y\nLicensed under the Apache License, Version 2.0.", 2: "cc by cc by\nCC-BY", 3: "Released under  the MIT\nLicense.", 4: "all rights  RESERVED, general public license", 5: None, 6: "cc BY",
-        7: "Released under the famous MIT License, see below", 8: "the ccc by all rightsreserved", 9: "K cc by",
+        7: "Released under the famous MIT License, see below", 10: "Released now and here under many more words that stand between the MIT and its License", 8: "the ccc by all rightsreserved", 9: "K cc by",
     }
     df = spark.createDataFrame([(k, v, 1) for k, v in texts.items()], "doc_id bigint, text string, need int")
     out = {r["doc_id"]: tuple(r)[1:] for r in license_scan.scan(df).collect()}
     assert out[1] == (10, 0, None, None, "", "apache", 1.0)
     assert out[2] == (6, 3, 0, 4, "cc-by", "cc-by", 1.0)
-    assert out[3][-2:] == ("", 0.0) and out[5] == (0, 0, None, None, "", "", 0.0) and out[8][1] == 0
+    assert out[3][-2:] == ("mit", 1.0) and out[5] == (0, 0, None, None, "", "", 0.0) and out[8][1] == 0
     assert out[4] == (6, 2, 0, 3, "gpl,reserved", "gpl,reserved", 1.0)
-    assert out[7][-2:] == ("mit", 1.0) and out[9][:4] == (3, 1, 1, 1)
+    assert out[10][-2:] == ("", 0.0) and out[7][-2:] == ("mit", 1.0) and out[9][:4] == (3, 1, 1, 1)
     for r in license_scan.scan(odd_docs).collect():
         if r["doc_id"] == 11:
             assert r["n_words"] == len(ALNUM.findall(lower(next(x["text"] for x in odd_docs.collect() if x["doc_id"] == 11))))
     assert license_scan.scan(odd_docs).count() == odd_docs.count() and license_scan.scan(no_docs).count() == 0
 
 
+def brute_blocks(text, templates, threshold=license_scan.THRESHOLD, span=license_scan.SPAN):
+    words, found = ALNUM.findall(lower(text)), {}
+    for label, tokens, need, size in license_scan.template_rows(templates, threshold, span):
+        held = max(len(set(tokens) & set(words[p : p + size])) for p in range(max(len(words) - size + 1, 1)))
+        if held >= need:
+            found[label] = max(found.get(label, 0), round(held / len(tokens), 6))
+    return found
+
+
+def test_license_blocks_span_lines_and_cells(spark):
+    import random
+
+    rng = random.Random(11)
+    filler = lambda n: [f"w{rng.randrange(50)}" for _ in range(n)]
+    texts = {}
+    for k in range(60):
+        words = filler(rng.choice([0, 3, 120, 700]))
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            notice = rng.choice(license_scan.TEMPLATES)[1].split()
+            for _ in range(rng.choice([0, 1, 3, 9])):
+                notice[rng.randrange(len(notice))] = "other"
+            at = rng.randrange(len(words) + 1)
+            words[at:at] = notice
+        texts[k] = "".join(w + rng.choice([" ", " ", "\n", "\n\n", ", "]) for w in words)
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(3)
+    got = {k: {} for k in texts}
+    for r in license_scan.block_matches(df).collect():
+        got[r["doc_id"]][r["label"]] = max(got[r["doc_id"]].get(r["label"], 0), round(r["containment"], 6))
+    want = {k: brute_blocks(t, license_scan.TEMPLATES) for k, t in texts.items()}
+    assert got == want and sum(map(bool, want.values())) > 15
+
+
 def test_bpe_is_the_rank_encoding(odd_docs, no_docs):
     import tiktoken
 
@@ -174,6 +231,14 @@ def test_permutation(n):
     assert n < 64 or (slots != training_order.permute(np.arange(n), n, 6)).any()
 
 
+def test_packing_is_exact():
+    rng = np.random.default_rng(0)
+    ids = rng.integers(0, 50_257, 1000).astype(np.uint16)
+    for common in ([], [5, 50_256, 0], ids[:100].tolist()):
+        packing = training_order.Packing(list(dict.fromkeys(common)))
+        assert (packing.unpack(packing.pack(ids)) == ids).all()
+
+
 def test_training_order(spark, odd_docs, no_docs, tmp_path):
     path, pattern = vocabulary()
     folder = f"file://{tmp_path}/shards"
@@ -191,4 +256,15 @@ def test_training_order(spark, odd_docs, no_docs, tmp_path):
     ends = np.flatnonzero(stream == 50256)
     texts = sorted(codec.decode(x[x != 50256].tolist()).decode() for x in np.split(stream, ends + 1)[:-1])
     assert texts == sorted(r["text"] or "" for r in odd_docs.collect())
+    left = [f.name for f in (tmp_path / "shards").iterdir() if f.name.startswith("_")]
+    assert not left and len(list((tmp_path / "shards").glob("shard-*.bin"))) == -(-n // 50)
+    # a repeated task overwrites what another attempt has written, and remains of lost attempts go
+    (tmp_path / "shards" / "_3-999").write_bytes(b"half a shard")
+    (tmp_path / "shards" / "shard-000001.bin").write_bytes(b"old")
+    again = {r["slot"]: r for r in training_order.materialise(odd_docs, path, pattern, 9, folder, length=64, per_shard=50).collect()}
+    assert {k: r["sha256"] for k, r in again.items()} == {k: r["sha256"] for k, r in manifest.items()}
+    assert all((a == b).all() for a, b in zip(training_order.read(folder), read, strict=True)) and not list((tmp_path / "shards").glob("_*"))
+    # resumed at any slot, a reader goes on as it would have
+    for at in (0, 49, 50, 51, n - 1):
+        assert all((a == b).all() for a, b in zip(training_order.read(folder, at), read[at:], strict=True))
     assert training_order.materialise(no_docs, path, pattern, 9, f"file://{tmp_path}/none").count() == 0
