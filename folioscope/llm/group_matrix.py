@@ -290,7 +290,25 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     own = F.coalesce("comp", "sk")
     across = placed.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("df")).where("lo < hi")
     across = stored(across.select("token", "df"), "across")
-    tokens_across = rows = stored(placed.join(small_or_shuffled(across), "token").distinct(), "rows")
+    # most prefix tokens stand in one class; those that surely do are left out before any is dealt out by token
+    marked = sc.broadcast(_marked(across.select(F.col("token").alias("key"))))
+
+    def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The prefixes without the tokens whose bit is not set."""
+        marks = marked.value
+        for batch in batches:
+            prefix = batch.column(2)
+            flat = prefix.flatten().to_numpy(zero_copy_only=False)
+            at = flat & ((1 << MARK_BITS) - 1)
+            kept = (marks[at >> 6] >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+            owner = np.repeat(np.arange(batch.num_rows), prefix.value_lengths().to_numpy(zero_copy_only=False))[kept]
+            columns = [batch.column(0).take(pa.array(owner)), batch.column(1).take(pa.array(owner)), pa.array(flat[kept], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, names=["sk", "n", "token"])
+
+    left = emitted.select("sk", "n", "prefix").mapInArrow(lean(promising), "sk bigint, n bigint, token bigint")
+    left = left.distinct().join(groups, F.col("sk") == F.col("node"), "left").select("sk", "n", "comp", "token")
+    tokens_across = rows = stored(left.join(across, "token"), "rows")
+    marked.destroy()
     drop_stored(emitted, across, first_links, shared_by)
     # groups and blocks
     family = rows.where("comp is null").groupBy("sk").agg(F.max(F.struct("df", "token")).alias("m")).where(F.col("m.df") >= FAMILY)
