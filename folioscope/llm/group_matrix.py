@@ -21,7 +21,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
@@ -68,6 +68,17 @@ def set_key(tokens: np.ndarray) -> int:
     return signed(xxhash.xxh3_64_intdigest(tokens.tobytes()))
 
 
+def packed(tokens: np.ndarray) -> bytes:
+    """A set for the way to another task: the upper 48 bits of its sorted tokens, which tell the tokens of two sets apart."""
+    return tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    out = np.zeros((len(blob) // 6, 8), np.uint8)
+    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel()
+
+
 def least_hashes(tokens: np.ndarray) -> list[int]:
     return [signed(int(mix(tokens ^ _ODD[j]).min())) for j in range(KEYS)]
 
@@ -162,7 +173,7 @@ def _run_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run, leaders, last = (key, salt), [], None
             if sk == last:
                 continue
-            last, tokens = sk, np.frombuffer(blob, np.uint64)
+            last, tokens = sk, unpacked(blob)
             for leader, own in leaders:
                 if linked(own, tokens):
                     a.append(leader)
@@ -218,7 +229,7 @@ def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 run, members, block, last = (g, number, salt), [], None, None
             if (kind, sk) == last:
                 continue
-            last, tokens = (kind, sk), np.frombuffer(blob, np.uint64)
+            last, tokens = (kind, sk), unpacked(blob)
             if kind != QUERY:
                 members.append((sk, tokens))
                 linked_group = kind == LINKED
@@ -267,7 +278,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 common = np.where(often[at] == t, weight[at], 0) if len(often) else np.zeros(len(t), np.int64)
                 first = len(t) - least_overlap(len(t)) + 1
                 prefix = t[np.argsort(common, kind="stable")[:first]]
-                out.append((sk, len(t), prefix.view(np.int64), runs, t.tobytes() if runs else None))
+                out.append((sk, len(t), prefix.view(np.int64), runs, packed(t) if runs else None))
             columns = list(zip(*out, strict=True)) or [[]] * 5
             kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["sk", "n", "prefix", "runs", "tokens"])
@@ -306,13 +317,13 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(columns, names=["sk", "n", "token"])
 
     left = emitted.select("sk", "n", "prefix").mapInArrow(lean(promising), "sk bigint, n bigint, token bigint")
-    left = left.distinct().join(groups, F.col("sk") == F.col("node"), "left").select("sk", "n", "comp", "token")
-    tokens_across = rows = stored(left.join(across, "token"), "rows")
+    left = left.join(across, "token").distinct()
+    tokens_across = rows = stored(left.join(small_or_shuffled(groups), F.col("sk") == F.col("node"), "left").select("token", "sk", "n", "comp", "df"), "rows")
     marked.destroy()
     drop_stored(emitted, across, first_links, shared_by)
     # groups and blocks
-    family = rows.where("comp is null").groupBy("sk").agg(F.max(F.struct("df", "token")).alias("m")).where(F.col("m.df") >= FAMILY)
-    rows = rows.join(family.select("sk", F.xxhash64("m.token").alias("family")), "sk", "left")
+    hottest = F.max(F.struct("df", "token")).over(Window.partitionBy("sk"))  # a class has a prefix's number of rows
+    rows = rows.withColumn("m", hottest).withColumn("family", F.when(F.col("m.df") >= FAMILY, F.xxhash64("m.token")))
     rows = rows.select(
         "token", "sk", "n", F.coalesce("comp", "family", "sk").alias("g"), F.col("comp").isNotNull().alias("linked"),
         F.floor(F.log(F.col("n")) / np.log(BAND)).cast("int").alias("band"),
@@ -325,10 +336,9 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     rows = rows.withColumn("block", F.expr("shiftleft(cast(band as bigint), 32) + coalesce(pmod(xxhash64(sk), blocks), 0)")).drop("band", "blocks")
     # the token-group matrix
     matrix = rows.groupBy("token", "g", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.count("*").alias("members"))
-    sizes = matrix.groupBy("g", "block").agg(F.min("least").alias("least"), F.max("most").alias("most"))
-    matrix = matrix.select("token", "members", F.col("g").alias("to"), F.col("block").alias("to_block")).join(
-        sizes.select(F.col("g").alias("to"), F.col("block").alias("to_block"), "least", "most"), ["to", "to_block"]
-    )
+    whole = Window.partitionBy("g", "block")  # a block has BLOCK_TOKENS rows at most
+    matrix = matrix.withColumns({"least": F.min("least").over(whole), "most": F.max("most").over(whole)})
+    matrix = matrix.select("token", "members", F.col("g").alias("to"), F.col("block").alias("to_block"), "least", "most")
     # each pair of blocks is met from one side; inside a block, a token must be that of another member
     before = (F.col("g") < F.col("to")) | ((F.col("g") == F.col("to")) & ~F.col("linked") & (F.col("block") < F.col("to_block")))
     inside = (F.col("g") == F.col("to")) & ~F.col("linked") & (F.col("block") == F.col("to_block")) & (F.col("members") > 1)
@@ -353,15 +363,14 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in _sets(batches):
-            out = [(k, t.tobytes()) for _, k, t in out if len(t)]
+            out = [(k, packed(t)) for _, k, t in out if len(t)]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int64()), pa.array([t for _, t in out], pa.binary())], names=["sk", "tokens"])
 
     wanted = needed.select(F.col("rep").alias("doc_id")).distinct()
     known = slim.join(small_or_shuffled(wanted), "doc_id", "left_semi")
     nameless = slim.where("doc_id is null")  # classes of nothing but rows without id
     sets = known.unionByName(nameless).mapInArrow(lean(gather), "sk bigint, tokens binary")
-    sets = sets.join(small_or_shuffled(needed.select("sk").distinct()), "sk", "left_semi").groupBy("sk").agg(F.first("tokens").alias("tokens"))
-    opened = open_rows.join(sets, "sk").select("g", "block", "salt", "kind", "sk", "tokens")
+    opened = sets.join(small_or_shuffled(open_rows), "sk").select("g", "block", "salt", "kind", "sk", "tokens")
     opened = opened.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "kind", "sk")
     found = stored(opened.mapInArrow(lean(_opened), "a bigint, b bigint"), "opened")
     drop_stored(open_rows, needed)
