@@ -214,31 +214,53 @@ class _Block:
         return self.keys[hit[one]].tolist()
 
 
-#: Kinds of rows that go to a block.
-LINKED, MEMBER, QUERY = 0, 1, 2
+#: What a class that goes to a block is there (a sum): one of its members, a query, a member of a group that is connected already.
+MEMBER, QUERY, LINKED = 1, 2, 4
 
 
 def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block (rows sorted: members, then queries), links of queries with members that connect all they link with."""
-    run, members, block, last = None, [], None, None
+    """Of each block (rows sorted: members, then mere queries), links of queries with members that connect all they link with."""
+    run, members, asking, block, last = None, [], [], None, None
+    a, b = [], []
+
+    def ask(sk: int, tokens: np.ndarray) -> None:
+        nonlocal block
+        block = block or _Block(members, linked)
+        found = block.partners(sk, tokens)
+        a.extend(found)
+        b.extend([sk] * len(found))
+
+    def end() -> None:
+        if len(members) > 1:
+            for k in asking:
+                ask(*members[k])
+
+    def links() -> pa.RecordBatch:
+        out = pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        a.clear()
+        b.clear()
+        return out
+
+    linked = False
     for batch in batches:
-        a, b = [], []
         columns = (batch.column(k).to_pylist() for k in range(6))
         for g, number, salt, kind, sk, blob in zip(*columns, strict=True):
             if (g, number, salt) != run:
-                run, members, block, last = (g, number, salt), [], None, None
-            if (kind, sk) == last:
+                end()
+                run, members, asking, block, last = (g, number, salt), [], [], None, None
+            if (kind & MEMBER, sk) == last:
                 continue
-            last, tokens = (kind, sk), unpacked(blob)
-            if kind != QUERY:
-                members.append((sk, tokens))
-                linked_group = kind == LINKED
+            last = kind & MEMBER, sk
+            if kind & MEMBER:
+                if kind & QUERY:
+                    asking.append(len(members))
+                members.append((sk, unpacked(blob)))
+                linked = bool(kind & LINKED)
             elif members:
-                block = block or _Block(members, linked_group)
-                found = block.partners(sk, tokens)
-                a += found
-                b += [sk] * len(found)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                ask(sk, unpacked(blob))
+        yield links()
+    end()
+    yield links()
 
 
 def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -354,10 +376,11 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     meets = stored(met.where(F.col("c") >= shared - after).select(F.col("to").alias("g"), F.col("to_block").alias("block"), "sk"), "meets")
 
     salts = meets.groupBy("g", "block").agg(F.ceil(F.count("*") / SPREAD).cast("int").alias("salts"))
-    members = rows.select("g", "block", "sk", F.when(F.col("linked"), LINKED).otherwise(MEMBER).alias("kind")).distinct().join(salts, ["g", "block"])
-    members = members.select("g", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "kind", "sk")
-    queries = meets.join(salts, ["g", "block"]).select("g", "block", F.expr("cast(pmod(xxhash64(sk, 7), salts) as int)").alias("salt"), F.lit(QUERY).alias("kind"), "sk")
-    open_rows = stored(members.unionByName(queries), "open")
+    members = rows.select("g", "block", "sk", (F.lit(MEMBER) + F.when(F.col("linked"), LINKED).otherwise(0)).alias("kind")).distinct().join(salts, ["g", "block"])
+    members = members.select("g", "block", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), "sk", "kind")
+    queries = meets.join(salts, ["g", "block"]).select("g", "block", F.expr("cast(pmod(xxhash64(sk, 7), salts) as int)").alias("salt"), "sk", F.lit(QUERY).alias("kind"))
+    # a member that asks its own block goes there once
+    open_rows = stored(members.unionByName(queries).groupBy("g", "block", "salt", "sk").agg(F.bit_or("kind").alias("kind")), "open")
     drop_stored(rows, meets)
     needed = stored(classes.join(open_rows.select("sk").distinct(), "sk", "left_semi").select("rep", "sk"), "needed")
 
@@ -371,7 +394,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     nameless = slim.where("doc_id is null")  # classes of nothing but rows without id
     sets = known.unionByName(nameless).mapInArrow(lean(gather), "sk bigint, tokens binary")
     opened = sets.join(small_or_shuffled(open_rows), "sk").select("g", "block", "salt", "kind", "sk", "tokens")
-    opened = opened.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", "kind", "sk")
+    opened = opened.repartition("g", "block", "salt").sortWithinPartitions("g", "block", "salt", F.col("kind").bitwiseAND(F.lit(MEMBER)).desc(), "sk")
     found = stored(opened.mapInArrow(lean(_opened), "a bigint, b bigint"), "opened")
     drop_stored(open_rows, needed)
     comp_of = {side: groups.select(F.col("node").alias(side), F.col("comp").alias(f"{side}_comp")) for side in ("a", "b")}

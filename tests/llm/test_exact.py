@@ -55,6 +55,27 @@ def test_contamination(spark, odd_docs, no_docs, monkeypatch):
     assert sorted(r["doc_id"] for r in near) == [8, 9]
 
 
+def test_proximity_is_the_brute_force_one(spark):
+    """Places of a segment's rarest word with every other word within the slop, in one document, over several segments."""
+    import random
+
+    rng = random.Random(8)
+    texts = {k: " ".join(rng.choice("abcdefgh") + rng.choice(["", ",", "."]) for _ in range(rng.choice([0, 3, 20, 60]))) for k in range(30)} | {40: None, 41: "A b"}
+    index = positional_index.build(spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").repartition(5))
+    segments = [r["ids"] for r in index.where("term is null").collect()]
+    assert len(segments) > 3 and sorted(i for ids in segments for i in ids) == sorted(texts)
+    words = {k: ALNUM.findall(lower(t)) for k, t in texts.items()}
+    for wanted, slop in ((["a", "b"], 1), (["a", "b", "c"], 4), (["h"], 0), (["a", "zz"], 9), (["A", "a", "g"], 2)):
+        asked, want = list(dict.fromkeys(lower(w) for w in wanted)), {}
+        for ids in segments:
+            rarest = min(asked, key=lambda w: sum(words[i].count(w) for i in ids))  # noqa: B023
+            for i in ids:
+                at = {w: [p for p, x in enumerate(words[i]) if x == w] for w in asked}
+                if found := [p for p in at[rarest] if all(any(abs(p - q) <= slop for q in at[w]) for w in asked)]:
+                    want[i] = found
+        assert {r["doc_id"]: r["positions"] for r in positional_index.proximity_matches(index, wanted, slop).collect()} == want
+
+
 def brute_components(rows):
     sets = []
     for r in rows:

@@ -180,6 +180,120 @@ def test_swapping_takes_identity_out_of_the_verdict():
     assert fair.logit([b"vile"]) > 0 > fair.logit([b"muslim", b"w1"])
 
 
+def test_neutral_mentions_are_not_toxic():
+    """Toxic sentences name one group more often; neutral ones that name it are false positives without the penalty."""
+    rng = np.random.default_rng(11)
+    rows = []
+    for k in range(600):
+        toxic = k % 3 == 0
+        words = [f"w{int(x)}".encode() for x in rng.integers(0, 60, 8)]
+        if toxic and rng.random() < 0.5:
+            words.append(b"vile")
+        if rng.random() < (0.95 if toxic else 0.02):
+            words.append(b"muslim")
+        elif rng.random() < 0.3:
+            words.append(b"christian")
+        rows.append((sorted(set(words)), int(toxic)))
+    neutral = [[f"w{int(x)}".encode() for x in rng.integers(0, 60, 8)] + [b"muslim"] for _ in range(200)]
+    wrong = lambda m: sum(m.logit(w) >= 0 for w in neutral)
+    plain, fair = toxicity.train(rows, swap=0.0), toxicity.train(rows, swap=20.0)
+    assert wrong(plain) > 150 and wrong(fair) < 0.2 * wrong(plain)
+    assert fair.logit([b"vile", b"w3"]) > fair.logit([b"w3"])
+
+
+def test_toxicity_training_is_the_plain_gradient():
+    """The same steps with dictionaries and loops."""
+    rng = np.random.default_rng(3)
+    rows = [(sorted({f"x{int(v)}".encode() for v in rng.integers(0, 9, 5)} | ({b"muslim"} if k % 4 == 0 else set())), int(k % 3 == 0)) for k in range(40)]
+    model = toxicity.train(rows, swap=0.7, epochs=5)
+    seen = Counter(f for words, _ in rows for f in {f for w in words for f in toxicity.word_features(w)})
+    used = {f for f, n in seen.items() if n >= toxicity.LEAST}
+    vector = lambda words: [f for w in words for f in toxicity.word_features(w) if f in used]
+    docs = [(vector(words), y) for words, y in rows]
+    pairs = [(d, vector(copy)) for d, (words, _) in enumerate(rows) for copy in toxicity.swapped(words)]
+    assert pairs
+    n, ones = len(docs), sum(y for _, y in docs)
+    w, square, b, b_square = dict.fromkeys(used, 0.0), dict.fromkeys(used, 1e-8), math.log((ones + 0.5) / (n - ones + 0.5)), 1e-8
+    for _ in range(5):
+        grad, b_grad = dict.fromkeys(used, 0.0), 0.0
+        for v, y in docs:
+            e = (1 / (1 + math.exp(-(b + sum(w[f] for f in v)))) - y) / n
+            b_grad += e
+            for f in v:
+                grad[f] += e
+        for d, copy in pairs:
+            push = 2 * 0.7 * (sum(w[f] for f in docs[d][0]) - sum(w[f] for f in copy)) / n
+            for f in docs[d][0]:
+                grad[f] += push
+            for f in copy:
+                grad[f] -= push
+        for f in used:
+            square[f] += grad[f] ** 2
+            step = toxicity.RATE / math.sqrt(square[f])
+            moved = w[f] - step * grad[f]
+            w[f] = math.copysign(max(abs(moved) - step * toxicity.L1, 0.0), moved)
+        b_square += b_grad**2
+        b -= toxicity.RATE * 0.2 * b_grad / math.sqrt(b_square)
+    assert model.constant == pytest.approx(b) and set(model.weights) == {f for f in used if w[f] != 0}
+    assert all(model.weights[f] == pytest.approx(w[f]) for f in model.weights)
+
+
+def test_regularised_leader_is_the_plain_one():
+    """Per-coordinate updates with dictionaries, and the vectors straight from their definition."""
+    features = quality_classifier.Features(12)
+    texts = [b"Good words here good words", b"BAD $$$ bad bad", b"", None, "Été ça va été".encode(), b"one"]
+    rows = [(*features(t), k % 2) for k, t in enumerate(texts)]
+    assert [list(x) for x in rows[2][:2]] == [[0], [1.0]] == [list(x) for x in rows[3][:2]]
+    assert all(float((x[1:] ** 2).sum()) == pytest.approx(4.0, abs=1e-5) for at, x, _ in rows[:2])  # four families of length one
+    weights = quality_classifier.train(rows, 12, 3)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(i):
+        pull = max(abs(z[i]) - quality_classifier.L1, 0.0)
+        return -math.copysign(pull, z[i]) / ((quality_classifier.BETA + math.sqrt(n[i])) / quality_classifier.ALPHA + quality_classifier.L2) if pull else 0.0
+
+    for _ in range(3):
+        for at, x, y in rows:
+            now = [weight(i) for i in at.tolist()]
+            p = 1 / (1 + math.exp(-sum(a * b for a, b in zip(now, x.tolist(), strict=True))))
+            for i, v, w in zip(at.tolist(), x.tolist(), now, strict=True):
+                g = (p - y) * v
+                z[i] += g - (math.sqrt(n[i] + g * g) - math.sqrt(n[i])) / quality_classifier.ALPHA * w
+                n[i] += g * g
+    assert {i for i in range(1 << 12) if weights[i]} == {i for i in list(z) if weight(i)}
+    assert all(weights[i] == pytest.approx(weight(i), abs=1e-5) for i in list(z))
+
+
+def test_language_prediction_is_the_sum_over_paths(spark):
+    """Predictions of a small model against label probabilities summed over all label sequences of each chain."""
+    import itertools
+
+    rng = np.random.default_rng(6)
+    rows = [([f"{lang}{int(x)}".encode() for x in rng.integers(0, 6, 9)], lang) for _ in range(12) for lang in ("ab", "cd")]
+    model = language_crf.train(rows)
+    assert model.lexicon is not None and len(model.lexicon.keys) > 4
+    texts = {1: "ab1 cd2 ab3", 2: "cd4 cd5 12 ab0 cd1", 3: "zz, unknown", 4: "7 8", 5: None, 6: "ab1 ab2 ab3 cd1"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    out = {r["doc_id"]: r for r in language_crf.predict(df, model).collect()}
+    for k, text in texts.items():
+        if not text or not any(c.isalpha() for c in text):
+            assert (out[k]["lang_pred"], out[k]["score"]) == ("und", 0.0)
+            continue
+        words = [w.encode() for w in text.split()]
+        emitted = []
+        for w in words:
+            _, features, _ = language_crf.word_features([w], model.lexicon)
+            emitted.append(model.emit[features].sum(0).astype(float))
+        weight, mean = 0.0, np.zeros(2)
+        for path in itertools.product(range(2), repeat=len(words)):
+            s = math.exp(model.start[path[0]] + sum(e[x] for e, x in zip(emitted, path, strict=True)) + sum(model.move[a, b] for a, b in itertools.pairwise(path)))
+            weight += s
+            for x in path:
+                mean[x] += s / len(words)
+        mean /= weight
+        assert out[k]["lang_pred"] == model.labels[int(mean.argmax())] and out[k]["score"] == pytest.approx(mean.max(), abs=1e-4)
+
+
 def test_language_field(spark, odd_docs, no_docs):
     rng = np.random.default_rng(4)
     syllables = {"aa": ["ba", "lo", "ti"], "bb": ["ker", "schu", "ung"], "cc": ["ión", "que", "ña"]}
