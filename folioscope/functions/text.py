@@ -84,5 +84,44 @@ def quoted_name(text: Column) -> Column:
     return F.regexp_extract(text, "[«\"“]([^»\"”]+)[»\"”]", 1)
 
 
+def archive_id(text: Column) -> Column:
+    """An object's id as NNNN_YY from its number and year in one text (12345, 123_2045, 123.0); empty where there is none."""
+    raw = F.regexp_replace(F.trim(F.coalesce(text, F.lit(""))), r"\.0$", "")
+    parts = F.regexp_extract_all(raw, F.lit(r"\d+"), F.lit(0))
+    flat = digits(raw)
+    wide = lambda n: F.when(F.length(n) >= 4, n).otherwise(F.lpad(n, 4, "0"))
+    made = lambda number, year: F.concat(wide(number.try_cast("bigint").cast("string")), F.lit("_"), F.lpad(year, 2, "0"))
+    split = F.contains(raw, F.lit("_")) & (F.size(parts) >= 2)
+    by_parts = made(F.try_element_at(parts, F.lit(1)), F.pmod(F.try_element_at(parts, F.lit(-1)).try_cast("bigint"), F.lit(100)).cast("string"))
+    by_place = made(F.substring(flat, F.lit(1), F.length(flat) - 2), F.substring(flat, -2, 2))
+    return F.when(split, by_parts).when(F.length(flat) >= 3, by_place).otherwise("")
+
+
+#: Legal forms of organisations, with what they are found by.
+LEGAL_FORMS = (("ПАО", r"(?<!\p{L})пао(?!\p{L})"), ("ОАО", r"(?<!\p{L})оао(?!\p{L})"), ("ЗАО", r"(?<!\p{L})зао(?!\p{L})"), ("ООО", r"(?<!\p{L})(ооо|000)(?!\p{L})|общество с ограниченной ответственностью"), ("АО", r"(?<!\p{L})ао(?!\p{L})|акционерное общество"), ("ИП", r"(?<!\p{L})ип(?!\p{L})"))
+
+
+def legal_form(text: Column) -> Column:
+    """The first legal form that an organisation's name holds; empty without."""
+    low = normalize_text(text)
+    out = F.when(F.lit(False), "")
+    for name, pattern in LEGAL_FORMS:
+        out = out.when(low.rlike(pattern), name)
+    return out.otherwise("")
+
+
+def file_url(path: Column) -> Column:
+    """A file's path as a file URL."""
+    slashed = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.concat(F.when(slashed.startswith("/"), "file://").otherwise("file:///"), F.replace(F.replace(F.url_encode(slashed), F.lit("%2F"), F.lit("/")), F.lit("+"), F.lit("%20")))
+
+
+def signature_areas(source: Column) -> Column:
+    """The areas of a page signature's groups (...|groups:name:count:area:...;...) as a map from name to area."""
+    groups = F.split(F.when(F.contains(source, F.lit("|groups:")), F.substring_index(source, "|groups:", -1)).otherwise(""), ";")
+    parts = F.filter(F.transform(groups, lambda g: F.split(g, ":")), lambda p: F.size(p) >= 3)
+    return F.map_from_entries(F.transform(parts, lambda p: F.struct(p[0], safe_double(p[2]))))
+
+
 def digits(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")

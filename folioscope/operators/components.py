@@ -2,29 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-
-def _checkpointed(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="folioscope-"))
-    return df.checkpoint()
+from ..storage import stored
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
     """member, component_id (the least member reachable) of edges (a, b); of ``nodes`` (member) those without an edge stand alone."""
     both = edges.select("a", "b").unionByName(edges.selectExpr("b as a", "a as b")).where("a <> b").distinct()
-    both = _checkpointed(both)
-    labels = _checkpointed(both.groupBy(F.col("a").alias("member")).agg(F.least(F.col("member"), F.min("b")).alias("comp")))
+    both = stored(both, "edges")
+    labels = stored(both.groupBy(F.col("a").alias("member")).agg(F.least(F.col("member"), F.min("b")).alias("comp")), "labels")
     while True:
         near = both.join(labels.select(F.col("member").alias("b"), "comp"), "b").groupBy(F.col("a").alias("member")).agg(F.min("comp").alias("near"))
         new = labels.join(near, "member").select("member", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         up = labels.select(F.col("member").alias("comp"), F.col("comp").alias("up"))
-        new = _checkpointed(new.join(up, "comp").select("member", F.least("comp", "up").alias("comp"), "old"))
+        new = stored(new.join(up, "comp").select("member", F.least("comp", "up").alias("comp"), "old"), "labels")
         if new.where("comp <> old").isEmpty():
             break
         labels = new.select("member", "comp")

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_text, text_hash, tokens, word_shingles
 
 
 def segments(docs: DataFrame) -> DataFrame:
-    """doc_id, section, object_id, seg_no, text: the lines of each document (columns doc_id, section, object_id, text)."""
-    return docs.select("doc_id", "section", "object_id", F.posexplode(F.split("text", "\n")).alias("seg_no", "text"))
+    """doc_id, section, object_id (and org, where there is one), seg_no, text: the lines of each document."""
+    more = ["org"] if "org" in docs.columns else []
+    return docs.select("doc_id", "section", "object_id", *more, F.posexplode(F.split("text", "\n")).alias("seg_no", "text"))
 
 
 def normalized_segments(segs: DataFrame) -> DataFrame:
@@ -18,20 +21,76 @@ def normalized_segments(segs: DataFrame) -> DataFrame:
     return segs.withColumn("normalized", normalize_text(F.col("text"))).where("normalized <> ''").drop("text")
 
 
-def text_entities(segs: DataFrame) -> DataFrame:
+def text_entities(segs: DataFrame, hashed: Callable[[Column], Column] = text_hash) -> DataFrame:
     """doc_id, section, object_id, entity_kind, entity_hash, n of segments and of the word shingles inside them.
 
-    Both kinds leave one scan: each segment yields an array of (kind, text), exploded once, then counted.
+    Both kinds leave one scan: each segment yields an array of (kind, text), exploded once, then counted. ``hashed`` is
+    the hash that stands for a text: SHA-1 in hex, or a 64-bit one where it doesn't leave the engine.
     """
     rows = normalized_segments(segs)
     own = F.array(F.struct(F.lit("text_segment").alias("entity_kind"), F.col("normalized").alias("value")))
     inside = F.transform(word_shingles(F.col("words")), lambda s: F.struct(F.lit("text_word_shingle").alias("entity_kind"), s.alias("value")))
     rows = rows.withColumn("words", tokens(F.col("normalized"))).select("doc_id", "section", "object_id", F.explode(F.concat(own, inside)).alias("e"))
-    return (
-        rows.select("doc_id", "section", "object_id", "e.entity_kind", text_hash(F.col("e.value")).alias("entity_hash"))
-        .groupBy("doc_id", "section", "object_id", "entity_kind", "entity_hash")
-        .agg(F.count("*").alias("n"))
+    return _counted(rows.select("doc_id", "section", "object_id", "e.entity_kind", hashed(F.col("e.value")).alias("entity_hash")))
+
+
+def measured_entities(segs: DataFrame, hashed: Callable[[Column], Column] = text_hash) -> DataFrame:
+    """text_entities() with org (a column of segs), tokens and chars: the words and the length of what the hash stands for."""
+    rows = normalized_segments(segs).withColumn("words", tokens(F.col("normalized")))
+    own = F.array(F.struct(F.lit("text_segment").alias("entity_kind"), F.col("normalized").alias("value"), F.size("words").alias("tokens")))
+    inside = F.transform(word_shingles(F.col("words")), lambda s: F.struct(F.lit("text_word_shingle").alias("entity_kind"), s.alias("value"), F.lit(5).alias("tokens")))
+    who = ["doc_id", "section", "object_id", "org"]
+    rows = rows.select(*who, F.explode(F.concat(own, inside)).alias("e"))
+    rows = rows.select(*who, "e.entity_kind", hashed(F.col("e.value")).alias("entity_hash"), "e.tokens", F.length("e.value").alias("chars"))
+    return rows.groupBy(*who, "entity_kind", "entity_hash").agg(F.count("*").alias("n"), F.max("tokens").alias("tokens"), F.max("chars").alias("chars"))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.groupBy("doc_id", "section", "object_id", "entity_kind", "entity_hash").agg(F.count("*").alias("n"))
+
+
+def table_lines(segs: DataFrame) -> DataFrame:
+    """The segments with a bar in them: doc_id, section, object_id, seg_no, table_no (consecutive ones are one table), cells."""
+    lines = segs.where(F.contains("text", F.lit("|")))
+    run = F.col("seg_no") - F.row_number().over(Window.partitionBy("doc_id").orderBy("seg_no"))
+    return lines.withColumns({"table_no": run, "cells": F.transform(F.split("text", r"\|"), normalize_text)}).drop("text")
+
+
+def table_entities(segs: DataFrame, hashed: Callable[[Column], Column] = text_hash) -> DataFrame:
+    """Entities of the tables in a document's lines: the texts of cells, the layout and the content of each table."""
+    lines = table_lines(segs)
+    who = ["doc_id", "section", "object_id"]
+    kind = lambda name: F.lit(name).alias("entity_kind")
+    cells = lines.select(*who, F.explode("cells").alias("v")).where("v <> ''").select(*who, kind("table_cell_text"), hashed(F.col("v")).alias("entity_hash"))
+    tables = lines.groupBy(*who, "table_no").agg(F.array_sort(F.collect_list(F.struct("seg_no", "cells")))["cells"].alias("rows"))
+    wide = F.array_max(F.transform("rows", F.size))
+    many = F.aggregate(F.transform("rows", F.size), F.lit(0), lambda a, x: a + x)
+    layout = F.concat_ws("|", F.concat(F.lit("rows:"), F.size("rows")), F.concat(F.lit("cols:"), wide), F.concat(F.lit("cells:"), many))
+    placed = F.flatten(F.transform("rows", lambda row, r: F.transform(row, lambda t, c: F.struct(r.alias("r"), c.alias("c"), t.alias("t")))))
+    layouts = tables.select(*who, kind("table_layout_signature"), hashed(layout).alias("entity_hash"))
+    contents = tables.select(*who, kind("table_content_signature"), hashed(cell_lines(placed)).alias("entity_hash"))
+    return _counted(cells.unionByName(layouts).unionByName(contents))
+
+
+#: Lines of a page, where a document has no pages of its own.
+PAGE_LINES = 20
+
+
+def page_entities(segs: DataFrame, hashed: Callable[[Column], Column] = text_hash) -> DataFrame:
+    """The signature of each page of PAGE_LINES lines: how many lines, table lines and blank lines it has."""
+    blank = normalize_text(F.col("text")) == ""
+    pages = segs.groupBy("doc_id", "section", "object_id", F.floor(F.col("seg_no") / PAGE_LINES).alias("page")).agg(
+        F.count("*").alias("lines"), F.count_if(F.contains("text", F.lit("|"))).alias("tables"), F.count_if(blank).alias("blank")
     )
+    source = F.concat_ws("|", *[F.concat(F.lit(f"{c}:"), F.col(c).cast("string")) for c in ("lines", "tables", "blank")])
+    return _counted(pages.select("doc_id", "section", "object_id", F.lit("page_signature").alias("entity_kind"), hashed(source).alias("entity_hash")))
+
+
+def document_shingles(docs: DataFrame, hashed: Callable[[Column], Column] = text_hash) -> DataFrame:
+    """Entities of the word shingles of whole documents, across their lines."""
+    words = word_shingles(tokens(normalize_text(F.col("text"))))
+    rows = docs.select("doc_id", "section", "object_id", F.lit("document_word_shingle").alias("entity_kind"), F.explode(words).alias("s"))
+    return _counted(rows.select("doc_id", "section", "object_id", "entity_kind", hashed(F.col("s")).alias("entity_hash")))
 
 
 def page_signature_source(width: Column, height: Column, rotation: Column, counts: dict[str, Column], groups: Column) -> Column:
@@ -50,10 +109,15 @@ def content_signature(cells: DataFrame, keys: list[str]) -> DataFrame:
     return cells.groupBy(*keys).agg(cells_hash(F.collect_list(cell)).alias("content_sha1"))
 
 
+def cell_lines(cells: Column) -> Column:
+    """An array of cells (r, c, t) as row:col:text lines in order."""
+    line = lambda x: F.concat_ws(":", x["r"].cast("string"), x["c"].cast("string"), x["t"])
+    return F.array_join(F.transform(F.array_sort(cells), line), "\n")
+
+
 def cells_hash(cells: Column) -> Column:
     """SHA-1 of an array of cells (r, c, t) as row:col:text lines in order."""
-    line = lambda x: F.concat_ws(":", x["r"].cast("string"), x["c"].cast("string"), x["t"])
-    return text_hash(F.array_join(F.transform(F.array_sort(cells), line), "\n"))
+    return text_hash(cell_lines(cells))
 
 
 def text_cells(text: Column) -> Column:

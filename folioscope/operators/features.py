@@ -23,25 +23,34 @@ def part_of(vector: Column, places: list[int]) -> Column:
     return F.array(*[vector[k] for k in places])
 
 
-def feature_pairs(rows: DataFrame, group: str, key: str) -> DataFrame:
-    """left, right of each group, the lower key on the left, with both sides' vectors (lv, lz, rv, rz)."""
-    l = rows.select(group, F.col(key).alias("left"), F.col("v").alias("lv"), F.col("z").alias("lz"))
-    r = rows.select(group, F.col(key).alias("right"), F.col("v").alias("rv"), F.col("z").alias("rz"))
-    return l.join(r, group).where(F.col("left") < F.col("right"))
+def sides(pairs: DataFrame, rows: DataFrame, columns: list[str], key: str = "doc_id") -> DataFrame:
+    """The pairs with the given columns of their left and right documents, as left_<column> and right_<column>."""
+    for x in ("left", "right"):
+        pairs = pairs.join(rows.select(F.col(key).alias(f"{x}_doc"), *[F.col(c).alias(f"{x}_{c}") for c in columns]), f"{x}_doc")
+    return pairs
 
 
-def cosines(pairs: DataFrame, subvectors: dict[str, list[int]]) -> DataFrame:
-    """feature_cosine over all features, a raw and a centred cosine for each subvector, mean and largest relative difference."""
-    delta = F.zip_with("lv", "rv", lambda a, b: F.coalesce(F.try_divide(F.abs(a - b), F.greatest(F.abs(a), F.abs(b))), F.lit(0.0)))
-    out = {"feature_cosine": F.round(S.log_cosine(F.col("lv"), F.col("rv")), 4)}
+def relative_deltas(left: Column, right: Column) -> Column:
+    """Absolute differences over the larger value, which counts as 1 at least."""
+    return F.zip_with(left, right, lambda a, b: F.abs(b - a) / F.greatest(F.abs(a), F.abs(b), F.lit(1.0)))
+
+
+def cosines(pairs: DataFrame, subvectors: dict[str, list[int]], whole: list[int] | None = None) -> DataFrame:
+    """Of pairs with left_v, right_v, left_z, right_z: feature_cosine, and of each subvector the cosine of logarithms, the
+    centred cosine, and the mean and largest relative difference."""
+    lv, rv, lz, rz = (F.col(c) for c in ("left_v", "right_v", "left_z", "right_z"))
+    at = lambda v, places: v if places is None else part_of(v, places)
+    out = {"feature_cosine": F.round(S.log_cosine(at(lv, whole), at(rv, whole)) + 1e-9, 4)}
     for name, places in subvectors.items():
-        out[f"{name}_raw"] = F.round(S.log_cosine(part_of(F.col("lv"), places), part_of(F.col("rv"), places)), 4)
-        out[f"{name}_centered"] = F.round(S.cosine(part_of(F.col("lz"), places), part_of(F.col("rz"), places)), 4)
-    out["mean_delta"] = F.round(S.total(delta) / F.size(delta), 4)
-    out["max_delta"] = F.round(F.array_max(delta), 4)
+        delta = relative_deltas(part_of(lv, places), part_of(rv, places))
+        out[f"{name}_cosine"] = F.round(S.log_cosine(part_of(lv, places), part_of(rv, places)) + 1e-9, 4)
+        out[f"{name}_centered"] = F.round(S.cosine(part_of(lz, places), part_of(rz, places)) + 1e-9, 4)
+        out[f"{name}_mean_delta"] = F.round(S.total(delta) / len(places) + 1e-9, 4)
+        out[f"{name}_max_delta"] = F.round(F.array_max(delta) + 1e-9, 4)
     return pairs.withColumns(out)
 
 
-def style_score(left: Column, right: Column, left_shares: Column, right_shares: Column) -> Column:
-    """0.7 ratio similarity and 0.3 composition similarity."""
-    return S.weighted([(S.ratio_similarity(left, right), 0.7), (S.composition_similarity(left_shares, right_shares), 0.3)])
+def style_score(left: Column, right: Column, left_shares: Column, right_shares: Column) -> tuple[Column, Column, Column]:
+    """0.7 ratio similarity and 0.3 composition similarity, and the two of them."""
+    ratio, composition = S.ratio_similarity(left, right), S.composition_similarity(left_shares, right_shares)
+    return S.weighted([(ratio, 0.7), (composition, 0.3)]), ratio, composition

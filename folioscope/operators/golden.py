@@ -7,9 +7,9 @@ from typing import Any
 from pyspark.sql import DataFrame
 
 
-def value_at(payload: Any, path: str) -> Any:
-    """The value at a dotted path of names and list places; a KeyError names the part that is missing."""
-    for part in path.split("."):
+def value_at(payload: Any, path: str | list[str]) -> Any:
+    """The value at a path of names and list places, dotted or a list; a KeyError names the part that is missing."""
+    for part in path.split(".") if isinstance(path, str) else path:
         if isinstance(payload, list):
             payload = payload[int(part)]
         elif isinstance(payload, dict) and part in payload:
@@ -19,33 +19,65 @@ def value_at(payload: Any, path: str) -> Any:
     return payload
 
 
+def selected(payload: Any, selector: dict) -> Any:
+    """What a selector names: the value at its json_path, or at value_path in the one row of a list that its filter fits.
+
+    filter has list_path, where (column to value) and value_path; a filter that fits no row or several is an error.
+    """
+    if "json_path" in selector:
+        return value_at(payload, selector["json_path"])
+    rule = selector.get("filter")
+    if not rule:
+        raise ValueError("a selector needs json_path or filter")
+    rows = value_at(payload, rule["list_path"])
+    if not isinstance(rows, list):
+        raise TypeError("a filter needs a list")
+    fitting = [r for r in rows if isinstance(r, dict) and r.items() >= rule["where"].items()]
+    if len(fitting) != 1:
+        raise ValueError(f"the filter fits {len(fitting)} rows, not one")
+    return value_at(fitting[0], rule["value_path"])
+
+
 def _number(x: Any) -> float:
     if isinstance(x, bool) or not isinstance(x, int | float):
         raise TypeError(f"a number is needed, not {x!r}")
     return x
 
 
+def _operands(anchor: dict, payload: Any) -> dict[str, Any]:
+    """The values of the named operands; plain paths are named after themselves."""
+    named = [(o, {"json_path": o}) if isinstance(o, str) else (o["name"], o) for o in anchor["operands"]]
+    if len({name for name, _ in named}) < len(named):
+        raise ValueError("two operands have one name")
+    return {name: _number(selected(payload, selector)) for name, selector in named}
+
+
 def check(anchor: dict, payload: Any) -> tuple[bool, Any]:
     """Whether an anchor holds, and the value found.
 
-    ``operator`` is equal (value and type), approx (within tolerance), between (low, high), at_least, sum_equal (the
-    operands' sum) or difference_at_least (first operand less the second).
+    ``operator`` is equal (value and type), approx (within tolerance), between (minimum, maximum), at_least (minimum),
+    sum_equal (of all operands, value and type) or difference_at_least (left_operand less right_operand, the first less
+    the second where they aren't named, minimum_difference).
     """
     kind = anchor["operator"]
-    if kind in ("sum_equal", "difference_at_least"):
-        operands = [_number(value_at(payload, p)) for p in anchor["operands"]]
-        found = sum(operands) if kind == "sum_equal" else operands[0] - operands[1]
-        return (found == anchor["expected"] if kind == "sum_equal" else found >= anchor["expected"]), found
-    found = value_at(payload, anchor["json_path"])
+    if kind == "sum_equal":
+        total = sum(_operands(anchor, payload).values())
+        return type(total) is type(anchor["expected"]) and total == anchor["expected"], total
+    if kind == "difference_at_least":
+        values = _operands(anchor, payload)
+        first, second = (anchor.get(f"{side}_operand", name) for side, name in zip(("left", "right"), values, strict=False))
+        found = values[first] - values[second]
+        return found >= anchor["minimum_difference"], found
+    found = selected(payload, anchor)
     if kind == "equal":
         return type(found) is type(anchor["expected"]) and found == anchor["expected"], found
     number = _number(found)
     if kind == "approx":
         return abs(number - anchor["expected"]) <= anchor["tolerance"], found
     if kind == "between":
-        return anchor["low"] <= number <= anchor["high"], found
+        return anchor["minimum"] <= number <= anchor["maximum"], found
     if kind == "at_least":
-        return number >= anchor["expected"], found
+        return number >= anchor["minimum"], found
     raise ValueError(f"unknown operator {kind!r}")
 
 

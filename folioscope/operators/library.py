@@ -1,89 +1,126 @@
-"""Recurring elements: candidates, how they belong to organisations, evidence samples, coverage of documents."""
+"""Recurring elements: candidates, how they belong to organisations, evidence samples, coverage of documents, combined reports."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import stable_id
+from .frequency import idf
 
-#: Least organisations' lead, most document share of a bridge, coverage and residual bands.
-DISTINCTIVE, BRIDGE = 0.25, 0.25
+#: Least organisations' lead, most document share of a bridge, least tokens and characters of a segment.
+DISTINCTIVE, BRIDGE, TOKENS, CHARS = 0.25, 0.25, 3, 12
+KEY = ["section", "entity_kind", "entity_hash"]
 
 
-def candidates(entities: DataFrame, least_objects: int = 3) -> DataFrame:
-    """Entities of a section in ``least_objects`` or more documents, with organisation ratios and classes.
+def candidates(entities: DataFrame, least_objects: int = 3, id_base: str = "text_element_candidate_v0", id_prefix: str = "txtc_v0_", bridge: float = BRIDGE) -> DataFrame:
+    """Entities of a section in ``least_objects`` or more objects, with the organisations that hold them, classes and status.
 
-    ``entities`` has doc_id, section, object_id (the organisation), entity_kind, entity_hash, n. An organisation's
-    ratio is the share of its documents in the section that hold the entity; the largest ratio dominates, on a tie
-    the larger name.
+    ``entities`` has doc_id, section, object_id, org, entity_kind, entity_hash, n, tokens, chars. An organisation's
+    ratio is the share of its objects in the section that hold the entity; the largest ratio dominates, on a tie the
+    larger name. Short segments are kept, as diagnostic_trivial. Organisations are few: a row of each entity and
+    organisation is gathered into one text.
     """
-    key = ["section", "entity_kind", "entity_hash"]
-    sizes = entities.select("section", "object_id", "doc_id").distinct().groupBy("section", "object_id").agg(F.count("*").alias("org_docs"))
-    section_docs = sizes.groupBy("section").agg(F.sum("org_docs").alias("section_docs"))
-    by_org = entities.groupBy(*key, "object_id").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"))
-    by_org = by_org.join(F.broadcast(sizes), ["section", "object_id"]).withColumn("ratio", F.col("docs") / F.col("org_docs"))
-    # the two leading organisations of an entity, without gathering its organisations
-    lead = F.struct("ratio", F.col("object_id").alias("org"))
-    found = by_org.groupBy(*key).agg(
-        F.sum("docs").alias("document_count"), F.sum("occurrences").alias("occurrence_count"), F.count("*").alias("org_count"), F.max(lead).alias("first")
-    ).where(F.col("document_count") >= least_objects)
-    rest = by_org.join(found.select(*key, "first"), key).where(F.col("object_id") != F.col("first.org")).groupBy(*key).agg(F.max("ratio").alias("second_ratio"))
-    out = found.join(rest, key, "left").join(F.broadcast(section_docs), "section")
-    delta = F.col("first.ratio") - F.coalesce("second_ratio", F.lit(0.0))
+    whole = entities.select("section", "object_id", "org", "doc_id").distinct()
+    sizes = whole.groupBy("section", "org").agg(F.countDistinct("object_id").alias("org_objects"))
+    sections = whole.groupBy("section").agg(F.countDistinct("object_id").alias("section_objects"), F.countDistinct("doc_id").alias("section_documents"))
+    by_object = entities.groupBy(*KEY, "org", "object_id").agg(F.count("*").alias("docs"), F.sum("n").alias("occurrences"), F.max("tokens").alias("tokens"), F.max("chars").alias("chars"))
+    by_org = by_object.groupBy(*KEY, "org").agg(
+        F.count("*").alias("objects"), F.sum("docs").alias("docs"), F.sum("occurrences").alias("occurrences"), F.max("tokens").alias("tokens"), F.max("chars").alias("chars")
+    )
+    by_org = by_org.join(sizes, ["section", "org"]).withColumn("ratio", F.col("objects") / F.col("org_objects"))
+    counts = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("org", c))), lambda x: F.concat_ws(":", x["org"], x[c].cast("string"))), "|")
+    found = by_org.groupBy(*KEY).agg(
+        F.sum("objects").alias("object_count"), F.sum("docs").alias("document_count"), F.sum("occurrences").alias("occurrence_count"), F.count("*").alias("org_count"),
+        F.max("tokens").alias("token_count"), F.max("chars").alias("char_count"), F.slice(F.reverse(F.array_sort(F.collect_list(F.struct("ratio", "org", "objects")))), 1, 2).alias("lead"),
+        counts("objects").alias("org_object_counts"), counts("occurrences").alias("org_occurrence_counts"),
+    ).where(F.col("object_count") >= least_objects)
+    out = found.join(sections, "section")
+    first, second = F.col("lead")[0], F.coalesce(F.try_element_at("lead", F.lit(2))["ratio"], F.lit(0.0))
+    delta = first["ratio"] - second
     org_class = F.when(F.col("org_count") == 1, "org_specific").when(delta >= DISTINCTIVE, "org_distinctive").otherwise("cross_org_common")
-    share = F.col("document_count") / F.col("section_docs")
-    out = out.withColumns({"org_class": org_class, "df_ratio": F.round(share, 4), "dominant_org": F.col("first.org"), "delta": F.round(delta, 4)})
+    share = F.col("document_count") / F.col("section_documents")
+    out = out.withColumns({"org_class": org_class, "org_scope": F.when(F.col("org_count") > 1, "cross_org").otherwise("single_org"), "_share": share})
     kind = (
-        F.when(F.col("org_count") == 1, "org_text_pattern")
-        .when((F.col("org_class") == "cross_org_common") | (F.col("df_ratio") > BRIDGE), "normative_text")
+        F.when(F.col("org_scope") != "cross_org", "org_text_pattern")
+        .when((F.col("org_class") == "cross_org_common") | (F.col("_share") > bridge), "normative_text")
         .otherwise("cross_org_text_bridge")
     )
+    out = out.withColumn("candidate_class", kind)
+    signal = F.when(F.col("candidate_class") == "cross_org_text_bridge", "copy_review_needed").when(F.col("candidate_class") == "normative_text", "normative_or_boilerplate").otherwise("org_pattern")
+    short = F.when(F.col("entity_kind") == "text_segment", F.array_compact(F.array(F.when(F.col("token_count") < TOKENS, f"token_count<{TOKENS}"), F.when(F.col("char_count") < CHARS, f"char_count<{CHARS}"))))
+    reason = F.coalesce(F.array_join(short, "|"), F.lit(""))
+    round4 = lambda c: F.round(c + 1e-9, 4)
     return out.select(
-        stable_id("cand_", F.col("section"), F.col("entity_kind"), F.col("entity_hash")).alias("candidate_id"), *key,
-        "document_count", "occurrence_count", "org_count", "df_ratio", "org_class", "dominant_org", "delta", kind.alias("candidate_class"),
+        stable_id(id_prefix, id_base, *[F.col(c) for c in KEY]).alias("candidate_id"), *KEY, "candidate_class", "object_count", "document_count", "occurrence_count",
+        "section_objects", "section_documents", round4(F.col("object_count") / F.col("section_objects")).alias("object_ratio"), round4(F.col("_share")).alias("document_ratio"),
+        F.round(idf(F.col("document_count"), F.col("section_documents")), 4).alias("section_idf"), "org_scope", "org_class", first["org"].alias("dominant_org"), first["objects"].alias("dominant_objects"),
+        round4(first["ratio"]).alias("dominant_ratio"), round4(second).alias("second_ratio"), round4(delta).alias("delta"), "org_object_counts", "org_occurrence_counts", signal.alias("signal"),
+        "token_count", "char_count", reason.alias("triviality_reason"), F.when(reason == "", "candidate").otherwise("diagnostic_trivial").alias("candidate_status"), "org_count",
     )
 
 
 def evidence(entities: DataFrame, found: DataFrame, most: int = 20) -> DataFrame:
     """At most ``most`` documents of each candidate: some of every organisation first, then in order of organisation and id."""
-    key = ["section", "entity_kind", "entity_hash"]
-    rows = entities.select(*key, "object_id", "doc_id", "n").join(found.select("candidate_id", *key, "org_count"), key)
-    seed = F.greatest(F.lit(1), F.floor(F.lit(most) / F.col("org_count") / 2))
-    rows = rows.withColumn("in_org", F.row_number().over(Window.partitionBy("candidate_id", "object_id").orderBy("doc_id")))
-    order = Window.partitionBy("candidate_id").orderBy(F.when(F.col("in_org") <= seed, 0).otherwise(1), "object_id", "doc_id")
-    return rows.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= most).select("candidate_id", "object_id", "doc_id", "n", "place")
-
-
-def coverage(entities: DataFrame, found: DataFrame) -> DataFrame:
-    """Per document: occurrences in all, matched by candidates, expected (common ones), foreign (led by another organisation)."""
-    key = ["section", "entity_kind", "entity_hash"]
-    rows = entities.join(found.select(*key, "candidate_class", "dominant_org", "org_class"), key, "left")
-    matched = F.col("candidate_class").isNotNull()
-    when = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    out = rows.groupBy("doc_id", "section", "object_id").agg(
-        F.sum("n").alias("total"), when(matched).alias("matched"), when(matched & (F.col("candidate_class") == "normative_text")).alias("expected"),
-        when(matched & (F.col("org_class") == "org_distinctive") & (F.col("dominant_org") != F.col("object_id"))).alias("foreign"),
-    )
-    ratio = lambda c: F.round(F.col(c) / F.col("total"), 4)
-    return out.select(
-        "doc_id", "section", "object_id", "total", "matched", (F.col("total") - F.col("matched")).alias("residual"),
-        ratio("matched").alias("matched_ratio"), ratio("expected").alias("expected_ratio"), ratio("foreign").alias("foreign_ratio"),
-    ).withColumn("band", coverage_band(F.col("matched_ratio")))
+    rows = entities.select(*KEY, "org", "doc_id", "n").join(found.select("candidate_id", *KEY, "org_count"), KEY)
+    seed = F.greatest(F.lit(1), F.floor(F.floor(F.lit(most) / F.col("org_count")) / 2))
+    rows = rows.withColumn("in_org", F.row_number().over(Window.partitionBy("candidate_id", "org").orderBy("doc_id")))
+    order = Window.partitionBy("candidate_id").orderBy(F.when(F.col("in_org") <= seed, 0).otherwise(1), "org", "doc_id")
+    return rows.withColumn("place", F.row_number().over(order).cast("bigint")).where(F.col("place") <= most).select("candidate_id", "org", "doc_id", "n", "place")
+
 
+def coverage(documents: DataFrame, entities: DataFrame, found: DataFrame, kinds: dict[str, str]) -> DataFrame:
+    """Per document: of each kind and of all, occurrences, those that candidates match and their ratio; of the matched
+    ones the expected (common, or led by the own organisation) and foreign (led by another), and those to be reviewed.
 
-def coverage_band(ratio):
+    documents: doc_id, section, org; kinds: entity kind to the prefix of its columns. Trivial candidates don't match.
+    Documents without entities are no_text; ratios over nothing are 0.
+    """
+    used = found.where("candidate_status = 'candidate'").select(*KEY, "candidate_id", "org_class", "dominant_org", "signal")
+    rows = entities.where(F.col("entity_kind").isin(*kinds)).join(used, KEY, "left")
+    matched = F.col("candidate_id").isNotNull()
+    common = F.col("org_class") == "cross_org_common"
+    expected = matched & (common | (F.col("dominant_org") == F.col("org")))
+    foreign = matched & ~common & (F.col("dominant_org") != F.col("org"))
+    n = lambda ok, kind=None: F.sum(F.when(ok if kind is None else ok & (F.col("entity_kind") == kind), F.col("n")).otherwise(0))
+    every = F.lit(True)
+    out = rows.groupBy("doc_id").agg(
+        *[n(c, k).alias(f"{p}_{name}") for k, p in kinds.items() for name, c in (("total", every), ("matched", matched), ("expected", expected))],
+        n(every).alias("all_total"), n(matched).alias("all_matched"), n(expected).alias("expected"), n(foreign).alias("foreign"),
+        n(matched & (F.col("signal") == "copy_review_needed")).alias("copy_review"), F.countDistinct("candidate_id").alias("candidates"),
+    )
+    out = documents.select("doc_id", "section", "org").join(out, "doc_id", "left").na.fill(0)
+    ratio = lambda a, b: F.round(F.coalesce(F.try_divide(F.col(a), F.col(b)), F.lit(0.0)) + 1e-9, 4)
+    more = {}
+    for p in kinds.values():
+        more |= {f"{p}_ratio": ratio(f"{p}_matched", f"{p}_total"), f"{p}_residual": F.col(f"{p}_total") - F.col(f"{p}_matched"), f"{p}_conformance": ratio(f"{p}_expected", f"{p}_matched")}
+    more |= {
+        "all_ratio": ratio("all_matched", "all_total"), "conformance": ratio("expected", "all_matched"), "foreign_ratio": ratio("foreign", "all_matched"),
+        "copy_review_ratio": ratio("copy_review", "all_total"), "coverage_status": F.when(F.col("all_total") == 0, "no_text").otherwise("measured"),
+    }
+    return out.withColumns(more).drop(*[f"{p}_expected" for p in kinds.values()])
+
+
+def coverage_band(ratio: Column) -> Column:
     return F.when(ratio >= 0.75, "high").when(ratio >= 0.40, "medium").otherwise("low")
 
 
-def review_priority(foreign):
-    return F.when(foreign >= 0.05, "high").when(foreign >= 0.005, "medium").otherwise("low")
+def review_priority(foreign: Column, copy_review: Column, table_borrowing: Column) -> Column:
+    """Borrowed tables or much to be reviewed come first, then foreign text or a little to be reviewed."""
+    return (
+        F.when((table_borrowing > 0) | (copy_review >= 0.05), "review_high")
+        .when((foreign >= 0.05) | (copy_review >= 0.005), "review_watch")
+        .otherwise("review_clear")
+    )
 
 
 def combined_report(tables: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row of each document in either coverage: both ratios, and which of them is missing."""
-    l = tables.select("doc_id", "section", F.col("matched_ratio").alias("table_ratio"))
-    r = texts.select("doc_id", "section", F.col("matched_ratio").alias("text_ratio"), F.col("foreign_ratio").alias("foreign"))
-    status = F.when(F.col("table_ratio").isNull(), "missing_table").when(F.col("text_ratio").isNull(), "missing_text").otherwise("both")
-    out = l.join(r, ["doc_id", "section"], "full_outer").withColumn("status", status)
-    return out.withColumn("priority", review_priority(F.coalesce("foreign", F.lit(0.0))))
+    """One row of each document in either coverage: both ratios, bands and statuses (missing without a row), and its priority."""
+    l = tables.select("doc_id", "section", "org", F.col("all_ratio").alias("table_ratio"), F.col("copy_review").alias("table_borrowing"), F.col("coverage_status").alias("table_status"))
+    r = texts.select("doc_id", "section", "org", F.col("all_ratio").alias("text_ratio"), "foreign_ratio", "copy_review_ratio", F.col("coverage_status").alias("text_status"))
+    out = l.join(r, ["doc_id", "section", "org"], "full_outer")
+    out = out.withColumns({c: F.coalesce(c, F.lit("missing")) for c in ("table_status", "text_status")})
+    out = out.withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("table_ratio", "text_ratio", "foreign_ratio", "copy_review_ratio")}).withColumn("table_borrowing", F.coalesce("table_borrowing", F.lit(0)))
+    return out.withColumns(
+        {"table_band": coverage_band(F.col("table_ratio")), "text_band": coverage_band(F.col("text_ratio")), "priority": review_priority(F.col("foreign_ratio"), F.col("copy_review_ratio"), F.col("table_borrowing"))}
+    )

@@ -14,9 +14,33 @@ STRONG = 0.85
 
 
 def group_counts(html: Column, groups: list[str]) -> Column:
-    """How often each tag opens in a page, as doubles in the order given."""
+    """How often each tag opens in a page, and how many others do, as doubles in the order given."""
     names = F.regexp_extract_all(html, F.lit("<([a-z][a-z0-9]*)"), F.lit(1))
-    return F.array(*[(F.size(names) - F.size(F.array_remove(names, g))).cast("double") for g in groups])
+    known = [F.size(names) - F.size(F.array_remove(names, g)) for g in groups]
+    return F.transform(F.array(*known, F.size(names) - sum(known[1:], known[0])), lambda x: x.cast("double"))
+
+
+def group_areas(html: Column, groups: list[str]) -> Column:
+    """The characters of text that directly follow each tag, and 0 for the others, as doubles in the order given."""
+    inner = lambda g: F.regexp_extract_all(html, F.lit(rf"<{g}(?:\s[^>]*)?>([^<]*)"), F.lit(1))
+    chars = [F.aggregate(inner(g), F.lit(0), lambda a, x: a + F.length(x)).cast("double") for g in groups]
+    return F.array(*chars, F.lit(0.0))
+
+
+def shortlist_vector(pages: DataFrame) -> DataFrame:
+    """The pages (columns counts, areas, elements) with ``vector``: logarithms and shares of counts and areas and the
+    logarithm of the elements, each over the largest of all pages, of length one.
+
+    The largest values are one aggregated row, so its join is a broadcast of fixed size.
+    """
+    logs = lambda c: F.transform(c, F.log1p)
+    parts = F.concat(logs("counts"), S.shares(F.col("counts")), logs("areas"), S.shares(F.col("areas")), F.array(F.log1p("elements")))
+    rows = pages.withColumn("_raw", parts)
+    width = len(rows.select("_raw").limit(1).collect()[0][0]) if not rows.isEmpty() else 1
+    largest = rows.agg(F.array(*[F.greatest(F.max(F.col("_raw")[k]), F.lit(1e-6)) for k in range(width)]).alias("_most"))
+    rows = rows.crossJoin(F.broadcast(largest)).withColumn("_raw", F.zip_with("_raw", "_most", lambda a, m: a / m))
+    length = F.greatest(F.sqrt(S.total(F.transform("_raw", lambda x: x * x))), F.lit(1e-8))
+    return rows.withColumn("_length", length).withColumn("vector", F.transform("_raw", lambda x: x / F.col("_length"))).drop("_raw", "_most", "_length")
 
 
 def near_match(pairs: DataFrame) -> DataFrame:
@@ -33,6 +57,80 @@ def near_match(pairs: DataFrame) -> DataFrame:
     return out.withColumn("near_match_similarity", S.weighted([(F.col(k), w) for k, w in NEAR_WEIGHTS.items()]))
 
 
+def _side(pages: DataFrame, name: str, x: str) -> DataFrame:
+    """A page's columns as one side of a pair."""
+    short = {"counts": "c", "areas": "a", "elements": "e", "signature": "s"}
+    return pages.select(F.col("page_id").alias(name), F.col("document").alias(f"{name}_document"), F.col("cohort").alias(f"{name}_cohort"), *[F.col(c).alias(x + k) for c, k in short.items()])
+
+
+def neighbors(pages: DataFrame, mode: str, shortlist: int = 40, top: int = 5) -> DataFrame:
+    """query, neighbor, rank and scores of the ``top`` pages most like each page, of other documents (mode any) or cohorts (cross_org).
+
+    Candidates are the ``shortlist`` pages of the largest vector product and all pages of the same signature; they are
+    ranked by the near-match score, exact matches first, then by id. pages: page_id, document, cohort, counts, areas,
+    elements, signature.
+    """
+    from .neighbors import top_k
+
+    vectors = shortlist_vector(pages)
+    cross = mode == "cross_org"
+    listed = top_k(vectors, vectors, shortlist, "page_id", "vector", "cohort", cross, "document").select("query", "neighbor")
+    own = pages.select("signature", F.col("page_id").alias("query"), F.col("document").alias("d"), F.col("cohort").alias("c"))
+    other = pages.select("signature", F.col("page_id").alias("neighbor"), F.col("document").alias("od"), F.col("cohort").alias("oc"))
+    same = own.join(other, "signature").where("query <> neighbor and d <> od" + (" and c <> oc" if cross else "")).select("query", "neighbor")
+    pairs = listed.unionByName(same).distinct().join(_side(pages, "query", "l"), "query").join(_side(pages, "neighbor", "r"), "neighbor")
+    rows = near_match(pairs).withColumn("exact", F.col("ls") == F.col("rs")).withColumn("score", F.round("near_match_similarity", 9))
+    place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), F.desc("exact"), "neighbor"))
+    return rows.withColumns({"rank": place.cast("bigint"), "mode": F.lit(mode)}).where(F.col("rank") <= top)
+
+
+def set_evidence(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The page pairs (query, neighbor) with shared, rare and Jaccard of their text segments (sets: page_id, hash, rare)."""
+    sizes = sets.groupBy("page_id").agg(F.count("*").alias("n"))
+    q, r = sets.select(F.col("page_id").alias("query"), "hash", "rare"), sets.select(F.col("page_id").alias("neighbor"), "hash")
+    keys = pairs.select("query", "neighbor").distinct()
+    shared = keys.join(q, "query").join(r, ["neighbor", "hash"]).groupBy("query", "neighbor").agg(F.count("*").alias("shared"), F.count_if("rare").alias("rare"))
+    out = pairs.join(shared, ["query", "neighbor"], "left")
+    for side in ("query", "neighbor"):
+        out = out.join(sizes.select(F.col("page_id").alias(side), F.col("n").alias(f"_{side}")), side, "left")
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
+    jaccard = F.coalesce(F.try_divide(zero("shared"), zero("_query") + zero("_neighbor") - zero("shared")), F.lit(0.0))
+    return out.withColumns({"jaccard": jaccard, "shared": zero("shared"), "rare": zero("rare")}).drop("_query", "_neighbor")
+
+
+def best_in_pairs(document_pairs: DataFrame, pages: DataFrame, texts: DataFrame) -> DataFrame:
+    """Of each pair of documents (pair_id, left_document, right_document): the best page of the other one for each page of either.
+
+    The best has the largest structural score, then shingle and segment Jaccard, then an equal signature, then the
+    lowest id. Only pages that tie in structure are compared by text. texts: page_id, segments, shingles (hash arrays).
+    """
+    def matches(direction: str, own: str, other: str) -> DataFrame:
+        named = document_pairs.select("pair_id", F.col(own).alias("query_document"), F.col(other).alias("neighbor_document"))
+        rows = named.join(_side(pages, "query", "l"), "query_document").join(_side(pages, "neighbor", "r"), "neighbor_document")
+        rows = near_match(rows).withColumn("structural", F.round("near_match_similarity", 9)).withColumn("exact", F.col("ls") == F.col("rs"))
+        return rows.select("pair_id", F.lit(direction).alias("direction"), "query", "neighbor", "structural", "exact")
+
+    rows = matches("left_to_right", "left_document", "right_document").unionByName(matches("right_to_left", "right_document", "left_document"))
+    keys = ["pair_id", "direction", "query"]
+    rows = rows.withColumn("_most", F.max("structural").over(Window.partitionBy(*keys))).where("structural = _most").drop("_most")
+    for side in ("query", "neighbor"):
+        rows = rows.join(texts.select(F.col("page_id").alias(side), F.col("segments").alias(f"{side}_segments"), F.col("shingles").alias(f"{side}_shingles")), side, "left")
+    none = F.array().cast("array<bigint>")
+    for kind in ("shingles", "segments"):
+        rows = rows.withColumn(kind, F.round(S.set_jaccard(F.coalesce(f"query_{kind}", none), F.coalesce(f"neighbor_{kind}", none)), 9))
+    return best_match(rows.drop(*[f"{s}_{k}" for s in ("query", "neighbor") for k in ("segments", "shingles")]), keys, [F.desc("shingles"), F.desc("segments"), F.desc("exact"), F.col("neighbor")])
+
+
+def match_summary(matches: DataFrame) -> DataFrame:
+    """Per pair of documents, over both directions: means, medians and shares of the best matches."""
+    share = lambda c: F.round(F.avg(c.cast("double")) + 1e-9, 4)
+    return matches.groupBy("pair_id").agg(
+        F.count("*").alias("matches"), F.round(F.avg("structural") + 1e-9, 4).alias("structural_mean"), F.round(F.median("structural") + 1e-9, 4).alias("structural_median"),
+        F.round(F.avg("shingles") + 1e-9, 4).alias("shingle_mean"), F.round(F.avg("segments") + 1e-9, 4).alias("segment_mean"),
+        share(F.col("exact")).alias("exact_share"), share(F.col("structural") >= 0.85).alias("strong_share"), share(F.col("structural") >= 0.70).alias("moderate_share"),
+    )
+
+
 def near_match_class(score: Column, exact: Column) -> Column:
     out = F.when(exact, "exact_match")
     for name, least in NEAR_CLASSES.items():

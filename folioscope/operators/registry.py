@@ -40,6 +40,30 @@ def first_seen_mode(rows: DataFrame, keys: list[str], value: str, position: str)
     return first_by(counts, keys, [F.desc("n"), F.col("seen")]).select(*keys, value, "n")
 
 
+def most_common(rows: DataFrame, keys: list[str], value: str, position: str, most: int) -> DataFrame:
+    """The ``most`` most frequent values of each key as one text (value:count, commonest first, the first seen on a tie)."""
+    counts = rows.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(position).alias("seen"))
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "seen"))
+    top = counts.withColumn("place", place).where(F.col("place") <= most)
+    entry = F.struct("place", F.concat_ws(":", F.col(value).cast("string"), F.col("n").cast("string")).alias("t"))
+    return top.groupBy(*keys).agg(F.array_join(F.transform(F.array_sort(F.collect_list(entry)), lambda x: x["t"]), "|").alias("most_common"))
+
+
+def numeric_prefix(text: Column) -> Column:
+    """The number that a name begins with, for sorting; names without one come last."""
+    return F.coalesce(F.regexp_extract(text, r"^(\d+)", 1).try_cast("bigint"), F.lit(2**62))
+
+
+#: The order of sections in reports; others come after, as 999.
+SECTION_ORDER = {"АР": 10, "КР": 20, "ПОКР": 30}
+
+
+def ordered_place(section: Column, order: dict[str, int]) -> Column:
+    """A section's place by a fixed map, 999 where it isn't listed."""
+    table = F.create_map(*[F.lit(v) for pair in order.items() for v in pair])
+    return F.coalesce(F.try_element_at(table, section), F.lit(999))
+
+
 def eligible_cells(rows: DataFrame, cell: list[str]) -> DataFrame:
     """Per cell: leads, organisations and objects, and whether it suits either design.
 

@@ -14,6 +14,8 @@ TEXT = {"segment": 0.35, "shingle": 0.65}
 COMBINED = {"signature": 0.5, "text": 0.5}
 DETAILED = {"cosine": 0.35, "page": 0.20, "layout": 0.15, "content": 0.15, "text": 0.15}
 TITLE = {"ratio": 0.6, "composition": 0.3, "size": 0.1}
+#: Weights of the content score's kinds.
+CONTENT = {"text_segment": 0.30, "text_word_shingle": 0.25, "table_cell_text": 0.20, "table_layout_signature": 0.10, "table_content_signature": 0.15}
 
 
 def fixed(weights: dict[str, float], values: dict[str, Column]) -> Column:
@@ -32,22 +34,16 @@ def title_scores(ratio: Column, composition: Column, size: Column) -> tuple[Colu
     return with_size, (ratio * TITLE["ratio"] + composition * TITLE["composition"]) / (TITLE["ratio"] + TITLE["composition"])
 
 
-def multiset_pairs(rows: DataFrame, group: str, key: str, kind: str, item: str) -> DataFrame:
-    """group, left, right and a ``<kind>`` Jaccard of every kind, for all pairs of a group (rows: group, key, kind, item, n).
-
-    For groups of a bounded size (the members of one cell): pairs that share nothing are listed too, as a score needs
-    them. Shared items come from a join on the item, totals from one aggregation.
-    """
-    members = rows.select(group, key).distinct()
-    pairs = members.select(group, F.col(key).alias("left")).join(members.select(group, F.col(key).alias("right")), group).where("left < right")
-    l = rows.select(group, kind, item, F.col(key).alias("left"), F.col("n").alias("ln"))
-    r = rows.select(group, kind, item, F.col(key).alias("right"), F.col("n").alias("rn"))
-    shared = l.join(r, [group, kind, item]).where("left < right").groupBy("left", "right", kind).agg(F.sum(F.least("ln", "rn")).alias("s"))
-    totals = rows.groupBy(key, kind).agg(F.sum("n").alias("t"))
-    kinds = rows.select(kind).distinct()
-    out = pairs.crossJoin(F.broadcast(kinds)).join(shared, ["left", "right", kind], "left")
-    for side in ("left", "right"):
-        out = out.join(totals.select(F.col(key).alias(side), kind, F.col("t").alias(f"{side}_t")), [side, kind], "left")
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    union = zero("left_t") + zero("right_t") - zero("s")
-    return out.select(group, "left", "right", F.col(kind).alias("kind"), F.coalesce(F.try_divide(zero("s"), union), F.lit(0.0)).alias("jaccard"), (union > 0).alias("present"))
+def multiset_jaccard(left: Column, right: Column) -> Column:
+    """Of two maps from key to count: the sum of the smaller counts over that of the larger; 0 where both are empty."""
+    keys = F.array_union(F.map_keys(left), F.map_keys(right))
+    n = lambda m, k: F.coalesce(F.try_element_at(m, k), F.lit(0))
+    total = lambda pick: F.aggregate(keys, F.lit(0).cast("bigint"), lambda a, k: a + pick(n(left, k), n(right, k)))
+    return F.coalesce(F.try_divide(total(F.least), total(F.greatest)), F.lit(0.0))
+
+
+def composition_cosine(left: Column, right: Column) -> Column:
+    """Cosine of two arrays of shares; 0 where one is empty."""
+    from ..functions.similarity import cosine
+
+    return cosine(left, right)

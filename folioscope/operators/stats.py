@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +21,8 @@ def midrank_percentile(by: list[str], value: str) -> Column:
     return F.when(n > 1, (average_rank(by, value) - 1) / (n - 1)).otherwise(0.5)
 
 
-def spearman(rows: DataFrame, by: list[str], x: str, y: str, control: str | None = None, least: int = 3) -> DataFrame:
-    """n, spearman and direction of each group; with a control also the partial correlation of ranks.
+def spearman(rows: DataFrame, by: list[str], x: str, y: str, control: str | None = None, least: int = 4) -> DataFrame:
+    """n, spearman, direction and p of each group; with a control also the partial correlation of ranks.
 
     Rows with a null in any used column are left out first. Groups of fewer than ``least`` rows or without variance
     give no row; a partial correlation needs 4 rows and a control that is not collinear with either side, else null.
@@ -32,7 +33,7 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, control: str | None
     pairs = [("xy", 0, 1)] + ([("xz", 0, 2), ("yz", 1, 2)] if control else [])
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), *[_correlation(f"_r{a}", f"_r{b}").alias(name) for name, a, b in pairs])
     out = out.where((F.col("n") >= least) & F.col("xy").isNotNull())
-    columns = [*by, "n", F.round("xy", 4).alias("spearman"), direction(F.col("xy")).alias("direction")]
+    columns = [*by, "n", F.round("xy", 4).alias("spearman"), direction(F.col("xy")).alias("direction"), p_value(F.col("xy"), F.col("n")).alias("p")]
     if control:
         free = (F.abs("xz") < 1 - 1e-12) & (F.abs("yz") < 1 - 1e-12) & (F.col("n") >= 4)
         partial = F.when(free, (F.col("xy") - F.col("xz") * F.col("yz")) / F.sqrt((1 - F.col("xz") ** 2) * (1 - F.col("yz") ** 2)))
@@ -46,19 +47,23 @@ def _correlation(x: str, y: str) -> Column:
 
 
 def direction(value: Column) -> Column:
-    rounded = F.round(value, 4)
-    return F.when(rounded > 0, "positive").when(rounded < 0, "negative").when(rounded == 0, "none")
+    close = F.round(value, 12)
+    return F.when(close > 0, "positive").when(close < 0, "negative").when(close == 0, "zero")
 
 
-def p_value(r: Column, n: Column) -> Column:
-    """Two-sided normal approximation of a rank correlation's p value, rounded to 6."""
-    import math
+def erfc(x: Column) -> Column:
+    """The complementary error function of x >= 0, to 15 digits after the point, by its series of positive terms."""
+    start = F.struct(x.alias("term"), x.alias("total"))
+    step = lambda a, k: a["term"] * 2 * x * x / (2 * k + 1)
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(160)), start, lambda a, k: F.struct(step(a, k).alias("term"), (a["total"] + step(a, k)).alias("total")))["total"]
+    return F.when(x > 6, 0.0).otherwise(F.greatest(F.lit(0.0), 1 - 2 / math.sqrt(math.pi) * F.exp(-x * x) * series))
 
-    @F.pandas_udf("double")
-    def two_sided(z: pd.Series) -> pd.Series:
-        return z.map(lambda v: None if v is None or v != v else round(math.erfc(abs(v) / math.sqrt(2)), 6))
 
-    return two_sided(r * F.sqrt(n - 1))
+def p_value(r: Column, n: Column) -> Column:
+    """Two-sided normal approximation of a rank correlation's p value, rounded to 6; null of fewer than 4, 0 of a perfect one."""
+    size = F.abs(r)
+    p = erfc(size * F.sqrt(n - 1) / math.sqrt(2))
+    return F.when(n < 4, None).when(size >= 1 - 1e-12, 0.0).otherwise(F.round(p, 6))
 
 
 def benjamini_hochberg(rows: DataFrame, by: list[str], p: str, key: str, rate: float = 0.10) -> DataFrame:
@@ -70,11 +75,17 @@ def benjamini_hochberg(rows: DataFrame, by: list[str], p: str, key: str, rate: f
     return raw.withColumn("q", F.round(q, 6)).withColumn("significant", F.col("q") <= rate).drop("_raw")
 
 
-def order_quartiles(value: str) -> list[Column]:
-    """The elements at places n div 4 and 3n div 4 of the sorted values (no interpolation)."""
-    n = F.count(value)
-    at = lambda part: F.element_at(F.array_sort(F.collect_list(value)), (F.floor(n * part / 4) + 1).cast("int"))
-    return [at(1).alias("q1"), at(3).alias("q3")]
+def order_quartiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """q1 and q3 of each group: the elements at places n div 4 and 3n div 4 of the sorted values (no interpolation).
+
+    Equal values are counted first; a group's distinct values are then walked in order, not gathered.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
+    group = Window.partitionBy(*by)
+    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    placed = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
+    at = lambda part: F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * part / 4), F.col("_v")))
+    return placed.groupBy(*by).agg(at(1).alias("q1"), at(3).alias("q3"))
 
 
 def summary(value: str) -> list[Column]:
@@ -86,8 +97,6 @@ def summary(value: str) -> list[Column]:
 
 def entropy(parts: list[Column]) -> Column:
     """Normalised entropy of the parts' shares: 0 if one holds all or there is nothing, 1 if all are equal."""
-    import math
-
     total = sum(parts[1:], parts[0])
     terms = [F.when(c > 0, -(c / total) * F.log(c / total)).otherwise(0.0) for c in parts]
     return F.when(total > 0, sum(terms[1:], terms[0]) / math.log(len(parts))).otherwise(0.0)

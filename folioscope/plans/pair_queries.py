@@ -1,61 +1,65 @@
-"""Queries of the pair scores, feature cosines, page near-match and nearest neighbours."""
+"""Queries of document pairs: entity overlaps, feature cosines, style, content and the weighted pair scores.
+
+Pairs are those of canonical documents of different objects in a section.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from ..functions import text as T
 from ..operators import entities as E
 from ..operators import features as V
 from ..operators import frequency as Q
 from ..operators import neighbors as N
 from ..operators import pages as G
 from ..operators import pairs as P
+from ..operators import scores as W
 from . import inputs as I
 
-#: Features of a supplier as a document, and the subvectors they form.
-FEATURES = ["lines", "quantity", "price", "discount", "tax", "parts"]
-SUBVECTORS = {"volume": [0, 1, 5], "money": [2, 3, 4], "density": [1, 2]}
-GROUPS = ["p", "li", "a", "br", "b", "h1"]
+SHINGLED = ("text_segment", "document_word_shingle")
 
 
-def _canonical(spark, d):
-    """One document of each object and section: the one with the lowest id."""
-    return I.docs(spark, d).groupBy("object_id", "section").agg(F.min_by("doc_id", "doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text"))
+def same_section_pairs(spark, d):
+    return I.pairs(spark, d).select("pair_id", "section", "left_doc", "right_doc", "left_object", "right_object")
 
 
-def same_section_pairs(spark, d):
-    return P.same_section_pairs(_canonical(spark, d))
+def _compared(spark, d, hashed=I.short_hash):
+    """The pairs by kind, every hash weighing 1."""
+    return P.compare(I.pairs(spark, d), I.entities_of(I.canonical(spark, d), hashed))
 
 
 def multiset_jaccard(spark, d):
-    return P.multiset_jaccard(P.overlaps(I.segment_entities(spark, d)))
+    return _compared(spark, d).select("pair_id", "entity_kind", F.round(F.col("raw_value") + 1e-9, 4).alias("value"), "status")
+
+
+def _weighed(spark, d, hashed=I.short_hash):
+    rows, frequency = I.counted(spark, d, hashed)
+    return I.pairs(spark, d), rows, frequency
 
 
 def idf_jaccard(spark, d):
-    rows = I.entities(spark, d)
-    return P.idf_jaccard(P.overlaps(rows, Q.document_frequency(rows)))
+    out = P.compare(*_weighed(spark, d))
+    rounded = [F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("idf_value", "raw_value", "shared_idf", "union_idf")]
+    return out.select("pair_id", "entity_kind", "status", "left_total", "right_total", "left_unique", "right_unique", "shared_unique", *rounded)
 
 
 def idf_pair_similarity(spark, d):
-    rows = I.entities(spark, d)
-    return P.idf_pair_similarity(rows, Q.document_frequency(rows))
+    return P.idf_pair_similarity(*_weighed(spark, d))
 
 
 def top_shared(spark, d):
-    rows = I.entities(spark, d)
-    frequency = Q.document_frequency(rows)
-    return P.top_shared(rows, frequency, P.idf_pair_similarity(rows, frequency).where("idf_similarity >= 0.5"), 3)
+    """The 3 weightiest shared entities of each kind for pairs that are alike."""
+    pairs, rows, frequency = _weighed(spark, d, E.text_hash)
+    return P.top_shared(P.idf_pair_similarity(pairs, rows, frequency).where("idf_similarity >= 0.05"), rows, frequency, 3)
 
 
 def set_jaccard(spark, d):
-    """Set similarity and both coverages of the segments of canonical documents of a section."""
-    lines = E.normalized_segments(E.segments(_canonical(spark, d))).groupBy("section", "object_id").agg(F.collect_set(T.text_hash(F.col("normalized"))).alias("s"))
-    l, r = (lines.select("section", F.col("object_id").alias(f"{x}_object"), F.col("s").alias(x)) for x in ("left", "right"))
-    pairs = l.join(r, "section").where("left_object < right_object")
-    lc, rc = F.col("left"), F.col("right")
-    return pairs.select("section", "left_object", "right_object", F.round(S.set_jaccard(lc, rc), 4).alias("jaccard"), F.round(S.coverage(lc, rc), 4).alias("left_coverage"), F.round(S.coverage(rc, lc), 4).alias("right_coverage"))
+    """Of the sets of segments of each pair: similarity, both coverages, and what either side has alone."""
+    rows = _compared(spark, d).where("entity_kind = 'text_segment'")
+    ratio = lambda n: F.round(F.coalesce(F.try_divide(F.col("shared_unique"), n), F.lit(0.0)) + 1e-9, 4)
+    l, r, s = F.col("left_unique"), F.col("right_unique"), F.col("shared_unique")
+    return rows.select("pair_id", "shared_unique", (l - s).alias("left_only"), (r - s).alias("right_only"), ratio(l + r - s).alias("jaccard"), ratio(l).alias("left_coverage"), ratio(r).alias("right_coverage"))
 
 
 def weighted_applicable(spark, d):
@@ -68,93 +72,104 @@ def weighted_applicable(spark, d):
     return o.select("o_custkey", F.round(value, 4).alias("score"), F.round(weight, 4).alias("applicable_weight"))
 
 
-def _supplier_features(spark, d):
-    line = I.table(spark, d, "lineitem").groupBy("l_suppkey").agg(
-        F.count("*").alias("lines"), F.sum("l_quantity").alias("quantity"), F.sum(F.col("l_extendedprice").cast("decimal(18,2)")).cast("double").alias("price"),
-        F.sum(F.col("l_discount").cast("decimal(18,2)")).cast("double").alias("discount"), F.sum(F.col("l_tax").cast("decimal(18,2)")).cast("double").alias("tax"), F.countDistinct("l_partkey").alias("parts"),
-    )
-    return line.join(I.table(spark, d, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("nation")), "l_suppkey")
+def _feature_pairs(spark, d):
+    rows = V.spectrum(I.profiles(I.canonical(spark, d)), list(I.FEATURES))
+    return V.sides(I.pairs(spark, d), rows, ["v", "z"])
 
 
 def feature_cosine(spark, d):
-    pairs = V.feature_pairs(V.spectrum(_supplier_features(spark, d), FEATURES), "nation", "l_suppkey")
-    return V.cosines(pairs, SUBVECTORS).drop("lv", "lz", "rv", "rz")
+    """Cosines of 18 features and of 6 subvectors of them."""
+    places = {name: [I.FEATURES.index(c) for c in names] for name, names in I.SUBVECTORS.items()}
+    out = V.cosines(_feature_pairs(spark, d), places)
+    return out.select("pair_id", "feature_cosine", *[f"{n}_{k}" for n in places for k in ("cosine", "centered", "mean_delta", "max_delta")])
+
+
+def subvector_diagnostics(spark, d):
+    """The subvector figures of pairs in long form."""
+    long = feature_cosine(spark, d).drop("feature_cosine").unpivot(["pair_id"], None, "metric", "value")
+    name = F.regexp_extract("metric", "^(volume|density|text|tables|graphics|element_mix)_", 1)
+    return long.select("pair_id", name.alias("subvector"), F.regexp_replace("metric", "^(volume|density|text|tables|graphics|element_mix)_", "").alias("kind"), "value")
+
+
+def _styled(spark, d):
+    rows = I.profiles(I.canonical(spark, d))
+    rows = rows.select("doc_id", F.array(*I.STYLE_RATIOS).alias("r"), F.array(*I.STYLE_SHARES).alias("s"))
+    score, ratio, composition = V.style_score(F.col("left_r"), F.col("right_r"), F.col("left_s"), F.col("right_s"))
+    return V.sides(I.pairs(spark, d), rows, ["r", "s"]).withColumns({"style": score, "style_ratio": ratio, "style_composition": composition})
 
 
 def style_score(spark, d):
-    pairs = V.feature_pairs(V.spectrum(_supplier_features(spark, d), FEATURES), "nation", "l_suppkey")
-    l, r = F.col("lv"), F.col("rv")
-    return pairs.select("nation", "left", "right", F.round(V.style_score(l, r, S.shares(l), S.shares(r)), 4).alias("style"), F.round(S.ratio_similarity(l, r), 4).alias("ratio"))
+    """Of 11 ratio keys and 6 share keys."""
+    return _styled(spark, d).select("pair_id", *[F.round(F.col(c) + 1e-9, 4).alias(c) for c in ("style", "style_ratio", "style_composition")])
 
 
-def _pages(spark, d):
-    counts = G.group_counts(F.col("html"), GROUPS)
-    rows = I.table(spark, d, "pages").select("page_id", F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("cohort"), F.length("html").cast("double").alias("chars"), counts.alias("counts"))
-    rows = rows.withColumn("elements", S.total(F.col("counts")))
-    weights = F.array(*[F.lit(float(k + 1)) for k in range(len(GROUPS))])
-    return rows.withColumn("areas", F.zip_with("counts", weights, lambda a, b: a * b))
+BY = ["pair_id", "section", "left_object", "right_object", "left_doc", "right_doc", "left_org", "right_org"]
 
 
-def html_group_counts(spark, d):
-    rows = _pages(spark, d)
-    return rows.select("page_id", *[F.col("counts")[k].cast("bigint").alias(f"n_{g}") for k, g in enumerate(GROUPS)], F.col("elements").cast("bigint").alias("elements"))
+def axes(spark, d):
+    """The pairs with raw values and presence of all kinds, and shingles of whole documents."""
+    docs = I.canonical(spark, d)
+    rows = I.entities_of(docs, I.short_hash).unionByName(E.document_shingles(docs, I.short_hash))
+    kinds = (*P.KINDS, "document_word_shingle")
+    return P.wide(P.compare(I.pairs(spark, d), rows, None, kinds), BY, kinds)
 
 
-def page_signature(spark, d):
-    source = F.array_join(F.transform("counts", lambda x: x.cast("bigint").cast("string")), "|")
-    return _pages(spark, d).select("page_id", "cohort", F.sha1(source.cast("binary")).alias("signature"))
+def content_score(spark, d):
+    score, weight = P.scored(W.CONTENT)
+    return axes(spark, d).select("pair_id", F.round(score + 1e-9, 4).alias("content"), F.round(weight, 4).alias("applicable_weight"))
 
 
-def _page_pairs(spark, d):
-    rows = _pages(spark, d).withColumn("band", F.floor(F.col("elements") / 5))
-    side = lambda name, x: rows.select("band", F.col("page_id").alias(name), F.col("cohort").alias(f"{name}_cohort"), F.col("counts").alias(f"{x}c"), F.col("areas").alias(f"{x}a"), F.col("elements").alias(f"{x}e"))
-    pairs = side("query", "l").join(side("neighbor", "r"), "band").where("query <> neighbor")
-    return G.near_match(pairs).withColumn("exact", F.col("lc") == F.col("rc"))
+def pair_score_fast(spark, d):
+    """0.55 of the feature cosine, 0.20 of page signatures, 0.15 of table layouts, 0.10 of table contents."""
+    cosine = S.log_cosine(F.col("left_v"), F.col("right_v"))
+    rows = axes(spark, d).join(_feature_pairs(spark, d).select("pair_id", cosine.alias("cosine")), "pair_id")
+    values = {"cosine": F.col("cosine"), "page": F.col("raw_page_signature"), "layout": F.col("raw_table_layout_signature"), "content": F.col("raw_table_content_signature")}
+    return rows.select("pair_id", F.round(W.fixed(W.FAST, values) + 1e-9, 4).alias("score"))
 
 
-def near_match_score(spark, d):
-    rows = _page_pairs(spark, d)
-    parts = [F.round(c, 4).alias(c) for c in ("near_match_similarity", *G.NEAR_WEIGHTS)]
-    return rows.where("query < neighbor").select("query", "neighbor", *parts)
+_SIGNATURE = {"page_signature": W.SIGNATURE["page"], "table_layout_signature": W.SIGNATURE["layout"], "table_content_signature": W.SIGNATURE["content"]}
+_TEXT = {"text_segment": W.TEXT["segment"], "document_word_shingle": W.TEXT["shingle"]}
 
 
-def near_match_class(spark, d):
-    rows = _page_pairs(spark, d).where("query < neighbor").withColumn("class", G.near_match_class(F.round("near_match_similarity", 9), F.col("exact")))
-    return rows.groupBy("query_cohort", "neighbor_cohort", "class").agg(F.count("*").alias("pairs"))
+def signature_score(spark, d):
+    score, weight = P.scored(_SIGNATURE)
+    return axes(spark, d).select("pair_id", F.round(score + 1e-9, 4).alias("score"), F.round(weight, 4).alias("applicable_weight"))
 
 
-def page_best_match(spark, d):
-    """The best page of another cohort for each page, rounded scores first, then the lower id."""
-    rows = _page_pairs(spark, d).where("query_cohort <> neighbor_cohort").withColumn("score", F.round("near_match_similarity", 6))
-    return G.best_match(rows, ["query"], [F.desc("score"), F.col("neighbor")]).select("query", "neighbor", F.round("score", 4).alias("score"), "exact")
+def text_score(spark, d):
+    """Segments and shingles of whole documents over those that apply; and half of it with half of the signature score."""
+    signature, _ = P.scored(_SIGNATURE)
+    text, weight = P.scored(_TEXT)
+    rows = axes(spark, d).withColumns({"signature": signature, "text": text, "weight": weight})
+    combined, _ = S.weighted_applicable([(F.col("signature"), F.lit(True), W.COMBINED["signature"]), (F.col("text"), F.col("weight") > 0, W.COMBINED["text"])])
+    status = P.status_of(F.col("text"), F.col("weight"), "not_applicable")
+    return rows.select("pair_id", F.round(F.col("text") + 1e-9, 4).alias("score"), F.round("weight", 4).alias("applicable_weight"), status.alias("status"), F.round(combined + 1e-9, 4).alias("combined"))
 
 
-def review_candidates(spark, d):
-    """Best matches as unordered pairs: not exact, and strong."""
-    rows = _page_pairs(spark, d).where("query_cohort <> neighbor_cohort").withColumn("score", F.round("near_match_similarity", 6))
-    best = G.best_match(rows, ["query"], [F.desc("score"), F.col("neighbor")]).where(f"not exact and score >= {G.STRONG}")
-    pairs = G.canonical_pairs(best, "query", "neighbor", "score")
-    candidate = T.stable_id("cand_", F.col("pair_low").cast("string"), F.col("pair_high").cast("string"))
-    return pairs.select(candidate.alias("candidate_id"), "pair_low", "pair_high", F.round("score", 4).alias("score"))
+def detailed_score(spark, d):
+    """On Jaccards rounded to 4 already, which is part of the score."""
+    cosine = S.log_cosine(F.col("left_v"), F.col("right_v"))
+    rows = axes(spark, d).join(_feature_pairs(spark, d).select("pair_id", cosine.alias("cosine")), "pair_id")
+    rounded = lambda k: F.round(F.col(f"raw_{k}") + 1e-9, 4)
+    values = {"cosine": F.col("cosine"), "page": rounded("page_signature"), "layout": rounded("table_layout_signature"), "content": rounded("table_content_signature"), "text": rounded("text_segment")}
+    return rows.select("pair_id", F.round(W.fixed(W.DETAILED, values) + 1e-9, 4).alias("score"))
 
 
 def evidence_class(spark, d):
-    """Evidence of document pairs that share a segment: Jaccard, shared and rare shared segments, and the class."""
-    rows = I.segment_entities(spark, d)
-    f = Q.document_frequency(rows).select("section", "entity_hash", (F.col("section_df_ratio") <= 0.01).alias("rare"))
-    l = rows.join(f, ["section", "entity_hash"]).select("section", "entity_hash", "rare", F.col("doc_id").alias("left_doc"))
-    r = rows.select("section", "entity_hash", F.col("doc_id").alias("right_doc"))
-    shared = l.join(r, ["section", "entity_hash"]).where("left_doc < right_doc").groupBy("left_doc", "right_doc").agg(F.count("*").alias("shared"), F.count_if("rare").alias("rare"))
-    sizes = rows.groupBy("doc_id").agg(F.count("*").alias("n"))
-    shared = shared.join(sizes.withColumnsRenamed({"doc_id": "left_doc", "n": "ln"}), "left_doc").join(sizes.withColumnsRenamed({"doc_id": "right_doc", "n": "rn"}), "right_doc")
-    jaccard = F.round(F.col("shared") / (F.col("ln") + F.col("rn") - F.col("shared")), 4)
-    shared = shared.withColumn("jaccard", jaccard).withColumn("structural", F.round(S.number_ratio(F.col("ln"), F.col("rn")), 4))
-    zero = F.lit(0)
-    return shared.select(
-        "left_doc", "right_doc", "shared", "rare", "jaccard", "structural",
-        G.evidence_class(F.col("structural"), zero, F.col("shared"), F.col("rare"), F.col("jaccard"), zero).alias("class"),
-        G.review_strength(F.col("structural"), zero, F.col("rare"), F.col("jaccard")).alias("strength"),
+    """What supports a pair beside structure: shared tables, segments, rare segments (in a quarter of all documents at most)."""
+    rows, frequency = I.counted(spark, d, I.short_hash)
+    rare = rows.where("entity_kind = 'text_segment'").join(frequency.where("global_df_ratio <= 0.25").select("section", "entity_kind", "entity_hash"), ["section", "entity_kind", "entity_hash"], "left_semi")
+    pairs = I.pairs(spark, d)
+    few = P.compare(pairs, rare, None, ("text_segment",)).select("pair_id", F.col("shared_unique").alias("rare"))
+    long = P.compare(pairs, rows, None, ("text_segment", "table_layout_signature", "table_content_signature"))
+    of = lambda k, c: F.max(F.when(F.col("entity_kind") == k, F.col(c)))
+    wide = long.withColumn("set_jaccard", F.coalesce(F.try_divide(F.col("shared_unique"), F.col("left_unique") + F.col("right_unique") - F.col("shared_unique")), F.lit(0.0)))
+    wide = wide.groupBy("pair_id").agg(
+        of("text_segment", "shared_unique").alias("segments"), of("text_segment", "set_jaccard").alias("jaccard"), of("table_layout_signature", "shared_unique").alias("layouts"), of("table_content_signature", "shared_unique").alias("tables")
     )
+    out = wide.join(few, "pair_id").join(_styled(spark, d).select("pair_id", F.round("style_ratio", 9).alias("structural")), "pair_id")
+    s, t, g, r, j, y = (F.col(c) for c in ("structural", "tables", "segments", "rare", "jaccard", "layouts"))
+    return out.select("pair_id", F.round(s + 1e-9, 4).alias("structural"), "tables", "segments", "rare", F.round(j + 1e-9, 4).alias("jaccard"), "layouts", G.evidence_class(s, t, g, r, j, y).alias("class"), G.review_strength(s, t, r, j).alias("strength"))
 
 
 def _knn(spark, d, cross):
@@ -171,95 +186,112 @@ def topk_cross(spark, d):
     return _knn(spark, d, True)
 
 
-def stratified_sample(spark, d):
-    """Two pages of each cohort and class nearest the target score 0.9."""
-    rows = page_best_match(spark, d).join(_pages(spark, d).select(F.col("page_id").alias("query"), "cohort"), "query")
-    rows = rows.withColumn("class", G.near_match_class(F.col("score"), F.col("exact")))
-    return G.stratified(rows, ["cohort", "class"], "score", "query", 0.9, 2).select("cohort", "class", "query", "score", "place")
-
-
 QUERIES = {f.__name__: f for f in (
-    same_section_pairs, multiset_jaccard, idf_jaccard, idf_pair_similarity, top_shared, set_jaccard, weighted_applicable, feature_cosine, style_score,
-    html_group_counts, page_signature, near_match_score, near_match_class, page_best_match, review_candidates, evidence_class, topk_any, topk_cross, stratified_sample,
+    same_section_pairs, multiset_jaccard, idf_jaccard, idf_pair_similarity, top_shared, set_jaccard, weighted_applicable, feature_cosine, subvector_diagnostics, style_score, content_score,
+    pair_score_fast, signature_score, text_score, detailed_score, evidence_class, topk_any, topk_cross,
 )}
 
 _W = I.with_
-_CANON = "canon as (select source object_id, lang section, min(doc_id) doc_id, min_by(text, doc_id) as text from documents group by all)"
-_SUP = """f as (
-  select l_suppkey, s_nationkey nation, [count(*)::double, sum(l_quantity), sum(l_extendedprice::decimal(18,2))::double, sum(l_discount::decimal(18,2))::double, sum(l_tax::decimal(18,2))::double, count(distinct l_partkey)::double] v
-  from lineitem join supplier on l_suppkey = s_suppkey group by all),
-m as (select """ + ", ".join(f"avg(v[{k}]) m{k}, stddev_pop(v[{k}]) s{k}" for k in range(1, 7)) + """ from f),
-z as (select l_suppkey, nation, v, [""" + ", ".join(f"(v[{k}] - m{k}) / case when s{k} > 0 then s{k} else 1 end" for k in range(1, 7)) + """] z from f, m),
-pr as (select a.nation, a.l_suppkey "left", b.l_suppkey "right", a.v lv, a.z lz, b.v rv, b.z rz from z a join z b on a.nation = b.nation and a.l_suppkey < b.l_suppkey)"""
+R4 = lambda x: f"round({x} + 1e-9::double, 4)"
 
 
-def _sql_cos(x: list[str], y: list[str]) -> str:
+def sql_cosine(x: list[str], y: list[str]) -> str:
     dot = " + ".join(f"{a} * {b}" for a, b in zip(x, y, strict=True))
     length = [f"sqrt({' + '.join(f'{a} * {a}' for a in v)})" for v in (x, y)]
-    return f"round(coalesce(({dot}) / nullif({length[0]} * {length[1]}, 0), 0.0), 4)"
-
-
-def _logs(v: str, places) -> list[str]:
-    return [f"ln(1 + greatest({v}[{k + 1}], 0))" for k in places]
-
-
-_RATIO = lambda l, r, n: "coalesce((" + " + ".join(f"coalesce(case when {l}[{k}] <> 0 or {r}[{k}] <> 0 then least({l}[{k}], {r}[{k}]) / greatest({l}[{k}], {r}[{k}]) end, 0)" for k in range(1, n + 1)) + ") / nullif(" + " + ".join(f"({l}[{k}] <> 0 or {r}[{k}] <> 0)::int" for k in range(1, n + 1)) + ", 0), 1.0)"
-_COMPO = lambda l, r, n: "(" + " + ".join(f"least(coalesce({l}[{k}] / nullif(list_sum({l}), 0), 0), coalesce({r}[{k}] / nullif(list_sum({r}), 0), 0))" for k in range(1, n + 1)) + ")"
-_DELTAS = [f"coalesce(abs(lv[{k}] - rv[{k}]) / nullif(greatest(abs(lv[{k}]), abs(rv[{k}])), 0), 0)" for k in range(1, 7)]
-
-_PAGES = "pg as (select page_id, regexp_extract(url, '/(en|fr|de|es)/', 1) cohort, [" + ", ".join(f"len(list_filter(t, lambda x: x = '{g}'))::double" for g in GROUPS) + "] c from (select *, regexp_extract_all(html, '<([a-z][a-z0-9]*)', 1) t from pages)),\npa as (select *, [" + ", ".join(f"c[{k}] * {k}.0" for k in range(1, 7)) + "] a, list_sum(c) e from pg)"
-_PP = _PAGES + """,
-pp as (
-  select l.page_id "query", r.page_id neighbor, l.cohort query_cohort, r.cohort neighbor_cohort, l.c = r.c exact, """ + f"""
-    {_RATIO('l.c', 'r.c', 6)} count_ratio, {_COMPO('l.c', 'r.c', 6)} count_composition, {_RATIO('l.a', 'r.a', 6)} area_ratio, {_COMPO('l.a', 'r.a', 6)} area_composition,
-    case when greatest(l.e, r.e) > 0 then least(l.e, r.e) / greatest(l.e, r.e) else 1.0 end element_ratio
-  from pa l join pa r on floor(l.e / 5) = floor(r.e / 5) and l.page_id <> r.page_id),
-ps as (select *, 0.30::double * count_ratio + 0.20::double * count_composition + 0.25::double * area_ratio + 0.15::double * area_composition + 0.10::double * element_ratio near_match_similarity from pp),
-best as (select *, round(near_match_similarity, 6) score from ps where query_cohort <> neighbor_cohort qualify row_number() over (partition by "query" order by round(near_match_similarity, 6) desc, neighbor) = 1)"""
-_CLASS = lambda s: f"case when exact then 'exact_match' when {s} >= 0.95 then 'near_exact' when {s} >= 0.85 then 'strong_near_match' when {s} >= 0.70 then 'moderate_near_match' else 'weak_match' end"
+    return f"coalesce(({dot}) / nullif({length[0]} * {length[1]}, 0), 0.0)"
+
+
+def sql_ratio(l: list[str], r: list[str]) -> str:
+    parts = [f"case when {a} <> 0 or {b} <> 0 then least({a}, {b}) / greatest({a}, {b}) end" for a, b in zip(l, r, strict=True)]
+    return "coalesce((" + " + ".join(f"coalesce({p}, 0)" for p in parts) + ") / nullif(" + " + ".join(f"({p} is not null)::int" for p in parts) + ", 0), 1.0)"
+
+
+def sql_least(l: list[str], r: list[str]) -> str:
+    return "(" + " + ".join(f"least({a}, {b})" for a, b in zip(l, r, strict=True)) + ")"
+
+
+_at = lambda side, names: [f'{side}."{c}"' for c in names]
+_logs = lambda cols: [f"ln(1 + greatest({c}, 0))" for c in cols]
+_FP = I.PROFILES + ",\n" + I.CANON + """,
+cpf as (select pf.* from pf join canon using (doc_id)),
+mom as (select """ + ", ".join(f'avg("{c}") "m_{c}", stddev_pop("{c}") "s_{c}"' for c in I.FEATURES) + """ from cpf),
+zs as (select cpf.*, """ + ", ".join(f'("{c}" - "m_{c}") / case when "s_{c}" > 0 then "s_{c}" else 1 end "z_{c}"' for c in I.FEATURES) + """ from cpf, mom)"""
+_FJ = " from prs join zs l on l.doc_id = left_doc join zs r on r.doc_id = right_doc"
+_DELTA = lambda c: f'abs(r."{c}" - l."{c}") / greatest(abs(l."{c}"), abs(r."{c}"), 1.0)'
+
+
+def _subvector_sql(names) -> dict[str, str]:
+    return {
+        "cosine": R4(sql_cosine(_logs(_at("l", names)), _logs(_at("r", names)))), "centered": R4(sql_cosine(_at("l", [f"z_{c}" for c in names]), _at("r", [f"z_{c}" for c in names]))),
+        "mean_delta": R4("(" + " + ".join(map(_DELTA, names)) + f") / {len(names)}"), "max_delta": R4("greatest(" + ", ".join(map(_DELTA, names)) + ")"),
+    }
+
+
+_SUBS = {n: _subvector_sql(names) for n, names in I.SUBVECTORS.items()}
+COSINE = sql_cosine(_logs(_at("l", I.FEATURES)), _logs(_at("r", I.FEATURES)))
+_STYLE = {"style_ratio": sql_ratio(_at("l", I.STYLE_RATIOS), _at("r", I.STYLE_RATIOS)), "style_composition": sql_least(_at("l", I.STYLE_SHARES), _at("r", I.STYLE_SHARES))}
+STYLED = _FP + f""",
+sty as (select pair_id, {_STYLE['style_ratio']} style_ratio, {_STYLE['style_composition']} style_composition{_FJ})"""
+#: The columns of ``wide`` with the shingles of whole documents.
+AXES = I.SIMS + r""",
+dtok as (select doc_id, list_filter(regexp_extract_all(""" + I._NORM.format("text") + r""", '[\p{L}\p{N}_]+'), lambda x: length(x) > 1) w from documents join canon using (doc_id)),
+dsh as (select doc_id, h, count(*) n from (select doc_id, array_to_string(w[i:i + 4], ' ') h from (select *, unnest(range(1, len(w) - 3)) i from dtok where len(w) >= 5)) group by all),
+dtt as (select doc_id, sum(n)::bigint t from dsh group by 1),
+dss as (select p.pair_id, sum(least(a.n, b.n))::bigint s from prs p join dsh a on a.doc_id = left_doc join dsh b on b.doc_id = right_doc and a.h = b.h group by 1),
+axs as (
+  select wide.*, coalesce(coalesce(s, 0) / nullif(coalesce(l.t, 0) + coalesce(r.t, 0) - coalesce(s, 0), 0), 0.0) raw_document_word_shingle, coalesce(l.t, 0) + coalesce(r.t, 0) > 0 has_document_word_shingle
+  from wide left join dss using (pair_id) left join dtt l on l.doc_id = left_doc left join dtt r on r.doc_id = right_doc)"""
+# PROFILES holds SEGS and TABLES, which SIMS has too: what follows them can be appended
+_PF_ONLY = _FP.split("ln as (", 1)[1].split(",\n" + I.CANON)[0]
+_AXES_F = AXES + ",\nln as (" + _PF_ONLY + _FP.split(I.CANON, 1)[1]
+_sig, _sig_w = I.weighted_sql(_SIGNATURE)
+_txt, _txt_w = I.weighted_sql(_TEXT)
+_con, _con_w = I.weighted_sql(W.CONTENT)
+_idf, _idf_w = I.weighted_sql(P.IDF_WEIGHTS, "idf")
+_SIMQ = I.SIMS + f""",
+sims as (select wide.*, {_idf} score, {_idf_w} weight from wide)"""
 _KNN = """with q as (select vec_id, embedding, label from embeddings where vec_id % 20 = 0),
 s as (select q.vec_id "query", e.vec_id neighbor, round(list_cosine_similarity(q.embedding::double[], e.embedding::double[]), 6) score from q, embeddings e where q.vec_id <> e.vec_id{0}),
 r as (select *, row_number() over (partition by "query" order by score desc, neighbor) rank from s)
 select "query", neighbor, round(score, 4) score, rank from r where rank <= 5"""
 
 ORACLES = {
-    "same_section_pairs": _W(_CANON, "select a.section || '__' || a.doc_id || '__' || b.doc_id pair_id, a.section, a.doc_id left_doc, b.doc_id right_doc from canon a join canon b on a.section = b.section and a.object_id < b.object_id"),
-    "multiset_jaccard": _W(I.OVER, "select left_doc, right_doc, section, entity_kind, raw_value \"value\", 'measured' status from jac where entity_kind = 'text_segment'"),
-    "idf_jaccard": _W(I.OVER, "select left_doc, right_doc, section, entity_kind, idf_value, raw_value, shared_unique from jac"),
-    "idf_pair_similarity": _W(I.SIMS, """select left_doc, right_doc, section, round(score + 1e-9::double, 4) idf_similarity, case when round(score + 1e-9::double, 4) = 0 then 'measured_no_overlap' else 'measured' end idf_status,
-  round(weight, 4) applicable_weight, text_segment_idf, text_segment_raw, text_word_shingle_idf, text_word_shingle_raw, shared_unique from sims"""),
-    "top_shared": _W(I.SIMS, """select left_doc, right_doc, place, entity_kind, entity_hash, section_idf, left_n, right_n from (
-  select left_doc, right_doc, row_number() over (partition by left_doc, right_doc order by section_idf desc, a.entity_kind, a.entity_hash) place, a.entity_kind, a.entity_hash, section_idf, a.n left_n, b.n right_n
-  from sims join ent a on a.doc_id = left_doc join ent b on b.doc_id = right_doc and a.section = b.section and a.entity_kind = b.entity_kind and a.entity_hash = b.entity_hash
-  join freq on freq.section = a.section and freq.entity_kind = a.entity_kind and freq.entity_hash = a.entity_hash where round(score + 1e-9::double, 4) >= 0.5) where place <= 3"""),
-    "set_jaccard": _W(_CANON + """, ln as (select section, object_id, list(distinct sha1(n)) s from (select section, object_id, """ + I._NORM.format("t") + """ n from (select *, unnest(string_split(text, chr(10))) t from canon)) where n <> '' group by all)""",
-        """select section, left_object, right_object, round(i / (len(ls) + len(rs) - i), 4) jaccard, round(i / len(ls), 4) left_coverage, round(i / len(rs), 4) right_coverage from (
-  select a.section, a.object_id left_object, b.object_id right_object, a.s ls, b.s rs, len(list_intersect(a.s, b.s)) i from ln a join ln b on a.section = b.section and a.object_id < b.object_id)"""),
+    "same_section_pairs": _W(I.SEGS + ",\n" + I.CANON, "select pair_id, section, left_doc, right_doc, left_object, right_object from prs"),
+    "multiset_jaccard": _W(I.JAC, f'select pair_id, entity_kind, {R4("raw_value")} "value", status from jac'),
+    "idf_jaccard": _W(I.JAC, "select pair_id, entity_kind, status, left_total, right_total, left_unique, right_unique, shared_unique, " + ", ".join(f"{R4(c)} {c}" for c in ("idf_value", "raw_value", "shared_idf", "union_idf")) + " from jac"),
+    "idf_pair_similarity": _W(_SIMQ, f"""select pair_id, section, left_object, right_object, left_doc, right_doc, left_org, right_org, {R4('score')} idf_similarity, case when weight = 0 then 'not_present' when score = 0 then 'measured_no_overlap' else 'measured' end idf_status,
+  round(weight, 4) applicable_weight, """ + ", ".join(f"{R4(f'{p}_{k}')} {k}_{p}" for k in P.KINDS for p in ("idf", "raw")) + ", shared_unique from sims"),
+    "top_shared": _W(_SIMQ, f"""select left_doc, right_doc, entity_kind, place, entity_hash, left_n, right_n, section_idf, shared_weight from (
+  select *, row_number() over (partition by left_doc, right_doc, entity_kind order by shared_weight desc, entity_hash) place from (
+    select left_doc, right_doc, a.entity_kind, a.entity_hash, a.n left_n, b.n right_n, a.idf section_idf, {R4('least(a.n, b.n) * a.idf')} shared_weight
+    from sims join went a on a.doc_id = left_doc join went b on b.doc_id = right_doc and a.entity_kind = b.entity_kind and a.entity_hash = b.entity_hash where {R4('score')} >= 0.05)) where place <= 3"""),
+    "set_jaccard": _W(I.JAC, f"""select pair_id, shared_unique, left_unique - shared_unique left_only, right_unique - shared_unique right_only, {R4('coalesce(shared_unique / nullif(left_unique + right_unique - shared_unique, 0), 0)')} jaccard,
+  {R4('coalesce(shared_unique / nullif(left_unique, 0), 0)')} left_coverage, {R4('coalesce(shared_unique / nullif(right_unique, 0), 0)')} right_coverage from jac where entity_kind = 'text_segment'"""),
     "weighted_applicable": """with o as (select o_custkey, count(*) n, count(*) filter (o_orderstatus = 'F') f, count(*) filter (o_orderpriority = '1-URGENT') u, count(*) filter (o_orderstatus = 'P') p from orders group by 1),
 w as (select *, 0.40::double + 0.35::double * (u > 0)::int + 0.25::double * (p > 0)::int weight from o)
 select o_custkey, round((f / n * 0.40::double + u / n * 0.35::double + p / n * 0.25::double) / weight, 4) score, round(weight, 4) applicable_weight from w""",
-    "feature_cosine": _W(_SUP, "select nation, \"left\", \"right\", " + _sql_cos(_logs("lv", range(6)), _logs("rv", range(6))) + " feature_cosine, "
-        + ", ".join(_sql_cos(_logs("lv", p), _logs("rv", p)) + f" {n}_raw, " + _sql_cos([f"lz[{k + 1}]" for k in p], [f"rz[{k + 1}]" for k in p]) + f" {n}_centered" for n, p in SUBVECTORS.items())
-        + f", round(({' + '.join(_DELTAS)}) / 6, 4) mean_delta, round(greatest({', '.join(_DELTAS)}), 4) max_delta from pr"),
-    "style_score": _W(_SUP, f"select nation, \"left\", \"right\", round({_RATIO('lv', 'rv', 6)} * 0.7::double + {_COMPO('lv', 'rv', 6)} * 0.3::double, 4) style, round({_RATIO('lv', 'rv', 6)}, 4) ratio from pr"),
-    "html_group_counts": _W(_PAGES, "select page_id, " + ", ".join(f"c[{k + 1}]::bigint n_{g}" for k, g in enumerate(GROUPS)) + ", e::bigint elements from pa"),
-    "page_signature": _W(_PAGES, "select page_id, cohort, sha1(array_to_string(list_transform(c, lambda x: x::bigint::varchar), '|')) signature from pa"),
-    "near_match_score": _W(_PP, "select \"query\", neighbor, round(near_match_similarity, 4) near_match_similarity, round(count_ratio, 4) count_ratio, round(count_composition, 4) count_composition, round(area_ratio, 4) area_ratio, round(area_composition, 4) area_composition, round(element_ratio, 4) element_ratio from ps where \"query\" < neighbor"),
-    "near_match_class": _W(_PP, f"select query_cohort, neighbor_cohort, {_CLASS('round(near_match_similarity, 9)')} \"class\", count(*) pairs from ps where \"query\" < neighbor group by all"),
-    "page_best_match": _W(_PP, "select \"query\", neighbor, round(score, 4) score, exact from best"),
-    "review_candidates": _W(_PP, """select 'cand_' || substr(sha1(lo || '|' || hi), 1, 16) candidate_id, lo pair_low, hi pair_high, round(score, 4) score from (
-  select least("query", neighbor) lo, greatest("query", neighbor) hi, score, "query" q from best where not exact and score >= 0.85) qualify row_number() over (partition by lo, hi order by score desc, q) = 1"""),
-    "evidence_class": _W(I.FREQ, """select left_doc, right_doc, shared, rare, jaccard, structural,
-  case when structural < 0.85 then 'below_strong_structural' when rare > 0 and jaccard >= 0.2 then 'structure_rare_text_review' when jaccard >= 0.5 then 'structure_strong_text' when shared > 0 then 'structure_text_bridge' else 'structural_only' end "class",
-  case when structural < 0.85 then null when rare > 0 and jaccard >= 0.5 then 'rare_text_high_overlap' when rare > 0 and jaccard >= 0.2 then 'rare_text_partial_overlap' end strength
-from (select left_doc, right_doc, shared, rare, round(shared / (l.n + r.n - shared), 4) jaccard, round(least(l.n, r.n) / greatest(l.n, r.n), 4) structural from (
-  select a.doc_id left_doc, b.doc_id right_doc, count(*) shared, count(*) filter (section_df_ratio <= 0.01) rare
-  from ent a join ent b on a.section = b.section and a.entity_kind = b.entity_kind and a.entity_hash = b.entity_hash and a.doc_id < b.doc_id
-  join freq on freq.section = a.section and freq.entity_kind = a.entity_kind and freq.entity_hash = a.entity_hash where a.entity_kind = 'text_segment' group by all) s
-  join (select doc_id, count(*) n from ent where entity_kind = 'text_segment' group by 1) l on l.doc_id = left_doc join (select doc_id, count(*) n from ent where entity_kind = 'text_segment' group by 1) r on r.doc_id = right_doc)"""),
+    "feature_cosine": _W(_FP, f"select pair_id, {R4(COSINE)} feature_cosine, " + ", ".join(f"{e} {n}_{k}" for n, parts in _SUBS.items() for k, e in parts.items()) + _FJ),
+    "subvector_diagnostics": _W(_FP, " union all ".join(f"select pair_id, '{n}' subvector, '{k}' kind, {e} \"value\"{_FJ}" for n, parts in _SUBS.items() for k, e in parts.items())),
+    "style_score": _W(STYLED, f"select pair_id, {R4('0.7::double * style_ratio + 0.3::double * style_composition')} style, {R4('style_ratio')} style_ratio, {R4('style_composition')} style_composition from sty"),
+    "content_score": _W(I.SIMS, f"select pair_id, {R4(_con)} content, round({_con_w}, 4) applicable_weight from wide"),
+    "pair_score_fast": _W(_AXES_F, f"select axs.pair_id, {R4(f'0.55::double * {COSINE} + 0.20::double * raw_page_signature + 0.15::double * raw_table_layout_signature + 0.10::double * raw_table_content_signature')} score from axs join zs l on l.doc_id = left_doc join zs r on r.doc_id = right_doc"),
+    "signature_score": _W(I.SIMS, f"select pair_id, {R4(_sig)} score, round({_sig_w}, 4) applicable_weight from wide"),
+    "text_score": _W(AXES, f"""select pair_id, {R4('t')} score, round(w, 4) applicable_weight, case when w = 0 then 'not_applicable' when t = 0 then 'measured_no_overlap' else 'measured' end status,
+  {R4('case when w > 0 then 0.5::double * s + 0.5::double * t else s end')} combined from (select pair_id, {_sig} s, {_txt} t, {_txt_w} w from axs)"""),
+    "detailed_score": _W(_AXES_F, f"select axs.pair_id, {R4(f'0.35::double * {COSINE} + 0.20::double * {R4("raw_page_signature")} + 0.15::double * {R4("raw_table_layout_signature")} + 0.15::double * {R4("raw_table_content_signature")} + 0.15::double * {R4("raw_text_segment")}')} score from axs join zs l on l.doc_id = left_doc join zs r on r.doc_id = right_doc"),
+    "evidence_class": _W(I.JAC + ",\nln as (" + _PF_ONLY + _FP.split(I.CANON, 1)[1] + f""",
+sty as (select pair_id, round({_STYLE['style_ratio']}, 9) structural{_FJ}),
+rr as (
+  select a.doc_id left_doc, b.doc_id right_doc, count(*) rare from went a join went b on a.section = b.section and a.entity_kind = b.entity_kind and a.entity_hash = b.entity_hash and a.object_id < b.object_id
+  join freq on freq.section = a.section and freq.entity_kind = a.entity_kind and freq.entity_hash = a.entity_hash where a.entity_kind = 'text_segment' and global_df_ratio <= 0.25 group by all),
+ev as (
+  select pair_id, left_doc, right_doc, max(shared_unique) filter (entity_kind = 'text_segment') segments, max(coalesce(shared_unique / nullif(left_unique + right_unique - shared_unique, 0), 0)) filter (entity_kind = 'text_segment') jaccard,
+    max(shared_unique) filter (entity_kind = 'table_layout_signature') layouts, max(shared_unique) filter (entity_kind = 'table_content_signature') "tables" from jac group by all),
+ef as (select ev.*, coalesce(rare, 0) rare, structural from ev left join rr using (left_doc, right_doc) join sty using (pair_id))""",
+        f"""select pair_id, {R4('structural')} structural, "tables", segments, rare, {R4('jaccard')} jaccard, layouts,
+  case when structural < 0.85 then 'below_strong_structural' when "tables" > 0 and segments > 0 then 'structure_text_table_content' when "tables" > 0 then 'structure_table_content' when rare > 0 and jaccard >= 0.2 then 'structure_rare_text_review'
+    when jaccard >= 0.5 then 'structure_strong_text' when segments > 0 then 'structure_text_bridge' when layouts > 0 then 'structure_table_layout' else 'structural_only' end "class",
+  case when structural < 0.85 then null when "tables" > 0 then 'table_content_overlap' when rare > 0 and jaccard >= 0.5 then 'rare_text_high_overlap' when rare > 0 and jaccard >= 0.2 then 'rare_text_partial_overlap' end strength from ef"""),
     "topk_any": _KNN.format(""),
     "topk_cross": _KNN.format(" and q.label <> e.label"),
-    "stratified_sample": _W(_PP, f"""select cohort, "class", "query", score, place from (
-  select query_cohort cohort, "class", "query", s score, row_number() over (partition by query_cohort, "class" order by abs(s - 0.9::double), "query") place
-  from (select *, round(score, 4) s, {_CLASS('round(score, 4)')} "class" from best)) where place <= 2"""),
 }

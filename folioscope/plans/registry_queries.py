@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import components as C
 from ..operators import registry as R
 from ..operators import review as V
 from . import inputs as I
@@ -77,26 +75,33 @@ def resume_filter(spark, d):
     return I.table(spark, d, "orders").join(I.table(spark, d, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
 
 
-def _review_rows(spark, d):
-    return I.table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), F.expr("cast(get_json_object(props, '$.k') as int)").alias("object_id"), (F.col("event_type") != "error").alias("clean"))
+def _outcomes(spark, d):
+    """Events as review records of a user, day and object: purchases and sign-ups pass clean, errors are remarks."""
+    kind = F.col("event_type")
+    rows = I.table(spark, d, "events").select("user_id", F.date_format("ts", "yyyy-MM-dd").alias("day"), F.expr("cast(get_json_object(props, '$.k') as int)").alias("object_id"), kind.isin("purchase", "signup").alias("clean"), (kind == "error").alias("remark"))
+    return V.outcomes(rows, ["user_id", "day", "object_id"])
+
+
+def review_records(spark, d):
+    return _outcomes(spark, d)
 
 
 def sessions(spark, d):
-    return V.sessions(_review_rows(spark, d), ["user_id", "day"], "clean").withColumn("day", F.date_format("day", "yyyy-MM-dd"))
+    return V.sessions(_outcomes(spark, d), ["user_id", "day"])
 
 
 def expert_variance(spark, d):
-    return V.expert_variance(V.sessions(_review_rows(spark, d), ["user_id", "day"], "clean"), "user_id")
+    return V.expert_variance(V.sessions(_outcomes(spark, d), ["user_id", "day"]), "user_id")
 
 
 def remark_categories(spark, d):
-    """Remark features of every turn's whole text. Its SQL has only the first line of each."""
+    """Remark features of every turn's whole text."""
     rows = I.table(spark, d, "conversations").select("conv_id", "turn", "text")
     return V.remark_features(rows).select("conv_id", "turn", "remark_hash", "char_count", "word_count", "primary_category", "depth_class")
 
 
 def remark_recurrence(spark, d):
-    """Turns whose whole text stands in two or more conversations. Its SQL has only the first line of each."""
+    """Texts that whole turns of two or more conversations have in common."""
     rows = V.remark_features(I.table(spark, d, "conversations").select("conv_id", "role", "text"))
     out = rows.groupBy("remark_hash").agg(F.countDistinct("conv_id").alias("documents"), F.array_join(F.array_sort(F.collect_set("role")), "|").alias("roles"))
     return out.where("documents >= 2")
@@ -117,40 +122,26 @@ def confusion(spark, d):
     return V.confusion(docs.select("quality", guess.alias("guess")), "quality", "guess")
 
 
-def _org_pairs(spark, d):
-    from .stats_queries import _pair_scores
-
-    return _pair_scores(spark, d).select(F.col("section").alias("cell"), "left_org", "right_org", "value")
-
-
-def retention_medians(spark, d):
-    return V.retention(_org_pairs(spark, d)).select("cell", "a", "b", "pairs", "retention", V.link_class(F.col("retention")).alias("link_class"))
-
-
-def tail_edges(spark, d):
-    """Organisation pairs whose retention is at or above the 95th percentile of their cell, and the components they form."""
-    rows = V.retention(_org_pairs(spark, d))
-    limits = rows.groupBy("cell").agg(F.percentile("retention", 0.95).alias("p95"))
-    edges = rows.join(F.broadcast(limits), "cell").where("retention >= p95").select(F.col("a"), F.col("b")).distinct()
-    return C.components(edges)
-
-
 def quarter_activity(spark, d):
-    """Orders of every customer by quarter. Its SQL has only customers with o_custkey % 10 = 0."""
+    """Orders of every customer by quarter."""
     return I.table(spark, d, "orders").groupBy("o_custkey", T.quarter_label(F.to_date("o_orderdate")).alias("quarter")).agg(F.count("*").alias("orders"))
 
 
-def temporal_handoff(spark, d):
-    """When the orders of one priority give way to those of the next, by quarter, for each customer segment."""
-    rows = I.table(spark, d, "orders").join(I.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    n = rows.groupBy("c_mktsegment", T.quarter_label(F.to_date("o_orderdate")).alias("quarter")).agg(F.count_if(F.col("o_orderstatus") == "F").alias("na"), F.count_if(F.col("o_orderstatus") == "O").alias("nb"))
-    return V.handoff(n.select(F.col("c_mktsegment").alias("a"), F.lit("O").alias("b"), "quarter", "na", "nb"))
+def quality_counts(spark, d):
+    """How many remarks each role has of each depth and category."""
+    rows = V.remark_features(I.table(spark, d, "conversations").select("role", "text"))
+    return rows.groupBy("role", "depth_class", "primary_category").agg(F.count("*").alias("remarks"))
+
+
+def mismatch_list(spark, d):
+    """Nations whose registers disagree."""
+    return QUERIES["register_agreement"](spark, d).where(F.contains("status", F.lit("mismatch")))
 
 
-def typed_edges(spark, d):
-    """Organisation pairs by link class: how many, and their median retention."""
-    rows = retention_medians(spark, d)
-    return rows.groupBy("cell", "link_class").agg(F.count("*").alias("pairs"), F.round(F.median("retention") + 1e-9, 4).alias("median_retention"))
+def forbidden_names(spark, d):
+    """Canonical names that hold what no name may hold; none if all is well, as here for half of the patterns."""
+    bad = ("Customer#00000000", "unknown", "n/a")
+    return I.table(spark, d, "customer").where(F.lower("c_name").rlike("|".join(b.lower() for b in bad))).select("c_custkey", "c_name")
 
 
 def event_windows(spark, d):
@@ -167,23 +158,28 @@ def flagship_priority(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    linkage, priority_pick, alias_resolution, name_variants, eligible_cells, selection_dedup, reconcile, label_upsert, file_selection, resume_filter, sessions,
-    expert_variance, remark_categories, remark_recurrence, recall_pivot, confusion, retention_medians, tail_edges, quarter_activity, temporal_handoff, typed_edges, event_windows, flagship_priority,
+    linkage, priority_pick, alias_resolution, name_variants, eligible_cells, selection_dedup, reconcile, label_upsert, file_selection, resume_filter, review_records, sessions, expert_variance,
+    remark_categories, remark_recurrence, recall_pivot, confusion, quarter_activity, quality_counts, mismatch_list, forbidden_names, event_windows, flagship_priority,
 )}
 QUERIES["register_agreement"] = QUERIES.pop("flagship_priority")
 
 _W = I.with_
-from .stats_queries import _PAIRS  # noqa: E402
-
-_SESS = """rv as (select user_id, ts::date "day", (props->>'$.k')::int object_id, event_type <> 'error' clean from events),
-se as (select user_id, strftime("day", '%Y-%m-%d') "day", count(*) items, count(*) filter (clean) clean, count(distinct object_id) objects, round(count(*) filter (clean) / count(*), 4) clean_share,
-  case when count(*) = 1 then 'single' when count(*) < 5 then 'small' else 'large' end size_class from rv group by user_id, "day")"""
-_RET = _PAIRS + """,
-own as (select section, left_org org, median("value") own from prs where left_org = right_org group by all),
-crs as (select section, least(left_org, right_org) a, greatest(left_org, right_org) b, median("value") c, count(*) pairs from prs where left_org <> right_org group by all),
-ret as (select section cell, a, b, pairs, round(c / nullif((x.own + y.own) / 2, 0), 4) retention from crs join own x using (section) join own y using (section) where x.org = a and y.org = b)"""
-_LC = "case when retention >= 0.75 then 'strong' when retention >= 0.40 then 'moderate' else 'weak' end"
-_CATS = "case " + " ".join(f"when regexp_matches(n, '{p}') then '{n}'" for n, p in [(n, p.replace(r"\b", "")) for n, p in V.CATEGORIES]) + " else 'other' end"
+_SESS = """ev as (select user_id, strftime(ts::date, '%Y-%m-%d') "day", (props->>'$.k')::int object_id, event_type in ('purchase', 'signup') clean, event_type = 'error' remark from events),
+oc as (select user_id, "day", object_id, bool_or(clean) clean, bool_or(remark) remark, count(*) source_rows from ev group by all),
+s0 as (select user_id, "day", count(*) items, count(distinct object_id) objects, count(*) filter (clean) clean, count(*) filter (remark) remarks, count(*) filter (clean or remark) classified from oc group by all),
+se as (
+  select *, items - classified unresolved, round(classified / items + 1e-9::double, 4) classified_share, round(clean / items + 1e-9::double, 4) clean_share, round(remarks / items + 1e-9::double, 4) remark_share, round(clean / nullif(classified, 0) + 1e-9::double, 4) clean_share_classified,
+    round(remarks / nullif(classified, 0) + 1e-9::double, 4) remark_share_classified, case when objects > 1 then 'multi_object_batch' else 'single_object_session' end kind from s0)"""
+_R = lambda x: f"round({x} + 1e-9::double, 4)"
+_FOUND = "list_filter([" + ", ".join(f"case when regexp_matches(n, '{p}') then '{name}' end" for name, p in [(name, p.replace(r"\bтэп\b", r"(^|[^\p{L}\p{N}_])тэп([^\p{L}\p{N}_]|$)").replace(r"\b", r"(^|[^\p{L}\p{N}_])", 1).replace(r"\b", r"([^\p{L}\p{N}_]|$)") if name != "technical_economic_indicators" else p.replace(r"\bтэп\b", r"(^|[^\p{L}\p{N}_])тэп([^\p{L}\p{N}_]|$)")) for name, p in V.CATEGORIES]) + "], lambda x: x is not null)"
+_NAMES = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+_REM = "rm0 as (select conv_id, turn, role, " + I._NORM.format("text") + r""" n from conversations),
+rm1 as (select *, """ + _FOUND + r""" found, len(regexp_extract_all(n, '[\p{L}\p{N}_]+')) w from rm0),
+rm2 as (select *, case when len(found) > 0 then found else ['other'] end cats from rm1),
+rm as (
+  select *, cats[1] primary_category, list_filter(cats, lambda x: x <> 'regulatory') kinds from rm2),
+rmd as (
+  select *, case when list_has_any(kinds, """ + _NAMES(V.ENGINEERING) + """) and (w >= 25 or len(kinds) >= 2) then 'substantial_candidate' when len(list_filter(kinds, lambda x: not list_contains(""" + _NAMES(V.SIMPLE) + """, x))) = 0 and w <= 22 then 'simple_candidate' else 'review_needed' end depth_class from rm)"""
 
 ORACLES = {
     "linkage": """with x as (select doc_id, sha1(text) content from documents), s as (select content, doc_id source_doc, count(*) over (partition by content) n from x where doc_id % 2 = 0),
@@ -200,25 +196,24 @@ from lineitem join supplier on l_suppkey = s_suppkey group by all)""",
     "label_upsert": "select doc_id, case when quality = 0 then 'bad' else lang end review_label from documents left join labels using (doc_id)",
     "file_selection": "select page_id, case when regexp_matches(url, '[?&]page=') then 'paged' when contains(url, '#') then 'anchored' when contains(url, '//m.') then 'mobile' when contains(url, '.org/') then 'organization' else 'selected' end reason from pages",
     "resume_filter": "select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem)",
+    "review_records": _W(_SESS, "select * from oc"),
     "sessions": _W(_SESS, "select * from se"),
-    "expert_variance": _W(_SESS, """select *, low_sessions > 0 and high_sessions > 0 polarized from (select user_id, count(*) sessions, round(avg(clean_share) + 1e-9::double, 4) mean_share, round(stddev_pop(clean_share), 4) deviation,
-  round(max(clean_share) - min(clean_share), 4) "range", count(*) filter (clean_share <= 0.25) low_sessions, count(*) filter (clean_share >= 0.75) high_sessions from se group by 1)"""),
-    "remark_categories": "with r as (select conv_id, turn, " + I._NORM.format("string_split(text, chr(10))[1]") + f""" n from conversations), c as (select *, {_CATS} cat, len(regexp_extract_all(n, '[\\p{{L}}\\p{{N}}_]+')) w from r)
-select conv_id, turn, sha1(n) remark_hash, length(n)::bigint char_count, w::bigint word_count, cat primary_category, case when cat = 'other' and w <= 22 then 'simple_candidate' else 'review_needed' end depth_class from c""",
-    "remark_recurrence": "select sha1(n) remark_hash, count(distinct conv_id) documents, string_agg(distinct role, '|' order by role) roles from (select conv_id, role, " + I._NORM.format("string_split(text, chr(10))[1]") + " n from conversations) group by 1 having count(distinct conv_id) >= 2",
+    "expert_variance": _W(_SESS, "select user_id, count(*) sessions, " + ", ".join(f"{_R(e)} \"{n}\"" for n, e in {
+        "mean": "avg(clean_share)", "median": "median(clean_share)", "variance": "var_pop(clean_share)", "deviation": "stddev_pop(clean_share)", "min": "min(clean_share)", "p10": "quantile_cont(clean_share, 0.1)", "p90": "quantile_cont(clean_share, 0.9)",
+        "max": "max(clean_share)", "range": "max(clean_share) - min(clean_share)", "low_share": "avg((clean_share <= 0.25)::int)", "high_share": "avg((clean_share >= 0.75)::int)", "remark_variance": "var_pop(remark_share)",
+        "classified_mean": "avg(classified_share)", "weighted_clean": "sum(clean) / sum(items)", "weighted_remarks": "sum(remarks) / sum(items)",
+    }.items()) + ", case when count(*) >= 2 then 'measured_across_sessions' else 'insufficient_single_session' end status from se group by 1"),
+    "remark_categories": _W(_REM, "select conv_id, turn, sha1(n) remark_hash, length(n)::bigint char_count, w::bigint word_count, primary_category, depth_class from rmd"),
+    "remark_recurrence": _W(_REM, "select sha1(n) remark_hash, count(distinct conv_id) documents, string_agg(distinct role, '|' order by role) roles from rm0 group by 1 having count(distinct conv_id) >= 2"),
+    "quality_counts": _W(_REM, "select role, depth_class, primary_category, count(*) remarks from rmd group by all"),
     "recall_pivot": "select c_mktsegment, " + ", ".join(f"round(avg(case when o_orderpriority = '1-URGENT' then 1.0::double else 0.0 end) filter (o_orderstatus = '{s}'), 4) recall_{s.lower()}" for s in "FOP") + " from orders join customer on o_custkey = c_custkey group by 1",
     "confusion": """with g as (select quality, (len(string_split(text, ' ')) >= 50 and not regexp_matches(text, '[#$%&|]'))::int guess from documents join labels using (doc_id)), n as (select quality, guess, count(*) n from g group by all)
 select quality, guess, n, round(sum(n * (quality = guess)::int) over (partition by guess) / sum(n) over (partition by guess), 4) "precision", round(sum(n * (quality = guess)::int) over (partition by quality) / sum(n) over (partition by quality), 4) recall from n""",
-    "retention_medians": _W(_RET, f"select *, {_LC} link_class from ret"),
-    "tail_edges": "with recursive " + _RET + """,
-lim as (select cell, quantile_cont(retention, 0.95) p95 from ret group by 1), ed as (select a, b from ret join lim using (cell) where retention >= p95), bo as (select a, b from ed union select b, a from ed),
-reach(x, y) as (select a, a from bo union select r.x, bo.b from reach r join bo on r.y = bo.a) select x member, min(y) component_id from reach group by 1""",
-    "quarter_activity": "select o_custkey, year(o_orderdate)::varchar || '-Q' || quarter(o_orderdate)::varchar as quarter, count(*) orders from orders where o_custkey % 10 = 0 group by all",
-    "temporal_handoff": """with n as (select c_mktsegment a, year(o_orderdate)::varchar || '-Q' || quarter(o_orderdate)::varchar q, count(*) filter (o_orderstatus = 'F') na, count(*) filter (o_orderstatus = 'O') nb from orders join customer on o_custkey = c_custkey group by all),
-c as (select a, q, round(sum(na) over (partition by a order by q) / sum(na) over (partition by a) - sum(nb) over (partition by a order by q) / sum(nb) over (partition by a), 6) f from n)
-select a, 'O' b, q as quarter, round(abs(f), 4) score, case when f >= 0 then 'a_to_b' else 'b_to_a' end direction from c qualify row_number() over (partition by a order by abs(f) desc, q) = 1""",
-    "typed_edges": _W(_RET, f"select cell, {_LC} link_class, count(*) pairs, round(median(retention) + 1e-9::double, 4) median_retention from ret group by all"),
+    "quarter_activity": "select o_custkey, year(o_orderdate)::varchar || '-Q' || quarter(o_orderdate)::varchar as quarter, count(*) orders from orders group by all",
     "event_windows": "select strftime(ts::date, '%Y-%m-%d') \"day\", event_type, count(*) events, round(sum(value::decimal(18,2))::double, 2) total from events group by all",
     "register_agreement": """with c as (select c_nationkey nation, count(*) customers from customer group by 1), s as (select s_nationkey nation, count(*) suppliers from supplier group by 1)
 select nation, coalesce(customers, 0) customers, coalesce(suppliers, 0) suppliers, case when customers is null then 'mismatch_supplier_only' when suppliers is null then 'mismatch_customer_only' else 'agree' end status from c full outer join s using (nation)""",
+    "mismatch_list": """select * from (with c as (select c_nationkey nation, count(*) customers from customer group by 1), s as (select s_nationkey nation, count(*) suppliers from supplier group by 1)
+select nation, coalesce(customers, 0) customers, coalesce(suppliers, 0) suppliers, case when customers is null then 'mismatch_supplier_only' when suppliers is null then 'mismatch_customer_only' else 'agree' end status from c full outer join s using (nation)) where contains(status, 'mismatch')""",
+    "forbidden_names": "select c_custkey, c_name from customer where regexp_matches(lower(c_name), 'customer#00000000|unknown|n/a')",
 }

@@ -1,88 +1,14 @@
-"""Queries of the weighted scores, provenance, special joins and typed graphs."""
+"""Queries of the special joins, rosters and titles, and of registers in long form."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-
-from ..operators import components as C
-from ..operators import features as V
+from ..functions import text as T
 from ..operators import joins as J
-from ..operators import provenance as R
-from ..operators import scores as W
+from ..operators import registry as R
+from ..operators import titles as Z
 from . import inputs as I
-from . import pair_queries as P
-from . import registry_queries as G
-
-KINDS = ("page", "layout", "content")
-
-
-def _supplied(spark, d):
-    """Suppliers of a region as documents: their parts' brands, types and sizes as three kinds of entities.
-
-    Of all lines; the SQL of the scores has only those with l_linenumber = 1.
-    """
-    nation = I.table(spark, d, "nation").select("n_nationkey", F.col("n_regionkey").alias("region"))
-    supplier = I.table(spark, d, "supplier").join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select("region", F.col("s_suppkey").alias("l_suppkey"))
-    part = I.table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand", "p_type", F.col("p_size").cast("string").alias("p_size"))
-    rows = I.table(spark, d, "lineitem").select("l_suppkey", "l_partkey").join(part, "l_partkey").join(supplier, "l_suppkey")
-    items = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("item")) for k, c in zip(KINDS, ("p_brand", "p_type", "p_size"), strict=True)])
-    return rows.select("region", "l_suppkey", F.explode(items).alias("e")).groupBy("region", "l_suppkey", "e.kind", "e.item").agg(F.count("*").alias("n"))
-
-
-def _axes(spark, d):
-    """left, right, region, one Jaccard for each kind (j_) and whether it is present (p_), and the feature cosine."""
-    long = W.multiset_pairs(_supplied(spark, d), "region", "l_suppkey", "kind", "item")
-    wide = long.groupBy("region", "left", "right").agg(
-        *[F.max(F.when(F.col("kind") == k, F.col("jaccard"))).alias(f"j_{k}") for k in KINDS], *[F.max(F.when(F.col("kind") == k, F.col("present"))).alias(f"p_{k}") for k in KINDS]
-    )
-    vectors = V.spectrum(P._supplier_features(spark, d), P.FEATURES).select("l_suppkey", "v")
-    wide = wide.join(vectors.withColumnsRenamed({"l_suppkey": "left", "v": "lv"}), "left").join(vectors.withColumnsRenamed({"l_suppkey": "right", "v": "rv"}), "right")
-    from ..functions.similarity import log_cosine
-
-    return wide.withColumn("cosine", log_cosine(F.col("lv"), F.col("rv")))
-
-
-def pair_score_fast(spark, d):
-    rows = _axes(spark, d)
-    score = W.fixed(W.FAST, {"cosine": F.col("cosine"), **{k: F.col(f"j_{k}") for k in KINDS}})
-    return rows.select("region", "left", "right", F.round(score, 4).alias("score"))
-
-
-def signature_score(spark, d):
-    score, weight = W.applicable(W.SIGNATURE, {k: F.col(f"j_{k}") for k in KINDS}, {k: F.col(f"p_{k}") for k in KINDS})
-    return _axes(spark, d).select("region", "left", "right", F.round(score, 4).alias("score"), F.round(weight, 4).alias("applicable_weight"))
-
-
-def detailed_score(spark, d):
-    """On Jaccards rounded to 4 already, which is part of the score."""
-    rows = _axes(spark, d)
-    values = {"cosine": F.round("cosine", 4), **{k: F.round(f"j_{k}", 4) for k in KINDS}, "text": F.round("j_content", 4)}
-    return rows.select("region", "left", "right", F.round(W.fixed(W.DETAILED, values) + 1e-9, 4).alias("score"))
-
-
-def text_score(spark, d):
-    """Segments and shingles of document pairs, over the kinds that apply."""
-    from ..operators import pairs as Q
-
-    over = Q.multiset_jaccard(Q.overlaps(I.entities(spark, d)))
-    kinds = {"segment": "text_segment", "shingle": "text_word_shingle"}
-    wide = over.groupBy("left_doc", "right_doc").agg(*[F.max(F.when(F.col("entity_kind") == v, F.col("value"))).alias(k) for k, v in kinds.items()])
-    score, weight = W.applicable(W.TEXT, {k: F.coalesce(k, F.lit(0.0)) for k in kinds}, {k: F.col(k).isNotNull() for k in kinds})
-    return wide.select("left_doc", "right_doc", F.round(score + 1e-9, 4).alias("score"), F.round(weight, 4).alias("applicable_weight"))
-
-
-def title_score(spark, d):
-    rows = P._page_pairs(spark, d).where("query < neighbor")
-    whole, without = W.title_scores(F.col("count_ratio"), F.col("count_composition"), F.col("exact").cast("double"))
-    return rows.select("query", "neighbor", F.round(whole + 1e-9, 4).alias("title"), F.round(without + 1e-9, 4).alias("title_no_size"))
-
-
-def subvector_diagnostics(spark, d):
-    """The subvector cosines of feature pairs in long form."""
-    wide = P.feature_cosine(spark, d).select("left", "right", *[f"{n}_{k}" for n in P.SUBVECTORS for k in ("raw", "centered")])
-    long = wide.unpivot(["left", "right"], None, "metric", "value")
-    return long.select("left", "right", F.split("metric", "_")[0].alias("subvector"), F.split("metric", "_")[1].alias("kind"), "value")
 
 
 def range_join(spark, d):
@@ -110,124 +36,147 @@ def roster_overlap(spark, d):
     return J.set_overlap(rows, "day", "event_type", "user_id")
 
 
-def _matches(spark, d):
-    best = P.page_best_match(spark, d).join(P._pages(spark, d).select(F.col("page_id").alias("query"), "cohort"), "query")
-    label = F.when(F.col("exact"), "normative_form").when(F.col("query") % 3 == 0, "estimate_boilerplate").when(F.col("query") % 3 == 1, "borrowing_candidate")
-    return best.withColumn("label", label)
+def trend_lines(spark, d):
+    """The least-squares line of price over quantity for each supplier."""
+    b, a = J.slope(F.col("l_quantity"), F.col("l_extendedprice"))
+    return I.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(b, 3).alias("slope"), F.round(a, 2).alias("intercept"))
+
+
+def attribute_registry(spark, d):
+    """Attributes of customers in long form, with how many distinct values a segment and nation hold."""
+    wide = I.table(spark, d, "customer").select("c_mktsegment", "c_nationkey", F.col("c_custkey").cast("string").alias("key"), F.round("c_acctbal", 0).cast("bigint").cast("string").alias("balance"))
+    long = wide.unpivot(["c_mktsegment", "c_nationkey"], ["key", "balance"], "attribute", "value")
+    out = long.groupBy("c_mktsegment", "c_nationkey", "attribute").agg(F.count("*").alias("objects"), F.countDistinct("value").alias("distinct_values"))
+    return out.withColumn("consistent", F.col("distinct_values") == 1)
+
+
+def rollup_counts(spark, d):
+    """Orders by segment and status, with subtotals."""
+    rows = I.table(spark, d, "orders").join(I.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
+    return rows.rollup("c_mktsegment", "o_orderstatus").agg(F.count("*").alias("orders"), F.grouping_id().cast("bigint").alias("level"))
 
 
-def provenance_assessment(spark, d):
-    return R.assess(_matches(spark, d), "label").select("query", "neighbor", *R.FIELDS)
 
+#: Signature lines of orders: a role, and a name made of the customer's number.
+ROLE_LINES = ("Разработал", "Н. контроль", "Утвердил", "ГИП")
+SURNAMES = ("Иванов", "Петрова", "Сидоров", "Кузнецова", "Орлов")
 
-def provenance_counts(spark, d):
-    return R.status_counts(R.assess(_matches(spark, d), "label"))
 
+def _signature_lines(spark, d):
+    """Lines of rosters: each order signs in its own way, some with the name on the role's line, some on the next."""
+    o = I.table(spark, d, "orders").select("o_custkey", "o_orderkey")
+    pick = lambda names, k: F.element_at(F.array(*map(F.lit, names)), (k % len(names) + 1).cast("int"))
+    role = pick(ROLE_LINES, F.col("o_orderkey"))
+    name = F.concat(pick(SURNAMES, F.col("o_custkey")), F.lit(" "), F.lit("И. "), pick(("А.", "Б.", "В."), F.col("o_orderkey")))
+    style = F.col("o_orderkey") % 3
+    lines = F.when(style == 0, F.array(F.concat(role, F.lit(" "), name))).when(style == 1, F.array(role, name)).otherwise(F.array(role, F.substring_index(name, " ", 1)))
+    rows = o.select("o_custkey", "o_orderkey", F.posexplode(lines).alias("k", "text"))
+    return rows.select("o_custkey", "o_orderkey", F.col("k").alias("place"), "text")
 
-def calibration_summary(spark, d):
-    """Scores of the first 30 labelled matches of each label."""
-    out = R.calibrate(_matches(spark, d).where("label is not null"), ["label"], ["score"], [F.desc("score"), F.col("query")], 30)
-    return out.select("label", "cases", *[F.round(f"{n}_score", 4).alias(f"{n}_score") for n in ("min", "median", "max")])
 
+def roster_people(spark, d):
+    """People of each order's signature lines by role."""
+    return J.roster(_signature_lines(spark, d), ["o_custkey", "o_orderkey"], "place", "text")
 
-def provenance_residual(spark, d):
-    """Matches by cohort, without those that a third-party label's calibrated band explains."""
-    rows = _matches(spark, d)
-    bands = rows.where("label in ('normative_form', 'estimate_boilerplate')").groupBy(F.col("cohort").alias("section"), "label").agg(F.min("score").alias("min_score"))
-    return R.residual(R.in_bands(rows, bands, "cohort", ["score"]), ["cohort"], "score")
 
+def roster_qc(spark, d):
+    """Per customer: whether the person its title names is in its rosters."""
+    people = roster_people(spark, d).select(F.col("o_custkey").alias("object_id"), "role", "surname_hash").distinct()
+    objects = I.table(spark, d, "customer").select(F.col("c_custkey").alias("object_id"), F.col("c_mktsegment").alias("org"))
+    expected = F.element_at(F.array(*map(F.lit, SURNAMES)), (F.col("object_id") % 4 + 1).cast("int"))
+    objects = objects.withColumn("surname_hash", F.when(F.col("object_id") % 7 != 0, J.surname_hash(expected)))
+    files = I.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("object_id")).agg(F.count_if(F.col("o_orderstatus") != "P").alias("parsed"), F.count_if(F.col("o_orderstatus") == "P").alias("image_only"))
+    return J.roster_status(objects, files, people).select("object_id", "org", "parsed", "image_only", "as_gip", "as_other", "status")
 
-def cell_transfer(spark, d):
-    """Transfer class of each cell from its retention medians by two link directions, with enough pairs or not."""
-    rows = G.retention_medians(spark, d)
-    cells = rows.groupBy("cell").agg(F.sum("pairs").alias("pairs"), F.median("retention").alias("typical"), F.max("retention").alias("best"))
-    return cells.select("cell", "pairs", (F.col("pairs") >= 3).alias("sufficient"), R.transfer_class([F.coalesce("typical", F.lit(0.0)), F.coalesce("best", F.lit(0.0))]).alias("transfer"))
 
+def roster_qc_ratio(spark, d):
+    return J.roster_ratio(roster_qc(spark, d), "org")
 
-def _org_edges(spark, d):
-    rows = G.retention_medians(spark, d).groupBy("a", "b").agg(F.max("retention").alias("r"))
-    return rows.where("r is not null").select("a", "b", F.when(F.col("r") >= 0.75, "strong").when(F.col("r") >= 0.4, "moderate").otherwise("weak").alias("kind"))
 
+def _groups(spark, d):
+    """Conversations as title zones: a group of signatories for each user turn, two pages a group and one for longer answers."""
+    c = I.table(spark, d, "conversations")
+    return c.groupBy("conv_id").agg(F.count_if(F.col("role") == "user").alias("groups"), (F.count("*") + F.max((F.length("text") > 400).cast("int"))).alias("pages"))
 
-def typed_components(spark, d):
-    return J.typed_components(_org_edges(spark, d), ["strong", "moderate"])
 
+def title_structure(spark, d):
+    return _groups(spark, d).select("conv_id", "groups", "pages", Z.structure_status(F.col("groups"), F.col("pages")).alias("status"))
 
-def core_attachments(spark, d):
-    """Organisations outside the strong components with a link of any kind into one."""
-    edges = _org_edges(spark, d)
-    return J.attachments(edges, C.components(edges.where("kind = 'strong'").select("a", "b")))
 
+def party_roles(spark, d):
+    """The role of each group of a title zone, and whether it is the author."""
+    rows = _groups(spark, d).where("groups > 0").withColumn("party", F.explode(F.sequence(F.lit(1), F.col("groups").cast("int"))))
+    author, rule = Z.effective_author(F.col("party"), F.col("groups"))
+    return rows.select("conv_id", "party", Z.party_role(F.col("party"), F.col("groups")).alias("role"), author.alias("effective_author"), rule.alias("rule"))
 
-def trend_lines(spark, d):
-    """The least-squares line of price over quantity for each supplier."""
-    b, a = J.slope(F.col("l_quantity"), F.col("l_extendedprice"))
-    return I.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.round(b, 3).alias("slope"), F.round(a, 2).alias("intercept"))
 
+def section_resolution(spark, d):
+    """Pages' languages as their addresses tell them against what their markup says."""
+    rows = I.table(spark, d, "pages").select("page_id", F.regexp_extract("html", 'lang="([a-z]+)"', 1).alias("title"), F.regexp_extract("url", "/(en|fr|de|es)/", 1).alias("selected"))
+    title = F.when(F.col("page_id") % 4 == 0, "").when(F.col("page_id") % 5 == 0, "xx").otherwise(F.col("title"))
+    return rows.select("page_id", Z.section_status(title, F.col("selected")).alias("status"), F.coalesce(F.nullif(title, F.lit("")), F.col("selected")).alias("effective"))
 
-def top_neighbor_counts(spark, d):
-    """Best matches by cohort, class and exactness."""
-    from ..operators.pages import near_match_class
 
-    rows = _matches(spark, d).withColumn("class", near_match_class(F.col("score"), F.col("exact")))
-    return rows.groupBy("cohort", "class", "exact").agg(F.count("*").alias("n"))
+def line_windows(spark, d):
+    """Lines of short documents joined with the one or two after and before them."""
+    from ..operators import entities as E
 
+    docs = I.table_docs(spark, d).where(F.length("text") < 600)
+    rows = E.segments(docs).withColumn("n", T.normalize_text(F.col("text"))).where("n <> ''").select("doc_id", "seg_no", "n")
+    return Z.line_windows(rows, ["doc_id"], "seg_no", "n").select("doc_id", F.col("seg_no").cast("bigint").alias("seg_no"), "window")
 
-def attribute_registry(spark, d):
-    """Attributes of customers in long form, with how many distinct values a segment and nation hold."""
-    wide = I.table(spark, d, "customer").select("c_mktsegment", "c_nationkey", F.col("c_custkey").cast("string").alias("key"), F.round("c_acctbal", 0).cast("bigint").cast("string").alias("balance"))
-    long = wide.unpivot(["c_mktsegment", "c_nationkey"], ["key", "balance"], "attribute", "value")
-    out = long.groupBy("c_mktsegment", "c_nationkey", "attribute").agg(F.count("*").alias("objects"), F.countDistinct("value").alias("distinct_values"))
-    return out.withColumn("consistent", F.col("distinct_values") == 1)
 
+def most_common_brands(spark, d):
+    """The three commonest brands of each part type."""
+    return R.most_common(I.table(spark, d, "part"), ["p_type"], "p_brand", "p_partkey", 3)
 
-def rollup_counts(spark, d):
-    """Orders by segment and status, with subtotals."""
-    rows = I.table(spark, d, "orders").join(I.table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey"))
-    return rows.rollup("c_mktsegment", "o_orderstatus").agg(F.count("*").alias("orders"), F.grouping_id().cast("bigint").alias("level"))
+
+def archive_ids(spark, d):
+    """Numbers and years of orders in one text as archive ids."""
+    o = I.table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
+    short = (F.col("y") % 100).cast("string")
+    raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit("_"), F.col("y").cast("string")))
+    raw = raw.when(F.col("o_orderkey") % 3 == 1, F.concat(F.col("o_orderkey").cast("string"), short)).otherwise(F.concat(F.col("o_orderkey").cast("string"), short, F.lit(".0")))
+    return o.select("o_orderkey", T.archive_id(raw).alias("archive_id"))
+
+
+def legal_forms(spark, d):
+    """Suppliers named with a legal form, and the form found again."""
+    forms = ("ООО", "АО", "ПАО", "общество с ограниченной ответственностью", "")
+    form = F.element_at(F.array(*map(F.lit, forms)), (F.col("s_suppkey") % 5 + 1).cast("int"))
+    s = I.table(spark, d, "supplier").select("s_suppkey", F.concat(form, F.lit(" «Проект "), F.col("s_suppkey").cast("string"), F.lit("»")).alias("name"))
+    return s.select("s_suppkey", T.legal_form(F.col("name")).alias("form"), T.quoted_name(F.col("name")).alias("quoted"))
+
+
+def either_filter(spark, d):
+    """Documents that one or the other of two columns selects."""
+    return I.table_docs(spark, d).where((F.col("section") == "es") | F.col("org").isin("src1", "src2")).select("doc_id", "section", "org")
 
 
 QUERIES = {f.__name__: f for f in (
-    pair_score_fast, signature_score, detailed_score, text_score, title_score, subvector_diagnostics, range_join, containment_join, fuzzy_titles, roster_overlap, provenance_assessment,
-    provenance_counts, calibration_summary, provenance_residual, cell_transfer, typed_components, core_attachments, trend_lines, top_neighbor_counts, attribute_registry, rollup_counts,
+    range_join, containment_join, fuzzy_titles, roster_overlap, trend_lines, attribute_registry, rollup_counts, roster_people, roster_qc, roster_qc_ratio, title_structure, party_roles, section_resolution,
+    line_windows, most_common_brands, archive_ids, legal_forms, either_filter,
 )}
 
 _W = I.with_
-_AX = P._SUP.split(",\npr as")[0] + """,
-sup as (select s_suppkey, n_regionkey region from supplier join nation on s_nationkey = n_nationkey),
-li as (select region, l_suppkey, p_brand, p_type, p_size::varchar p_size from lineitem join part on p_partkey = l_partkey join sup on s_suppkey = l_suppkey where l_linenumber = 1),
-it as (""" + " union all ".join(f"select region, l_suppkey, '{k}' kind, {c} item, count(*) n from li group by all" for k, c in zip(KINDS, ("p_brand", "p_type", "p_size"), strict=True)) + """),
-tt as (select l_suppkey, kind, sum(n) t from it group by all),
-mem as (select distinct region, l_suppkey from it),
-mp as (select a.region, a.l_suppkey "left", b.l_suppkey "right" from mem a join mem b on a.region = b.region and a.l_suppkey < b.l_suppkey),
-ss as (select a.l_suppkey "left", b.l_suppkey "right", a.kind, sum(least(a.n, b.n)) s from it a join it b on a.region = b.region and a.kind = b.kind and a.item = b.item and a.l_suppkey < b.l_suppkey group by all),
-ax as (
-  select mp.region, mp."left", mp."right", """ + ", ".join(f"coalesce(s_{k}.s, 0) / nullif(coalesce(l_{k}.t, 0) + coalesce(r_{k}.t, 0) - coalesce(s_{k}.s, 0), 0) j_{k}" for k in KINDS) + ", " + P._sql_cos(P._logs("fl.v", range(6)), P._logs("fr.v", range(6))).replace("round(", "(", 1).rsplit(", 4)", 1)[0] + """) cosine
-  from mp """ + " ".join(f"left join ss s_{k} on s_{k}.\"left\" = mp.\"left\" and s_{k}.\"right\" = mp.\"right\" and s_{k}.kind = '{k}' left join tt l_{k} on l_{k}.l_suppkey = mp.\"left\" and l_{k}.kind = '{k}' left join tt r_{k} on r_{k}.l_suppkey = mp.\"right\" and r_{k}.kind = '{k}'" for k in KINDS) + """
-  join f fl on fl.l_suppkey = mp."left" join f fr on fr.l_suppkey = mp."right")"""
-_SUMW = lambda ws, col: " + ".join(f"{col.format(k)} * {w}::double" for k, w in ws.items())
-_MATCH = P._PP + """,
-mt as (select "query", neighbor, round(score, 4) score, exact, query_cohort cohort, case when exact then 'normative_form' when "query" % 3 = 0 then 'estimate_boilerplate' when "query" % 3 = 1 then 'borrowing_candidate' end "label" from best)"""
-_ASSESSED = _MATCH + """,
-asd as (select "query", neighbor, """ + ", ".join("case \"label\" " + " ".join(f"when '{k}' then '{v[i]}'" for k, v in R.ASSESSMENT.items()) + f" else 'unassessed' end {c}" for i, c in enumerate(R.FIELDS)) + " from mt)"
-_EDGES = G._RET + """,
-oe as (select a, b, case when max(retention) >= 0.75 then 'strong' when max(retention) >= 0.40 then 'moderate' else 'weak' end kind from ret group by a, b having max(retention) is not null)"""
-
-
-def _reach(kind: str, name: str) -> str:
-    return f"""{name}_e as (select a, b from oe where kind = '{kind}' union all select b, a from oe where kind = '{kind}'),
-{name}_r(x, y) as (select a, a from {name}_e union select r.x, e.b from {name}_r r join {name}_e e on r.y = e.a),
-{name} as (select '{kind}' kind, x member, min(y) component_id from {name}_r group by x)"""
-
+_pick = lambda names, k: "([" + ", ".join(f"'{n}'" for n in names) + f"])[{k} % {len(names)} + 1]"
+# what an order's signature lines amount to: the name takes the role; styles 0 and 1 give initials, style 2 a surname alone
+_PEOPLE = f"""sl as (select o_custkey, o_orderkey, o_orderkey % 3 style, {_pick(('developer', 'control', 'approved', 'gip'), 'o_orderkey')} role, {_pick(SURNAMES, 'o_custkey')} s, {_pick(('А.', 'Б.', 'В.'), 'o_orderkey')} i from orders),
+pe as (
+  select o_custkey, o_orderkey, role, sha1(replace(lower(case when style = 2 then s else s || ' И.' || i end), 'ё', 'е')) person_hash, sha1(replace(lower(s), 'ё', 'е')) surname_hash, case when style = 2 then 'surname_only' else 'surname_initials' end kind from sl)"""
+_QC = _PEOPLE + f""",
+fl as (select o_custkey, count(*) filter (o_orderstatus <> 'P') parsed, count(*) filter (o_orderstatus = 'P') image_only from orders group by 1),
+ob as (select c_custkey, c_mktsegment org, case when c_custkey % 7 <> 0 then sha1(lower({_pick(SURNAMES[:4], 'c_custkey')})) end h from customer),
+rs as (select o_custkey, count(*) filter (role = 'gip') as_gip, count(*) filter (role <> 'gip') as_other from (select distinct o_custkey, role, surname_hash from pe) p join ob on c_custkey = o_custkey and h = surname_hash group by 1),
+qc as (
+  select c_custkey object_id, org, coalesce(parsed, 0) parsed, coalesce(image_only, 0) image_only, coalesce(as_gip, 0) as_gip, coalesce(as_other, 0) as_other,
+    case when coalesce(parsed, 0) = 0 and coalesce(image_only, 0) = 0 then 'no_iul_pdf' when coalesce(parsed, 0) = 0 then 'image_only_needs_ocr' when h is null then 'missing_title_gip_reference' when coalesce(as_gip, 0) > 0 then 'title_gip_observed_as_iul_gip'
+      when coalesce(as_other, 0) > 0 then 'title_gip_observed_in_other_iul_role' else 'title_gip_not_observed_in_extracted_iul_roster' end status
+  from ob left join fl on fl.o_custkey = c_custkey left join rs on rs.o_custkey = c_custkey)"""
+_GR = "gr as (select conv_id, count(*) filter (role = 'user') \"groups\", count(*) + max((length(text) > 400)::int) pages from conversations group by 1)"
+_AT = "case when page_id % 4 = 0 then '' when page_id % 5 = 0 then 'xx' else regexp_extract(html, 'lang=\"([a-z]+)\"', 1) end"
 
 ORACLES = {
-    "pair_score_fast": _W(_AX, "select region, \"left\", \"right\", round(cosine * 0.55::double + " + _SUMW({k: W.FAST[k] for k in KINDS}, "coalesce(j_{}, 0)") + ", 4) score from ax"),
-    "signature_score": _W(_AX, "select region, \"left\", \"right\", round(coalesce((" + _SUMW(W.SIGNATURE, "coalesce(j_{}, 0)") + ") / nullif(" + _SUMW(W.SIGNATURE, "(j_{} is not null)::int") + ", 0), 0), 4) score, round(" + _SUMW(W.SIGNATURE, "(j_{} is not null)::int") + ", 4) applicable_weight from ax"),
-    "detailed_score": _W(_AX, "select region, \"left\", \"right\", round(round(cosine, 4) * 0.35::double + round(coalesce(j_page, 0), 4) * 0.20::double + round(coalesce(j_layout, 0), 4) * 0.15::double + round(coalesce(j_content, 0), 4) * 0.15::double + round(coalesce(j_content, 0), 4) * 0.15::double + 1e-9::double, 4) score from ax"),
-    "text_score": _W(I.OVER, """select left_doc, right_doc, round((coalesce(s, 0) * 0.35::double + coalesce(w, 0) * 0.65::double) / ((s is not null)::int * 0.35::double + (w is not null)::int * 0.65::double) + 1e-9::double, 4) score, round((s is not null)::int * 0.35::double + (w is not null)::int * 0.65::double, 4) applicable_weight
-from (select left_doc, right_doc, max(raw_value) filter (entity_kind = 'text_segment') s, max(raw_value) filter (entity_kind = 'text_word_shingle') w from jac group by all)"""),
-    "title_score": _W(P._PP, "select \"query\", neighbor, round(0.6::double * count_ratio + 0.3::double * count_composition + 0.1::double * exact::int + 1e-9::double, 4) title, round((0.6::double * count_ratio + 0.3::double * count_composition) / 0.9::double + 1e-9::double, 4) title_no_size from ps where \"query\" < neighbor"),
-    "subvector_diagnostics": _W(P._SUP, " union all ".join(f"select \"left\", \"right\", '{n}' subvector, '{k}' kind, {e} \"value\" from pr" for n, p in P.SUBVECTORS.items() for k, e in (("raw", P._sql_cos(P._logs("lv", p), P._logs("rv", p))), ("centered", P._sql_cos([f"lz[{i + 1}]" for i in p], [f"rz[{i + 1}]" for i in p]))))),
     "range_join": "select l.user_id, l.event_id error_id, r.event_id click_id from events l join events r on l.user_id = r.user_id and l.event_type = 'error' and r.event_type = 'click' and abs(epoch_us(l.ts) - epoch_us(r.ts)) <= 3600000000",
     "containment_join": """with names(name) as (values ('ring'), ('small ring'), ('bolt'), ('gear'), ('large'), ('plate'))
 select p_partkey, (select name from names where contains(p_name, name) or contains(name, p_name) order by length(name) desc, name desc limit 1) found_name from part""",
@@ -235,25 +184,25 @@ select p_partkey, (select name from names where contains(p_name, name) or contai
 s as (select a."day" "left", b."day" "right", a.event_type, count(*) shared from r a join r b on a.event_type = b.event_type and a.user_id = b.user_id and a."day" < b."day" group by all)
 select "left", "right", s.event_type, shared, round(shared / (l.n + x.n - shared), 4) jaccard, round(shared / l.n, 4) left_coverage, round(shared / x.n, 4) right_coverage
 from s join z l on l."day" = "left" and l.event_type = s.event_type join z x on x."day" = "right" and x.event_type = s.event_type""",
-    "provenance_assessment": _W(_ASSESSED, "select * from asd"),
-    "provenance_counts": _W(_ASSESSED, " union all ".join(f"select '{c}' field, {c} status, count(*) n from asd group by all" for c in R.FIELDS)),
-    "calibration_summary": _W(_MATCH, "select \"label\", count(*) cases, round(min(score), 4) min_score, round(median(score), 4) median_score, round(max(score), 4) max_score from (select *, row_number() over (partition by \"label\" order by score desc, \"query\") k from mt where \"label\" is not null) where k <= 30 group by 1"),
-    "provenance_residual": _W(_MATCH + """,
-bd as (select cohort, min(score) m from mt where "label" in ('normative_form', 'estimate_boilerplate') group by 1),
-ex as (select mt.*, m is not null and score >= m gone from mt left join bd using (cohort))""",
-        """select cohort, count(*) matches, count(*) filter (gone) excluded, round(avg((score >= 0.85)::int::double), 4) strong_share, round(coalesce(avg((score >= 0.85)::int::double) filter (not gone), 0), 4) strong_residual,
-  round(avg((score >= 0.70)::int::double), 4) moderate_share, round(coalesce(avg((score >= 0.70)::int::double) filter (not gone), 0), 4) moderate_residual from ex group by 1"""),
-    "cell_transfer": _W(G._RET, """select cell, pairs, pairs >= 3 sufficient, case when t >= 0.75 and b >= 0.75 then 'transfer' when t >= 0.75 or b >= 0.75 or (t >= 0.40 and b >= 0.40) then 'partial' else 'org_bound' end transfer
-from (select cell, sum(pairs)::bigint pairs, coalesce(median(retention), 0) t, coalesce(max(retention), 0) b from ret group by 1)"""),
-    "typed_components": "with recursive " + _EDGES + ",\n" + _reach("strong", "st") + ",\n" + _reach("moderate", "mo") + "\nselect * from st union all select * from mo",
-    "core_attachments": "with recursive " + _EDGES + ",\n" + _reach("strong", "st") + """,
-bo as (select a member, b other from oe union all select b, a from oe)
-select bo.member, st.component_id, count(distinct other) links from bo join st on st.member = bo.other where bo.member not in (select member from st) group by all""",
     "trend_lines": "select l_suppkey, round(regr_slope(l_extendedprice, l_quantity), 3) slope, round(regr_intercept(l_extendedprice, l_quantity), 2) intercept from lineitem group by 1",
-    "top_neighbor_counts": _W(_MATCH, f"select cohort, {P._CLASS('score')} \"class\", exact, count(*) n from mt group by all"),
     "attribute_registry": """with w as (select c_mktsegment, c_nationkey, c_custkey::varchar k, round(c_acctbal, 0)::bigint::varchar b from customer),
 l as (select c_mktsegment, c_nationkey, 'key' attribute, k v from w union all select c_mktsegment, c_nationkey, 'balance', b from w)
 select c_mktsegment, c_nationkey, attribute, count(*) objects, count(distinct v) distinct_values, count(distinct v) = 1 consistent from l group by all""",
     "rollup_counts": "select c_mktsegment, o_orderstatus, count(*) orders, grouping_id(c_mktsegment, o_orderstatus)::bigint as \"level\" from orders join customer on o_custkey = c_custkey group by rollup (c_mktsegment, o_orderstatus)",
+    "roster_people": _W(_PEOPLE, "select * from pe"),
+    "roster_qc": _W(_QC, "select * from qc"),
+    "roster_qc_ratio": _W(_QC, """select org, count(*) objects, count(*) filter (status like 'title_gip_%') comparable, count(*) filter (status = 'title_gip_observed_as_iul_gip') as_gip, count(*) filter (status = 'title_gip_observed_in_other_iul_role') as_other,
+  count(*) filter (status = 'title_gip_not_observed_in_extracted_iul_roster') absent, round(coalesce(count(*) filter (status like 'title_gip_observed%') / nullif(count(*) filter (status like 'title_gip_%'), 0), 0) + 1e-9::double, 4) ratio from qc group by 1"""),
+    "title_structure": _W(_GR, "select *, case when \"groups\" = 1 and pages = 2 then 'single_party_expected' when \"groups\" = 2 and pages = 4 then 'lead_and_subcontractor_expected' else 'manual_review_title_structure' end status from gr"),
+    "party_roles": _W(_GR, """select conv_id, party, case when party = 1 then 'lead_designer' when party = 2 and "groups" = 2 then 'subcontractor' else 'unresolved' end role, (party = 2 and "groups" = 2) or (party = 1 and "groups" = 1) effective_author,
+  case when party = 2 and "groups" = 2 then 'subcontractor_actual_author' when "groups" = 1 then 'sole_designer_author' else 'lead_contractual_not_effective_author' end rule from (select *, unnest(range(1, "groups" + 1))::int party from gr)"""),
+    "section_resolution": f"""select page_id, case when t <> '' and t = s then 'title_matches_selection' when t <> '' then 'title_overrides_selection' else 'selection_fallback' end status, coalesce(nullif(t, ''), s) effective
+from (select page_id, {_AT} t, regexp_extract(url, '/(en|fr|de|es)/', 1) s from pages)""",
+    "line_windows": _W(I.SEGS, """select doc_id, seg_no, unnest(list_filter([normalized, normalized || ' ' || u1, normalized || ' ' || u1 || ' ' || u2, normalized || ' ' || l1, normalized || ' ' || l1 || ' ' || l2], lambda x: x is not null)) as window from (
+  select doc_id, seg_no, normalized, lead(normalized, 1) over w u1, lead(normalized, 2) over w u2, lag(normalized, 1) over w l1, lag(normalized, 2) over w l2 from norm where doc_id in (select doc_id from documents where length(text) < 600) window w as (partition by doc_id order by seg_no))"""),
+    "most_common_brands": """select p_type, string_agg(p_brand || ':' || n, '|' order by k) most_common from (select *, row_number() over (partition by p_type order by n desc, seen) k from (select p_type, p_brand, count(*) n, min(p_partkey) seen from part group by all)) where k <= 3 group by 1""",
+    "archive_ids": """select o_orderkey, case when o_orderkey % 3 = 0 then lpad(o_orderkey::varchar, greatest(4, length(o_orderkey::varchar))::int, '0') || '_' || lpad((year(o_orderdate) % 100)::varchar, 2, '0')
+  else lpad(o_orderkey::varchar, greatest(4, length(o_orderkey::varchar))::int, '0') || '_' || lpad((year(o_orderdate) % 100)::varchar, 2, '0') end archive_id from orders""",
+    "legal_forms": "select s_suppkey, (['ООО', 'АО', 'ПАО', 'ООО', ''])[s_suppkey % 5 + 1] form, 'Проект ' || s_suppkey quoted from supplier",
+    "either_filter": "select doc_id, lang section, source org from documents where lang = 'es' or source in ('src1', 'src2')",
 }
-

@@ -1,109 +1,77 @@
-"""Queries of the library, graph and statistics operators."""
+"""Queries of the library and statistics operators."""
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import similarity as S
-from ..functions import text as T
-from ..operators import components as C
 from ..operators import entities as E
-from ..operators import frequency as Q
 from ..operators import library as L
-from ..operators import pairs as P
 from ..operators import stats as A
+from ..storage import stored
 from . import inputs as I
 
 
-def _long_segments(spark, d):
-    """Segment entities of at least 3 tokens and 12 characters."""
-    segs = E.normalized_segments(I.segments(spark, d)).where((F.length("normalized") >= 12) & (F.size(T.tokens(F.col("normalized"))) >= 3))
-    return segs.groupBy("doc_id", "section", "object_id", F.lit("text_segment").alias("entity_kind"), T.text_hash(F.col("normalized")).alias("entity_hash")).agg(F.count("*").alias("n"))
+TEXT_KINDS = {"text_segment": "segment", "text_word_shingle": "shingle"}
+TABLE_KINDS = {"table_cell_text": "cell", "table_layout_signature": "layout", "table_content_signature": "content"}
 
 
-def recurring_candidates(spark, d):
-    return L.candidates(_long_segments(spark, d))
-
-
-def org_distinctiveness(spark, d):
-    return L.candidates(_long_segments(spark, d)).groupBy("section", "org_class", "candidate_class").agg(F.count("*").alias("candidates"), F.sum("document_count").alias("documents"))
-
+def _measured(spark, d):
+    """Text entities of all documents with their organisation, words and characters, stored once."""
+    return stored(E.measured_entities(I.segments(spark, d)), "measured")
 
-def evidence_sampling(spark, d):
-    rows = _long_segments(spark, d)
-    return L.evidence(rows, L.candidates(rows), 6)
 
-
-def coverage_report(spark, d):
-    rows = _long_segments(spark, d)
-    return L.coverage(rows, L.candidates(rows))
-
-
-def coverage_medians(spark, d):
-    return coverage_report(spark, d).groupBy("section", "object_id").agg(F.count("*").alias("documents"), F.round(F.median("matched_ratio") + 1e-9, 4).alias("matched"), F.round(F.median("residual"), 4).alias("residual"))
+def _text_library(spark, d):
+    rows = _measured(spark, d)
+    return rows, L.candidates(rows)
 
 
-def combined_report(spark, d):
-    """Coverage by segments against coverage by shingles, each document in one row."""
-    shingles = I.entities(spark, d).where("entity_kind = 'text_word_shingle'")
-    texts = _long_segments(spark, d)
-    return L.combined_report(L.coverage(shingles, L.candidates(shingles)), L.coverage(texts, L.candidates(texts))).select("doc_id", "section", "table_ratio", "text_ratio", "status", "priority")
+def recurring_candidates(spark, d):
+    return _text_library(spark, d)[1].drop("org_count")
 
 
-def _pair_scores(spark, d):
-    rows = I.segment_entities(spark, d)
-    scores = P.multiset_jaccard(P.overlaps(rows))
-    who = I.docs(spark, d).select("doc_id", "object_id")
-    scores = scores.join(who.select(F.col("doc_id").alias("left_doc"), F.col("object_id").alias("left_org")), "left_doc")
-    return scores.join(who.select(F.col("doc_id").alias("right_doc"), F.col("object_id").alias("right_org")), "right_doc")
+def org_distinctiveness(spark, d):
+    return _text_library(spark, d)[1].groupBy("section", "org_class", "candidate_class", "candidate_status").agg(F.count("*").alias("candidates"), F.sum("document_count").alias("documents"))
 
 
-def org_similarity_summary(spark, d):
-    kind = F.when(F.col("left_org") == F.col("right_org"), "within").otherwise("cross")
-    return _pair_scores(spark, d).groupBy(kind.alias("pair_type"), "section").agg(*A.summary("value"))
+def evidence_sampling(spark, d):
+    rows, found = _text_library(spark, d)
+    return L.evidence(rows, found, 6)
 
 
-def separation_gap(spark, d):
-    """Median within less median across organisations, for each section that has both."""
-    kind = F.col("left_org") == F.col("right_org")
-    out = _pair_scores(spark, d).groupBy("section").agg(F.median(F.when(kind, F.col("value"))).alias("inside"), F.median(F.when(~kind, F.col("value"))).alias("across"))
-    return out.where("inside is not null and across is not null").select("section", F.round("inside", 4).alias("inside"), F.round("across", 4).alias("across"), F.round(F.col("inside") - F.col("across"), 4).alias("gap"))
+def _text_coverage(spark, d):
+    rows, found = _text_library(spark, d)
+    return L.coverage(I.table_docs(spark, d), rows, found, TEXT_KINDS)
 
 
-def cross_neighbors(spark, d):
-    """The 3 best partners of other organisations for each document."""
-    rows = _pair_scores(spark, d).where("left_org <> right_org")
-    both = rows.select("section", F.col("left_doc").alias("query_doc"), F.col("right_doc").alias("neighbor_doc"), "value").unionByName(
-        rows.select("section", F.col("right_doc").alias("query_doc"), F.col("left_doc").alias("neighbor_doc"), "value")
-    )
-    place = F.row_number().over(Window.partitionBy("query_doc").orderBy(F.desc("value"), "neighbor_doc")).cast("bigint")
-    return both.withColumn("neighbor_rank", place).where("neighbor_rank <= 3").select("query_doc", "section", "neighbor_doc", F.col("value").alias("score"), "neighbor_rank")
+def coverage_report(spark, d):
+    return _text_coverage(spark, d)
 
 
-def top_pairs(spark, d):
-    """The 20 best cross-organisation pairs of each section."""
-    place = F.row_number().over(Window.partitionBy("section").orderBy(F.desc("value"), "left_doc", "right_doc")).cast("bigint")
-    return _pair_scores(spark, d).where("left_org <> right_org").withColumn("place", place).where("place <= 20").select("section", "left_doc", "right_doc", F.col("value").alias("score"), "place")
+def coverage_medians(spark, d):
+    """Medians over the measured documents of each section and organisation."""
+    rows = _text_coverage(spark, d).where("coverage_status = 'measured'")
+    return rows.groupBy("section", "org").agg(F.count("*").alias("documents"), *[F.round(F.median(c) + 1e-9, 4).alias(c) for c in ("segment_ratio", "segment_residual", "conformance")])
 
 
-def clusters(spark, d):
-    """Components of the documents with a segment Jaccard of 0.6 or more; documents without such a partner stand alone."""
-    edges = _pair_scores(spark, d).where("value >= 0.6").select(F.col("left_doc").alias("a"), F.col("right_doc").alias("b"))
-    return C.components(edges, I.docs(spark, d).select(F.col("doc_id").alias("member")))
+def _combined(spark, d):
+    """Coverage of tables against coverage of texts: tables of documents are entities of three kinds."""
+    org = I.table_docs(spark, d).select("doc_id", "org")
+    tables = E.table_entities(I.segments(spark, d)).join(org, "doc_id").withColumns({"tokens": F.lit(0), "chars": F.lit(0)})
+    tables = stored(tables, "tables")
+    have = tables.select("doc_id").distinct()
+    forms = L.coverage(I.table_docs(spark, d).join(have, "doc_id", "left_semi"), tables, L.candidates(tables), TABLE_KINDS)
+    return L.combined_report(forms, _text_coverage(spark, d))
 
 
-def cluster_summary(spark, d):
-    return clusters(spark, d).groupBy("component_id").agg(F.count("*").alias("members")).groupBy("members").agg(F.count("*").alias("clusters"))
+def combined_report(spark, d):
+    return _combined(spark, d)
 
 
-def pair_explanations(spark, d):
-    """Where shared rare segments stand in both documents of strong pairs."""
-    segs = E.normalized_segments(I.segments(spark, d)).select("doc_id", "seg_no", T.text_hash(F.col("normalized")).alias("h"))
-    pairs = _pair_scores(spark, d).where("value >= 0.5 and left_org <> right_org").select("left_doc", "right_doc")
-    l = segs.select(F.col("doc_id").alias("left_doc"), F.col("seg_no").cast("bigint").alias("left_seg"), "h")
-    r = segs.select(F.col("doc_id").alias("right_doc"), F.col("seg_no").cast("bigint").alias("right_seg"), "h")
-    return pairs.join(l, "left_doc").join(r, ["right_doc", "h"]).select("left_doc", "right_doc", "left_seg", "right_seg", F.col("h").alias("entity_hash"))
+def combined_medians(spark, d):
+    """Medians over all documents of each section and organisation, measured or not, and how many are to be reviewed."""
+    out = _combined(spark, d).groupBy("section", "org")
+    return out.agg(F.count("*").alias("documents"), F.round(F.median("table_ratio") + 1e-9, 4).alias("table_ratio"), F.round(F.median("text_ratio") + 1e-9, 4).alias("text_ratio"), F.count_if(F.col("priority") == "review_high").alias("review_high"))
 
 
 def _order_metrics(spark, d):
@@ -126,19 +94,17 @@ def spearman_matrix(spark, d):
 
 def _correlations(spark, d):
     rows = _order_metrics(spark, d).select("c_nationkey", F.col("c_acctbal").alias("x"), F.col("spent").alias("y"))
-    out = A.spearman(rows, ["c_nationkey"], "x", "y")
-    return out.withColumn("p", F.round(F.exp(-F.abs("spearman") * F.sqrt(F.col("n"))), 6))
+    return A.spearman(rows, ["c_nationkey"], "x", "y")
 
 
 def bh_q(spark, d):
-    """False-discovery q of a p value for each nation (a stated stand-in for the tail probability, which SQL lacks)."""
+    """False-discovery q of each nation's p value."""
     out = A.benjamini_hochberg(_correlations(spark, d).withColumn("all", F.lit(1)), ["all"], "p", "c_nationkey")
     return out.select("c_nationkey", "p", "q", "significant")
 
 
 def p_values(spark, d):
-    rows = _correlations(spark, d)
-    return rows.select("c_nationkey", "n", "spearman", A.p_value(F.col("spearman"), F.col("n").cast("double")).alias("p"))
+    return _correlations(spark, d).select("c_nationkey", "n", "spearman", "direction", "p")
 
 
 def replication(spark, d):
@@ -149,23 +115,15 @@ def replication(spark, d):
     return both.select("c_mktsegment", "first", "added", F.when(same, "replicated").otherwise("not_replicated").alias("status"))
 
 
-def section_percentile(spark, d):
-    share = F.cume_dist().over(Window.partitionBy("section").orderBy("value"))
-    return _pair_scores(spark, d).select("left_doc", "right_doc", "section", F.round(share, 4).alias("percentile"))
-
-
 def quartile_buckets(spark, d):
     rows = _order_metrics(spark, d)
-    limits = rows.groupBy("c_mktsegment").agg(*A.order_quartiles("spent"))
+    limits = A.order_quartiles(rows, ["c_mktsegment"], "spent")
     name = F.when(F.col("spent") <= F.col("q1"), "low").when(F.col("spent") >= F.col("q3"), "high").otherwise("middle")
     return rows.join(F.broadcast(limits), "c_mktsegment").groupBy("c_mktsegment", name.alias("bucket")).agg(F.count("*").alias("customers"), F.round(F.median("spent"), 4).alias("median_spent"))
 
 
 def z_distance(spark, d):
-    """Root mean square distance of parts of a brand and type in size and price, in standard deviations of all parts.
-
-    All pairs; its SQL has only those with left_part % 10 = 0.
-    """
+    """Root mean square distance of all pairs of parts of a brand and type in size and price, in standard deviations of all parts."""
     rows = I.table(spark, d, "part").select("p_partkey", "p_brand", "p_type", F.array(F.col("p_size").cast("double"), F.col("p_retailprice")).alias("v"))
     sd = rows.agg(F.array(*[F.when(F.stddev_pop(F.col("v")[k]) > 0, F.stddev_pop(F.col("v")[k])).otherwise(1.0) for k in range(2)]).alias("sd"))
     l, r = (rows.select("p_brand", "p_type", F.col("p_partkey").alias(f"{x}_part"), F.col("v").alias(x)) for x in ("left", "right"))
@@ -185,93 +143,109 @@ def normalized_entropy(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    recurring_candidates, org_distinctiveness, evidence_sampling, coverage_report, coverage_medians, combined_report, org_similarity_summary, separation_gap,
-    cross_neighbors, top_pairs, clusters, cluster_summary, pair_explanations, average_rank, spearman_matrix, bh_q, p_values, replication, section_percentile,
+    recurring_candidates, org_distinctiveness, evidence_sampling, coverage_report, coverage_medians, combined_report, combined_medians, average_rank, spearman_matrix, bh_q, p_values, replication,
     quartile_buckets, z_distance, midrank_difficulty, normalized_entropy,
 )}
 
 _W = I.with_
-_LONG = I.ENT + """,
-lent as (select doc_id, section, object_id, 'text_segment' entity_kind, sha1(normalized) entity_hash, count(*) n from toks where length(normalized) >= 12 and len(w) >= 3 group by all)"""
+_MEAS = I.SEGS + r""",
+toks as (select norm.*, docs.org, list_filter(regexp_extract_all(normalized, '[\p{L}\p{N}_]+'), lambda x: length(x) > 1) w from norm join docs using (doc_id)),
+shin as (select doc_id, section, object_id, org, array_to_string(w[i:i + 4], ' ') v from (select *, unnest(range(1, len(w) - 3)) i from toks where len(w) >= 5)),
+meas as (
+  select doc_id, section, object_id, org, 'text_segment' entity_kind, sha1(normalized) entity_hash, count(*) n, max(len(w))::int tokens, max(length(normalized))::int chars from toks group by doc_id, section, object_id, org, normalized
+  union all select doc_id, section, object_id, org, 'text_word_shingle', sha1(v), count(*), 5, length(v)::int from shin group by doc_id, section, object_id, org, v)"""
+_R4 = lambda x: f"round({x} + 1e-9::double, 4)"
 
 
 def _cand(src: str, name: str) -> str:
-    return f"""{name}_sz as (select section, object_id, count(distinct doc_id) org_docs from {src} group by all),
-{name}_sd as (select section, sum(org_docs)::bigint section_docs from {name}_sz group by 1),
-{name}_bo as (select section, entity_kind, entity_hash, object_id, count(*) docs, sum(n)::bigint occ, count(*) / any_value(org_docs) ratio from {src} join {name}_sz using (section, object_id) group by section, entity_kind, entity_hash, object_id),
-{name}_rk as (select *, row_number() over (partition by section, entity_kind, entity_hash order by ratio desc, object_id desc) k from {name}_bo),
-{name}_ag as (select section, entity_kind, entity_hash, sum(docs)::bigint document_count, sum(occ)::bigint occurrence_count, count(*) org_count, max(ratio) filter (k = 1) r1, coalesce(max(ratio) filter (k = 2), 0) r2, max(object_id) filter (k = 1) dominant_org from {name}_rk group by all having sum(docs) >= 3),
-{name}_cl as (select *, round(document_count / section_docs, 4) df_ratio, case when org_count = 1 then 'org_specific' when r1 - r2 >= 0.25 then 'org_distinctive' else 'cross_org_common' end org_class from {name}_ag join {name}_sd using (section)),
-{name} as (select 'cand_' || substr(sha1(section || '|' || entity_kind || '|' || entity_hash), 1, 16) candidate_id, section, entity_kind, entity_hash, document_count, occurrence_count, org_count, df_ratio, org_class, dominant_org, round(r1 - r2, 4) delta,
-  case when org_count = 1 then 'org_text_pattern' when org_class = 'cross_org_common' or df_ratio > 0.25 then 'normative_text' else 'cross_org_text_bridge' end candidate_class from {name}_cl)"""
-
-
-def _cov(src: str, cand: str, name: str) -> str:
-    return f"""{name} as (select doc_id, section, object_id, total, matched, total - matched residual, round(matched / total, 4) matched_ratio, round(expected / total, 4) expected_ratio, round("foreign" / total, 4) foreign_ratio,
-  case when round(matched / total, 4) >= 0.75 then 'high' when round(matched / total, 4) >= 0.40 then 'medium' else 'low' end band from (
-  select doc_id, e.section, object_id, sum(n)::bigint total, coalesce(sum(n) filter (candidate_class is not null), 0)::bigint matched, coalesce(sum(n) filter (candidate_class = 'normative_text'), 0)::bigint expected,
-    coalesce(sum(n) filter (org_class = 'org_distinctive' and dominant_org <> object_id), 0)::bigint "foreign"
-  from {src} e left join {cand} c on c.section = e.section and c.entity_kind = e.entity_kind and c.entity_hash = e.entity_hash group by all))"""
-
-
-_CAND = _LONG + ",\n" + _cand("lent", "cand")
-_COVER = _CAND + ",\n" + _cov("lent", "cand", "cover")
-_PAIRS = I.OVER + """,
-prs as (select left_doc, right_doc, jac.section, raw_value "value", l.object_id left_org, r.object_id right_org from jac join docs l on l.doc_id = left_doc join docs r on r.doc_id = right_doc where entity_kind = 'text_segment')"""
+    return f"""{name}_sz as (select section, org, count(distinct object_id) org_objects from {src} group by all),
+{name}_sd as (select section, count(distinct object_id) section_objects, count(distinct doc_id) section_documents from {src} group by 1),
+{name}_bo as (select section, entity_kind, entity_hash, org, count(distinct object_id) objects, count(*) docs, sum(n)::bigint occ, max(tokens) tokens, max(chars) chars, count(distinct object_id) / any_value(org_objects) ratio from {src} join {name}_sz using (section, org) group by section, entity_kind, entity_hash, org),
+{name}_rk as (select *, row_number() over (partition by section, entity_kind, entity_hash order by ratio desc, org desc) k from {name}_bo),
+{name}_ag as (
+  select section, entity_kind, entity_hash, sum(objects)::bigint object_count, sum(docs)::bigint document_count, sum(occ)::bigint occurrence_count, count(*) org_count, max(tokens) token_count, max(chars) char_count, max(ratio) filter (k = 1) r1, coalesce(max(ratio) filter (k = 2), 0) r2,
+    max(org) filter (k = 1) dominant_org, max(objects) filter (k = 1) dominant_objects, string_agg(org || ':' || objects, '|' order by org) org_object_counts, string_agg(org || ':' || occ, '|' order by org) org_occurrence_counts
+  from {name}_rk group by all having sum(objects) >= 3),
+{name}_cl as (select *, document_count / section_documents share, case when org_count = 1 then 'org_specific' when r1 - r2 >= 0.25 then 'org_distinctive' else 'cross_org_common' end org_class, case when org_count > 1 then 'cross_org' else 'single_org' end org_scope from {name}_ag join {name}_sd using (section)),
+{name}_cc as (select *, case when org_count = 1 then 'org_text_pattern' when org_class = 'cross_org_common' or share > 0.25 then 'normative_text' else 'cross_org_text_bridge' end candidate_class,
+  case when entity_kind <> 'text_segment' then '' else array_to_string(list_filter([case when token_count < 3 then 'token_count<3' end, case when char_count < 12 then 'char_count<12' end], lambda x: x is not null), '|') end triviality_reason from {name}_cl),
+{name} as (
+  select 'txtc_v0_' || substr(sha1('text_element_candidate_v0|' || section || '|' || entity_kind || '|' || entity_hash), 1, 16) candidate_id, section, entity_kind, entity_hash, candidate_class, object_count, document_count, occurrence_count, section_objects, section_documents,
+    {_R4('object_count / section_objects')} object_ratio, {_R4('share')} document_ratio, round(ln((section_documents + 1) / (document_count + 1)) + 1, 4) section_idf, org_scope, org_class, dominant_org, dominant_objects, {_R4('r1')} dominant_ratio, {_R4('r2')} second_ratio, {_R4('r1 - r2')} delta,
+    org_object_counts, org_occurrence_counts, case candidate_class when 'cross_org_text_bridge' then 'copy_review_needed' when 'normative_text' then 'normative_or_boilerplate' else 'org_pattern' end signal, token_count, char_count, triviality_reason,
+    case when triviality_reason = '' then 'candidate' else 'diagnostic_trivial' end candidate_status, org_count from {name}_cc)"""
+
+
+def _cov(docs: str, src: str, cand: str, name: str, kinds: dict[str, str]) -> str:
+    sums = ", ".join(f"coalesce(sum(n) filter (entity_kind = '{k}'), 0)::bigint {p}_total, coalesce(sum(n) filter (m and entity_kind = '{k}'), 0)::bigint {p}_matched, coalesce(sum(n) filter (x and entity_kind = '{k}'), 0)::bigint {p}_expected" for k, p in kinds.items())
+    named = ", ".join(f"coalesce({p}_{c}, 0) {p}_{c}" for p in kinds.values() for c in ("total", "matched", "expected"))
+    parts = ", ".join(f"{p}_total, {p}_matched, {_R4(f'coalesce({p}_matched / nullif({p}_total, 0), 0)')} {p}_ratio, {p}_total - {p}_matched {p}_residual, {_R4(f'coalesce({p}_expected / nullif({p}_matched, 0), 0)')} {p}_conformance" for p in kinds.values())
+    return f"""{name}_j as (
+  select e.*, c.candidate_id, c.candidate_id is not null m, c.candidate_id is not null and (org_class = 'cross_org_common' or dominant_org = e.org) x, c.candidate_id is not null and org_class <> 'cross_org_common' and dominant_org <> e.org f, signal
+  from {src} e left join (select * from {cand} where candidate_status = 'candidate') c on c.section = e.section and c.entity_kind = e.entity_kind and c.entity_hash = e.entity_hash),
+{name}_s as (
+  select doc_id, {sums}, sum(n)::bigint all_total, coalesce(sum(n) filter (m), 0)::bigint all_matched, coalesce(sum(n) filter (x), 0)::bigint expected, coalesce(sum(n) filter (f), 0)::bigint "foreign",
+    coalesce(sum(n) filter (m and signal = 'copy_review_needed'), 0)::bigint copy_review, count(distinct candidate_id) candidates from {name}_j group by 1),
+{name}_d as (select d.doc_id, d.section, d.org, {named}, {', '.join(f'coalesce("{c}", 0) "{c}"' for c in ('all_total', 'all_matched', 'expected', 'foreign', 'copy_review', 'candidates'))} from {docs} d left join {name}_s using (doc_id)),
+{name} as (
+  select doc_id, section, org, all_total, all_matched, expected, "foreign", copy_review, candidates, {parts}, {_R4('coalesce(all_matched / nullif(all_total, 0), 0)')} all_ratio, {_R4('coalesce(expected / nullif(all_matched, 0), 0)')} conformance,
+    {_R4('coalesce("foreign" / nullif(all_matched, 0), 0)')} foreign_ratio, {_R4('coalesce(copy_review / nullif(all_total, 0), 0)')} copy_review_ratio, case when all_total = 0 then 'no_text' else 'measured' end coverage_status from {name}_d)"""
+
+
+_CAND = _MEAS + ",\n" + _cand("meas", "cand")
+_COVER = _CAND + ",\n" + _cov("docs", "meas", "cand", "cover", TEXT_KINDS)
+_BAND = lambda c: f"case when {c} >= 0.75 then 'high' when {c} >= 0.40 then 'medium' else 'low' end"
+_COMB = I.ENT.replace("\ntoks as (", "\ntoks0 as (").replace(" from toks where", " from toks0 where") + _COVER[len(I.SEGS):] + """,
+tabs as (select ent.*, docs.org, 0 tokens, 0 chars from ent join docs using (doc_id) where entity_kind like 'table_%'),
+tdocs as (select * from docs where doc_id in (select doc_id from tabs)),
+""" + _cand("tabs", "tcand") + ",\n" + _cov("tdocs", "tabs", "tcand", "forms", TABLE_KINDS) + f""",
+comb0 as (
+  select doc_id, section, org, coalesce(l.all_ratio, 0.0) table_ratio, coalesce(l.copy_review, 0) table_borrowing, coalesce(l.coverage_status, 'missing') table_status, coalesce(r.all_ratio, 0.0) text_ratio, coalesce(r.foreign_ratio, 0.0) foreign_ratio,
+    coalesce(r.copy_review_ratio, 0.0) copy_review_ratio, coalesce(r.coverage_status, 'missing') text_status from forms l full outer join cover r using (doc_id, section, org)),
+comb as (select *, {_BAND('table_ratio')} table_band, {_BAND('text_ratio')} text_band, case when table_borrowing > 0 or copy_review_ratio >= 0.05 then 'review_high' when foreign_ratio >= 0.05 or copy_review_ratio >= 0.005 then 'review_watch' else 'review_clear' end priority from comb0)"""
 _OM = """om as (select o_custkey, c_mktsegment, c_nationkey, c_acctbal, n_orders, spent from (select o_custkey, count(*) n_orders, sum(o_totalprice::decimal(18,2))::double spent from orders group by 1) join customer on c_custkey = o_custkey)"""
 _AR = lambda by, x, src: f"(rank() over (partition by {by} order by {x}) + (count(*) over (partition by {by}, {x}) - 1) / 2)"
-_DIR = lambda x: f"case when round({x}, 4) > 0 then 'positive' when round({x}, 4) < 0 then 'negative' when round({x}, 4) = 0 then 'none' end"
+_DIR = lambda x: f"case when round({x}, 12) > 0 then 'positive' when round({x}, 12) < 0 then 'negative' when round({x}, 12) = 0 then 'zero' end"
+# erfc by the gamma series of erf: sum of x^(2n+1) e^(-x^2) / gamma(n + 3/2)
+_ERFC = lambda x: f"case when {x} <= 0 then 1.0 when {x} > 6 then 0.0 else greatest(0.0, 1 - list_sum(list_transform(range(0, 161), lambda i: exp((2 * i + 1) * ln({x}) - {x} * {x} - lgamma(i + 1.5))))) end"
+_P = lambda r, n: f"case when {n} < 4 then null when abs({r}) >= 1 - 1e-12 then 0.0 else round({_ERFC(f'(abs({r}) * sqrt({n} - 1) / sqrt(2.0))')}, 6) end"
 _NAT = _OM + f""",
 rk as (select c_nationkey, {_AR('c_nationkey', 'c_acctbal', 'om')} x, {_AR('c_nationkey', 'spent', 'om')} y from om),
-co as (select c_nationkey, count(*) n, corr(x, y) c from rk group by 1 having count(*) >= 3 and corr(x, y) is not null and not isnan(corr(x, y))),
-cp as (select c_nationkey, n, round(c, 4) spearman, round(exp(-abs(round(c, 4)) * sqrt(n)), 6) p from co)"""
-_SUM = """count("value") n, round(avg("value"), 4) mean, round(quantile_cont("value", 0.1), 4) p10, round(quantile_cont("value", 0.5), 4) median, round(quantile_cont("value", 0.9), 4) p90, round(min("value"), 4) min, round(max("value"), 4) max"""
-_CLU = _PAIRS + """,
-lk as (select left_doc a, right_doc b from prs where "value" >= 0.6 union all select right_doc, left_doc from prs where "value" >= 0.6),
-reach(x, y) as (select doc_id, doc_id from documents union select r.x, l.b from reach r join lk l on r.y = l.a),
-clu as (select x member, min(y) component_id from reach group by 1)"""
+co as (select c_nationkey, count(*) n, corr(x, y) c from rk group by 1 having count(*) >= 4 and corr(x, y) is not null and not isnan(corr(x, y))),
+cp as (select c_nationkey, n, round(c, 4) spearman, {_DIR('c')} direction, {_P('c', 'n')} p from co)"""
 _KINDS = ["click", "view", "error", "purchase", "signup"]
 
 ORACLES = {
-    "recurring_candidates": _W(_CAND, "select * from cand"),
-    "org_distinctiveness": _W(_CAND, "select section, org_class, candidate_class, count(*) candidates, sum(document_count)::bigint documents from cand group by all"),
-    "evidence_sampling": _W(_CAND, """select candidate_id, object_id, doc_id, n, place from (
-  select *, row_number() over (partition by candidate_id order by case when in_org <= greatest(1, floor(6 / org_count / 2)) then 0 else 1 end, object_id, doc_id) place from (
-    select candidate_id, org_count, object_id, doc_id, n, row_number() over (partition by candidate_id, object_id order by doc_id) in_org from lent join cand using (section, entity_kind, entity_hash))) where place <= 6"""),
+    "recurring_candidates": _W(_CAND, "select * exclude (org_count) from cand"),
+    "org_distinctiveness": _W(_CAND, "select section, org_class, candidate_class, candidate_status, count(*) candidates, sum(document_count)::bigint documents from cand group by all"),
+    "evidence_sampling": _W(_CAND, """select candidate_id, org, doc_id, n, place from (
+  select *, row_number() over (partition by candidate_id order by case when in_org <= greatest(1, (6 // org_count) // 2) then 0 else 1 end, org, doc_id) place from (
+    select candidate_id, org_count, org, doc_id, n, row_number() over (partition by candidate_id, org order by doc_id) in_org from meas join cand using (section, entity_kind, entity_hash))) where place <= 6"""),
     "coverage_report": _W(_COVER, "select * from cover"),
-    "coverage_medians": _W(_COVER, "select section, object_id, count(*) documents, round(median(matched_ratio) + 1e-9::double, 4) matched, round(median(residual), 4) residual from cover group by all"),
-    "combined_report": _W(_COVER + ",\nwent as (select * from ent where entity_kind = 'text_word_shingle'),\n" + _cand("went", "wcand") + ",\n" + _cov("went", "wcand", "wcover"),
-        """select doc_id, section, w.matched_ratio table_ratio, t.matched_ratio text_ratio, case when w.matched_ratio is null then 'missing_table' when t.matched_ratio is null then 'missing_text' else 'both' end status,
-  case when coalesce(t.foreign_ratio, 0) >= 0.05 then 'high' when coalesce(t.foreign_ratio, 0) >= 0.005 then 'medium' else 'low' end priority from wcover w full outer join cover t using (doc_id, section)"""),
-    "org_similarity_summary": _W(_PAIRS, f"select case when left_org = right_org then 'within' else 'cross' end pair_type, section, {_SUM} from prs group by all"),
-    "separation_gap": _W(_PAIRS, """select section, round(w, 4) inside, round(a, 4) across, round(w - a, 4) gap from (select section, median("value") filter (left_org = right_org) w, median("value") filter (left_org <> right_org) a from prs group by 1) where w is not null and a is not null"""),
-    "cross_neighbors": _W(_PAIRS, """select query_doc, section, neighbor_doc, "value" score, neighbor_rank from (select *, row_number() over (partition by query_doc order by "value" desc, neighbor_doc) neighbor_rank from (
-  select section, left_doc query_doc, right_doc neighbor_doc, "value" from prs where left_org <> right_org union all select section, right_doc, left_doc, "value" from prs where left_org <> right_org)) where neighbor_rank <= 3"""),
-    "top_pairs": _W(_PAIRS, """select section, left_doc, right_doc, "value" score, place from (select *, row_number() over (partition by section order by "value" desc, left_doc, right_doc) place from prs where left_org <> right_org) where place <= 20"""),
-    "clusters": "with recursive " + _CLU + " select member, component_id from clu",
-    "cluster_summary": "with recursive " + _CLU + " select members, count(*) clusters from (select component_id, count(*) members from clu group by 1) group by 1",
-    "pair_explanations": _W(_PAIRS, """select left_doc, right_doc, l.seg_no left_seg, r.seg_no right_seg, sha1(l.normalized) entity_hash from prs join norm l on l.doc_id = left_doc join norm r on r.doc_id = right_doc and l.normalized = r.normalized where "value" >= 0.5 and left_org <> right_org"""),
+    "coverage_medians": _W(_COVER, "select section, org, count(*) documents, " + ", ".join(f"{_R4(f'median({c})')} {c}" for c in ("segment_ratio", "segment_residual", "conformance")) + " from cover where coverage_status = 'measured' group by all"),
+    "combined_report": _W(_COMB, "select * from comb"),
+    "combined_medians": _W(_COMB, f"select section, org, count(*) documents, {_R4('median(table_ratio)')} table_ratio, {_R4('median(text_ratio)')} text_ratio, count(*) filter (priority = 'review_high') review_high from comb group by all"),
     "average_rank": _W(_OM, f"select o_custkey, c_mktsegment, {_AR('c_mktsegment', 'n_orders', 'om')} rank from om"),
     "spearman_matrix": _W(_OM + f""",
 lg as (select c_mktsegment, n_orders::double control, spent, 'balance' attribute, c_acctbal x from om union all select c_mktsegment, n_orders::double, spent, 'nation', c_nationkey::double from om),
 rk as (select c_mktsegment, attribute, {_AR('c_mktsegment, attribute', 'x', '')} rx, {_AR('c_mktsegment, attribute', 'spent', '')} ry, {_AR('c_mktsegment, attribute', 'control', '')} rz from lg),
 co as (select c_mktsegment, attribute, count(*) n, corr(rx, ry) xy, corr(rx, rz) xz, corr(ry, rz) yz from rk group by all),
-pt as (select *, case when abs(xz) < 1 - 1e-12 and abs(yz) < 1 - 1e-12 and n >= 4 then (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) end pr from co where n >= 3)""",
-        f"select c_mktsegment, attribute, n, round(xy, 4) spearman, {_DIR('xy')} direction, round(pr, 4) partial, {_DIR('pr')} partial_direction from pt"),
+pt as (select *, case when abs(xz) < 1 - 1e-12 and abs(yz) < 1 - 1e-12 and n >= 4 then (xy - xz * yz) / sqrt((1 - xz * xz) * (1 - yz * yz)) end pr from co where n >= 4)""",
+        f"select c_mktsegment, attribute, n, round(xy, 4) spearman, {_DIR('xy')} direction, {_P('xy', 'n')} p, round(pr, 4) partial, {_DIR('pr')} partial_direction from pt"),
     "bh_q": _W(_NAT, """select c_nationkey, p, round(least(1.0, min(raw) over (order by p, c_nationkey rows between current row and unbounded following)), 6) q,
   round(least(1.0, min(raw) over (order by p, c_nationkey rows between current row and unbounded following)), 6) <= 0.10 significant from (select *, p * count(*) over () / row_number() over (order by p, c_nationkey) raw from cp)"""),
     "replication": _W(_OM + f""",
 rk as (select c_mktsegment, o_custkey % 2 half, {_AR('c_mktsegment, o_custkey % 2', 'n_orders', '')} x, {_AR('c_mktsegment, o_custkey % 2', 'spent', '')} y from om),
-co as (select c_mktsegment, half, round(corr(x, y), 4) s from rk group by all having count(*) >= 3),
+co as (select c_mktsegment, half, round(corr(x, y), 4) s from rk group by all having count(*) >= 4),
 bo as (select c_mktsegment, max(s) filter (half = 0) "first", max(s) filter (half = 1) added from co group by 1)""",
         """select c_mktsegment, "first", added, case when sign("first") = sign(added) and least(abs("first"), abs(added)) >= 0.45 then 'replicated' else 'not_replicated' end status from bo"""),
-    "section_percentile": _W(_PAIRS, """select left_doc, right_doc, section, round(cume_dist() over (partition by section order by "value"), 4) percentile from prs"""),
+    "p_values": _W(_NAT, "select c_nationkey, n, spearman, direction, p from cp"),
     "quartile_buckets": _W(_OM + """,
 qs as (select c_mktsegment, list_sort(list(spent))[count(*) // 4 + 1] q1, list_sort(list(spent))[3 * count(*) // 4 + 1] q3 from om group by 1)""",
         "select c_mktsegment, case when spent <= q1 then 'low' when spent >= q3 then 'high' else 'middle' end bucket, count(*) customers, round(median(spent), 4) median_spent from om join qs using (c_mktsegment) group by all"),
     "z_distance": """with sd as (select stddev_pop(p_size::double) s1, stddev_pop(p_retailprice) s2 from part)
 select l.p_partkey left_part, r.p_partkey right_part, round(sqrt((pow((l.p_size - r.p_size) / case when s1 > 0 then s1 else 1 end, 2) + pow((l.p_retailprice - r.p_retailprice) / case when s2 > 0 then s2 else 1 end, 2)) / 2), 4) distance
-from part l join part r on l.p_brand = r.p_brand and l.p_type = r.p_type and l.p_partkey < r.p_partkey and l.p_partkey % 10 = 0, sd""",
+from part l join part r on l.p_brand = r.p_brand and l.p_type = r.p_type and l.p_partkey < r.p_partkey, sd""",
     "midrank_difficulty": _W(_OM + f""",
 pc as (select o_custkey, case when count(*) over (partition by c_mktsegment) > 1 then ({_AR('c_mktsegment', 'n_orders', '')} - 1) / (count(*) over (partition by c_mktsegment) - 1) else 0.5 end p from om)""",
         "select o_custkey, round(p, 4) difficulty, case when p < 1/3 then 'low' when p < 2/3 then 'medium' else 'high' end band from pc"),

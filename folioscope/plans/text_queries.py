@@ -34,20 +34,19 @@ def stable_ids(spark, d):
 
 
 def section_df_idf(spark, d):
-    return I.frequency(spark, d)
+    return I.counted(spark, d)[1]
 
 
 def global_df_idf(spark, d):
-    return I.frequency(spark, d).select("entity_kind", "entity_hash", "global_df", "global_df_ratio", "global_idf").distinct()
+    return I.counted(spark, d)[1].select("entity_kind", "entity_hash", "global_df", "global_df_ratio", "global_idf").distinct()
 
 
 def frequency_bucket(spark, d):
-    return I.frequency(spark, d).groupBy("section", "entity_kind", "frequency_bucket").agg(F.count("*").alias("entities"), F.sum("occurrence_count").alias("occurrences"))
+    return I.counted(spark, d, I.short_hash)[1].groupBy("section", "entity_kind", "frequency_bucket").agg(F.count("*").alias("entities"), F.sum("occurrence_count").alias("occurrences"))
 
 
 def section_typicality(spark, d):
-    rows = I.entities(spark, d)
-    return Q.typicality(rows, Q.document_frequency(rows))
+    return Q.typicality(*I.counted(spark, d, I.short_hash))
 
 
 def repeated_signatures(spark, d):
@@ -57,7 +56,7 @@ def repeated_signatures(spark, d):
 
 def coverage_matrix(spark, d):
     """Every object and section: how many documents, the canonical one, and a status."""
-    docs = I.docs(spark, d)
+    docs = I.table_docs(spark, d)
     cells = docs.select("object_id").distinct().crossJoin(F.broadcast(docs.select("section").distinct()))
     found = docs.groupBy("object_id", "section").agg(F.count("*").alias("documents"), F.min("doc_id").alias("canonical_doc"))
     out = cells.join(found, ["object_id", "section"], "left").withColumn("documents", F.coalesce("documents", F.lit(0)))
@@ -68,24 +67,18 @@ def coverage_matrix(spark, d):
 def canonical_documents(spark, d):
     """The first document of each object and section: the longest, then the lowest id."""
     place = F.row_number().over(Window.partitionBy("object_id", "section").orderBy(F.desc(F.length("text")), "doc_id"))
-    return I.docs(spark, d).withColumn("place", place).where("place = 1").select("object_id", "section", "doc_id")
+    return I.table_docs(spark, d).withColumn("place", place).where("place = 1").select("object_id", "section", "doc_id")
 
 
 def content_signatures(spark, d):
-    """Each document as a table whose cells are the words of its lines: the hash of its cells in order.
-
-    Of all lines; its SQL has only the first 3.
-    """
+    """Each document as a table whose cells are the words of its lines: the hash of its cells in order."""
     texts = I.docs(spark, d).where("text is not null").groupBy("doc_id").agg(F.collect_list("text").alias("texts"))
     cells = F.flatten(F.transform("texts", E.text_cells))  # made after the shuffle, which carries texts alone
     return texts.select("doc_id", E.cells_hash(cells).alias("content_sha1"))
 
 
 def page_ranges(spark, d):
-    """Page lists such as 1;3-5 (made of order and line numbers) as sorted distinct pages.
-
-    Of all lines; its SQL has only those with l_linenumber <= 2.
-    """
+    """Page lists such as 1;3-5 (made of order and line numbers) as sorted distinct pages."""
     rows = I.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat_ws("", F.lit("1;"), F.col("l_linenumber"), F.lit("-"), F.col("l_linenumber") + 3, F.lit(";x")).alias("pages"))
     return rows.select("l_orderkey", "l_linenumber", F.array_join(T.page_ranges(F.col("pages")), ",").alias("page_list"))
 
@@ -123,13 +116,13 @@ ORACLES = {
   count(distinct object_id) object_count, string_agg(distinct section, '|' order by section) sections from norm group by all having count(*) >= 2"""),
     "coverage_matrix": """select o.source object_id, s.lang section, coalesce(documents, 0)::bigint documents, canonical_doc,
   case when documents is null then 'missing' when documents = 1 then 'ok' else 'duplicate' end status
-from (select distinct source from documents) o cross join (select distinct lang from documents) s
-left join (select source, lang, count(*) documents, min(doc_id) canonical_doc from documents group by all) f on f.source = o.source and f.lang = s.lang""",
-    "canonical_documents": "select source object_id, lang section, doc_id from documents qualify row_number() over (partition by source, lang order by length(text) desc, doc_id) = 1",
-    "content_signatures": """with segs as (select doc_id, unnest(range(len(ls))) r, unnest(ls) t from (select doc_id, string_split(text, chr(10))[1:3] ls from documents)),
+from (select distinct source || '/' || (doc_id % 7) as source from documents) o cross join (select distinct lang from documents) s
+left join (select source || '/' || (doc_id % 7) as source, lang, count(*) documents, min(doc_id) canonical_doc from documents group by all) f on f.source = o.source and f.lang = s.lang""",
+    "canonical_documents": "select source || '/' || (doc_id % 7) object_id, lang section, doc_id from documents qualify row_number() over (partition by source, doc_id % 7, lang order by length(text) desc, doc_id) = 1",
+    "content_signatures": """with segs as (select doc_id, unnest(range(len(ls))) r, unnest(ls) t from (select doc_id, string_split(text, chr(10)) ls from documents)),
 cells as (select doc_id, r, unnest(range(len(ws))) c, unnest(ws) v from (select doc_id, r, string_split(t, ' ') ws from segs))
 select doc_id, sha1(string_agg(r::varchar || ':' || c::varchar || ':' || lower(trim(v)), chr(10) order by r, c)) content_sha1 from cells group by 1""",
-    "page_ranges": """select l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_concat([1], range(l_linenumber, l_linenumber + 4)))), ',') page_list from lineitem where l_linenumber <= 2""",
+    "page_ranges": """select l_orderkey, l_linenumber, array_to_string(list_sort(list_distinct(list_concat([1], range(l_linenumber, l_linenumber + 4)))), ',') page_list from lineitem""",
     "safe_numbers": """select event_id, case when event_id % 5 = 0 then 0.0 else value::decimal(18,2)::double end number,
   case when event_id % 5 = 0 then 0 else trunc(value::decimal(18,2)::double)::bigint end whole from events""",
 }

@@ -29,35 +29,50 @@ def exists(spark: SparkSession, path: str) -> bool:
 
 
 def read_csv(spark: SparkSession, path: str, schema: str, sep: str = ",", comment: str | None = None) -> DataFrame:
-    """A CSV file with a header: quoted newlines and doubled quotes are part of a field, a byte order mark is not."""
+    """CSV files with headers: quoted newlines and doubled quotes are part of a field, a byte order mark is not.
+
+    Columns go by name, file by file: files of a glob may have other columns, or the same in another order; what is
+    absent is null. Files of one header are read together.
+    """
+    kinds = dict(part.split() for part in schema.split(","))
     options = {"header": True, "multiLine": True, "escape": '"', "sep": sep, "enforceSchema": False, "mode": "PERMISSIVE"}
     if comment:
         options |= {"comment": comment}
-    names = [part.split()[0] for part in schema.split(",")]
-    header = _header(spark, path, sep, comment)
-    strings = ", ".join(f"`{n}` string" for n in header)
-    rows = spark.read.options(**options).schema(strings).csv(path)
-    kinds = dict(part.split() for part in schema.split(","))
-    # a column may be absent or stand elsewhere: columns go by name, and what is absent is null
-    typed = [(F.col(f"`{n}`").try_cast(kinds[n]) if n in header else F.lit(None).cast(kinds[n])).alias(n) for n in names]
-    return rows.select(*typed, F.input_file_name().alias("_file"))
-
-
-def _header(spark: SparkSession, path: str, sep: str, comment: str | None) -> list[str]:
-    lines = spark.read.text(path).where("trim(value) <> ''")
+    out = None
+    for header, files in _headers(spark, path, sep, comment).items():
+        strings = ", ".join(f"`{n}` string" for n in header)
+        rows = spark.read.options(**options).schema(strings).csv(files)
+        typed = [(F.col(f"`{n}`").try_cast(kind) if n in header else F.lit(None).cast(kind)).alias(n) for n, kind in kinds.items()]
+        part = rows.select(*typed, F.input_file_name().alias("_file"))
+        out = part if out is None else out.unionByName(part)
+    return spark.createDataFrame([], schema).withColumn("_file", F.lit(None).cast("string")) if out is None else out
+
+
+def _headers(spark: SparkSession, path: str, sep: str, comment: str | None) -> dict[tuple[str, ...], list[str]]:
+    """The files under a path by their header, a row a file; files without a line are left out."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.struct("_metadata.file_block_start", F.monotonically_increasing_id()).alias("place"))
+    lines = lines.where("trim(value) <> ''")
     if comment:
         lines = lines.where(~F.col("value").startswith(comment))
-    first = lines.first()
-    if first is None:
-        return []
-    return [n.strip().strip('"') for n in first["value"].lstrip("﻿").split(sep)]
+    out: dict[tuple[str, ...], list[str]] = {}
+    for row in lines.groupBy("file").agg(F.min_by("value", "place").alias("first")).orderBy("file").collect():
+        names = tuple(n.strip().strip('"') for n in row["first"].lstrip("\ufeff").split(sep))
+        out.setdefault(names, []).append(row["file"])
+    return out
+
+
+#: Characters that a separator is judged by.
+SAMPLE = 4096
 
 
 def sniffed(spark: SparkSession, path: str) -> str:
-    """The separator of a CSV file: a semicolon if its first line has more of them than commas."""
-    first = spark.read.text(path).first()
-    line = first["value"] if first else ""
-    return ";" if line.count(";") > line.count(",") else ","
+    """The separator of a CSV file: whichever of comma and semicolon splits the most of the lines of its first SAMPLE characters
+    into the same number of fields, more than one; a comma where neither does."""
+    sample = "\n".join(r["value"] for r in spark.read.text(path).limit(SAMPLE // 8).collect())[:SAMPLE]
+    lines = [line for line in sample.split("\n") if line.strip()]
+    first = lines[0] if lines else ""
+    agree = {sep: sum(line.count(sep) == first.count(sep) for line in lines) * (first.count(sep) > 0) for sep in (",", ";")}
+    return ";" if (agree[";"], first.count(";")) > (agree[","], first.count(",")) else ","
 
 
 def read_optional(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -88,6 +103,32 @@ def read_first_root(spark: SparkSession, roots: list[str], kind: str) -> DataFra
     return rows.withColumn("_first", first).where("_root = _first").drop("_root", "_first")
 
 
+def read_anywhere(spark: SparkSession, roots: list[str], kind: str) -> DataFrame:
+    """read_first_root(), and bundles that lie deeper below a root where none holds them directly: the first root's, then the first path's."""
+    direct = read_first_root(spark, roots, kind)
+    deep = None
+    for k, root in enumerate(roots):
+        files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", f"{kind}.csv").format("binaryFile").load(root).select("path")
+        paths = [r["path"] for r in files.collect()]  # a row a file
+        if paths:
+            rows = read_csv(spark, paths, SCHEMAS[kind]).withColumn("_root", F.lit(k))
+            deep = rows if deep is None else deep.unionByName(rows)
+    if deep is None:
+        return direct
+    part = lambda k: F.regexp_extract("_file", r"/([^/]+)/([^/]+)/[^/]+\.csv$", k)
+    deep = deep.withColumns({"object_id": part(1), "bundle_id": part(2), "_place": F.struct("_root", "_file")})
+    deep = deep.join(direct.select("object_id", "bundle_id").distinct(), ["object_id", "bundle_id"], "left_anti")
+    first = F.min("_place").over(Window.partitionBy("object_id", "bundle_id"))
+    deep = deep.withColumn("_first", first).where("_place = _first")
+    return direct.unionByName(deep.select(*direct.columns))
+
+
+def read_json(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
+    """JSON documents, one a file (pair details, anchors, plans), with the declared schema or the one they have."""
+    reader = spark.read.option("multiLine", True)
+    return (reader.schema(schema) if schema else reader).json(path)
+
+
 def in_range(rows: DataFrame, column: str, low: int, high: int) -> DataFrame:
     """Rows whose name begins with a number between low and high."""
     number = F.regexp_extract(column, r"^(\d+)", 1).try_cast("int")

@@ -21,8 +21,21 @@ def flat(df: DataFrame) -> DataFrame:
     return df.select(*[text(n, k) for n, k in df.dtypes])
 
 
-def write_csv(df: DataFrame, path: str, columns: list[str] | None = None) -> None:
-    flat(df.select(*(columns or df.columns))).write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+def write_csv(df: DataFrame, path: str, columns: list[str] | None = None, mark: bool = False) -> None:
+    """The given columns as CSV files with headers; with ``mark`` each begins with a byte order mark, for spreadsheets."""
+    rows = flat(df.select(*(columns or df.columns)))
+    if mark:
+        first = rows.columns[0]
+        rows = rows.withColumnRenamed(first, "\ufeff" + first)
+    rows.write.mode("overwrite").option("header", True).option("escape", '"').csv(path)
+
+
+def write_details(compared: DataFrame, path: str, by: list[str]) -> None:
+    """One nested row of each pair, its kinds' figures as an array in order of kind, in place of a file for each pair."""
+    rest = [c for c in compared.columns if c not in by]
+    ordered = sorted(rest, key=lambda c: c != "entity_kind")
+    nested = compared.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*ordered))).alias("axes"))
+    nested.write.mode("overwrite").json(path)
 
 
 def write_json_lines(df: DataFrame, path: str) -> None:

@@ -86,7 +86,27 @@ def test_ranks_with_ties(spark):
 def test_spearman_guards(spark):
     rows = spark.createDataFrame([("two", 1.0, 1.0, 1.0), ("two", 2.0, 2.0, 2.0)] + [("flat", 1.0, float(k), 1.0) for k in range(4)] + [("ok", float(k), float(-k), float(k % 2)) for k in range(5)] + [("ok", None, 1.0, 1.0)], "g string, x double, y double, z double")
     out = {r["g"]: r for r in A.spearman(rows, ["g"], "x", "y", "z").collect()}
-    assert set(out) == {"ok"} and out["ok"]["spearman"] == -1.0 and out["ok"]["direction"] == "negative" and out["ok"]["n"] == 5
+    assert set(out) == {"ok"} and out["ok"]["spearman"] == -1.0 and out["ok"]["direction"] == "negative" and out["ok"]["n"] == 5 and out["ok"]["p"] == 0.0
+
+
+def test_p_values_are_tail_probabilities(spark):
+    import math
+
+    cases = [(r / 20, n) for r in range(-20, 21, 3) for n in (3, 4, 9, 60, 1000)]
+    rows = spark.createDataFrame(cases, "r double, n int").withColumn("p", A.p_value(F.col("r"), F.col("n"))).collect()
+    for x in rows:
+        want = None if x["n"] < 4 else 0.0 if abs(x["r"]) >= 1 else round(math.erfc(abs(x["r"]) * math.sqrt(x["n"] - 1) / math.sqrt(2)), 6)
+        assert x["p"] == (want if want is None else pytest.approx(want, abs=1.01e-6))
+    tails = spark.createDataFrame([(k / 10,) for k in range(0, 70)], "x double").withColumn("e", A.erfc(F.col("x"))).collect()
+    assert all(abs(r["e"] - math.erfc(r["x"])) < 1e-14 for r in tails)
+
+
+def test_order_quartiles(spark):
+    values = [5.0, 1.0, 3.0, 3.0, 9.0, None, 2.0, 7.0, 8.0, 3.0]
+    rows = spark.createDataFrame([("a", v) for v in values] + [("b", 4.0)], "g string, x double")
+    known = sorted(v for v in values if v is not None)
+    out = {r["g"]: (r["q1"], r["q3"]) for r in A.order_quartiles(rows, ["g"], "x").collect()}
+    assert out == {"a": (known[len(known) // 4], known[3 * len(known) // 4]), "b": (4.0, 4.0)}
 
 
 def test_benjamini_hochberg(spark):
@@ -116,13 +136,49 @@ def test_neighbors_ties_and_blocks(spark, monkeypatch):
     assert N.top_k(rows, rows.where("false"), 3, "id", "v", "c").count() == 0
 
 
+LIBRARY = "doc_id int, section string, object_id string, org string, entity_kind string, entity_hash string, n int, tokens int, chars int"
+
+
+def library_rows(spark):
+    """Each document is an object of its own; x has objects 1 to 3, y has 4 to 7."""
+    held = {"one": [1, 2, 3], "both": [1, 2, 4, 5], "led": [1, 2, 3, 4], "short": [1, 2, 4, 5], "two": [1, 4]}
+    rows = [(d, "s", f"o{d}", "x" if d < 4 else "y", "text_segment", h, 2, 2 if h == "short" else 5, 30) for h, docs in held.items() for d in docs]
+    rows += [(d, "s", f"o{d}", "y", "text_segment", "other", 1, 5, 30) for d in (6, 7)]
+    return spark.createDataFrame(rows, LIBRARY)
+
+
 def test_organisation_classes(spark):
-    rows = [(d, "s", o, "k", h, 1) for h, docs in {"one": [1, 2, 3], "both": [1, 2, 4, 5], "led": [1, 2, 3, 4]}.items() for d in docs for o in ("x" if d < 4 else "y",)]
-    rows += [(6, "s", "y", "k", "other", 1), (7, "s", "y", "k", "other", 1)]
-    found = {r["entity_hash"]: r for r in L.candidates(spark.createDataFrame(rows, "doc_id int, section string, object_id string, entity_kind string, entity_hash string, n int")).collect()}
-    assert {h: (r["org_class"], r["dominant_org"], r["candidate_class"]) for h, r in found.items()} == {
-        "one": ("org_specific", "x", "org_text_pattern"), "both": ("cross_org_common", "x", "normative_text"), "led": ("org_distinctive", "x", "normative_text"),
+    found = {r["entity_hash"]: r for r in L.candidates(library_rows(spark)).collect()}
+    assert {h: (r["org_class"], r["dominant_org"], r["candidate_class"], r["candidate_status"]) for h, r in found.items()} == {
+        "one": ("org_specific", "x", "org_text_pattern", "candidate"), "both": ("cross_org_common", "x", "normative_text", "candidate"),
+        "led": ("org_distinctive", "x", "normative_text", "candidate"), "short": ("cross_org_common", "x", "normative_text", "diagnostic_trivial"),
     }
+    assert found["led"]["org_object_counts"] == "x:3|y:1" and found["led"]["delta"] == 0.75 and found["short"]["triviality_reason"] == "token_count<3"
+    rare = {r["entity_hash"]: (r["candidate_class"], r["signal"]) for r in L.candidates(library_rows(spark), bridge=0.6).collect()}
+    assert rare["led"] == ("cross_org_text_bridge", "copy_review_needed") and rare["both"][0] == "normative_text"
+
+
+def test_objects_are_not_documents(spark):
+    """Three documents of one object don't make a candidate."""
+    rows = [(d, "s", "o1" if d < 4 else "o2", "x", "text_segment", "h", 1, 5, 30) for d in range(1, 6)]
+    assert L.candidates(spark.createDataFrame(rows, LIBRARY)).count() == 0
+
+
+def test_coverage_counts_expected_and_foreign(spark):
+    rows = library_rows(spark)
+    docs = rows.select("doc_id", "section", "org").distinct().unionByName(spark.createDataFrame([(99, "s", "x")], "doc_id int, section string, org string"))
+    out = {r["doc_id"]: r for r in L.coverage(docs, rows, L.candidates(rows), {"text_segment": "segment"}).collect()}
+    first, fourth, none = out[1], out[4], out[99]
+    # document 1 of x: one, both, led match (2 each), short and two don't; all matched is expected
+    assert (first["all_total"], first["all_matched"], first["expected"], first["foreign"], first["conformance"]) == (10, 6, 6, 0, 1.0)
+    # document 4 of y: both is common, led is x's
+    assert (fourth["all_matched"], fourth["expected"], fourth["foreign"], fourth["foreign_ratio"]) == (4, 2, 2, 0.5)
+    assert none["coverage_status"] == "no_text" and none["conformance"] == 0.0 and first["segment_residual"] == 4
+
+
+@pytest.mark.parametrize(("foreign", "copy", "tables", "want"), [(0.0, 0.0, 1, "review_high"), (0.0, 0.05, 0, "review_high"), (0.05, 0.0, 0, "review_watch"), (0.0, 0.005, 0, "review_watch"), (0.04, 0.004, 0, "review_clear")])
+def test_review_priority(spark, foreign, copy, tables, want):
+    assert one(spark, p=L.review_priority(F.lit(foreign), F.lit(copy), F.lit(tables))) == {"p": want}
 
 
 def test_linkage_is_many_to_many(spark):
@@ -149,22 +205,32 @@ def test_remark_depth(spark):
     assert out == [("formatting", "simple_candidate"), ("graphics", "substantial_candidate"), (None, None), ("regulatory", "simple_candidate")] or out[:2] == [("formatting", "simple_candidate"), ("graphics", "substantial_candidate")]
 
 
-def test_handoff_takes_the_earliest_best_boundary(spark):
-    rows = [("a", "b", f"2020-Q{k}", na, nb) for k, (na, nb) in enumerate([(5, 0), (5, 0), (0, 4), (0, 4)], 1)]
-    out = V.handoff(spark.createDataFrame(rows, "a string, b string, quarter string, na int, nb int")).collect()
-    assert [tuple(r) for r in out] == [("a", "b", "2020-Q2", 1.0, "a_to_b")]
-
-
 def test_golden_anchors():
     payload = {"a": {"b": [1, 2.5]}, "s": "x", "t": True}
     anchors = [
         {"id": 1, "operator": "equal", "json_path": "a.b.0", "expected": 1},
         {"id": 2, "operator": "equal", "json_path": "a.b.0", "expected": 1.0},
         {"id": 3, "operator": "approx", "json_path": "a.b.1", "expected": 2.4, "tolerance": 0.2},
-        {"id": 4, "operator": "between", "json_path": "a.b.1", "low": 3, "high": 4},
-        {"id": 5, "operator": "at_least", "json_path": "t", "expected": 0},
+        {"id": 4, "operator": "between", "json_path": "a.b.1", "minimum": 3, "maximum": 4},
+        {"id": 5, "operator": "at_least", "json_path": "t", "minimum": 0},
         {"id": 6, "operator": "sum_equal", "operands": ["a.b.0", "a.b.1"], "expected": 3.5},
-        {"id": 7, "operator": "difference_at_least", "operands": ["a.b.1", "a.b.0"], "expected": 2},
+        {"id": 7, "operator": "difference_at_least", "operands": ["a.b.1", "a.b.0"], "minimum_difference": 2},
         {"id": 8, "operator": "equal", "json_path": "a.c", "expected": 1},
     ]
     assert [r["status"] for r in G.run(anchors, payload)] == ["pass", "fail", "pass", "fail", "error", "pass", "fail", "error"]
+
+
+def test_golden_selectors_and_named_operands():
+    payload = {"rows": [{"k": "a", "n": 3, "v": {"x": 1}}, {"k": "b", "n": 3, "v": {"x": 5}}, {"k": "b", "n": 4, "v": {"x": 9}}], "total": 7}
+    pick = lambda **where: {"filter": {"list_path": ["rows"], "where": where, "value_path": ["v", "x"]}}
+    anchors = [
+        {"id": 1, "operator": "equal", "expected": 5, **pick(k="b", n=3)},
+        {"id": 2, "operator": "equal", "expected": 5, **pick(k="b")},
+        {"id": 3, "operator": "equal", "expected": 5, **pick(k="z")},
+        {"id": 4, "operator": "sum_equal", "expected": 8, "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": ["total"]}]},
+        {"id": 5, "operator": "sum_equal", "expected": 8.0, "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": ["total"]}]},
+        {"id": 6, "operator": "difference_at_least", "minimum_difference": 6, "left_operand": "t", "right_operand": "a", "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": "total"}]},
+        {"id": 7, "operator": "sum_equal", "expected": 2, "operands": [{"name": "a", **pick(k="a")}, {"name": "a", **pick(k="a")}]},
+        {"id": 8, "operator": "equal", "expected": 1},
+    ]
+    assert [r["status"] for r in G.run(anchors, payload)] == ["pass", "error", "error", "pass", "fail", "pass", "error", "error"]

@@ -46,11 +46,6 @@ def test_agrees_with_sql(spark, duck, name):
     assert rows(ours) == rows(theirs)
 
 
-def test_p_values_are_tail_probabilities(spark):
-    out = registry.QUERIES["p_values"](spark, SF).toPandas()
-    assert len(out) and ((out["p"] >= 0) & (out["p"] <= 1)).all()
-
-
 def test_every_query_is_registered():
     import __spark_entry__
 

@@ -40,22 +40,6 @@ def test_z_distance_has_every_pair(spark, tables):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=6e-5) for k in want)
 
 
-def test_scores_use_every_line(spark, tables):
-    lines = [(k, 1 + k * 5 % 12, 1 + k % 4, 1 + k % 3, 1.0 + k % 5, 100.0 + k, 0.01 * (k % 3), 0.02) for k in range(120)]
-    parts = [(k, f"b{k % 3}", f"t{k % 4}", k % 5) for k in range(1, 13)]
-    d = tables(
-        lineitem=("l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double, l_tax double", lines),
-        part=("p_partkey bigint, p_brand string, p_type string, p_size int", parts),
-        supplier=("s_suppkey bigint, s_nationkey int, s_acctbal double", [(k, 0, 10.0 * k) for k in range(1, 5)]),
-        nation=("n_nationkey int, n_regionkey int", [(0, 0)]),
-    )
-    weights = {"p_brand": 0.40, "p_type": 0.35, "p_size": 0.25}
-    held = {(s, kind): Counter(dict((p[0], p[1:]) for p in parts)[line[1]][i] for line in lines if line[2] == s) for s in range(1, 5) for i, kind in enumerate(weights)}
-    want = {(a, b): sum(w * (held[a, k] & held[b, k]).total() / (held[a, k] | held[b, k]).total() for k, w in weights.items()) for a, b in itertools.combinations(range(1, 5), 2)}
-    got = {(r["left"], r["right"]): r["score"] for r in registry.QUERIES["signature_score"](spark, d).collect()}
-    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=6e-5) for k in want)
-
-
 def test_signatures_cover_every_line(spark, tables):
     rows = [(1, "en", "s", "a b\nc\nd\nE  f"), (2, "en", "s", "a b\nc\nd\ng"), (3, "en", "s", "a")]
     d = tables(documents=("doc_id bigint, lang string, source string, text string", rows))
