@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WordHashes, drop_stored, lean, mix, small_or_shuffled, space_words, stored
+from .shared import WordHashes, drop_stored, free_shuffles, lean, mix, small_or_shuffled, space_words, stored
 
 WORDS = 5
 #: Sets link from 100 * intersection >= PERCENT * union.
@@ -317,14 +317,10 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     first_links = stored(in_runs.repartition("key", "salt").sortWithinPartitions("key", "salt", "sk").mapInArrow(lean(_run_links), "a bigint, b bigint"), "links")
     groups = components(first_links, "groups")
 
-    # prefix tokens that stand in two or more components, and how many classes share each
-    placed = emitted.select("sk", "n", "prefix").join(groups, F.col("sk") == F.col("node"), "left")
-    placed = placed.select("sk", "n", "comp", F.explode("prefix").alias("token"))
-    own = F.coalesce("comp", "sk")
-    across = placed.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("df")).where("lo < hi")
-    across = stored(across.select("token", "df"), "across")
-    # most prefix tokens stand in one class; those that surely do are left out before any is dealt out by token
-    marked = sc.broadcast(_marked(across.select(F.col("token").alias("key"))))
+    free_shuffles(spark)
+    # most prefix tokens stand in one class; those whose lower 32 bits do are left out before whole tokens are dealt out
+    lower = emitted.select(F.explode("prefix").alias("token")).select(F.col("token").bitwiseAND(F.lit((1 << 32) - 1)).alias("key"))
+    marked = sc.broadcast(_marked(lower.groupBy("key").agg(F.count("*").alias("c")).where("c > 1")))
 
     def promising(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The prefixes without the tokens whose bit is not set."""
@@ -339,8 +335,12 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays(columns, names=["sk", "n", "token"])
 
     left = emitted.select("sk", "n", "prefix").mapInArrow(lean(promising), "sk bigint, n bigint, token bigint")
-    left = left.join(across, "token").distinct()
-    tokens_across = rows = stored(left.join(small_or_shuffled(groups), F.col("sk") == F.col("node"), "left").select("token", "sk", "n", "comp", "df"), "rows")
+    placed = left.join(small_or_shuffled(groups), F.col("sk") == F.col("node"), "left").select("token", "sk", "n", "comp")
+    # prefix tokens that stand in two or more components, and how many classes share each
+    own = F.coalesce("comp", "sk")
+    across = placed.groupBy("token").agg(F.min(own).alias("lo"), F.max(own).alias("hi"), F.count("*").alias("df")).where("lo < hi")
+    across = stored(across.select("token", "df"), "across")
+    tokens_across = rows = stored(placed.join(across, "token").distinct(), "rows")
     marked.destroy()
     drop_stored(emitted, across, first_links, shared_by)
     # groups and blocks

@@ -70,6 +70,17 @@ def drop_stored(*frames: DataFrame) -> None:
             if own:
                 _delete(spark, own[0])
                 _written[spark].remove(own[0])
+    if frames:
+        free_shuffles(frames[0].sparkSession)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Let executors delete the shuffle files of plans that have run and are stored: the driver drops what it holds of them.
+
+    Without it they stay until the driver happens to collect its garbage.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:
