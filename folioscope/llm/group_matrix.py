@@ -31,7 +31,7 @@ WORDS = 5
 #: Sets link from 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Least hashes of a set by as many orders; leaders a class is compared with at most in step 2.
-KEYS, LEADERS = 3, 8
+KEYS, LEADERS = 2, 8
 #: log2 of the bits that mark hashes of two or more classes; frequent tokens that are told apart.
 MARK_BITS, FREQUENT = 26, 1 << 18
 #: Classes with a prefix token that at least FAMILY classes share are grouped by it; classes and tokens of a block at most.
