@@ -211,7 +211,7 @@ def evaluation_buckets(spark, d):
 
     An object's attributes are the mean length and number of lines of its canonical documents; its address is its number.
     """
-    rows = I.profiles(I.canonical(spark, d)).select("doc_id", "words", "text_ratio")
+    rows = stored(I.profiles(I.canonical(spark, d)).select("doc_id", "words", "text_ratio"), "profiles")
     sd = rows.agg(*[F.when(F.stddev_pop(c) > 0, F.stddev_pop(c)).otherwise(1.0).alias(f"sd_{c}") for c in ("words", "text_ratio")])
     from ..operators import features as V
 

@@ -15,6 +15,7 @@ from ..operators import neighbors as N
 from ..operators import pages as G
 from ..operators import pairs as P
 from ..operators import scores as W
+from ..storage import stored
 from . import inputs as I
 
 SHINGLED = ("text_segment", "document_word_shingle")
@@ -26,7 +27,7 @@ def same_section_pairs(spark, d):
 
 def _compared(spark, d, hashed=I.short_hash):
     """The pairs by kind, every hash weighing 1."""
-    return P.compare(I.pairs(spark, d), I.entities_of(I.canonical(spark, d), hashed))
+    return P.compare(I.pairs(spark, d), stored(I.entities_of(I.canonical(spark, d), hashed), "entities"))
 
 
 def multiset_jaccard(spark, d):
@@ -73,7 +74,7 @@ def weighted_applicable(spark, d):
 
 
 def _feature_pairs(spark, d):
-    rows = V.spectrum(I.profiles(I.canonical(spark, d)), list(I.FEATURES))
+    rows = V.spectrum(stored(I.profiles(I.canonical(spark, d)), "profiles"), list(I.FEATURES))
     return V.sides(I.pairs(spark, d), rows, ["v", "z"])
 
 
@@ -92,7 +93,7 @@ def subvector_diagnostics(spark, d):
 
 
 def _styled(spark, d):
-    rows = I.profiles(I.canonical(spark, d))
+    rows = stored(I.profiles(I.canonical(spark, d)), "profiles")
     rows = rows.select("doc_id", F.array(*I.STYLE_RATIOS).alias("r"), F.array(*I.STYLE_SHARES).alias("s"))
     score, ratio, composition = V.style_score(F.col("left_r"), F.col("right_r"), F.col("left_s"), F.col("right_s"))
     return V.sides(I.pairs(spark, d), rows, ["r", "s"]).withColumns({"style": score, "style_ratio": ratio, "style_composition": composition})
@@ -109,7 +110,7 @@ BY = ["pair_id", "section", "left_object", "right_object", "left_doc", "right_do
 def axes(spark, d):
     """The pairs with raw values and presence of all kinds, and shingles of whole documents."""
     docs = I.canonical(spark, d)
-    rows = I.entities_of(docs, I.short_hash).unionByName(E.document_shingles(docs, I.short_hash))
+    rows = stored(I.entities_of(docs, I.short_hash).unionByName(E.document_shingles(docs, I.short_hash)), "entities")
     kinds = (*P.KINDS, "document_word_shingle")
     return P.wide(P.compare(I.pairs(spark, d), rows, None, kinds), BY, kinds)
 

@@ -46,8 +46,8 @@ def eligible_cells(spark, d):
 
 def selection_dedup(spark, d):
     """One document of each content (lowest id), with all sources that hold it."""
-    docs = I.docs(spark, d).select("doc_id", "object_id", T.text_hash(F.col("text")).alias("content"))
-    return docs.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.array_join(F.array_sort(F.collect_set("object_id")), "|").alias("sources"))
+    docs = I.table_docs(spark, d).select("doc_id", "org", T.text_hash(F.col("text")).alias("content"))
+    return docs.groupBy("content").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.array_join(F.array_sort(F.collect_set("org")), "|").alias("sources"))
 
 
 def reconcile(spark, d):

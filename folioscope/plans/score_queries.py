@@ -134,7 +134,7 @@ def most_common_brands(spark, d):
 def archive_ids(spark, d):
     """Numbers and years of orders in one text as archive ids."""
     o = I.table(spark, d, "orders").select("o_orderkey", F.year("o_orderdate").alias("y"))
-    short = (F.col("y") % 100).cast("string")
+    short = F.lpad((F.col("y") % 100).cast("string"), 2, "0")
     raw = F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.col("o_orderkey").cast("string"), F.lit("_"), F.col("y").cast("string")))
     raw = raw.when(F.col("o_orderkey") % 3 == 1, F.concat(F.col("o_orderkey").cast("string"), short)).otherwise(F.concat(F.col("o_orderkey").cast("string"), short, F.lit(".0")))
     return o.select("o_orderkey", T.archive_id(raw).alias("archive_id"))
