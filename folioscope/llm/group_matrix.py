@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .graph import components
-from .shared import WordHashes, drop_stored, free_shuffles, lean, mix, small_or_shuffled, space_words, stored
+from .shared import WordHashes, delete, drop_stored, free_shuffles, lean, mix, new_path, small_or_shuffled, space_words, stored
 
 WORDS = 5
 #: Sets link from 100 * intersection >= PERCENT * union.
@@ -283,7 +283,7 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     given = sc.broadcast((tokens[by_token], df[by_token], _marked(shared_by)))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Of each class: its prefix (rarest tokens first) and, where it shares least hashes, these and its set."""
+        """Of each class a row with its prefix (rarest tokens first; part 0), and, where it shares least hashes, one with these and its set (part 1)."""
         often, weight, marks = given.value
         seen: set[int] = set()
         for rows in _sets(batches):
@@ -300,23 +300,30 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 common = np.where(often[at] == t, weight[at], 0) if len(often) else np.zeros(len(t), np.int64)
                 first = len(t) - least_overlap(len(t)) + 1
                 prefix = t[np.argsort(common, kind="stable")[:first]]
-                out.append((sk, len(t), prefix.view(np.int64), runs, packed(t) if runs else None))
-            columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["sk", "n", "prefix", "runs", "tokens"])
-
-    emit_schema = "sk bigint, n bigint, prefix array<bigint>, runs array<bigint>, tokens binary"
-    emitted = stored(slim.mapInArrow(lean(emit), emit_schema), "prefixes")
+                out.append((sk, len(t), prefix.view(np.int64), None, None, 0))
+                if runs:
+                    out.append((sk, None, None, runs, packed(t), 1))
+            columns = list(zip(*out, strict=True)) or [[]] * 6
+            kinds = [pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.int32()]
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["sk", "n", "prefix", "runs", "tokens", "part"])
+
+    # one pass over the texts makes both parts; the sets, which are most of it, go as soon as the links are found
+    emit_schema = "sk bigint, n bigint, prefix array<bigint>, runs array<bigint>, tokens binary, part int"
+    path = new_path(spark, "prefixes")
+    slim.mapInArrow(lean(emit), emit_schema).write.partitionBy("part").option("compression", "zstd").parquet(path)
     given.destroy()
+    both = spark.read.schema(emit_schema).parquet(path)
+    emitted, in_sets = both.where("part = 0"), both.where("part = 1")
 
     # a hash that many classes share is dealt out to several runs, each with the same leader
-    in_runs = emitted.where("size(runs) > 0").select(F.explode("runs").alias("key"), "sk", "tokens").join(small_or_shuffled(hot), "key", "left")
+    in_runs = in_sets.select(F.explode("runs").alias("key"), "sk", "tokens").join(small_or_shuffled(hot), "key", "left")
     everywhere = F.when(F.col("sk") == F.col("leader"), F.sequence(F.lit(0), F.col("salts") - 1))
     one = F.array(F.coalesce(F.pmod("sk", "salts"), F.lit(0)).cast("int"))
     in_runs = in_runs.select("key", F.explode(F.coalesce(everywhere, one)).alias("salt"), "sk", "tokens")
     first_links = stored(in_runs.repartition("key", "salt").sortWithinPartitions("key", "salt", "sk").mapInArrow(lean(_run_links), "a bigint, b bigint"), "links")
     groups = components(first_links, "groups")
 
+    delete(spark, f"{path}/part=1")
     free_shuffles(spark)
     # most prefix tokens stand in one class; those whose lower 32 bits do are left out before whole tokens are dealt out
     lower = emitted.select(F.explode("prefix").alias("token")).select(F.col("token").bitwiseAND(F.lit((1 << 32) - 1)).alias("key"))
@@ -342,7 +349,8 @@ def classes_and_components(docs: DataFrame, id_col: str = "doc_id", text_col: st
     across = stored(across.select("token", "df"), "across")
     tokens_across = rows = stored(placed.join(across, "token").distinct(), "rows")
     marked.destroy()
-    drop_stored(emitted, across, first_links, shared_by)
+    delete(spark, path)
+    drop_stored(across, first_links, shared_by)
     # groups and blocks
     hottest = F.max(F.struct("df", "token")).over(Window.partitionBy("sk"))  # a class has a prefix's number of rows
     rows = rows.withColumn("m", hottest).withColumn("family", F.when(F.col("m.df") >= FAMILY, F.xxhash64("m.token")))

@@ -68,7 +68,7 @@ def drop_stored(*frames: DataFrame) -> None:
         for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
             own = [p for p in _written.get(spark, ()) if path.endswith(p.partition(":")[2].lstrip("/") or p)]
             if own:
-                _delete(spark, own[0])
+                delete(spark, own[0])
                 _written[spark].remove(own[0])
     if frames:
         free_shuffles(frames[0].sparkSession)
@@ -83,7 +83,7 @@ def free_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
@@ -96,7 +96,7 @@ def small_or_shuffled(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Delete what stored() has written so far. Call it only when no DataFrame that reads it is still to be run."""
     for path in _written.pop(spark, []):
-        _delete(spark, path)
+        delete(spark, path)
 
 
 def _quiet_release(ref) -> None:
