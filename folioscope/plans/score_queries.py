@@ -148,6 +148,26 @@ def legal_forms(spark, d):
     return s.select("s_suppkey", T.legal_form(F.col("name")).alias("form"), T.quoted_name(F.col("name")).alias("quoted"))
 
 
+#: File names with the section they are of and the reason they are left out for (empty: they stay).
+FILES = [
+    ("src/0001_20/Раздел ПД №3 АР.pdf", "АР", ""), ("src/0001_20/Раздел 5.1 ЭС.pdf", "ИНЖЕНЕРИЯ", ""), ("src/0001_20/КР1.pdf", "КР", ""), ("src/0001_20/123-ПОКР изм1.pdf", "ПОС", ""),
+    ("src/0001_20/Раздел 6 Проект организации работ.pdf", "ПОС", ""), ("src/0001_20/Смета.pdf", "СМ", ""), ("src/0001_20/ЛСР-02.pdf", "СМ", ""), ("src/0001_20/Система отопления.pdf", "ОВ", ""),
+    ("src/0001_20/ПКР-12 ГВС.pdf", "ГВС", ""), ("src/0001_20/Фасад.pdf", "ФАСАД", ""), ("src/0001_20/что-то.pdf", "UNKNOWN", ""), ("src/0001_20/Пояснительная записка.pdf", "ПЗ", "пз"),
+    ("src/0001_20/КАЦ.pdf", "КАЦ", "кац"), ("src/Договор/АР.pdf", "АР", "договор"), ("src/0001_20/ИУЛ АР.pdf", "АР", "иул"), ("src/0001_20/12. Паспорт.pdf", "UNKNOWN", "технический паспорт мкд"),
+    ("src/0001_20/ТЗ на проект.pdf", "UNKNOWN", "тз"), ("src/0001_20/3 Письмо заказчика.pdf", "UNKNOWN", "письмо"), ("src/0001_20/2946-к от 01.02.2023.pdf", "UNKNOWN", "договор кчс"), ("src/0001_20/Акт осмотра.pdf", "UNKNOWN", "акт"),
+    ("src/0001_20/Дефектная ведомость.pdf", "UNKNOWN", "дефектная ведомость"), ("src/0001_20/15 ис от 3.4.2022.pdf", "UNKNOWN", "исходящее"), ("src/0001_20/Смена_названия.pdf", "UNKNOWN", "решение о смене названия"),
+]
+
+
+def file_rules(spark, d):
+    """A file name for each supplier: its section, and why it is left out."""
+    from ..operators import selection as Q
+
+    names = F.array(*[F.lit(n) for n, _, _ in FILES])
+    rows = I.table(spark, d, "supplier").select("s_suppkey", F.element_at(names, (F.col("s_suppkey") % len(FILES) + 1).cast("int")).alias("path"))
+    return rows.select("s_suppkey", Q.section_of(F.substring_index("path", "/", -1)).alias("section"), Q.left_out(F.col("path")).alias("reason"))
+
+
 def either_filter(spark, d):
     """Documents that one or the other of two columns selects."""
     return I.table_docs(spark, d).where((F.col("section") == "es") | F.col("org").isin("src1", "src2")).select("doc_id", "section", "org")
@@ -155,7 +175,7 @@ def either_filter(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     range_join, containment_join, fuzzy_titles, roster_overlap, trend_lines, attribute_registry, rollup_counts, roster_people, roster_qc, roster_qc_ratio, title_structure, party_roles, section_resolution,
-    line_windows, most_common_brands, archive_ids, legal_forms, either_filter,
+    line_windows, most_common_brands, archive_ids, legal_forms, file_rules, either_filter,
 )}
 
 _W = I.with_
@@ -204,5 +224,6 @@ from (select page_id, {_AT} t, regexp_extract(url, '/(en|fr|de|es)/', 1) s from
     "archive_ids": """select o_orderkey, case when o_orderkey % 3 = 0 then lpad(o_orderkey::varchar, greatest(4, length(o_orderkey::varchar))::int, '0') || '_' || lpad((year(o_orderdate) % 100)::varchar, 2, '0')
   else lpad(o_orderkey::varchar, greatest(4, length(o_orderkey::varchar))::int, '0') || '_' || lpad((year(o_orderdate) % 100)::varchar, 2, '0') end archive_id from orders""",
     "legal_forms": "select s_suppkey, (['ООО', 'АО', 'ПАО', 'ООО', ''])[s_suppkey % 5 + 1] form, 'Проект ' || s_suppkey quoted from supplier",
+    "file_rules": "with f(k, section, reason) as (values " + ", ".join(f"({k}, '{s}', '{r}')" for k, (_, s, r) in enumerate(FILES)) + f") select s_suppkey, section, reason from supplier join f on s_suppkey % {len(FILES)} = k",
     "either_filter": "select doc_id, lang section, source org from documents where lang = 'es' or source in ('src1', 'src2')",
 }
