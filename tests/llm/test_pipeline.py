@@ -28,11 +28,11 @@ def staged(spark, docs, folder):
 
 
 def test_stages(spark, tmp_path):
-    phrase = prose(77, 40, 10_000)
-    rows = [(k, prose(100 + k, 90, 5000), "en", f"s{k % 9}", 0) for k in range(40)]
+    phrase = prose(77, 40, 300)
+    rows = [(k, prose(100 + k, 90, 300), "en", f"s{k % 9}", 0) for k in range(40)]
     rows += [(50, rows[0][1], "en", "s1", 0), (51, rows[1][1].replace("w", "W", 1), "en", "s2", 0)]  # copies of 0 and 1
     rows += [(60, "too short", "en", "s0", 0), (61, None, "en", "s0", 0), (62, "again and again " * 40, "en", "s0", 0)]
-    rows += [(70, prose(7, 60, 5000) + "\n" + phrase, "en", "s3", 0)]
+    rows += [(70, prose(7, 60, 300) + "\n" + phrase, "en", "s3", 0)]
     rows = [(i, t and t + "\nSubscribe to our letter", *r) for i, t, *r in rows]
     spark.createDataFrame(rows, COLUMNS).write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([(1, phrase)], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
@@ -86,17 +86,17 @@ def test_pipeline_is_the_brute_force_one(spark, tmp_path):
     tiktoken = pytest.importorskip("tiktoken")
     path, pattern = vocabulary()
     rng = np.random.default_rng(12)
-    phrase = prose(77, 30, 10_000)
+    phrase = prose(77, 30, 300)
     rows = []
     for k in range(90):
         text = prose(300 + k, int(rng.integers(45, 110)), 300)
         if k % 9 == 1:
             text = "".join(rng.permutation(list(text)))  # noise
         if k % 11 == 2:
-            text = text + "\n" + " ".join(phrase.split()[:20])
+            text = text + "\n" + " ".join(phrase.split()[k % 10 : k % 10 + 18])
         if k % 4 == 0:
             text = f"Home page\n{text}\nAll about us"
-        rows.append((k, text, "en" if k % 3 else "xx", f"s{k % 10}", 0))
+        rows.append((k, text, "en" if k % 3 else "xx", f"s{k // 4 % 10}", 0))
         if k % 8 == 3:
             words = text.split(" ")
             words[len(words) // 2] = "changed"
