@@ -88,8 +88,9 @@ def page_entities(segs: DataFrame, hashed: Callable[[Column], Column] = text_has
 
 def document_shingles(docs: DataFrame, hashed: Callable[[Column], Column] = text_hash) -> DataFrame:
     """Entities of the word shingles of whole documents, across their lines."""
-    words = word_shingles(tokens(normalize_text(F.col("text"))))
-    rows = docs.select("doc_id", "section", "object_id", F.lit("document_word_shingle").alias("entity_kind"), F.explode(words).alias("s"))
+    # words are a column of their own: inside the shingles' lambda they would be made anew for each shingle
+    rows = docs.select("doc_id", "section", "object_id", F.lit("document_word_shingle").alias("entity_kind"), tokens(normalize_text(F.col("text"))).alias("words"))
+    rows = rows.select("doc_id", "section", "object_id", "entity_kind", F.explode(word_shingles(F.col("words"))).alias("s"))
     return _counted(rows.select("doc_id", "section", "object_id", "entity_kind", hashed(F.col("s")).alias("entity_hash")))
 
 

@@ -106,10 +106,10 @@ def pair_explanations(spark, d):
 
 
 def _channels(spark, d):
-    """Pairs by section (the cell) with the three channels: style composition, shingles, style ratios."""
-    styled = P._styled(spark, d).select("pair_id", "style_composition", "style_ratio")
+    """Pairs by section (the cell) with the three channels: style composition, shingles, and whole segments."""
+    styled = P._styled(spark, d).select("pair_id", "style_composition")
     rows = P.axes(spark, d).join(styled, "pair_id")
-    value = {"style": "style_composition", "shingle": "raw_text_word_shingle", "strong": "style_ratio"}
+    value = {"style": "style_composition", "shingle": "raw_text_word_shingle", "strong": "raw_text_segment"}
     return rows.select("pair_id", F.col("section").alias("cell"), "left_org", "right_org", *[F.round(F.col(c) + 1e-9, 4).alias(k) for k, c in value.items()])
 
 
@@ -127,7 +127,7 @@ def retention_medians(spark, d):
 def cell_transfer(spark, d):
     """Cells by their medians of same- and cross-organisation pairs: what the structural and the content channel speak for."""
     rows = _channels(spark, d).withColumn("relation", F.when(F.col("left_org") == F.col("right_org"), "same_org").otherwise("cross_org"))
-    return L.assess(L.cell_medians(rows, list(CHANNELS)), ["style", "strong"], ["shingle"])
+    return L.assess(L.cell_medians(rows, list(CHANNELS)), ["style"], ["shingle", "strong"])
 
 
 def cell_summary(spark, d):
@@ -290,7 +290,7 @@ reach(threshold, x, y) as (select threshold, doc_id, doc_id from canon, th union
 clu as (select section, threshold, x member, min(y) component_id from reach join canon on canon.doc_id = x group by all)"""
 _CH = P._AXES_F + f""",
 sty as (select pair_id, {P._STYLE['style_ratio']} style_ratio, {P._STYLE['style_composition']} style_composition{P._FJ}),
-ch as (select pair_id, section cell, left_org, right_org, {_R4('style_composition')} style, {_R4('raw_text_word_shingle')} shingle, {_R4('style_ratio')} strong from axs join sty using (pair_id))"""
+ch as (select pair_id, section cell, left_org, right_org, {_R4('style_composition')} style, {_R4('raw_text_word_shingle')} shingle, {_R4('raw_text_segment')} strong from axs join sty using (pair_id))"""
 _CO = _CH + """,
 co as (select cell, least(left_org, right_org) left_org, greatest(left_org, right_org) right_org, count(*) pairs, """ + ", ".join(f"{_R4(f'median({c})')} {c}" for c in CHANNELS) + """ from ch group by all),
 se0 as (
@@ -388,7 +388,7 @@ join (select * from clu where threshold = {THRESHOLDS[-1]}) r using (component_i
     "retention_medians": _W(_CO, "select * from se"),
     "cell_transfer": _W(_CELLS, f"""select *, case when not sufficient then 'insufficient' when structural_transfer = 'transfer' and content_transfer = 'transfer' then 'transfer_both' when structural_transfer = 'transfer' then 'structure_led' when content_transfer = 'transfer' then 'content_led'
   when structural_transfer = 'org_bound' and content_transfer = 'org_bound' then 'org_bound' else 'mixed_partial' end transfer from (
-  select *, same_org_pairs >= 3 and cross_org_pairs >= 3 sufficient, {_channel_sql(['style', 'strong'])} structural_transfer, {_channel_sql(['shingle'])} content_transfer from cm where comparison_status = 'matched_same_and_cross')"""),
+  select *, same_org_pairs >= 3 and cross_org_pairs >= 3 sufficient, {_channel_sql(['style'])} structural_transfer, {_channel_sql(['shingle', 'strong'])} content_transfer from cm where comparison_status = 'matched_same_and_cross')"""),
     "cell_summary": _W(_CELLS, "select count(*) cells, sum(same_org_pairs)::bigint same_org_pairs, sum(cross_org_pairs)::bigint cross_org_pairs, " + ", ".join(f"{_R4(f'median({n}_{c})')} {n}_{c}" for c in CHANNELS for n in ("same_org", "cross_org", "cross_minus_same")) + " from cm where comparison_status = 'matched_same_and_cross'"),
     "temporal_handoff": "with " + _ACT + " select * from act",
     "org_matrix": _W(_MX, "select * from mx"),
