@@ -123,7 +123,7 @@ def _document_pairs(spark, d):
 def _pair_matches(spark, d):
     rows = dealt_out(I.table(spark, d, "pages").select("page_id", "html"), "page_id")
     parts = F.filter(F.array_distinct(F.transform(F.regexp_extract_all("html", F.lit(">([^<]+)<"), F.lit(1)), T.normalize_text)), lambda t: t != "")
-    shingles = F.array_distinct(F.flatten(F.transform(F.transform(parts, T.tokens), T.word_shingles)))
+    shingles = F.array_distinct(F.flatten(F.transform(F.transform(parts, lambda t: T.tokens(t)), lambda w: T.word_shingles(w))))
     texts = rows.select("page_id", F.transform(parts, I.short_hash).alias("segments"), F.transform(shingles, I.short_hash).alias("shingles"))
     return G.best_in_pairs(_document_pairs(spark, d), stored(_pages(spark, d), "pages"), texts)
 
