@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, group_matrix, language_crf, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order
+from . import bpe, group_matrix, language_crf, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,12 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return word_bpe.digests(word_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op2_perplexity_rules": op2_perplexity_rules,
@@ -69,6 +75,7 @@ QUERIES = {
     "op8_site_spread": op8_site_spread,
     "op9_license_join": op9_license_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op12_word_bpe": op12_word_bpe,
 }
 
 #: Words of ops 1 and 9, as a DuckDB expression over the column text.
