@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, group_matrix, language_crf, license_scan, line_spread, perplexity, positional_index, quality_classifier, toxicity, training_order, word_bpe
+from . import asof_join, bpe, group_matrix, language_crf, license_scan, line_spread, perplexity, positional_index, quality_classifier, source_divergence, toxicity, training_order, word_bpe
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,12 +58,20 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence.audit(table(spark, sf_dir, "documents"))
+
+
 def op12_word_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     return word_bpe.digests(word_bpe.encode(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op13_tolerant_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return asof_join.match_orders(table(spark, sf_dir, "clicks"), table(spark, sf_dir, "sales"))
+
+
 QUERIES = {
     "op1_positional_index": op1_positional_index,
     "op2_perplexity_rules": op2_perplexity_rules,
@@ -75,7 +83,9 @@ QUERIES = {
     "op8_site_spread": op8_site_spread,
     "op9_license_join": op9_license_join,
     "op10_byte_bpe": op10_byte_bpe,
+    "op11_source_divergence": op11_source_divergence,
     "op12_word_bpe": op12_word_bpe,
+    "op13_tolerant_asof": op13_tolerant_asof,
 }
 
 #: Words of ops 1 and 9, as a DuckDB expression over the column text.
@@ -150,9 +160,76 @@ select doc_id, len(w)::bigint n_words, coalesce(n_base, 0)::bigint n_base, first
 from dw left join base using (doc_id) left join best using (doc_id)
 """
 
+_TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')"
+_OP11 = f"""
+with dw as (select row_number() over () r, coalesce(lang, '') lang, coalesce(source, '') source, {_TERMS} w from documents),
+occ as (select r, lang, source, unnest(w) t from dw),
+kept as (select lang, t from occ group by 1, 2 having count(distinct r) >= {source_divergence.MIN_DOCS}),
+size as (select lang, count(*) v from kept group by 1),
+groups as (select distinct lang, source from dw),
+c as (select lang, source, t, count(*) c from occ join kept using (lang, t) group by 1, 2, 3),
+gn as (select lang, source, coalesce(sum(c), 0)::bigint n from groups left join c using (lang, source) group by 1, 2),
+ln as (select lang, sum(c)::bigint n from c group by 1),
+p as (
+  select lang, gn.source, t, coalesce(c, 0) c, 1 + (1000000000 * (coalesce(c, 0) + 2)) // (n + 2 * v) p
+  from gn join kept using (lang) join size using (lang) left join c using (lang, source, t)),
+lp as (
+  select lang, t, 1 + (1000000000 * (sum(c) + 2)::bigint) // (n + 2 * v) q
+  from c join ln using (lang) join size using (lang) group by lang, t, n, v),
+pairs as (
+  select a.lang, a.source, b.source item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint value
+  from p a join p b on a.lang = b.lang and a.t = b.t and a.source <> b.source group by 1, 2, 3),
+allp as (
+  select a.lang, a.source, 'pair' part, b.source item, coalesce(value, 0) value
+  from groups a join groups b on a.lang = b.lang and a.source <> b.source left join pairs on pairs.lang = a.lang and pairs.source = a.source and pairs.item = b.source),
+terms as (select lang, source, 'term' part, t item, (p - q) * (p - q) // (p + q) value from p join lp using (lang, t) where c > 0 and p > q),
+ranked as (
+  select *, row_number() over (partition by lang, source, part order by value desc, encode(item)) rank
+  from (select * from allp union all select * from terms))
+select lang, source, part, item, value::bigint value, rank::integer rank from ranked where part = 'pair' or rank <= {source_divergence.TOP_TERMS}
+"""
+
+
+def _crc_table() -> list[int]:
+    """What each byte does to a CRC-32 (reflected polynomial EDB88320)."""
+    out = list(range(256))
+    for _ in range(8):
+        out = [x >> 1 ^ 0xEDB88320 * (x & 1) for x in out]
+    return out
+
+
+def _crc(number: str) -> str:
+    """CRC-32 of the decimal digits of a DuckDB expression; null of null."""
+    digits = f"[4294967295::bigint] || list_transform(string_split({number}::varchar, ''), lambda x: ascii(x)::bigint)"
+    step = f"xor(({_crc_table()}::bigint[])[(xor(a, b) & 255) + 1], a >> 8)"
+    return f"(case when {number} is not null then xor(list_reduce({digits}, lambda a, b: {step}), 4294967295::bigint) end)"
+
+
+_OP13 = f"""
+with c0 as (select click_id, min(client_id) client_id, min(epoch_us(ts)) us from clicks group by 1),
+c1 as (select *, {_crc("click_id")} h from c0),
+c as (select click_id, client_id, case when h % 2 = 1 then us - ((us % {asof_join.COARSE_US}) + {asof_join.COARSE_US}) % {asof_join.COARSE_US} else us end us from c1),
+s0 as (
+  select sale_id, client_id, epoch_us(sold_at) us, case when isfinite(total) then floor(100 * total + 0.5)::bigint end cents, {_crc("sale_id")} h
+  from sales),
+s1 as (select sale_id, client_id, h, cents, case when h % 2 = 1 then us - ((us % {asof_join.COARSE_US}) + {asof_join.COARSE_US}) % {asof_join.COARSE_US} else us end us from s0),
+s as (select sale_id, client_id, us, cents from s1 union all select -1 - sale_id, client_id, us, cents from s1 where h % 3 <> 0),
+best as (
+  select client_id, us, count(*) n, first(sale_id order by cents desc nulls last, sale_id desc nulls last) sale_id,
+    first(cents order by cents desc nulls last, sale_id desc nulls last) cents
+  from s where client_id is not null and us is not null group by 1, 2),
+found as (select click_id, c.client_id, c.us ts_us, sale_id, c.us - best.us lag_us, cents, n from c asof left join best on c.client_id = best.client_id and c.us >= best.us)
+select click_id, client_id, ts_us, case when lag_us <= {asof_join.TOLERANCE_US} then sale_id end sale_id,
+  case when lag_us <= {asof_join.TOLERANCE_US} then lag_us end lag_us, case when lag_us <= {asof_join.TOLERANCE_US} then cents end total_cents,
+  case when lag_us <= {asof_join.TOLERANCE_US} then n else 0 end::bigint n_tied
+from found
+"""
+
 ORACLES: dict[str, str] = {
     "op1_positional_index": _OP1,
     "op5_group_matrix": _OP5,
     "op8_site_spread": _OP8,
     "op9_license_join": _OP9,
+    "op11_source_divergence": _OP11,
+    "op13_tolerant_asof": _OP13,
 }
