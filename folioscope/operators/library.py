@@ -74,14 +74,15 @@ def coverage(documents: DataFrame, entities: DataFrame, found: DataFrame, kinds:
     ones the expected (common, or led by the own organisation) and foreign (led by another), and those to be reviewed.
 
     documents: doc_id, section, org; kinds: entity kind to the prefix of its columns. Trivial candidates don't match.
-    Documents without entities are no_text; ratios over nothing are 0.
+    Documents without entities are no_text; ratios over nothing are 0. A document of no known organisation (null, empty or
+    UNKNOWN) expects nothing and has nothing foreign.
     """
     used = found.where("candidate_status = 'candidate'").select(*KEY, "candidate_id", "org_class", "dominant_org", "signal")
     rows = entities.where(F.col("entity_kind").isin(*kinds)).join(used, KEY, "left")
-    matched = F.col("candidate_id").isNotNull()
+    matched, known = F.col("candidate_id").isNotNull(), F.coalesce(~F.col("org").isin("", "UNKNOWN"), F.lit(False))
     common = F.col("org_class") == "cross_org_common"
-    expected = matched & (common | (F.col("dominant_org") == F.col("org")))
-    foreign = matched & ~common & (F.col("dominant_org") != F.col("org"))
+    expected = matched & known & (common | (F.col("dominant_org") == F.col("org")))
+    foreign = matched & known & ~common & (F.col("dominant_org") != F.col("org"))
     n = lambda ok, kind=None: F.sum(F.when(ok if kind is None else ok & (F.col("entity_kind") == kind), F.col("n")).otherwise(0))
     every = F.lit(True)
     out = rows.groupBy("doc_id").agg(
@@ -115,8 +116,11 @@ def review_priority(foreign: Column, copy_review: Column, table_borrowing: Colum
 
 
 def combined_report(tables: DataFrame, texts: DataFrame) -> DataFrame:
-    """One row of each document in either coverage: both ratios, bands and statuses (missing without a row), and its priority."""
-    l = tables.select("doc_id", "section", "org", F.col("all_ratio").alias("table_ratio"), F.col("copy_review").alias("table_borrowing"), F.col("coverage_status").alias("table_status"))
+    """One row of each document in either coverage: both ratios, bands and statuses (missing without a row), and its priority.
+
+    tables: coverage by table forms; texts: coverage by text candidates.
+    """
+    l = tables.select("doc_id", "section", "org", F.col("coverage_ratio").alias("table_ratio"), F.col("borrowing").alias("table_borrowing"), F.col("coverage_status").alias("table_status"))
     r = texts.select("doc_id", "section", "org", F.col("all_ratio").alias("text_ratio"), "foreign_ratio", "copy_review_ratio", F.col("coverage_status").alias("text_status"))
     out = l.join(r, ["doc_id", "section", "org"], "full_outer")
     out = out.withColumns({c: F.coalesce(c, F.lit("missing")) for c in ("table_status", "text_status")})

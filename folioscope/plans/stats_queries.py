@@ -9,11 +9,11 @@ from ..operators import entities as E
 from ..operators import library as L
 from ..operators import stats as A
 from ..storage import stored
+from . import form_queries
 from . import inputs as I
 
 
 TEXT_KINDS = {"text_segment": "segment", "text_word_shingle": "shingle"}
-TABLE_KINDS = {"table_cell_text": "cell", "table_layout_signature": "layout", "table_content_signature": "content"}
 
 
 def _measured(spark, d):
@@ -55,13 +55,8 @@ def coverage_medians(spark, d):
 
 
 def _combined(spark, d):
-    """Coverage of tables against coverage of texts: tables of documents are entities of three kinds."""
-    org = I.table_docs(spark, d).select("doc_id", "org")
-    tables = E.table_entities(I.segments(spark, d)).join(org, "doc_id").withColumns({"tokens": F.lit(0), "chars": F.lit(0)})
-    tables = stored(tables, "tables")
-    have = tables.select("doc_id").distinct()
-    forms = L.coverage(I.table_docs(spark, d).join(have, "doc_id", "left_semi"), tables, L.candidates(tables), TABLE_KINDS)
-    return L.combined_report(forms, _text_coverage(spark, d))
+    """Coverage of the documents by forms of their tables against coverage by text."""
+    return L.combined_report(form_queries.document_forms(spark, d), _text_coverage(spark, d))
 
 
 def combined_report(spark, d):
@@ -181,7 +176,7 @@ def _cov(docs: str, src: str, cand: str, name: str, kinds: dict[str, str]) -> st
     named = ", ".join(f"coalesce({p}_{c}, 0) {p}_{c}" for p in kinds.values() for c in ("total", "matched", "expected"))
     parts = ", ".join(f"{p}_total, {p}_matched, {_R4(f'coalesce({p}_matched / nullif({p}_total, 0), 0)')} {p}_ratio, {p}_total - {p}_matched {p}_residual, {_R4(f'coalesce({p}_expected / nullif({p}_matched, 0), 0)')} {p}_conformance" for p in kinds.values())
     return f"""{name}_j as (
-  select e.*, c.candidate_id, c.candidate_id is not null m, c.candidate_id is not null and (org_class = 'cross_org_common' or dominant_org = e.org) x, c.candidate_id is not null and org_class <> 'cross_org_common' and dominant_org <> e.org f, signal
+  select e.*, c.candidate_id, c.candidate_id is not null m, c.candidate_id is not null and e.org not in ('', 'UNKNOWN') and (org_class = 'cross_org_common' or dominant_org = e.org) x, c.candidate_id is not null and e.org not in ('', 'UNKNOWN') and org_class <> 'cross_org_common' and dominant_org <> e.org f, signal
   from {src} e left join (select * from {cand} where candidate_status = 'candidate') c on c.section = e.section and c.entity_kind = e.entity_kind and c.entity_hash = e.entity_hash),
 {name}_s as (
   select doc_id, {sums}, sum(n)::bigint all_total, coalesce(sum(n) filter (m), 0)::bigint all_matched, coalesce(sum(n) filter (x), 0)::bigint expected, coalesce(sum(n) filter (f), 0)::bigint "foreign",
@@ -195,13 +190,10 @@ def _cov(docs: str, src: str, cand: str, name: str, kinds: dict[str, str]) -> st
 _CAND = _MEAS + ",\n" + _cand("meas", "cand")
 _COVER = _CAND + ",\n" + _cov("docs", "meas", "cand", "cover", TEXT_KINDS)
 _BAND = lambda c: f"case when {c} >= 0.75 then 'high' when {c} >= 0.40 then 'medium' else 'low' end"
-_COMB = I.ENT.replace("\ntoks as (", "\ntoks0 as (").replace(" from toks where", " from toks0 where") + _COVER[len(I.SEGS):] + """,
-tabs as (select ent.*, docs.org, 0 tokens, 0 chars from ent join docs using (doc_id) where entity_kind like 'table_%'),
-tdocs as (select * from docs where doc_id in (select doc_id from tabs)),
-""" + _cand("tabs", "tcand") + ",\n" + _cov("tdocs", "tabs", "tcand", "forms", TABLE_KINDS) + f""",
+_COMB = _COVER + form_queries.DOCUMENT_FORMS[len(I.SEGS):] + f""",
 comb0 as (
-  select doc_id, section, org, coalesce(l.all_ratio, 0.0) table_ratio, coalesce(l.copy_review, 0) table_borrowing, coalesce(l.coverage_status, 'missing') table_status, coalesce(r.all_ratio, 0.0) text_ratio, coalesce(r.foreign_ratio, 0.0) foreign_ratio,
-    coalesce(r.copy_review_ratio, 0.0) copy_review_ratio, coalesce(r.coverage_status, 'missing') text_status from forms l full outer join cover r using (doc_id, section, org)),
+  select doc_id, section, org, coalesce(l.coverage_ratio, 0.0) table_ratio, coalesce(l.borrowing, 0) table_borrowing, coalesce(l.coverage_status, 'missing') table_status, coalesce(r.all_ratio, 0.0) text_ratio, coalesce(r.foreign_ratio, 0.0) foreign_ratio,
+    coalesce(r.copy_review_ratio, 0.0) copy_review_ratio, coalesce(r.coverage_status, 'missing') text_status from fcov l full outer join cover r using (doc_id, section, org)),
 comb as (select *, {_BAND('table_ratio')} table_band, {_BAND('text_ratio')} text_band, case when table_borrowing > 0 or copy_review_ratio >= 0.05 then 'review_high' when foreign_ratio >= 0.05 or copy_review_ratio >= 0.005 then 'review_watch' else 'review_clear' end priority from comb0)"""
 _OM = """om as (select o_custkey, c_mktsegment, c_nationkey, c_acctbal, n_orders, spent from (select o_custkey, count(*) n_orders, sum(o_totalprice::decimal(18,2))::double spent from orders group by 1) join customer on c_custkey = o_custkey)"""
 _AR = lambda by, x, src: f"(rank() over (partition by {by} order by {x}) + (count(*) over (partition by {by}, {x}) - 1) / 2)"
