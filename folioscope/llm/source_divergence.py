@@ -254,6 +254,9 @@ def audit(docs: DataFrame, min_docs: int = MIN_DOCS, lang_col: str = "lang", sou
     every = every.select("lang", "chunk", "source", F.col("lang_n").alias("n"), "v", "terms", F.size("terms").alias("n_terms"), "ids", "counts", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).withColumn("other", F.col("block"))
     columns = ["lang", "chunk", F.least("block", "other").alias("b_left"), F.greatest("block", "other").alias("b_right"), "source", "block", "n", "v", "n_terms", "terms", "ids", "counts"]
     found = own.select(*columns).unionByName(every.select(*columns)).groupBy("lang", "chunk", "b_left", "b_right").applyInArrow(_compare, FOUND)
-    value = found.groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
-    rank = F.row_number().over(Window.partitionBy("lang", "source", "part").orderBy(F.desc("value"), "item"))
-    return value.withColumn("rank", rank).where((F.col("part") == "pair") | (F.col("rank") <= TOP_TERMS))
+    found = stored(found, "divergence")
+    pairs = found.where("part = 'pair'").groupBy("lang", "source", "part", "item").agg(F.sum("value").alias("value"))
+    rank = F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item"))
+    # a chunk's leading terms of a group: only the first few of a task go on
+    terms = found.where("part = 'term'").withColumn("rank", rank).where(F.col("rank") <= TOP_TERMS)
+    return pairs.withColumn("rank", rank).unionByName(terms)
