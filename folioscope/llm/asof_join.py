@@ -96,7 +96,7 @@ def latest_before(left: DataFrame, right: DataFrame, tolerance: int) -> DataFram
     entries = entries.groupBy("key", "bucket").agg(F.max("latest").alias("latest"))
     earlier = Window.partitionBy("key").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     carried = entries.withColumn("carried", F.max("latest").over(earlier)).where("carried is not null").select("key", "bucket", "carried.*")
-    late = waiting.drop("found_at", "value", "tie", "n").join(carried.withColumnRenamed("at", "found_at"), ["key", "bucket"], "left")
+    late = waiting.drop("found_at", "value", "tie", "n").hint("merge").join(carried.withColumnRenamed("at", "found_at"), ["key", "bucket"], "left")
 
     found = rows.where("is_left and not open").unionByName(late)
     near = F.col("found_at").isNotNull() & (F.col("at") - F.col("found_at") <= tolerance)
