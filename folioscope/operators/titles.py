@@ -101,17 +101,3 @@ def effective_author(index: Column, groups: Column) -> tuple[Column, Column]:
     author = (role == "subcontractor") | ((role == "lead_designer") & (groups == 1))
     rule = F.when(role == "subcontractor", "subcontractor_actual_author").when(groups == 1, "sole_designer_author").otherwise("lead_contractual_not_effective_author")
     return author, rule
-
-
-def line_windows(lines: DataFrame, keys: list[str], place: str, text: str, most: int = 3) -> DataFrame:
-    """Each line, and each run of 2 .. ``most`` lines that follow each other, forwards and backwards, as one text."""
-    up, down = Window.partitionBy(*keys).orderBy(place), Window.partitionBy(*keys).orderBy(F.desc(place))
-    rows = lines
-    for k in range(1, most):
-        rows = rows.withColumns({f"_next{k}": F.lead(text, k).over(up), f"_last{k}": F.lead(text, k).over(down)})
-    windows = [F.col(text)]
-    for way in ("_next", "_last"):
-        for size in range(2, most + 1):
-            parts = [F.col(text), *[F.col(f"{way}{k}") for k in range(1, size)]]
-            windows.append(F.when(parts[-1].isNotNull(), F.concat_ws(" ", *parts)))
-    return rows.select(*keys, place, F.explode(F.array_compact(F.array(*windows))).alias("window"))

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import entities as E
 from ..operators import joins as J
 from ..operators import registry as R
+from ..operators import title_blocks as B
 from ..operators import titles as Z
+from ..storage import stored
 from . import inputs as I
 
 
@@ -118,12 +121,32 @@ def section_resolution(spark, d):
 
 
 def line_windows(spark, d):
-    """Lines of short documents joined with the one or two after and before them."""
-    from ..operators import entities as E
+    """Lines of all documents joined with the one or two after and before them on their page."""
+    rows = E.normalized_segments(E.segments(I.docs(spark, d)))
+    lines = rows.select("doc_id", F.floor(F.col("seg_no") / E.PAGE_LINES).alias("page"), F.col("seg_no").cast("bigint").alias("y"), F.col("normalized").alias("text"))
+    return B.line_runs(lines, ["doc_id"]).select("doc_id", "page", "y", F.col("text").alias("window"))
 
-    docs = I.table_docs(spark, d).where(F.length("text") < 600)
-    rows = E.segments(docs).withColumn("n", T.normalize_text(F.col("text"))).where("n <> ''").select("doc_id", "seg_no", "n")
-    return Z.line_windows(rows, ["doc_id"], "seg_no", "n").select("doc_id", F.col("seg_no").cast("bigint").alias("seg_no"), "window")
+
+def zone_pieces(spark, d):
+    """Title zones made of orders: a line is a piece of text on a page of its order, placed by quantity and discount.
+
+    Returned lines name a person, accepted ones an organisation, the others an office; names are those of the suppliers'
+    nations, written in Cyrillic.
+    """
+    nation = I.table(spark, d, "supplier").join(I.table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    cyrillic = F.initcap(F.translate(F.lower("n_name"), "abcdefghijklmnopqrstuvwxyz_0123456789", "абцдефгхийклмнопярстуввхузабвгдежзик"))
+    nation = nation.select("s_suppkey", cyrillic.alias("name"))
+    line = I.table(spark, d, "lineitem").join(nation, F.col("l_suppkey") == F.col("s_suppkey"))
+    office = F.when(F.col("l_linestatus") == "O", "ГИП").otherwise("Главный инженер проекта")
+    text = F.when(F.col("l_returnflag") == "R", F.concat("name", F.lit(" А.Б."))).when(F.col("l_returnflag") == "A", F.concat(F.lit("ООО «"), "name", F.lit("»"))).otherwise(office)
+    # pieces at one place stand side by side in the order of their texts
+    return line.select(F.col("l_orderkey").alias("doc_id"), F.ceil(F.col("l_linenumber") / 2).cast("int").alias("page"), F.col("l_discount").alias("x"), (F.col("l_quantity") * 5).alias("y"), text.alias("text"))
+
+
+def title_parties(spark, d):
+    """Parties of the title zone of each order, from its placed lines: organisation, engineer, role, author."""
+    pieces = zone_pieces(spark, d)
+    return B.parties(pieces.select("doc_id", "page"), stored(B.visual_lines(pieces), "title-lines"))
 
 
 def most_common_brands(spark, d):
@@ -175,7 +198,7 @@ def either_filter(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     range_join, containment_join, fuzzy_titles, roster_overlap, trend_lines, attribute_registry, rollup_counts, roster_people, roster_qc, roster_qc_ratio, title_structure, party_roles, section_resolution,
-    line_windows, most_common_brands, archive_ids, legal_forms, file_rules, either_filter,
+    line_windows, title_parties, most_common_brands, archive_ids, legal_forms, file_rules, either_filter,
 )}
 
 _W = I.with_
@@ -218,8 +241,11 @@ select c_mktsegment, c_nationkey, attribute, count(*) objects, count(distinct v)
   case when party = 2 and "groups" = 2 then 'subcontractor_actual_author' when "groups" = 1 then 'sole_designer_author' else 'lead_contractual_not_effective_author' end rule from (select *, unnest(range(1, "groups" + 1))::int party from gr)"""),
     "section_resolution": f"""select page_id, case when t <> '' and t = s then 'title_matches_selection' when t <> '' then 'title_overrides_selection' else 'selection_fallback' end status, coalesce(nullif(t, ''), s) effective
 from (select page_id, {_AT} t, regexp_extract(url, '/(en|fr|de|es)/', 1) s from pages)""",
-    "line_windows": _W(I.SEGS, """select doc_id, seg_no, unnest(list_filter([normalized, normalized || ' ' || u1, normalized || ' ' || u1 || ' ' || u2, normalized || ' ' || l1, normalized || ' ' || l1 || ' ' || l2], lambda x: x is not null)) as window from (
-  select doc_id, seg_no, normalized, lead(normalized, 1) over w u1, lead(normalized, 2) over w u2, lag(normalized, 1) over w l1, lag(normalized, 2) over w l2 from norm where doc_id in (select doc_id from documents where length(text) < 600) window w as (partition by doc_id order by seg_no))"""),
+    "line_windows": _W(I.SEGS, """select doc_id, page, unnest(ys) y, unnest(windows) as window from (
+  select doc_id, page, list_filter([n, n || ' ' || u1, n || ' ' || u1 || ' ' || u2, n || ' ' || l1, n || ' ' || l1 || ' ' || l2], lambda x: x is not null) windows,
+    list_filter([y, case when u1 is not null then y end, case when u2 is not null then y end, yl1, yl2], lambda x: x is not null) ys from (
+    select doc_id, page, y, n, lead(n, 1) over w u1, lead(n, 2) over w u2, lag(n, 1) over w l1, lag(n, 2) over w l2, lag(y, 1) over w yl1, lag(y, 2) over w yl2
+    from (select doc_id, seg_no // 20 page, seg_no y, normalized n from norm) window w as (partition by doc_id, page order by y)))"""),
     "most_common_brands": """select p_type, string_agg(p_brand || ':' || n, '|' order by k) most_common from (select *, row_number() over (partition by p_type order by n desc, seen) k from (select p_type, p_brand, count(*) n, min(p_partkey) seen from part group by all)) where k <= 3 group by 1""",
     "archive_ids": """select o_orderkey, case when o_orderkey % 3 = 0 then lpad(o_orderkey::varchar, greatest(4, length(o_orderkey::varchar))::int, '0') || '_' || lpad((year(o_orderdate) % 100)::varchar, 2, '0')
   else lpad(o_orderkey::varchar, greatest(4, length(o_orderkey::varchar))::int, '0') || '_' || lpad((year(o_orderdate) % 100)::varchar, 2, '0') end archive_id from orders""",

@@ -16,6 +16,7 @@ from folioscope.operators import pages as G
 from folioscope.operators import pairs as P
 from folioscope.operators import registry as R
 from folioscope.operators import scores as W
+from folioscope.operators import title_blocks as B
 from folioscope.operators import titles as Z
 
 
@@ -130,8 +131,8 @@ def test_parties_and_sections(spark):
     roles = [(1, 1), (1, 2), (2, 2), (2, 3), (3, 3)]
     rows = spark.createDataFrame(roles, "i int, n int").select("i", "n", Z.party_role(F.col("i"), F.col("n")).alias("r"), *[c.alias(k) for c, k in zip(Z.effective_author(F.col("i"), F.col("n")), ("a", "rule"), strict=True)]).collect()
     assert {(r["i"], r["n"]): (r["r"], r["a"]) for r in rows} == {(1, 1): ("lead_designer", True), (1, 2): ("lead_designer", False), (2, 2): ("subcontractor", True), (2, 3): ("unresolved", False), (3, 3): ("unresolved", False)}
-    windows = Z.line_windows(spark.createDataFrame([(1, 1, "a"), (1, 2, "b"), (1, 3, "c"), (2, 1, "z")], "d int, k int, t string"), ["d"], "k", "t").collect()
-    assert Counter(r["window"] for r in windows) == Counter(["a", "b", "c", "a b", "b c", "a b c", "c b", "b a", "c b a", "z"])
+    lines = spark.createDataFrame([(1, 1, 1, "a"), (1, 1, 2, "b"), (1, 1, 3, "c"), (1, 2, 4, "z")], "d int, page int, y int, text string")
+    assert Counter((r["text"], r["y"]) for r in B.line_runs(lines, ["d"]).collect()) == Counter([("a", 1), ("b", 2), ("c", 3), ("a b", 1), ("b c", 2), ("a b c", 1), ("c b", 2), ("b a", 1), ("c b a", 1), ("z", 4)])
 
 
 def brute_near(l, r):
