@@ -1,24 +1,14 @@
-"""Ranks, correlations, false-discovery control, percentiles and buckets. All windows are partitioned by the caller's keys."""
+"""Correlations of ranks, their p values, quartiles, summaries and bands. Ranks and quantiles are those of ordered.py."""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
-def average_rank(by: list[str], value: str) -> Column:
-    """Rank within the group, ties sharing the mean of their places."""
-    ranked = F.rank().over(Window.partitionBy(*by).orderBy(value))
-    ties = F.count("*").over(Window.partitionBy(*by, value))
-    return ranked + (ties - 1) / 2
-
-
-def midrank_percentile(by: list[str], value: str) -> Column:
-    """(average rank - 1) / (n - 1); 0.5 of a group of one."""
-    n = F.count("*").over(Window.partitionBy(*by))
-    return F.when(n > 1, (average_rank(by, value) - 1) / (n - 1)).otherwise(0.5)
+from ..storage import stored
+from . import ordered as O
 
 
 def spearman(rows: DataFrame, by: list[str], x: str, y: str, control: str | None = None, least: int = 4) -> DataFrame:
@@ -29,7 +19,9 @@ def spearman(rows: DataFrame, by: list[str], x: str, y: str, control: str | None
     """
     used = [x, y] + ([control] if control else [])
     rows = rows.dropna(subset=used)
-    ranked = rows.withColumns({f"_r{k}": average_rank(by, c) for k, c in enumerate(used)})
+    ranked = stored(rows, "ranked")
+    for k, c in enumerate(used):
+        ranked = O.with_places(ranked, by, c, **{f"_r{k}": O.AVERAGE_RANK})
     pairs = [("xy", 0, 1)] + ([("xz", 0, 2), ("yz", 1, 2)] if control else [])
     out = ranked.groupBy(*by).agg(F.count("*").alias("n"), *[_correlation(f"_r{a}", f"_r{b}").alias(name) for name, a, b in pairs])
     out = out.where((F.col("n") >= least) & F.col("xy").isNotNull())
@@ -66,33 +58,18 @@ def p_value(r: Column, n: Column) -> Column:
     return F.when(n < 4, None).when(size >= 1 - 1e-12, 0.0).otherwise(F.round(p, 6))
 
 
-def benjamini_hochberg(rows: DataFrame, by: list[str], p: str, key: str, rate: float = 0.10) -> DataFrame:
-    """q and significant: p * n / rank, made monotone from the largest p down, at most 1."""
-    ordered = Window.partitionBy(*by).orderBy(p, key)
-    n = F.count("*").over(Window.partitionBy(*by))
-    raw = rows.withColumn("_raw", F.col(p) * n / F.row_number().over(ordered))
-    q = F.least(F.lit(1.0), F.min("_raw").over(ordered.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
-    return raw.withColumn("q", F.round(q, 6)).withColumn("significant", F.col("q") <= rate).drop("_raw")
-
-
 def order_quartiles(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """q1 and q3 of each group: the elements at places n div 4 and 3n div 4 of the sorted values (no interpolation).
-
-    Equal values are counted first; a group's distinct values are then walked in order, not gathered.
-    """
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("_v")).agg(F.count("*").alias("_n"))
-    group = Window.partitionBy(*by)
-    upto = F.sum("_n").over(group.orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    placed = counts.withColumns({"_upto": upto, "_all": F.sum("_n").over(group)})
-    at = lambda part: F.min(F.when(F.col("_upto") > F.floor(F.col("_all") * part / 4), F.col("_v")))
+    """q1 and q3 of each group: the elements at places n div 4 and 3n div 4 of the sorted values (no interpolation)."""
+    placed = O.histogram(rows, by, value)
+    at = lambda part: F.min(F.when(F.col("before") + F.col("n") > F.floor(F.col("total") * part / 4), F.col(value)))
     return placed.groupBy(*by).agg(at(1).alias("q1"), at(3).alias("q3"))
 
 
-def summary(value: str) -> list[Column]:
-    """n, mean, median, p10, p90 (interpolated), min and max of a group, rounded to 4."""
-    pct = {"p10": 0.1, "median": 0.5, "p90": 0.9}
-    parts = [F.round(F.percentile(value, q), 4).alias(k) for k, q in pct.items()]
-    return [F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), *parts, F.round(F.min(value), 4).alias("min"), F.round(F.max(value), 4).alias("max")]
+def summary(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """n, mean, p10, median, p90 (interpolated), min and max of each group, rounded to 4."""
+    plain = rows.groupBy(*by).agg(F.count(value).alias("n"), F.round(F.avg(value), 4).alias("mean"), F.round(F.min(value), 4).alias("min"), F.round(F.max(value), 4).alias("max"))
+    inner = O.quantiles(rows, by, value, {"p10": 0.1, "median": 0.5, "p90": 0.9})
+    return plain.join(inner.select(*by, *[F.round(c, 4).alias(c) for c in ("p10", "median", "p90")]), by, "left")
 
 
 def entropy(parts: list[Column]) -> Column:

@@ -11,6 +11,7 @@ from ..operators import cells as L
 from ..operators import components as C
 from ..operators import entities as E
 from ..operators import identity as D
+from ..operators import ordered as O
 from ..operators import scores as W
 from ..operators import stats as A
 from ..operators import titles as Z
@@ -29,13 +30,15 @@ def _scores(spark, d):
 
 def org_similarity_summary(spark, d):
     kind = F.when(F.col("left_org") == F.col("right_org"), "within").otherwise("cross")
-    return _scores(spark, d).groupBy(kind.alias("pair_type"), "section").agg(*A.summary("value"))
+    rows = stored(_scores(spark, d).select(kind.alias("pair_type"), "section", "value"), "pair-values")
+    return A.summary(rows, ["pair_type", "section"], "value")
 
 
 def separation_gap(spark, d):
     """Median within less median across organisations, for each section that has both."""
-    kind = F.col("left_org") == F.col("right_org")
-    out = _scores(spark, d).groupBy("section").agg(F.median(F.when(kind, F.col("value"))).alias("inside"), F.median(F.when(~kind, F.col("value"))).alias("across"))
+    rows = stored(_scores(spark, d).select("section", (F.col("left_org") == F.col("right_org")).alias("same"), "value"), "pair-values")
+    found = O.quantiles(rows, ["section", "same"], "value", {"middle": 0.5})
+    out = found.groupBy("section").agg(F.max(F.when(F.col("same"), F.col("middle"))).alias("inside"), F.max(F.when(~F.col("same"), F.col("middle"))).alias("across"))
     rounded = [F.round(c + 1e-9, 4).alias(n) for n, c in (("inside", F.col("inside")), ("across", F.col("across")), ("gap", F.col("inside") - F.col("across")))]
     return out.where("inside is not null and across is not null").select("section", *rounded)
 
@@ -59,8 +62,8 @@ def top_pairs(spark, d):
 
 def section_percentile(spark, d):
     """The share of a section's pairs that score no higher."""
-    share = F.cume_dist().over(Window.partitionBy("section").orderBy("value"))
-    return _scores(spark, d).select("pair_id", F.round(share + 1e-9, 4).alias("percentile"))
+    rows = stored(_scores(spark, d).select("pair_id", "section", "value"), "pair-values")
+    return O.with_places(rows, ["section"], "value", share=O.UP_TO).select("pair_id", F.round(F.col("share") + 1e-9, 4).alias("percentile"))
 
 
 THRESHOLDS = (0.75, 0.60, 0.45)
@@ -222,9 +225,9 @@ def evaluation_buckets(spark, d):
     same = F.element_at(F.split("left_object", "/"), -1) == F.element_at(F.split("right_object", "/"), -1)
     pairs = stored(pairs.withColumns({"distance": distance, "same_address": same}).select("pair_id", "section", "value", "distance", "same_address"), "distances")
     limits = A.order_quartiles(pairs.where("not same_address").withColumn("one", F.lit(1)), ["one"], "distance").select("q1", "q3")
-    share = F.cume_dist().over(Window.partitionBy("section").orderBy("value"))
+    pairs = O.with_places(pairs, ["section"], "value", share=O.UP_TO)
     out = pairs.crossJoin(F.broadcast(limits)).withColumn("bucket", L.distance_bucket(F.col("same_address"), F.col("distance"), F.col("q1"), F.col("q3")))
-    return out.select("pair_id", F.round(F.col("distance") + 1e-9, 4).alias("distance"), "same_address", "bucket", F.round(share + 1e-9, 4).alias("percentile"))
+    return out.select("pair_id", F.round(F.col("distance") + 1e-9, 4).alias("distance"), "same_address", "bucket", F.round(F.col("share") + 1e-9, 4).alias("percentile"))
 
 
 COUNTS = ["texts", "bars", "blank", "chars"]
@@ -260,9 +263,12 @@ def title_score(spark, d):
 
 def title_summary(spark, d):
     """p10, median and p90 of both scores by scope, pair type and section relation."""
-    rows = _title_pairs(spark, d, False).groupBy("scope", "pair_type", "section_relation")
-    parts = [F.round(F.percentile(m, q) + 1e-9, 4).alias(f"{m}_{n}") for m in ("with_size", "no_size") for n, q in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))]
-    return rows.agg(F.count("*").alias("pairs"), *parts)
+    by, names = ["scope", "pair_type", "section_relation"], {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    rows = stored(_title_pairs(spark, d, False).select(*by, "with_size", "no_size"), "title-pairs")
+    out = rows.groupBy(*by).agg(F.count("*").alias("pairs"))
+    for m in ("with_size", "no_size"):
+        out = out.join(O.quantiles(rows, by, m, names).select(*by, *[F.round(F.col(n) + 1e-9, 4).alias(f"{m}_{n}") for n in names]), by)
+    return out
 
 
 def title_nearest(spark, d):

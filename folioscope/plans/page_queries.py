@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators import ordered as O
 from ..operators import pages as G
 from ..operators import provenance as R
+from ..operators import review as V
 from ..storage import dealt_out, stored
 from . import inputs as I
 
@@ -95,6 +97,15 @@ def review_candidates(spark, d):
     return pairs.select(candidate.alias("candidate_id"), "pair_low", "pair_high", F.round(F.col("score") + 1e-9, 4).alias("score"))
 
 
+def review_queue(spark, d):
+    """Nearest pages of other cohorts that are worth a look, as unordered pairs, in the order to be reviewed; labels of quality are reviews."""
+    rows = near_match_evidence(spark, d).where("strength is not null").join(review_candidates(spark, d).select("candidate_id", "pair_low", "pair_high", "score"), (F.least("query", "neighbor") == F.col("pair_low")) & (F.greatest("query", "neighbor") == F.col("pair_high")))
+    one = rows.groupBy("candidate_id", "pair_low", "pair_high", "score").agg(F.max("strength").alias("strength"), F.max("jaccard").alias("jaccard"))
+    labels = I.table(spark, d, "labels").where("quality is not null").groupBy("doc_id").agg(F.max(F.when(F.col("quality") == 1, "accept").otherwise("reject")).alias("review_label"))
+    labels = one.select("candidate_id", F.col("pair_low").alias("doc_id")).join(labels, "doc_id").select("candidate_id", "review_label")
+    return V.queue(one, labels)
+
+
 def top_neighbor_counts(spark, d):
     """Nearest pages by mode, class and exactness."""
     return _classed(spark, d).where("rank = 1").groupBy("mode", "class", "exact").agg(F.count("*").alias("n"))
@@ -108,8 +119,10 @@ def cross_org_unlock(spark, d):
 def neighbor_summary(spark, d):
     """p10, median and p90 of the nearest pages' scores by mode and whether the cohort is the same."""
     kind = F.when(F.col("query_cohort") == F.col("neighbor_cohort"), "within_org").otherwise("cross_org")
-    rows = _neighbors(spark, d).where("rank = 1").groupBy("mode", kind.alias("pair_type"))
-    return rows.agg(F.count("*").alias("pages"), *[F.round(F.percentile("score", q) + 1e-9, 4).alias(n) for n, q in (("p10", 0.1), ("median", 0.5), ("p90", 0.9))])
+    rows = stored(_neighbors(spark, d).where("rank = 1").select("mode", kind.alias("pair_type"), "score"), "nearest-pages")
+    by, names = ["mode", "pair_type"], {"p10": 0.1, "median": 0.5, "p90": 0.9}
+    found = O.quantiles(rows, by, "score", names).select(*by, *[F.round(F.col(n) + 1e-9, 4).alias(n) for n in names])
+    return rows.groupBy(*by).agg(F.count("*").alias("pages")).join(found, by)
 
 
 def _document_pairs(spark, d):
@@ -176,7 +189,7 @@ def provenance_residual(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    html_group_counts, page_signature, near_match_score, near_match_class, near_match_evidence, review_candidates, top_neighbor_counts, cross_org_unlock, neighbor_summary, page_best_match,
+    html_group_counts, page_signature, near_match_score, near_match_class, near_match_evidence, review_candidates, review_queue, top_neighbor_counts, cross_org_unlock, neighbor_summary, page_best_match,
     page_pair_summary, stratified_sample, provenance_assessment, provenance_counts, calibration_summary, provenance_residual,
 )}
 
@@ -254,6 +267,12 @@ ORACLES = {
   case when score < 0.85 then null when rare > 0 and jaccard >= 0.5 then 'rare_text_high_overlap' when rare > 0 and jaccard >= 0.2 then 'rare_text_partial_overlap' end strength from ev"""),
     "review_candidates": _W(_NB, f"""select 'pnmc_v0_' || substr(sha1('page_near_match_candidate_v0|' || lo || '|' || hi), 1, 16) candidate_id, lo pair_low, hi pair_high, {_R4('score')} score from (
   select least("query", neighbor) lo, greatest("query", neighbor) hi, score, "query" q from nb where mode = 'cross_org' and not exact and score >= 0.85) qualify row_number() over (partition by lo, hi order by score desc, q) = 1"""),
+    "review_queue": _W(_TOPX, f"""select candidate_id, lo pair_low, hi pair_high, score, strength, jaccard, coalesce(review_label, '') review_label, case when review_label is null then 'pending' else 'reviewed' end review_status,
+  row_number() over (order by case when strength = 'rare_text_high_overlap' then 0 else 1 end, jaccard desc, score desc, candidate_id) review_rank from (
+  select 'pnmc_v0_' || substr(sha1('page_near_match_candidate_v0|' || lo || '|' || hi), 1, 16) candidate_id, lo, hi, {_R4('max(best)')} score, max(strength) strength, max({_R4('jaccard')}) jaccard from (
+    select least("query", neighbor) lo, greatest("query", neighbor) hi, jaccard, case when rare > 0 and jaccard >= 0.5 then 'rare_text_high_overlap' when rare > 0 and jaccard >= 0.2 then 'rare_text_partial_overlap' end strength from ev where score >= 0.85)
+  join (select least("query", neighbor) lo, greatest("query", neighbor) hi, max(score) best from nb where mode = 'cross_org' and not exact and score >= 0.85 group by 1, 2) using (lo, hi) where strength is not null group by lo, hi)
+  left join (select doc_id, max(case when quality = 1 then 'accept' else 'reject' end) review_label from labels where quality is not null group by 1) on doc_id = lo"""),
     "top_neighbor_counts": _W(_NB, f'select mode, {_CLASS("score")} "class", exact, count(*) n from nb where "rank" = 1 group by all'),
     "cross_org_unlock": _W(_NB, """select query_cohort, count(*) pages, count(distinct query_document) documents from nb where mode = 'cross_org' and "rank" = 1 and not exact and score >= 0.70 group by 1"""),
     "neighbor_summary": _W(_NB, f"""select mode, case when query_cohort = neighbor_cohort then 'within_org' else 'cross_org' end pair_type, count(*) pages, {_R4('quantile_cont(score, 0.1)')} p10, {_R4('quantile_cont(score, 0.5)')} median, {_R4('quantile_cont(score, 0.9)')} p90 from nb where "rank" = 1 group by all"""),

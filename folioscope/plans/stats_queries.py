@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..operators import entities as E
 from ..operators import library as L
+from ..operators import ordered as O
 from ..operators import stats as A
 from ..storage import stored
 from . import form_queries
@@ -76,7 +77,8 @@ def _order_metrics(spark, d):
 
 
 def average_rank(spark, d):
-    return _order_metrics(spark, d).select("o_custkey", "c_mktsegment", A.average_rank(["c_mktsegment"], "n_orders").alias("rank"))
+    rows = stored(_order_metrics(spark, d).select("o_custkey", "c_mktsegment", "n_orders"), "order-metrics")
+    return O.with_places(rows, ["c_mktsegment"], "n_orders", rank=O.AVERAGE_RANK).drop("n_orders")
 
 
 def spearman_matrix(spark, d):
@@ -94,7 +96,7 @@ def _correlations(spark, d):
 
 def bh_q(spark, d):
     """False-discovery q of each nation's p value."""
-    out = A.benjamini_hochberg(_correlations(spark, d).withColumn("all", F.lit(1)), ["all"], "p", "c_nationkey")
+    out = O.false_discovery(stored(_correlations(spark, d).withColumn("all", F.lit(1)), "correlations"), ["all"], "p")
     return out.select("c_nationkey", "p", "q", "significant")
 
 
@@ -127,8 +129,9 @@ def z_distance(spark, d):
 
 
 def midrank_difficulty(spark, d):
-    p = A.midrank_percentile(["c_mktsegment"], "n_orders")
-    return _order_metrics(spark, d).select("o_custkey", F.round(p, 4).alias("difficulty"), A.band(p).alias("band"))
+    rows = stored(_order_metrics(spark, d).select("o_custkey", "c_mktsegment", "n_orders"), "order-metrics")
+    p = F.col("p")
+    return O.with_places(rows, ["c_mktsegment"], "n_orders", p=O.MIDRANK).select("o_custkey", F.round(p, 4).alias("difficulty"), A.band(p).alias("band"))
 
 
 def normalized_entropy(spark, d):

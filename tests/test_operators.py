@@ -11,6 +11,7 @@ from folioscope.operators import frequency as Q
 from folioscope.operators import golden as G
 from folioscope.operators import library as L
 from folioscope.operators import neighbors as N
+from folioscope.operators import ordered as O
 from folioscope.operators import pages as P
 from folioscope.operators import registry as R
 from folioscope.operators import review as V
@@ -79,7 +80,7 @@ def test_entities_of_edge_rows(spark):
 
 def test_ranks_with_ties(spark):
     rows = spark.createDataFrame([("g", 1.0), ("g", 2.0), ("g", 2.0), ("g", 4.0), ("h", 7.0)], "g string, x double")
-    out = rows.select("g", "x", A.average_rank(["g"], "x").alias("r"), A.midrank_percentile(["g"], "x").alias("p")).collect()
+    out = O.with_places(rows, ["g"], "x", r=O.AVERAGE_RANK, p=O.MIDRANK).collect()
     assert sorted((r["g"], r["r"], round(r["p"], 4)) for r in out) == [("g", 1.0, 0.0), ("g", 2.5, 0.5), ("g", 2.5, 0.5), ("g", 4.0, 1.0), ("h", 1.0, 0.5)]
 
 
@@ -111,7 +112,7 @@ def test_order_quartiles(spark):
 
 def test_benjamini_hochberg(spark):
     rows = spark.createDataFrame([(1, 0.01), (2, 0.04), (3, 0.03), (4, 0.5)], "k int, p double").withColumn("g", F.lit(1))
-    out = {r["k"]: r["q"] for r in A.benjamini_hochberg(rows, ["g"], "p", "k").collect()}
+    out = {r["k"]: r["q"] for r in O.false_discovery(rows, ["g"], "p").collect()}
     assert out == {1: 0.04, 3: pytest.approx(0.053333), 2: pytest.approx(0.053333), 4: 0.5}
 
 
