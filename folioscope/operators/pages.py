@@ -70,11 +70,11 @@ def neighbors(pages: DataFrame, mode: str, shortlist: int = 40, top: int = 5) ->
     ranked by the near-match score, exact matches first, then by id. pages: page_id, document, cohort, counts, areas,
     elements, signature.
     """
-    from .neighbors import top_k
+    from .neighbors import nearest
 
     vectors = shortlist_vector(pages)
     cross = mode == "cross_org"
-    listed = top_k(vectors, vectors, shortlist, "page_id", "vector", "cohort", cross, "document").select("query", "neighbor")
+    listed = nearest(vectors, shortlist, "page_id", "vector", "cohort", cross, "document").select("query", "neighbor")
     own = pages.select("signature", F.col("page_id").alias("query"), F.col("document").alias("d"), F.col("cohort").alias("c"))
     other = pages.select("signature", F.col("page_id").alias("neighbor"), F.col("document").alias("od"), F.col("cohort").alias("oc"))
     same = own.join(other, "signature").where("query <> neighbor and d <> od" + (" and c <> oc" if cross else "")).select("query", "neighbor")

@@ -1,5 +1,7 @@
 """Functions and operators on hand-made rows, edge rows included."""
 
+import json
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -206,32 +208,35 @@ def test_remark_depth(spark):
     assert out == [("formatting", "simple_candidate"), ("graphics", "substantial_candidate"), (None, None), ("regulatory", "simple_candidate")] or out[:2] == [("formatting", "simple_candidate"), ("graphics", "substantial_candidate")]
 
 
-def test_golden_anchors():
-    payload = {"a": {"b": [1, 2.5]}, "s": "x", "t": True}
-    anchors = [
-        {"id": 1, "operator": "equal", "json_path": "a.b.0", "expected": 1},
-        {"id": 2, "operator": "equal", "json_path": "a.b.0", "expected": 1.0},
-        {"id": 3, "operator": "approx", "json_path": "a.b.1", "expected": 2.4, "tolerance": 0.2},
-        {"id": 4, "operator": "between", "json_path": "a.b.1", "minimum": 3, "maximum": 4},
-        {"id": 5, "operator": "at_least", "json_path": "t", "minimum": 0},
-        {"id": 6, "operator": "sum_equal", "operands": ["a.b.0", "a.b.1"], "expected": 3.5},
-        {"id": 7, "operator": "difference_at_least", "operands": ["a.b.1", "a.b.0"], "minimum_difference": 2},
-        {"id": 8, "operator": "equal", "json_path": "a.c", "expected": 1},
-    ]
-    assert [r["status"] for r in G.run(anchors, payload)] == ["pass", "fail", "pass", "fail", "error", "pass", "fail", "error"]
+def golden(spark, payload, anchors):
+    """Statuses by anchor of a JSON summary, read as Spark reads it."""
+    rows = spark.read.json(spark.sparkContext.parallelize([json.dumps(payload)]))
+    named = [{"artifact": "summary", **a, "anchor_id": str(k)} for k, a in enumerate(anchors)]
+    got = {r["anchor_id"]: r for r in G.run(spark, named, {"summary": rows}).collect()}
+    return [got[a["anchor_id"]]["status"] for a in named], [got[a["anchor_id"]]["found"] for a in named]
+
+
+def test_golden_anchors(spark):
+    payload = {"a": {"n": 1, "x": 2.5}, "s": "x", "t": True, "big": 2**60 + 1}
+    statuses, found = golden(spark, payload, [
+        {"operator": "equal", "json_path": "a.n", "expected": 1}, {"operator": "equal", "json_path": "a.n", "expected": 1.0}, {"operator": "approx", "json_path": ["a", "x"], "expected": 2.4, "tolerance": 0.2},
+        {"operator": "between", "json_path": "a.x", "minimum": 3, "maximum": 4}, {"operator": "at_least", "json_path": "t", "minimum": 0}, {"operator": "sum_equal", "operands": ["a.n", "a.x"], "expected": 3.5},
+        {"operator": "difference_at_least", "operands": ["a.x", "a.n"], "minimum_difference": 2}, {"operator": "equal", "json_path": "a.c", "expected": 1}, {"operator": "equal", "json_path": "s", "expected": "x"},
+        {"operator": "equal", "json_path": "t", "expected": True}, {"operator": "equal", "json_path": "t", "expected": "true"}, {"operator": "equal", "json_path": "big", "expected": 2**60}, {"operator": "nearly", "json_path": "a.n", "expected": 1},
+        {"operator": "at_least", "json_path": "a.n", "minimum": 1, "artifact": "other"}, {"operator": "at_least", "json_path": "a.n"},
+    ])
+    assert statuses == ["pass", "fail", "pass", "fail", "error", "pass", "fail", "error", "pass", "pass", "fail", "fail", "error", "error", "error"]
+    assert found[5] == "3.5" and found[6] == "1.5" and found[11] == str(2**60 + 1)
 
 
-def test_golden_selectors_and_named_operands():
+def test_golden_filters_and_named_operands(spark):
     payload = {"rows": [{"k": "a", "n": 3, "v": {"x": 1}}, {"k": "b", "n": 3, "v": {"x": 5}}, {"k": "b", "n": 4, "v": {"x": 9}}], "total": 7}
     pick = lambda **where: {"filter": {"list_path": ["rows"], "where": where, "value_path": ["v", "x"]}}
-    anchors = [
-        {"id": 1, "operator": "equal", "expected": 5, **pick(k="b", n=3)},
-        {"id": 2, "operator": "equal", "expected": 5, **pick(k="b")},
-        {"id": 3, "operator": "equal", "expected": 5, **pick(k="z")},
-        {"id": 4, "operator": "sum_equal", "expected": 8, "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": ["total"]}]},
-        {"id": 5, "operator": "sum_equal", "expected": 8.0, "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": ["total"]}]},
-        {"id": 6, "operator": "difference_at_least", "minimum_difference": 6, "left_operand": "t", "right_operand": "a", "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": "total"}]},
-        {"id": 7, "operator": "sum_equal", "expected": 2, "operands": [{"name": "a", **pick(k="a")}, {"name": "a", **pick(k="a")}]},
-        {"id": 8, "operator": "equal", "expected": 1},
-    ]
-    assert [r["status"] for r in G.run(anchors, payload)] == ["pass", "error", "error", "pass", "fail", "pass", "error", "error"]
+    statuses, _ = golden(spark, payload, [
+        {"operator": "equal", "expected": 5, **pick(k="b", n=3)}, {"operator": "equal", "expected": 5, **pick(k="b")}, {"operator": "equal", "expected": 5, **pick(k="z")},
+        {"operator": "sum_equal", "expected": 8, "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": ["total"]}]}, {"operator": "sum_equal", "expected": 8.0, "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": ["total"]}]},
+        {"operator": "difference_at_least", "minimum_difference": 6, "left_operand": "t", "right_operand": "a", "operands": [{"name": "a", **pick(k="a")}, {"name": "t", "json_path": "total"}]},
+        {"operator": "sum_equal", "expected": 2, "operands": [{"name": "a", **pick(k="a")}, {"name": "a", **pick(k="a")}]}, {"operator": "equal", "expected": 1}, {"operator": "equal", "expected": 1, **pick(k="a", n="3")},
+        {"operator": "equal", "expected": 1, "filter": {"list_path": ["total"], "where": {}, "value_path": ["x"]}},
+    ])
+    assert statuses == ["pass", "error", "error", "pass", "fail", "pass", "error", "error", "error", "error"]
