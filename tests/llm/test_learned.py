@@ -202,39 +202,42 @@ def test_neutral_mentions_are_not_toxic():
 
 
 def test_toxicity_training_is_the_plain_gradient():
-    """The same steps with dictionaries and loops."""
+    """The same steps with dictionaries and loops: a round that chooses features, and one that weighs the chosen ones."""
     rng = np.random.default_rng(3)
     rows = [(sorted({f"x{int(v)}".encode() for v in rng.integers(0, 9, 5)} | ({b"muslim"} if k % 4 == 0 else set())), int(k % 3 == 0)) for k in range(40)]
     model = toxicity.train(rows, swap=0.7, epochs=5)
     seen = Counter(f for words, _ in rows for f in {f for w in words for f in toxicity.word_features(w)})
     used = {f for f, n in seen.items() if n >= toxicity.LEAST}
-    vector = lambda words: [f for w in words for f in toxicity.word_features(w) if f in used]
-    docs = [(vector(words), y) for words, y in rows]
-    pairs = [(d, vector(copy)) for d, (words, _) in enumerate(rows) for copy in toxicity.swapped(words)]
-    assert pairs
-    n, ones = len(docs), sum(y for _, y in docs)
-    w, square, b, b_square = dict.fromkeys(used, 0.0), dict.fromkeys(used, 1e-8), math.log((ones + 0.5) / (n - ones + 0.5)), 1e-8
-    for _ in range(5):
-        grad, b_grad = dict.fromkeys(used, 0.0), 0.0
-        for v, y in docs:
-            e = (1 / (1 + math.exp(-(b + sum(w[f] for f in v)))) - y) / n
-            b_grad += e
-            for f in v:
-                grad[f] += e
-        for d, copy in pairs:
-            push = 2 * 0.7 * (sum(w[f] for f in docs[d][0]) - sum(w[f] for f in copy)) / n
-            for f in docs[d][0]:
-                grad[f] += push
-            for f in copy:
-                grad[f] -= push
-        for f in used:
-            square[f] += grad[f] ** 2
-            step = toxicity.RATE / math.sqrt(square[f])
-            moved = w[f] - step * grad[f]
-            w[f] = math.copysign(max(abs(moved) - step * toxicity.L1, 0.0), moved)
-        b_square += b_grad**2
-        b -= toxicity.RATE * 0.2 * b_grad / math.sqrt(b_square)
-    assert model.constant == pytest.approx(b) and set(model.weights) == {f for f in used if w[f] != 0}
+    every = len(used)
+    for pull in (toxicity.CHOOSING, toxicity.WEIGHING):
+        vector = lambda words: [f for w in words for f in toxicity.word_features(w) if f in used]  # noqa: B023, E731
+        docs = [(vector(words), y) for words, y in rows]
+        pairs = [(d, vector(copy)) for d, (words, _) in enumerate(rows) for copy in toxicity.swapped(words)]
+        assert pairs
+        n, ones = len(docs), sum(y for _, y in docs)
+        w, square, b, b_square = dict.fromkeys(used, 0.0), dict.fromkeys(used, 1e-8), math.log((ones + 0.5) / (n - ones + 0.5)), 1e-8
+        for _ in range(5):
+            grad, b_grad = dict.fromkeys(used, 0.0), 0.0
+            for v, y in docs:
+                e = (1 / (1 + math.exp(-(b + sum(w[f] for f in v)))) - y) / n
+                b_grad += e
+                for f in v:
+                    grad[f] += e
+            for d, copy in pairs:
+                push = 2 * 0.7 * (sum(w[f] for f in docs[d][0]) - sum(w[f] for f in copy)) / n
+                for f in docs[d][0]:
+                    grad[f] += push
+                for f in copy:
+                    grad[f] -= push
+            for f in used:
+                square[f] += grad[f] ** 2
+                step = toxicity.RATE / math.sqrt(square[f])
+                moved = w[f] - step * grad[f]
+                w[f] = math.copysign(max(abs(moved) - step * pull, 0.0), moved)
+            b_square += b_grad**2
+            b -= toxicity.RATE * 0.2 * b_grad / math.sqrt(b_square)
+        used = {f for f in used if w[f] != 0}
+    assert model.constant == pytest.approx(b) and set(model.weights) == used and len(used) <= every
     assert all(model.weights[f] == pytest.approx(w[f]) for f in model.weights)
 
 
