@@ -127,12 +127,6 @@ def retention_medians(spark, d):
     return _cell_orgs(spark, d)
 
 
-def cell_transfer(spark, d):
-    """Cells by their medians of same- and cross-organisation pairs: what the structural and the content channel speak for."""
-    rows = _channels(spark, d).withColumn("relation", F.when(F.col("left_org") == F.col("right_org"), "same_org").otherwise("cross_org"))
-    return L.assess(L.cell_medians(rows, list(CHANNELS)), ["style"], ["shingle", "strong"])
-
-
 def cell_summary(spark, d):
     """The median of the cells' medians."""
     rows = _channels(spark, d).withColumn("relation", F.when(F.col("left_org") == F.col("right_org"), "same_org").otherwise("cross_org"))
@@ -281,7 +275,7 @@ def nearest_counts(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    org_similarity_summary, separation_gap, cross_neighbors, top_pairs, section_percentile, clusters, cluster_summary, cluster_medians, pair_explanations, retention_medians, cell_transfer, cell_summary,
+    org_similarity_summary, separation_gap, cross_neighbors, top_pairs, section_percentile, clusters, cluster_summary, cluster_medians, pair_explanations, retention_medians, cell_summary,
     temporal_handoff, org_matrix, typed_edges, typed_components, core_attachments, tail_edges, evaluation_buckets, title_profiles, title_score, title_summary, title_nearest, nearest_counts,
 )}
 
@@ -392,9 +386,6 @@ from (select * from clu where threshold = {THRESHOLDS[-1]}) l join (select compo
 join (select * from clu where threshold = {THRESHOLDS[-1]}) r using (component_id) join sco s on s.left_doc = l.member and s.right_doc = r.member where size > 1 group by component_id""",
     "pair_explanations": _W(_SC, """select left_doc, right_doc, l.seg_no left_seg, r.seg_no right_seg, sha1(l.normalized) entity_hash from sco join norm l on l.doc_id = left_doc join norm r on r.doc_id = right_doc and l.normalized = r.normalized where "value" >= 0.3 and left_org <> right_org"""),
     "retention_medians": _W(_CO, "select * from se"),
-    "cell_transfer": _W(_CELLS, f"""select *, case when not sufficient then 'insufficient' when structural_transfer = 'transfer' and content_transfer = 'transfer' then 'transfer_both' when structural_transfer = 'transfer' then 'structure_led' when content_transfer = 'transfer' then 'content_led'
-  when structural_transfer = 'org_bound' and content_transfer = 'org_bound' then 'org_bound' else 'mixed_partial' end transfer from (
-  select *, same_org_pairs >= 3 and cross_org_pairs >= 3 sufficient, {_channel_sql(['style'])} structural_transfer, {_channel_sql(['shingle', 'strong'])} content_transfer from cm where comparison_status = 'matched_same_and_cross')"""),
     "cell_summary": _W(_CELLS, "select count(*) cells, sum(same_org_pairs)::bigint same_org_pairs, sum(cross_org_pairs)::bigint cross_org_pairs, " + ", ".join(f"{_R4(f'median({n}_{c})')} {n}_{c}" for c in CHANNELS for n in ("same_org", "cross_org", "cross_minus_same")) + " from cm where comparison_status = 'matched_same_and_cross'"),
     "temporal_handoff": "with " + _ACT + " select * from act",
     "org_matrix": _W(_MX, "select * from mx"),

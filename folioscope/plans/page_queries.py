@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..operators import cells as L
 from ..operators import ordered as O
 from ..operators import pages as G
 from ..operators import provenance as R
@@ -188,8 +189,52 @@ def provenance_residual(spark, d):
     return R.residual(R.in_bands(rows, bands, "cohort", METRICS), ["cohort"], "score")
 
 
+THIRD_PARTY = ["structural", "segments", "shingles"]
+TRANSFER = {"style": "style", "near": "structural_mean", "shingles": "residual_shingles_mean", "strong": "residual_strong_share"}
+
+
+def _residuals(spark, d):
+    """Pairs of hosts under one domain (the cell), without the page matches that third parties explain.
+
+    A host's first label is its organisation. Equal pages are a normative form, pages of mostly the same words shared
+    technical content; every domain's bands are the minima of its labelled matches.
+    """
+    pairs = _document_pairs(spark, d)
+    label = F.when(F.col("exact"), "normative_form").when(F.col("shingles") >= 0.5, "shared_technical_content")
+    matches = stored(_pair_matches(spark, d).join(pairs.select("pair_id", "domain"), "pair_id").withColumn("label", label), "pair-matches")
+    bands = matches.where("label is not null").groupBy(F.col("domain").alias("section"), "label").agg(*[F.min(m).alias(f"min_{m}") for m in THIRD_PARTY])
+    org = lambda c: F.split(c, r"\.")[0]
+    relation = F.when(org("left_document") == org("right_document"), "same_org").otherwise("cross_org")
+    keys = pairs.select("pair_id", F.col("domain").alias("cell"), relation.alias("relation"), "left_document", "right_document")
+    return keys.join(R.pair_residual(R.in_bands(matches, bands, "domain", THIRD_PARTY)), "pair_id")
+
+
+def pair_residuals(spark, d):
+    return _residuals(spark, d)
+
+
+def residual_headlines(spark, d):
+    """Medians by cell and relation before and after third parties' matches are taken out."""
+    return R.relation_headlines(stored(_residuals(spark, d), "residuals"), ["cell", "relation"])
+
+
+def cell_transfer(spark, d):
+    """Domains by their pairs of hosts of one and of two organisations: what style and near pages, and what residual texts, speak for.
+
+    Style is the likeness of the hosts' shares of tags.
+    """
+    tags = stored(_pages(spark, d), "pages").select("document", F.posexplode("counts").alias("k", "n")).groupBy("document", "k").agg(F.sum("n").alias("n"))
+    tags = tags.groupBy("document").agg(S.shares(F.transform(F.array_sort(F.collect_list(F.struct("k", "n"))), lambda x: x["n"])).alias("tags"))
+    rows = _residuals(spark, d)
+    for side in ("left", "right"):
+        rows = rows.join(tags.select(F.col("document").alias(f"{side}_document"), F.col("tags").alias(f"{side}_tags")), f"{side}_document")
+    rows = rows.withColumn("style", F.round(S.composition_similarity(F.col("left_tags"), F.col("right_tags")) + 1e-9, 4))
+    rows = rows.select("cell", "relation", *[F.col(c).alias(k) for k, c in TRANSFER.items()])
+    return L.assess(L.cell_medians(rows, list(TRANSFER)), ["style", "near"], ["shingles", "strong"])
+
+
 QUERIES = {f.__name__: f for f in (
-    html_group_counts, page_signature, near_match_score, near_match_class, near_match_evidence, review_candidates, review_queue, top_neighbor_counts, cross_org_unlock, neighbor_summary, page_best_match,
+    pair_residuals, residual_headlines, cell_transfer, html_group_counts, page_signature, near_match_score, near_match_class, near_match_evidence, review_candidates, review_queue, top_neighbor_counts, cross_org_unlock, neighbor_summary, page_best_match,
     page_pair_summary, stratified_sample, provenance_assessment, provenance_counts, calibration_summary, provenance_residual,
 )}
 
@@ -257,7 +302,48 @@ fu as (
   from st left join s1 using ("query", neighbor) left join s2 using ("query", neighbor) left join tn x on x.page_id = "query" left join tn y on y.page_id = neighbor left join sn z on z.page_id = "query" left join sn w on w.page_id = neighbor),
 bm as (select * from fu qualify row_number() over (partition by pair_id, direction, "query" order by shingles desc, segments desc, exact desc, neighbor) = 1)"""
 
+_RES = _BEST + """,
+bl as (select bm.*, regexp_extract(split_part(pair_id, '__', 1), '(example\\.\\w+)$', 1) cell, case when exact then 'normative_form' when shingles >= 0.5 then 'shared_technical_content' end "label" from bm),
+bb as (select cell, "label" l, min(structural) m1, min(segments) m2, min(shingles) m3 from bl where "label" is not null group by 1, 2),
+bx as (select bl.*, (select min(l) from bb where bb.cell = bl.cell and bl.structural >= m1 and bl.segments >= m2 and bl.shingles >= m3) band from bl),
+bz as (select pair_id, string_agg(band || ':' || n, '|' order by band) excluded_labels from (select pair_id, band, count(*) n from bx where band is not null group by 1, 2) group by 1),
+res as (
+  select pair_id, any_value(cell) cell, case when split_part(split_part(pair_id, '__', 1), '.', 1) = split_part(split_part(pair_id, '__', 2), '.', 1) then 'same_org' else 'cross_org' end relation, split_part(pair_id, '__', 1) left_document, split_part(pair_id, '__', 2) right_document,
+    count(*) matches, count(*) filter (band is not null) excluded, count(*) filter (band is null) residual_matches, """ + _R4("avg(structural)") + " structural_mean, " + ", ".join(
+    f"{_R4(f'{f}({c}) filter (band is null)')} residual_{c}_{n}" for c in ("structural", "shingles", "segments") for n, f in (("mean", "avg"), ("median", "median"))
+) + ", " + ", ".join(f"{_R4(f'avg(({c})::int::double) filter (band is null)')} residual_{n}_share" for n, c in (("exact", "exact"), ("strong", "structural >= 0.85"), ("moderate", "structural >= 0.70"))) + """,
+    coalesce(any_value(excluded_labels), '') excluded_labels, """ + _R4("count(*) filter (band is not null) / count(*)") + """ excluded_share,
+    case when count(*) filter (band is null) = 0 then 'all_excluded' when count(*) filter (band is not null) = 0 then 'measured_no_exclusions' else 'measured_exclusions_applied' end residual_status
+  from bx left join bz using (pair_id) group by pair_id)"""
+
+
+def _cell_sql() -> str:
+    """Cells' medians by relation, as cm, and their channels, after res."""
+    stats = ", ".join(f"median({c}) filter (relation = '{r}_org') {r}_{k}" for k, c in TRANSFER.items() for r in ("same", "cross"))
+    shown = ", ".join(
+        f"{_R4(f'same_{k}')} same_org_{k}, {_R4(f'cross_{k}')} cross_org_{k}, round(cross_{k} - same_{k}, 4) cross_minus_same_{k}, {_R4(f'case when same_{k} <> 0 then cross_{k} / same_{k} end')} cross_to_same_{k}" for k in TRANSFER
+    )
+    return f"""tg as (select document, list_transform(range(1, {_N + 1}), lambda k: list_sum(list_transform(cs, lambda c: c[k]))) t from (select document, list(c) cs from pa group by 1)),
+th as (select document, list_transform(t, lambda x: coalesce(x / nullif(list_sum(t), 0), 0)) s from tg),
+rt as (
+  select res.*, {_R4('list_sum(list_transform(range(1, ' + str(_N + 1) + '), lambda k: least(l.s[k], r.s[k])))')} as "style"
+  from res join th l on l.document = left_document join th r on r.document = right_document),
+c0 as (select cell, count(*) filter (relation = 'same_org') same_org_pairs, count(*) filter (relation = 'cross_org') cross_org_pairs, {stats} from rt group by 1),
+cm as (select cell, same_org_pairs, cross_org_pairs, 'matched_same_and_cross' comparison_status, {shown} from c0 where same_org_pairs > 0 and cross_org_pairs > 0)"""
+
+
+def _channel(names: list[str]) -> str:
+    known = [f"coalesce(cross_to_same_{k}, 0)" for k in names]
+    return f"case when {' and '.join(f'{x} >= 0.75' for x in known)} then 'transfer' when {' or '.join(f'{x} >= 0.75' for x in known)} or ({' and '.join(f'{x} >= 0.40' for x in known)}) then 'partial' else 'org_bound' end"
+
+
 ORACLES = {
+    "pair_residuals": _W(_RES, "select * from res"),
+    "residual_headlines": _W(_RES, "select cell, relation, count(*) pairs, count(*) filter (excluded > 0) affected, count(*) filter (residual_status = 'all_excluded') all_excluded, sum(excluded)::bigint excluded_matches, "
+        + ", ".join(f"{_R4(f'median({c})')} {c}" for c in ("structural_mean", "residual_structural_mean", "residual_shingles_mean", "residual_strong_share")) + " from res group by 1, 2"),
+    "cell_transfer": _W(_RES + ",\n" + _cell_sql(), f"""select *, case when not sufficient then 'insufficient' when structural_transfer = 'transfer' and content_transfer = 'transfer' then 'transfer_both' when structural_transfer = 'transfer' then 'structure_led'
+  when content_transfer = 'transfer' then 'content_led' when structural_transfer = 'org_bound' and content_transfer = 'org_bound' then 'org_bound' else 'mixed_partial' end transfer from (
+  select *, same_org_pairs >= 3 and cross_org_pairs >= 3 sufficient, {_channel(['style', 'near'])} structural_transfer, {_channel(['shingles', 'strong'])} content_transfer from cm)"""),
     "html_group_counts": _W(_PG, "select page_id, " + ", ".join(f"c[{k + 1}]::bigint n_{g}" for k, g in enumerate([*GROUPS, "other"])) + ", " + ", ".join(f"a[{k + 1}]::bigint area_{g}" for k, g in enumerate(GROUPS)) + ", e::bigint elements from pa"),
     "page_signature": _W(_PG, "select page_id, document, cohort, s signature from pa"),
     "near_match_score": _W(_NB, f'select mode, "query", "rank", neighbor, exact, {_R4("near_match_similarity")} near_match_similarity, ' + ", ".join(f"{_R4(k)} {k}" for k in G.NEAR_WEIGHTS) + " from nb"),
