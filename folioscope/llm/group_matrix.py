@@ -18,11 +18,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from .graph import components
 from .shared import WordHashes, delete, drop_stored, free_shuffles, lean, mix, new_path, small_or_shuffled, space_words, stored
@@ -449,14 +449,17 @@ def first_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     untouched = docs.join(concerned, same_id, "left_anti").select(*[docs[c] for c in docs.columns])
     touched = docs.join(concerned, same_id, "left_semi").select(F.struct(*[docs[c] for c in docs.columns]).alias("row"))
 
-    @F.pandas_udf("bigint")
-    def key(texts: pd.Series) -> pd.Series:
-        hashes = WordHashes()
-        sets = (shingles(space_words(x.encode() if isinstance(x, str) else None, lower=True), hashes) for x in texts)
-        return pd.Series([set_key(t) if len(t) else None for t in sets], dtype="Int64")
-
-    touched = touched.withColumn("sk", key(F.col("row").getField(text_col).cast("string")))
-    touched = touched.withColumn("doc_id", F.col("row").getField(id_col).cast("bigint"))
+    def with_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = WordHashes(most=300_000)
+        for batch in batches:
+            keys = []
+            for x in batch.column(0).field(text_col).cast(pa.string()):  # a text at a time, as bytes
+                tokens = shingles(space_words(x.as_buffer().to_pybytes() if x.is_valid else None, lower=True), hashes)
+                keys.append(set_key(tokens) if len(tokens) else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.int64())], names=["row", "doc_id", "sk"])
+
+    touched = touched.select("row", F.col("row").getField(id_col).cast("bigint").alias("doc_id"))
+    touched = touched.mapInArrow(lean(with_class), StructType([*touched.schema.fields, StructField("sk", LongType())]))
     out_of = small_or_shuffled(gone.select(F.col("doc_id").alias("_id"), F.col("sk").alias("_sk")))
     left = touched.join(out_of, touched["doc_id"].eqNullSafe(out_of["_id"]) & (touched["sk"] == out_of["_sk"]), "left_anti")
     again = left.where("sk is not null").dropDuplicates(["doc_id", "sk"]).unionByName(left.where("sk is null"))
