@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stored
+from ..storage import drop, stored
 
 
 def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -18,7 +18,9 @@ def components(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
         new = labels.join(near, "member").select("member", F.least("comp", "near").alias("comp"), F.col("comp").alias("old"))
         up = labels.select(F.col("member").alias("comp"), F.col("comp").alias("up"))
         new = stored(new.join(up, "comp").select("member", F.least("comp", "up").alias("comp"), "old"), "labels")
+        drop(labels)
         if new.where("comp <> old").isEmpty():
+            drop(both)
             break
         labels = new.select("member", "comp")
     out = new.select("member", F.col("comp").alias("component_id"))

@@ -76,7 +76,7 @@ REASONS = [
     ("заявление", r"^в\s+гбу([\s._-]|$)"),
     ("ноприз", r"^стройразвитие\s+проект\.*(\.pdf)?$"),
     ("техническое задание", r"^жуковский\b.*\b\d+\.\d+\b"),
-    ("решение о смене названия", r"смена[ _]*названия"),
+    ("решение о смене названия", "[ _]*".join("сменаназвания")),  # spaces and underscores anywhere don't count
     ("обследование", r"(?<![0-9a-zа-яё])обсл([.\s_-]|$)"),
     ("шахматка отказов", r"шахматк"),
     ("технический паспорт мкд", r"технический паспорт мкд"),

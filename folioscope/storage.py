@@ -35,6 +35,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop(*frames: DataFrame) -> None:
+    """Delete the files of frames that stored() gave, once nothing that is still to run reads them."""
+    for df in frames:
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            for path in [p for p in _written.get(spark, ()) if p.rpartition("/")[2] == folder.rpartition("/")[2]]:
+                p = spark._jvm.org.apache.hadoop.fs.Path(path)
+                p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+                _written[spark].remove(path)
+
+
 def _release(ref) -> None:
     spark = ref()
     try:
