@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import golden as K
 from ..operators import registry as R
 from ..operators import review as V
 from . import inputs as I
@@ -149,7 +150,7 @@ def event_windows(spark, d):
     return I.table(spark, d, "events").groupBy(F.date_format(F.window("ts", "1 day")["start"], "yyyy-MM-dd").alias("day"), "event_type").agg(F.count("*").alias("events"), F.round(F.sum(F.col("value").cast("decimal(18,2)")).cast("double"), 2).alias("total"))
 
 
-def flagship_priority(spark, d):
+def register_agreement(spark, d):
     """Registers in agreement: each nation's customers and suppliers, and whether both are there."""
     c = I.table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.count("*").alias("customers"))
     s = I.table(spark, d, "supplier").groupBy(F.col("s_nationkey").alias("nation")).agg(F.count("*").alias("suppliers"))
@@ -157,11 +158,35 @@ def flagship_priority(spark, d):
     return c.join(s, "nation", "full_outer").select("nation", F.coalesce("customers", F.lit(0)).alias("customers"), F.coalesce("suppliers", F.lit(0)).alias("suppliers"), status.alias("status"))
 
 
+#: Anchors of the summary of orders, one for each operator and two that are errors.
+ANCHORS = [
+    {"anchor_id": "orders_floor", "artifact": "orders", "json_path": ["orders"], "operator": "at_least", "minimum": 1},
+    {"anchor_id": "open_share", "artifact": "orders", "filter": {"list_path": ["by_status"], "where": {"status": "O"}, "value_path": ["share"]}, "operator": "between", "minimum": 0.2, "maximum": 0.6},
+    {"anchor_id": "done_share", "artifact": "orders", "filter": {"list_path": ["by_status"], "where": {"status": "F"}, "value_path": ["share"]}, "operator": "approx", "expected": 0.33, "tolerance": 0.02},
+    {"anchor_id": "kind_of_count", "artifact": "orders", "json_path": ["orders"], "operator": "equal", "expected": 1.0},
+    {"anchor_id": "no_order_without_status", "artifact": "orders", "operands": [{"name": "nameless", "json_path": ["nameless"]}], "operator": "sum_equal", "expected": 0},
+    {"anchor_id": "orders_over_customers", "artifact": "orders", "operands": ["orders", "customers"], "operator": "difference_at_least", "minimum_difference": 0},
+    {"anchor_id": "no_such_status", "artifact": "orders", "filter": {"list_path": ["by_status"], "where": {"status": "Z"}, "value_path": ["share"]}, "operator": "at_least", "minimum": 0},
+    {"anchor_id": "text_is_no_number", "artifact": "orders", "json_path": ["commonest"], "operator": "at_least", "minimum": 0},
+]
+
+
+def golden_checks(spark, d):
+    """Anchors held against a summary of all orders."""
+    o = I.table(spark, d, "orders")
+    by = o.groupBy(F.col("o_orderstatus").alias("status")).agg(F.count("*").alias("n"))
+    total = o.agg(F.count("*").alias("orders"), F.countDistinct("o_custkey").alias("customers"), F.count_if(F.col("o_orderstatus").isNull()).alias("nameless"))
+    listed = by.crossJoin(F.broadcast(total)).groupBy("orders", "customers", "nameless").agg(  # a row a status
+        F.array_sort(F.collect_list(F.struct("status", "n", (F.col("n") / F.col("orders")).alias("share")))).alias("by_status"), F.min(F.struct((-F.col("n")).alias("n"), "status"))["status"].alias("commonest")
+    )
+    return K.run(spark, ANCHORS, {"orders": listed}).select("anchor_id", "operator", "status")
+
+
 QUERIES = {f.__name__: f for f in (
+    golden_checks,
     linkage, priority_pick, alias_resolution, name_variants, eligible_cells, selection_dedup, reconcile, label_upsert, file_selection, resume_filter, review_records, sessions, expert_variance,
-    remark_categories, remark_recurrence, recall_pivot, confusion, quarter_activity, quality_counts, mismatch_list, forbidden_names, event_windows, flagship_priority,
+    remark_categories, remark_recurrence, recall_pivot, confusion, quarter_activity, quality_counts, mismatch_list, forbidden_names, event_windows, register_agreement,
 )}
-QUERIES["register_agreement"] = QUERIES.pop("flagship_priority")
 
 _W = I.with_
 _SESS = """ev as (select user_id, strftime(ts::date, '%Y-%m-%d') "day", (props->>'$.k')::int object_id, event_type in ('purchase', 'signup') clean, event_type = 'error' remark from events),
@@ -182,6 +207,12 @@ rmd as (
   select *, case when list_has_any(kinds, """ + _NAMES(V.ENGINEERING) + """) and (w >= 25 or len(kinds) >= 2) then 'substantial_candidate' when len(list_filter(kinds, lambda x: not list_contains(""" + _NAMES(V.SIMPLE) + """, x))) = 0 and w <= 22 then 'simple_candidate' else 'review_needed' end depth_class from rm)"""
 
 ORACLES = {
+    "golden_checks": """with o as (select count(*) n, count(distinct o_custkey) c, count(*) filter (o_orderstatus is null) z, count(*) filter (o_orderstatus = 'O') / count(*) so, count(*) filter (o_orderstatus = 'F') / count(*) sf from orders),
+t(anchor_id, operator, ok) as (
+  select 'orders_floor', 'at_least', n >= 1 from o union all select 'open_share', 'between', so between 0.2 and 0.6 from o union all select 'done_share', 'approx', abs(sf - 0.33) <= 0.02 from o
+  union all select 'kind_of_count', 'equal', false union all select 'no_order_without_status', 'sum_equal', z = 0 from o union all select 'orders_over_customers', 'difference_at_least', n - c >= 0 from o
+  union all select 'no_such_status', 'at_least', null union all select 'text_is_no_number', 'at_least', null)
+select anchor_id, operator, case when ok then 'pass' when not ok then 'fail' else 'error' end status from t""",
     "linkage": """with x as (select doc_id, sha1(text) content from documents), s as (select content, doc_id source_doc, count(*) over (partition by content) n from x where doc_id % 2 = 0),
 e as (select content, doc_id export_doc, count(*) over (partition by content) n from x where doc_id % 2 = 1)
 select content, source_doc, export_doc, case when s.n is null then 'export_only' when e.n is null then 'source_only' else 'matched' end link_status, coalesce(s.n, 0) source_match_count, coalesce(e.n, 0) export_match_count from s full outer join e using (content)""",
