@@ -176,7 +176,8 @@ def parties(pages: DataFrame, lines: DataFrame) -> DataFrame:
     pages: doc_id, page of the title zones; lines: those of visual_lines(). A party without lines has neither name.
     """
     groups = party_groups(pages)
-    rows = lines.join(groups, ["doc_id", "page"])
+    # stored lines take far less room than they do in memory: a plan that goes by their files' size would broadcast them
+    rows = lines.hint("merge").join(groups, ["doc_id", "page"])
     found = groups.groupBy("doc_id", "party", "groups", "zone_pages").agg(F.array_join(F.array_sort(F.collect_list("page")).cast("array<string>"), ";").alias("title_pages"))
     for side, names in ((organizations(rows), ("organization", "organization_key", "organization_evidence")), (people(rows), ("person", "surname", "initials"))):
         kind = names[0]

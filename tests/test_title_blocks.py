@@ -173,3 +173,12 @@ def test_query_is_the_plain_one(spark):
     got = {(r["doc_id"], r["party"]): (r["organization_key"], r["organization_count"], r["surname"], r["person_count"], r["confidence"], r["role"], r["effective_author"]) for r in Q.title_parties(spark, d).collect()}
     want = plain_parties({doc: [x[0] for x in rows] for doc, rows in lines.items()}, lines)
     assert got == want and {x[4] for x in got.values()} == {"high", "medium", "low"}
+
+
+def test_stored_lines_are_not_broadcast(spark):
+    from folioscope.storage import stored
+
+    lines = stored(spark.range(1000).selectExpr("id doc_id", "1 page", "id y", "'ООО «Альфа»' text", "'ооо «альфа»' normalized"), "lines")
+    pages = stored(spark.range(1000).selectExpr("id doc_id", "1 page"), "pages")
+    plan = B.parties(pages, lines)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"SortMergeJoin \[doc_id#\d+L?, page#\d+\]", plan) and not re.search(r"BroadcastHashJoin \[doc_id#\d+L?, page#\d+\]", plan)
