@@ -40,6 +40,12 @@ def test_z_distance_has_every_pair(spark, tables):
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=6e-5) for k in want)
 
 
+def test_z_distance_is_dealt_out_whatever_the_size_of_its_table(spark, tables):
+    d = tables(part=("p_partkey bigint, p_brand string, p_type string, p_size int, p_retailprice double", [(k, "b", "t", k % 5, 1.0) for k in range(1200)]))
+    out = registry.QUERIES["z_distance"](spark, d)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions")) and out.count() == 1200 * 1199 // 2
+
+
 def test_signatures_cover_every_line(spark, tables):
     rows = [(1, "en", "s", "a b\nc\nd\nE  f"), (2, "en", "s", "a b\nc\nd\ng"), (3, "en", "s", "a")]
     d = tables(documents=("doc_id bigint, lang string, source string, text string", rows))
