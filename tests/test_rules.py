@@ -241,3 +241,8 @@ def test_erfc_is_used_without_python(spark):
 
     plan = spark.range(3).select(A.p_value(F.rand(), F.lit(9)))._jdf.queryExecution().toString()
     assert "Python" not in plan and math.isclose(spark.range(1).select(A.erfc(F.lit(0.5))).first()[0], math.erfc(0.5), rel_tol=1e-13)
+
+
+def test_a_number_is_no_legal_form(spark):
+    forms = ["АО «Проект 6000»", "«Проект 10005»", "000 «Проект 1000»", "АО1 Х"]
+    assert [r[0] for r in spark.createDataFrame([(x,) for x in forms], "x string").select(T.legal_form(F.col("x"))).collect()] == ["АО", "", "ООО", ""]
