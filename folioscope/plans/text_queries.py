@@ -34,15 +34,17 @@ def stable_ids(spark, d):
 
 
 def section_df_idf(spark, d):
-    return I.counted(spark, d)[1]
+    return I.frequency(spark, d, T.binary_hash).withColumn("entity_hash", T.hex_of(F.col("entity_hash")))
 
 
 def global_df_idf(spark, d):
-    return I.counted(spark, d)[1].select("entity_kind", "entity_hash", "global_df", "global_df_ratio", "global_idf").distinct()
+    """An entity's row of each section says the same of all; rows of an entity are in one place, so the first of them is taken there."""
+    rows = I.frequency(spark, d, T.binary_hash).groupBy("entity_kind", "entity_hash").agg(*[F.max(c).alias(c) for c in ("global_df", "global_df_ratio", "global_idf")])
+    return rows.withColumn("entity_hash", T.hex_of(F.col("entity_hash")))
 
 
 def frequency_bucket(spark, d):
-    return I.counted(spark, d, I.short_hash)[1].groupBy("section", "entity_kind", "frequency_bucket").agg(F.count("*").alias("entities"), F.sum("occurrence_count").alias("occurrences"))
+    return I.frequency(spark, d, I.short_hash).groupBy("section", "entity_kind", "frequency_bucket").agg(F.count("*").alias("entities"), F.sum("occurrence_count").alias("occurrences"))
 
 
 def section_typicality(spark, d):

@@ -69,3 +69,16 @@ def test_entry_stands_without(missing):
     assert ran.returncode == 0, ran.stderr[-2000:]
     queries, oracles = map(int, ran.stdout.split())
     assert queries >= len(registry.QUERIES) and oracles >= len(registry.ORACLES)
+
+
+def test_entities_of_a_document_are_not_shuffled_again(spark, tmp_path):
+    """One shuffle for the texts and one for the frequency, by kind and hash; before, one for each kind's counts and three more."""
+    import re
+
+    from folioscope.plans import inputs as I
+
+    spark.createDataFrame([(k, "en", "s", f"a b c d e f{k}\nx|y") for k in range(9)], "doc_id bigint, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = I.frequency(spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    keys = set(re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan))
+    wide = [k for k in keys if "entity_hash" in k]
+    assert len(wide) == 1 and "doc_id" not in wide[0] and "section" not in wide[0]
