@@ -62,3 +62,57 @@ def test_text_entities_are_segments_and_their_shingles(spark):
         want.update([("text_segment", n)] if n else [])
         want.update(("text_word_shingle", " ".join(w[i : i + 5])) for i in range(len(w) - 4))
     assert got == want
+
+
+def coverage_both_ways(spark, d):
+    from folioscope.operators import library as L
+    from folioscope.plans import stats_queries as S
+
+    rows, found = S._text_library(spark, d)
+    docs = I.table_docs(spark, d)
+    plain = L.coverage(docs, rows, found, S.TEXT_KINDS)
+    lean = L.text_coverage(docs, I.whole_docs(spark, d), S.TEXT_KINDS)
+    assert plain.dtypes == lean.dtypes
+    return [sorted(map(tuple, x.collect()), key=repr) for x in (plain, lean)]
+
+
+def test_coverage_by_numbers_is_coverage(spark, corpus):
+    plain, lean = coverage_both_ways(spark, corpus)
+    assert plain == lean and sum(r[lean_at(spark, "candidates")] for r in lean) > 100
+
+
+def lean_at(spark, name):
+    from folioscope.operators import library as L
+    from folioscope.plans import stats_queries as S
+
+    empty = spark.createDataFrame([], "doc_id bigint, section string, object_id string, org string, text string")
+    return L.text_coverage(empty, empty, S.TEXT_KINDS).columns.index(name)
+
+
+def test_coverage_of_odd_documents(spark, tmp_path):
+    """Ids twice, with another source or language; no source, no language, no text; sources that are no organisation."""
+    rows = [(k % 25, ("en", "fr", None)[k % 3 if k % 5 else 2], (None, "", "UNKNOWN", "src1", "src2")[k % 5], None if k % 11 == 0 else f"{line(k % 3)}\n{line(k % 4)}\nhi\nab {k % 2}") for k in range(60)]
+    spark.createDataFrame(rows, DOCS).coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    plain, lean = coverage_both_ways(spark, str(tmp_path))
+    assert plain == lean
+
+
+def test_what_does_not_recur_goes_no_further(spark):
+    from folioscope.operators import library as L
+
+    rows = [(1, 10, 1, 0), (1, 11, 2, 0), (1, 11, 2, 0), (2, 10, 1, 0), (2, 11, 2, 0), (3, 10, 1, 1), (3, 10, 4, 1), (3, 10, 5, 1), (4, 10, 1, 2)]
+    got = L.recurring(spark.createDataFrame(rows, "code bigint, who bigint, doc_id bigint, kind tinyint"), 3, 4).collect()
+    assert {tuple(r) for r in got} == {(1, 10, 1, 0, 1), (1, 11, 2, 0, 2)}
+
+
+def test_coverage_queries_store_no_row_of_every_entity(spark, corpus, monkeypatch):
+    from folioscope.operators import library as L
+    from folioscope.plans import stats_queries as S
+
+    sizes = {}
+    put = L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: sizes.setdefault(name, put(df, name)))
+    monkeypatch.setattr(S, "stored", lambda df, name: sizes.setdefault(name, put(df, name)))
+    S.coverage_report(spark, corpus).count()
+    every = E.measured_entities(E.segments(I.whole_docs(spark, corpus)), T.binary_hash).count()
+    assert all(df.count() < every for df in sizes.values())
