@@ -32,9 +32,26 @@ def from_cells(cells: DataFrame) -> DataFrame:
     by = ["doc_id", "section", "object_id", "org", "table_id"]
     said = F.collect_list(F.when(F.col("text") != "", F.struct("row", "col", "text")))
     out = cells.groupBy(*by).agg(F.countDistinct("row").alias("rows"), F.countDistinct("col").alias("cols"), F.count("*").alias("cells"), F.array_sort(said).alias("said"))
+    return out.select(*by, "rows", "cols", "cells", *_signed())
+
+
+def _signed() -> list[Column]:
+    """layout and content of rows, cols, cells and said."""
     size = F.concat_ws("|", *[F.concat(F.lit(f"{c}:"), F.col(c)) for c in ("rows", "cols", "cells")])
     lines = F.array_join(F.transform("said", lambda x: F.concat_ws(":", x["row"], x["col"], x["text"])), "\n")
-    return out.select(*by, "rows", "cols", "cells", text_hash(size).alias("layout"), F.when(F.size("said") > 0, text_hash(lines)).alias("content"))
+    return [text_hash(size).alias("layout"), F.when(F.size("said") > 0, text_hash(lines)).alias("content")]
+
+
+def from_lines(tables: DataFrame) -> DataFrame:
+    """from_cells() of tables that are whole in a row: the column lines has the texts of each line by column, null where there is
+    no cell. The other columns stay; texts has the distinct texts."""
+    keys = [c for c in tables.columns if c != "lines"]
+    number = lambda k, t: F.struct((k + 1).alias("row"), t.alias("texts"))
+    placed = F.transform(F.transform("lines", lambda t, k: number(k, t)), lambda x: F.transform(x["texts"], lambda t, c: F.struct(x["row"].alias("row"), c.alias("col"), t.alias("text"))))
+    rows = tables.select(*keys, F.filter(F.flatten(placed), lambda x: x["text"].isNotNull()).alias("all")).where("size(all) > 0")
+    many = lambda c: F.size(F.array_distinct(F.col("all")[c])).cast("bigint").alias(f"{c}s")
+    rows = rows.select(*keys, many("row"), many("col"), F.size("all").cast("bigint").alias("cells"), F.filter("all", lambda x: x["text"] != "").alias("said"))
+    return rows.select(*keys, "rows", "cols", "cells", *_signed(), F.array_distinct(F.col("said")["text"]).alias("texts"))
 
 
 def _common(tables: DataFrame, name: str) -> DataFrame:
@@ -108,10 +125,17 @@ def candidates(tables: DataFrame, documents: DataFrame, least_objects: int = LEA
     )
 
 
-def evidence(tables: DataFrame, cells: DataFrame, found: DataFrame) -> DataFrame:
-    """Each table of a form, where it is and the distinct hashes of its texts: how many, and the first LISTED_HASHES in order."""
-    hashes = cells.where("text <> ''").groupBy("doc_id", "table_id").agg(F.array_sort(F.collect_set(text_hash(F.col("text")))).alias("hashes"))
-    rows = tables.join(found.select("candidate_id", *FORM), FORM).join(hashes, ["doc_id", "table_id"], "left")
+def evidence(tables: DataFrame, cells: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Each table of a form, where it is and the distinct hashes of its texts: how many, and the first LISTED_HASHES in order.
+
+    Without cells, the tables have their texts (from_lines).
+    """
+    rows = tables.join(found.select("candidate_id", *FORM), FORM)
+    if cells is None:
+        rows = rows.withColumn("hashes", F.array_sort(F.transform("texts", text_hash)))
+    else:
+        hashes = cells.where("text <> ''").groupBy("doc_id", "table_id").agg(F.array_sort(F.collect_set(text_hash(F.col("text")))).alias("hashes"))
+        rows = rows.join(hashes, ["doc_id", "table_id"], "left")
     n = F.coalesce(F.size("hashes"), F.lit(0))
     return rows.select(
         "candidate_id", "section", "object_id", "doc_id", "org", "table_id", "layout", "content", "rows", "cols", "cells", n.alias("hash_count"),

@@ -125,3 +125,48 @@ def test_combined_report_flags_borrowed_forms(spark):
     rows = {r["doc_id"]: r for r in combined_report(T.coverage(d, t, T.candidates(t, d)), texts).collect()}
     assert rows[0]["priority"] == "review_high" and rows[0]["text_status"] == "missing" and rows[0]["table_band"] == "medium"
     assert rows[19]["priority"] == "review_clear" and rows[19]["table_status"] == "no_tables" and rows[19]["text_band"] == "medium"
+
+
+def test_tables_whole_in_a_row_are_those_of_their_cells(spark):
+    from pyspark.sql import functions as F
+
+    lines = {
+        0: [["a", "", "x"], ["b", "f", None]], 1: [[None, "", None]], 2: [[None, None, None], ["r", "f", "x"]], 3: [[None, None, None]], 4: [["a", "a", "a"]], 5: [["", "", None], ["", None, None]],
+    }
+    who = "doc_id bigint, section string, object_id string, org string, table_id bigint"
+    whole = spark.createDataFrame([(k, "A", f"o{k}", "x", 1, v) for k, v in lines.items()], f"{who}, lines array<array<string>>")
+    cells = [(k, "A", f"o{k}", "x", 1, r + 1, c, t) for k, v in lines.items() for r, line in enumerate(v) for c, t in enumerate(line) if t is not None]
+    want = T.from_cells(spark.createDataFrame(cells, f"{who}, row int, col int, text string"))
+    got = T.from_lines(whole)
+    assert got.drop("texts").dtypes == want.dtypes and {r[0] for r in got.collect()} == {0, 1, 2, 4, 5}
+    assert sorted(map(tuple, got.drop("texts").collect())) == sorted(map(tuple, want.collect()))
+    found = want.select(F.lit("id").alias("candidate_id"), "section", "layout").distinct()
+    cells = spark.createDataFrame(cells, f"{who}, row int, col int, text string")
+    assert sorted(map(tuple, T.evidence(got, None, found).collect())) == sorted(map(tuple, T.evidence(want, cells, found).collect()))
+
+
+def test_cells_of_orders_are_no_rows(spark, tmp_path):
+    """Every order's tables by the rule; lines of one number, returned and shipped ones apart; the plan explodes no cells."""
+    from folioscope.plans import form_queries as Q
+
+    rows = [(k % 40, k // 80, "NRA"[k % 3], "OF"[k % 2], None if k % 13 == 0 else (k % 11) / 100) for k in range(400)] + [(99, 1, "N", "O", 0.1), (7, None, None, "F", 0.08)]
+    tables = {
+        "lineitem": ("l_orderkey bigint, l_linenumber int, l_returnflag string, l_linestatus string, l_discount double", rows),
+        "orders": ("o_orderkey bigint, o_custkey bigint", [(k, k % 9) for k in range(40)]), "customer": ("c_custkey bigint, c_mktsegment string, c_nationkey int", [(k, "ab"[k % 2], k % 3) for k in range(8)]),
+    }
+    for name, (schema, values) in tables.items():
+        spark.createDataFrame(values, schema).coalesce(1).write.parquet(f"{tmp_path}/{name}.parquet")
+    key = lambda x: tuple((v is not None, v) for v in x)
+    cells, groups = [], defaultdict(list)
+    for o, *line in rows:
+        if o < 40 and o % 9 < 8:
+            groups[o, int(line[1] == "N")].append(line)
+    for (o, t), lines in groups.items():
+        c = o % 9
+        for r, (_, flag, status, discount) in enumerate(sorted(lines, key=key)):
+            texts = [flag and flag.lower(), "" if status == "O" else "f", "discount" if discount is not None and discount > 0.07 else None]
+            cells += [(o, "ab"[c % 2], c, f"N{c % 3}", t, r + 1, k, x) for k, x in enumerate(texts) if x is not None]
+    want = T.from_cells(spark.createDataFrame(cells, "doc_id bigint, section string, object_id bigint, org string, table_id int, row int, col int, text string"))
+    got = Q._tables(spark, str(tmp_path))
+    assert sorted(map(tuple, got.drop("texts").collect())) == sorted(map(tuple, want.collect()))
+    assert not hasattr(Q, "_cells")
