@@ -116,3 +116,21 @@ def test_coverage_queries_store_no_row_of_every_entity(spark, corpus, monkeypatc
     S.coverage_report(spark, corpus).count()
     every = E.measured_entities(E.segments(I.whole_docs(spark, corpus)), T.binary_hash).count()
     assert all(df.count() < every for df in sizes.values())
+
+
+def test_text_candidates_come_from_what_recurs_alone(spark, corpus, monkeypatch):
+    """The same candidates and evidence as from all entities, of which none is stored that only one object has."""
+    from folioscope.operators import library as L
+    from folioscope.plans import stats_queries as S
+
+    rows, found = S._text_library(spark, corpus)
+    sizes = {}
+    put = L.stored
+    monkeypatch.setattr(L, "stored", lambda df, name: sizes.setdefault(name, put(df, name)))
+    lean_rows, lean = S._recurring_library(spark, corpus)
+    assert found.dtypes == lean.dtypes and found.count() > 20
+    every = lambda df: sorted(map(tuple, df.collect()), key=repr)
+    assert every(found) == every(lean) and every(L.evidence(rows, found, 6)) == every(L.evidence(lean_rows, lean, 6))
+    alone = rows.groupBy("entity_kind", "entity_hash").agg(F.countDistinct("section", "object_id").alias("k")).where("k = 1")
+    assert alone.count() > 50 and sizes["recurring-entities"].join(alone, "entity_hash", "left_semi").count() == 0
+    assert sizes["recurring-entities"].count() < rows.count()
