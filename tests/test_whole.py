@@ -4,6 +4,7 @@ import datetime
 import hashlib
 import itertools
 import math
+import time
 from collections import Counter
 
 import pytest
@@ -70,3 +71,15 @@ def test_page_ranges_of_every_line(spark, tables):
     d = tables(lineitem=("l_orderkey bigint, l_linenumber int", rows))
     got = {(r[0], r[1]): r[2] for r in registry.QUERIES["page_ranges"](spark, d).collect()}
     assert got == {(k, n): ",".join(map(str, sorted({1, *range(n, n + 4)}))) for k, n in rows}
+
+
+def test_z_distance_sends_a_part_to_few_blocks(spark, tables):
+    """1,200 parts of a group went out with four shuffles of a row: one left, three right."""
+    d = tables(part=("p_partkey bigint, p_brand string, p_type string, p_size int, p_retailprice double", [(k, "b", "t", k % 5, 1.0) for k in range(1200)]))
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = lambda: store.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark._jvm.double, 0), None)
+    written = lambda: {(x := rows.apply(k)).stageId(): x.shuffleWriteRecords() for rows in [stages()] for k in range(rows.size())}
+    before = set(written())
+    assert registry.QUERIES["z_distance"](spark, d).where("distance >= 0").count() == 1200 * 1199 // 2
+    time.sleep(1)
+    assert 2400 <= sum(n for k, n in written().items() if k not in before) < 3000
