@@ -50,3 +50,36 @@ def test_library_entities_are_shuffled_once(spark):
     assert len([x for x in plan.split("Exchange hashpartitioning(")[1:] if "entity_hash" in x.split(")")[0]]) == 1
     text = L.candidates(rows.withColumn("entity_hash", F.lower(F.hex("entity_hash"))))
     assert [r[0] for r in found.select("candidate_id").collect()] == [r[0] for r in text.select("candidate_id").collect()]
+
+
+def test_likeness_in_strips_is_that_of_any_numbers():
+    """Strips of any height give the same doubles as whole matrices; unknown and negative numbers go the other way."""
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(3)
+
+    def pages(n):
+        counts = rng.integers(0, 4, (n, 7)).astype(float)
+        areas = rng.integers(0, 60, (n, 7)) * (counts > 0) * 1.0
+        counts[:1], areas[:1] = 0.0, 0.0
+        return pd.DataFrame({"counts": list(counts), "areas": list(areas), "elements": counts.sum(axis=1)})
+
+    for n, m in ((1, 1), (70, 500), (5, 20000)):
+        l, r = pages(n), pages(m)
+        assert np.array_equal(G._likeness(l, r), G._likeness_of_any(l, r))
+    l.at[2, "counts"] = [np.nan, -1.0, *l.at[2, "counts"][2:]]
+    assert np.array_equal(G._likeness(l, r), G._likeness_of_any(l, r))
+
+
+def test_review_queue_searches_once(spark, tmp_path, monkeypatch):
+    from folioscope.plans import page_queries as Q
+
+    pages = [(k, f"https://h{k % 6}.example.com/{('en', 'fr')[k % 2]}/p{k}", "<p>some text</p>" * (k % 5 + 1) + f"<li>item {k % 3}</li>") for k in range(40)]
+    spark.createDataFrame(pages, "page_id bigint, url string, html string").coalesce(1).write.parquet(f"{tmp_path}/pages.parquet")
+    spark.createDataFrame([(k, k % 2, 0) for k in range(40)], "doc_id bigint, quality int, toxic int").coalesce(1).write.parquet(f"{tmp_path}/labels.parquet")
+    calls = []
+    search = Q.G.neighbors
+    monkeypatch.setattr(Q.G, "neighbors", lambda *x: calls.append(x[1]) or search(*x))
+    Q.review_queue(spark, str(tmp_path)).collect()
+    assert calls == ["cross_org"]
